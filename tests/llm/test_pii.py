@@ -1,0 +1,66 @@
+"""Personal data against a plain re-reading of the contract."""
+
+import hashlib
+import random
+import re
+
+from timelens.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def valid(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        return 13 <= len(d) <= 19 and luhn(d)
+    return kind == "email" or 9 <= len(d) <= 15
+
+
+def brute(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if valid(k, m[0])]
+
+
+def test_base_spans(spark):
+    rng = random.Random(5)
+    parts = ["a@b.c%x@d.ef", "@", ".", "x.y", "1.2.3.4", "255.0.0256.1", "4111 1111 1111 1111", "+1 (415) 555-0101", "é", "𝒳", "-", " ", "9", "00", "+", "%", "\n", "a-b@c-d.e-f.g", "4111-1111-1111-1111-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(600)] + [None, "", "x" * 50_000, "1" * 50_000, "a.b@" + "c." * 20_000 + "d", "1.2.3.4 " * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = pii.find_pii(df).select("doc_id", pii.span_list(pii.BASE_KINDS).alias("spans")).collect()
+    for r in found:
+        assert r["spans"] == ",".join(brute(texts[r["doc_id"]])), texts[r["doc_id"]]
+    assert len(found) == len(texts)
+
+
+def test_query_columns(spark, tmp_path):
+    text = "mail é@x to a@b.co, ip 10.0.0.1, card 4111 1111 1111 1111"
+    spark.createDataFrame([(1, text), (2, None), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in pii.query(spark, str(tmp_path)).collect()}
+    assert rows[1]["n_email"] == 1 and rows[1]["n_ip"] == 1 and rows[1]["n_card"] == 1
+    assert rows[1]["base_sha256"] == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+    assert rows[2]["spans"] == ""
+
+
+def test_checksum_and_context(spark):
+    texts = ["bank account GB82 WEST 1234 5698 7654 32 ok", "bank account GB82 WEST 1234 5698 7654 33 ok", "my ssn is 123-45-6789", "part 123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r[0] for r in pii.find_pii(df).orderBy("doc_id").select(pii.span_list(("iban", "ssn"))).collect()]
+    assert got == ["iban:13:40", "", "ssn:10:21", ""]
+
+
+def test_redact(spark):
+    df = spark.createDataFrame([(1, "a a@b.co b +1 415 555 0101", 7, "x"), (2, None, None, "y"), (3, "clean", 5, "z")], "doc_id long, text string, n_chars long, pii string")
+    rows = {r["doc_id"]: r for r in pii.redact(df).collect()}
+    assert rows[1]["text"] == "a <EMAIL> b <PHONE>" and rows[1]["n_chars"] == len(rows[1]["text"])
+    assert rows[2]["text"] is None and rows[3]["text"] == "clean" and rows[3]["n_chars"] == 5 and rows[3]["pii"] == "z"
+    assert pii.redact(df.limit(0)).count() == 0
