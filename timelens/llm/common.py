@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +70,16 @@ def bounded_sample(df: DataFrame, key: str, order: str, per_key: int, columns: S
             taken[row[key]] = taken.get(row[key], 0) + 1
             out.append(row)
     return out
+
+
+def slices(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Texts in order, in parts of about ``most`` characters."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
