@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from timelens.llm import bpe, chat_template, jaccard_join, kd_shards, language_id, pii, quality, url_filter
+from timelens.llm import bpe, chat_template, decontaminate, jaccard_join, kd_shards, language_id, nn_search, pii, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_bpe": bpe.query,
     "op3_pii": pii.query,
     "op4_language_id": language_id.query,
+    "op5_nn_search": nn_search.query,
+    "op6_decontaminate": decontaminate.query,
     "op7_kd_shards": kd_shards.query,
     "op8_quality": quality.query,
     "op9_chat_format": chat_template.query,
