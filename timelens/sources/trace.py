@@ -1,0 +1,39 @@
+"""SC24, SC25: trace files: ``<time> <run> <stage> <event> key=value ...``, one event a line, indented lines belong to the one before."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+_LINE = r"^(\S+) (\S+) (\S+) (\S+)\s*(.*)$"
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """SK22: events (time, run, stage, event, detail) appended."""
+    line = F.concat_ws(" ", "time", "run", "stage", "event", F.regexp_replace(F.coalesce("detail", F.lit("")), "\n", "\n  "))
+    events.select(line.alias("value")).write.mode("append").text(path)
+
+
+def load_events(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line")).filter("line <> ''")
+    seq = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.withColumn("at", F.sum(F.when(F.col("line").startswith("  "), 0).otherwise(1)).over(seq))
+    whole = numbered.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("ls"))
+    head, rest = F.element_at("ls", 1)["line"], F.transform(F.slice("ls", 2, 1_000_000), lambda x: F.trim(x["line"]))
+    part = lambda i: F.regexp_extract(head, _LINE, i)
+    return whole.select("file", "at", part(1).alias("time"), part(2).alias("run"), part(3).alias("stage"), part(4).alias("event"), F.concat_ws("\n", F.array(part(5)), rest).alias("detail"))
+
+
+def list_runs(events: DataFrame) -> DataFrame:
+    return events.groupBy("run").agg(F.min("time").alias("started"), F.max("time").alias("ended"), F.count("*").alias("events"), F.count_if(F.col("event") == "error").alias("errors"))
+
+
+def prune(events: DataFrame, keep: int) -> DataFrame:
+    """Events of the latest runs only."""
+    kept = list_runs(events).orderBy(F.desc("started"), "run").limit(keep).select("run")
+    return events.join(kept, "run", "left_semi")
+
+
+def ingest_links(events: DataFrame, videos: DataFrame) -> DataFrame:
+    """The last ingest run of videos that events touch (run, video_id)."""
+    return videos.join(events.select("video_id").distinct(), "video_id", "left_semi").select("video_id", "last_ingest_run_id")
