@@ -9,6 +9,11 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -20,8 +25,7 @@ def norm(a: Column) -> Column:
 def normalised(a: Column) -> Column:
     """Unit length; a zero vector stays."""
     length = norm(a)
-    by = F.when(length == 0, 1.0).otherwise(length)
-    return F.transform(a, lambda x: (x.cast("double") / by).cast("float"))
+    return bound(F.when(length == 0, 1.0).otherwise(length), lambda by: F.transform(a, lambda x: (x.cast("double") / by).cast("float")))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -49,8 +53,11 @@ def hash_embedding(text: Column, dim: int = 256) -> Column:
     place = lambda w: F.conv(F.substring(F.sha2(w, 256), 9, 8), 16, 10).cast("bigint") % dim
     sign = lambda w: F.when(F.conv(F.substring(F.sha2(w, 256), 17, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
     spots = F.transform(words, lambda w: F.struct(place(w).alias("at"), sign(w).alias("sign")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(spots, lambda s: s["at"] == i), F.lit(0.0), lambda acc, s: acc + s["sign"]).cast("float"))
-    return normalised(raw)
+
+    def summed(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(found, lambda s: s["at"] == i), F.lit(0.0), lambda acc, s: acc + s["sign"]).cast("float"))
+
+    return bound(bound(spots, summed), normalised)
 
 
 def hash_embed(text: str, dim: int = 256) -> list[float]:

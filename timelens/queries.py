@@ -215,9 +215,9 @@ def a18(s, d):
 
 
 @query("r5_sample_times", f"""WITH {b.SEGMENTS}, stamps AS (SELECT video_id, unnest(CASE WHEN end_time - start_time <= 15 THEN [(start_time + end_time) / 2]
-  ELSE list_filter(list_transform(range(0, ceil((end_time - start_time) / 4)::BIGINT + 1), i -> start_time + 2.0::DOUBLE + i * 4.0::DOUBLE), t -> t < end_time) END) AS t FROM segments),
+  ELSE list_filter(list_transform(range(0, ceil((end_time - start_time) / 4)::BIGINT + 1), lambda i: start_time + 2.0::DOUBLE + i * 4.0::DOUBLE), lambda t: t < end_time) END) AS t FROM segments),
 once AS (SELECT DISTINCT video_id, round(t, 2) AS timestamp FROM stamps), p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM once)
-SELECT video_id, timestamp FROM p WHERE n <= 20 OR list_contains(list_transform(range(0, 20), k -> floor(k * n / 20)::BIGINT), i)""")
+SELECT video_id, timestamp FROM p WHERE n <= 20 OR list_contains(list_transform(range(0, 20), lambda k: floor(k * n / 20)::BIGINT), i)""")
 def r5(s, d):
     return statechange.sample_times(b.segments(s, d), 20)
 
@@ -518,7 +518,7 @@ def s_text(s, d):
     return b.load(s, d, "documents").select("doc_id", tx.squeezed(t).alias("squeezed"), tx.collapsed(t).alias("collapsed"), tx.state(t).alias("state"), F.size(tx.tokens(t)).cast("bigint").alias("n_tokens"), F.sha2(t, 256).alias("sha"))
 
 
-@query("s7_canonical_key", f"""WITH w AS (SELECT p_partkey, list_sort(list_distinct(list_transform(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), x -> regexp_replace(x, 's+$', '')))) AS ws FROM part), k AS (SELECT p_partkey, ws, array_to_string(list_filter(ws, x -> x NOT IN {tuple(sorted({n.rstrip('s') for n in tx.KEY_NOISE} | {''}))}), '-') AS key FROM w)
+@query("s7_canonical_key", f"""WITH w AS (SELECT p_partkey, list_sort(list_distinct(list_transform(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: regexp_replace(x, 's+$', '')))) AS ws FROM part), k AS (SELECT p_partkey, ws, array_to_string(list_filter(ws, lambda x: x NOT IN {tuple(sorted({n.rstrip('s') for n in tx.KEY_NOISE} | {''}))}), '-') AS key FROM w)
 SELECT p_partkey, CASE WHEN key <> '' THEN key ELSE 't' || substr(sha1(array_to_string(ws, ' ')), 1, 12) END AS key FROM k""")
 def s7(s, d):
     return b.load(s, d, "part").select("p_partkey", tx.canonical_key(F.col("p_name")).alias("key"))
