@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from timelens.constants import CLUSTER_GAP, CO_OCCURRENCE_GAP, CUT_DISTANCE, CUT_LEAST_SECONDS, MAX_WINDOW, MIN_SPAN
 from timelens.functions.geometry import overlap
@@ -138,6 +137,3 @@ def motion_level(samples: DataFrame) -> DataFrame:
     seq = Window.partitionBy("video_id", "segment_index").orderBy("sample")
     step = F.abs(F.col("value") - F.lag("value").over(seq))
     return samples.withColumn("_step", step).groupBy("video_id", "segment_index").agg(F.coalesce(F.max("_step"), F.lit(0.0)).alias("level")).withColumn("action_class", F.when(F.col("level") > 0.01, "motion").otherwise("static"))
-
-
-EVENT = T.StructType.fromDDL("camera_ref string, start_epoch double, end_epoch double, kind string")

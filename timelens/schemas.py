@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,7 +23,21 @@ _DDL = {
     "vectors": "space string, embedder string, dim int, video_id string, timestamp double, embedding array<float>, payload map<string,string>",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+class _Schemas(Mapping):
+    """Schemas by name, parsed when asked for: parsing needs a session."""
+
+    def __getitem__(self, name: str) -> StructType:
+        return StructType.fromDDL(_DDL[name])
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(_DDL)
+
+    def __len__(self) -> int:
+        return len(_DDL)
+
+
+SCHEMAS = _Schemas()
 
 INGEST_STATUSES = ("pending", "fetching", "processing", "done", "failed", "quarantined")
 SOURCE_TYPES = ("youtube", "local", "nvr_recorded")
