@@ -38,6 +38,8 @@ VERIFY = 30.0
 #: Multi-match numbers that are tried for a document.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 KEPT_WORDS = 400_000
+#: Rows of two integers that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -217,16 +219,20 @@ def linked_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     signed = checkpoint(signatures(docs))
     filled = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    postings = filled.select("doc_id", "node", "n", F.explode("prefix").alias("token"))
+    nodes = checkpoint(filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")))
+    postings = filled.select("node", F.explode("prefix").alias("token"))
     met = checkpoint(postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token"))
     # ceil(0.85 n), the size of its smallest partner, whose matches suffice
     partner = F.floor((F.lit(SHARE[0]) * F.col("n") + F.lit(SHARE[1] - 1)) / SHARE[1])
-    hits = postings.join(met, "token").groupBy("node", "doc_id", "n").count().filter(F.col("count") >= 1 + F.floor(partner / 20))
-    active = checkpoint(hits.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    # each copy of a set has all its postings
+    hits = postings.join(met, "token").groupBy("node").count().join(nodes, "node").filter(F.col("count") >= F.col("copies") * (1 + F.floor(partner / 20)))
+    active = checkpoint(hits.select("node", F.col("first").alias("doc_id")))
     del postings, met, hits
     free_shuffles(spark)
 
-    texts = docs.select("doc_id", "text").join(active, "doc_id")
+    # active documents are sent to all tasks only if they are few, else their texts meet them in a shuffle
+    few = active.count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", "text").join(F.broadcast(active) if few else active, "doc_id")
     sets = checkpoint(whole_sets(texts).dropDuplicates(["node"]))
     free_shuffles(spark)
     tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
@@ -248,7 +254,6 @@ def linked_components(docs: DataFrame) -> DataFrame:
     if not across.isEmpty():
         labels = components(near.union(across))
 
-    nodes = filled.groupBy("node").agg(F.min("doc_id").alias("first"))
     rooted = checkpoint(nodes.join(labels, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("component")))
     by_node = checkpoint(rooted.join(least, "root").select("node", "component"))
