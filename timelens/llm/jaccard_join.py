@@ -11,7 +11,7 @@ least 85 / 100. Under any fixed order of shingles, two sets that link share at l
    documents. Copies with many edits of their own have nothing but those in their prefixes.
 
 Within a large group of near copies pairs aren't enumerated: in each posting list documents are first verified against its most central
-member, and only documents of different components make pairs after that. Every link is either verified or lies within a
+member, and only documents of different components, whose distances to a common centre allow a link, make pairs after that. Every link is either verified or lies within a
 component, so the components are exact. Documents with equal sets share one node from the start.
 
 Defined results: null, empty and blank texts have empty sets, are linked with nothing and are their own component; repeated rows are
@@ -34,10 +34,12 @@ from timelens.llm.common import checkpoint, free_shuffles, table
 WORDS = 4
 SHARE = (85, 100)
 #: Cost of a candidate's verification, in postings.
-VERIFY = 30.0
+VERIFY = 4.0
 #: Multi-match numbers that are tried for a document.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 KEPT_WORDS = 400_000
+#: Earlier shingles of its prefix that a posting carries: two postings that share one of them have met there.
+CARRIED = 4
 #: Rows of two integers that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -143,7 +145,7 @@ def choose_matches(n: int, unique: int, frequencies: np.ndarray) -> int:
 
 
 def adaptive_prefixes(ranked: DataFrame) -> DataFrame:
-    """node, n, matches, central (mean frequency of the set's shingles) and prefix, from (node, n, shared: array of (frequency, token), sorted)."""
+    """node, n, matches, own (shingles that no other set has), central (mean frequency of the set's shingles) and prefix, from (node, n, shared: array of (frequency, token), sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,26 +154,26 @@ def adaptive_prefixes(ranked: DataFrame) -> DataFrame:
                 f = np.array(frequencies, np.float64)
                 m = choose_matches(n, n - len(f), f)
                 if m:
-                    rows.append((node, n, m, (f.sum() + n - len(f)) / n, tokens[: n - least_overlap(n) + m - (n - len(f))]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "matches", "central", "prefix"])
+                    rows.append((node, n, m, n - len(f), (f.sum() + n - len(f)) / n, tokens[: n - least_overlap(n) + m - (n - len(f))]))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "matches", "own", "central", "prefix"])
 
     slim = ranked.select("node", "n", F.col("shared.frequency").alias("frequencies"), F.col("shared.token").alias("tokens"))
-    return slim.mapInArrow(run, "node long, n long, matches long, central double, prefix array<long>")
+    return slim.mapInArrow(run, "node long, n long, matches long, own long, central double, prefix array<long>")
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
     return F.lit(SHARE[1]) * F.least(a, b) >= F.lit(SHARE[0]) * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes with apart, the shingles that only one of them has, and whether they link."""
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    union = F.size("ta") + F.size("tb") - common
-    return pairs.select("a", "b").join(x, "a").join(y, "b").filter(F.lit(SHARE[1]) * common >= F.lit(SHARE[0]) * union).select("a", "b")
+    met = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    met = met.select(*pairs.columns, (F.size("ta") + F.size("tb") - 2 * F.col("common")).alias("apart"), (F.col("common") + 0).alias("common"))
+    return met.withColumn("links", F.lit(SHARE[1]) * F.col("common") >= F.lit(SHARE[0]) * (F.col("apart") + F.col("common"))).drop("common")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,25 +195,46 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _candidates_of_centres(postings: DataFrame) -> DataFrame:
-    """Each document of a posting list with the list's most central one."""
-    centres = postings.groupBy("token").agg(F.max_by(F.struct("node", "n"), F.struct("central", "node")).alias("centre"), F.count("*").alias("size")).filter("size > 1")
-    joined = postings.join(checkpoint(centres.select("token", F.col("centre.node").alias("c"), F.col("centre.n").alias("cn"))), "token")
-    joined = joined.filter((F.col("node") != F.col("c")) & _sizes_fit(F.col("n"), F.col("cn")))
-    return joined.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+def _to_centres(postings: DataFrame) -> DataFrame:
+    """Each document of a posting list (a) with the list's most central one (b)."""
+    centres = postings.groupBy("token").agg(F.max_by(F.struct("node", "n", "central"), F.struct("central", "node")).alias("centre"), F.count("*").alias("size")).filter("size > 1")
+    joined = postings.join(checkpoint(centres.select("token", F.col("centre.node").alias("b"), F.col("centre.n").alias("bn"), F.col("centre.central").alias("b_central"))), "token")
+    return joined.filter((F.col("node") != F.col("b")) & _sizes_fit(F.col("n"), F.col("bn"))).select(F.col("node").alias("a"), "b", "b_central").distinct()
 
 
-def _candidates_across(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of documents of different components that match often enough."""
-    rows = postings.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = checkpoint(rows.select("token", "node", "n", "matches", "central", "root"))
+def _own_centres(prefixes: DataFrame, to_centres: DataFrame) -> DataFrame:
+    """node, its most central centre (itself where it is more central), and how many shingles they are apart."""
+    measured_ = to_centres.select(F.col("a").alias("node"), F.col("b").alias("centre"), "apart", F.col("b_central").alias("central"))
+    every = measured_.union(prefixes.select("node", F.col("node").alias("centre"), F.lit(0).alias("apart"), "central"))
+    best = every.groupBy("node").agg(F.max_by(F.struct("centre", "apart"), F.struct("central", "centre")).alias("best"))
+    return best.select("node", "best.centre", "best.apart")
+
+
+def _candidates_across(prefixes: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs of documents of different components that match often enough.
+
+    Two documents of one centre differ from it in the sets D and E. They are |D| + |E| - 2 |D and E| apart, and what both share in D
+    and E can't be shingles of one's own; where this is too much already, they make no pair. Strays of a large group of near copies,
+    which don't link with its centre, thus meet few of the others. A pair is made where its documents first meet, not again for
+    shingles that follow closely in both prefixes; then its matches are counted.
+    """
+    placed = prefixes.select("node", "n", "own", "central", "prefix", F.posexplode("prefix").alias("at", "token"))
+    before = F.slice("prefix", F.greatest(F.col("at") - (CARRIED - 1), F.lit(1)), F.least(F.col("at"), F.lit(CARRIED)))
+    rows = placed.withColumn("before", before).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).join(centres, "node")
+    rows = checkpoint(rows.select("token", "before", "node", "n", "central", "root", "centre", "apart", F.greatest(F.lit(0), F.col("apart") - F.col("own")).alias("open")))
     lists = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", F.struct("central", "node")).alias("main")).filter("lo <> hi")
     rows = checkpoint(rows.join(checkpoint(lists.select("token", "main")), "token"))
-    x = rows.filter("root <> main").select("token", "main", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "matches", "root")])
-    y = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "matches", "root")])
-    met = x.join(y, "token").filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))) & _sizes_fit(F.col("n_a"), F.col("n_b")))
-    counted = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("matches_a", "matches_b")).alias("needed"))
-    return counted.filter("met >= needed").select("a", "b")
+    kept = ("node", "n", "before", "root", "centre", "apart", "open")
+    x = rows.filter("root <> main").select("token", "main", *[F.col(c).alias(f"{c}_a") for c in kept])
+    y = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in kept])
+    least_apart = F.col("apart_a") + F.col("apart_b") - 2 * F.least("open_a", "open_b")
+    near = (F.col("centre_a") != F.col("centre_b")) | (F.lit(SHARE[0] + SHARE[1]) * least_apart <= F.lit(SHARE[1] - SHARE[0]) * (F.col("n_a") + F.col("n_b")))
+    once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
+    met = x.join(y, "token").filter(once & near & _sizes_fit(F.col("n_a"), F.col("n_b")) & ~F.arrays_overlap("before_a", "before_b"))
+    pairs = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    of = lambda side: prefixes.select(F.col("node").alias(side), F.col("prefix").alias(f"prefix_{side}"), F.col("matches").alias(f"matches_{side}"))
+    enough = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("matches_a", "matches_b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(enough).select("a", "b")
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -244,12 +267,13 @@ def linked_components(docs: DataFrame) -> DataFrame:
     del tokens, frequent, ranked
     free_shuffles(spark)
 
-    lists = prefixes.select("node", "n", "matches", "central", F.explode("prefix").alias("token"))
-    near = verified(checkpoint(_candidates_of_centres(lists)), sets)
-    near = checkpoint(near)
+    lists = prefixes.select("node", "n", "central", F.explode("prefix").alias("token"))
+    to_centres = checkpoint(measured(checkpoint(_to_centres(lists)), sets))
+    near = to_centres.filter("links").select("a", "b")
     labels = components(near)
     free_shuffles(spark)
-    across = checkpoint(verified(checkpoint(_candidates_across(lists, labels)), sets))
+    pairs = checkpoint(_candidates_across(prefixes, labels, _own_centres(prefixes, to_centres)))
+    across = checkpoint(measured(pairs, sets).filter("links").select("a", "b"))
     free_shuffles(spark)
     if not across.isEmpty():
         labels = components(near.union(across))
