@@ -34,7 +34,7 @@ BLOCK, RANK, OVERSAMPLE = 1000, 256, 16
 STRIDE = 16
 COSINE, SHARE, PARAPHRASE, ANSWER, KEY_SHARE = 0.2, 0.6, 0.45, 0.8, 0.56
 #: Characters of text searched at once; words that a Python worker keeps.
-SLICE, KEPT_WORDS = 3_000_000, 400_000
+SLICE, KEPT_WORDS = 3_000_000, 100_000
 
 _BREAKS = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x00\x1c\x1d\x1e\x1f", b" " * 37)
 
@@ -222,7 +222,7 @@ class _Search:
         self.weight = np.empty(0, np.float32)
 
     def _look_up(self, words: list[bytes]) -> np.ndarray:
-        if len(self.index) >= KEPT_WORDS:
+        if len(self.index) >= 2 * KEPT_WORDS:
             self.index, self.row, self.weight = {}, self.row[:0], self.weight[:0]
         index = self.index
         ids = np.fromiter([index.setdefault(w, len(index)) for w in words], np.int64, len(words))

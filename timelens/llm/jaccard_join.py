@@ -37,7 +37,7 @@ SHARE = (85, 100)
 VERIFY = 4.0
 #: Multi-match numbers that are tried for a document.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 #: Earlier shingles of its prefix that a posting carries: two postings that share one of them have met there.
 CARRIED = 4
 #: Rows of two integers that may be broadcast.
