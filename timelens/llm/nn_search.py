@@ -25,11 +25,11 @@ from timelens.llm.common import checkpoint, free_shuffles, table
 
 NEAREST, KEPT = 10, 11
 #: Neighbours kept for a node, incoming ones joined with them, trees, nodes of a block.
-NEIGHBOURS, REVERSE, TREES, LEAF = 14, 14, 5, 400
+NEIGHBOURS, REVERSE, TREES, LEAF = 16, 16, 8, 400
 SAMPLE = 20_000
-ROUNDS, SETTLED = 3, 0.01
+ROUNDS, SETTLED = 6, 0.005
 #: Nodes kept for a query, nodes expanded in a step, steps at most.
-BEAM, EXPAND, STEPS = 160, 32, 8
+BEAM, EXPAND, STEPS = 320, 64, 8
 
 
 def valid_rows(rows: DataFrame) -> DataFrame:
