@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from timelens.llm.common import slices, table
 
-#: Most words whose encodings a Python worker keeps, and most pairs whose validity it keeps.
-KEPT_WORDS, KEPT_PAIRS = 250_000, 2_000_000
+#: A Python worker keeps the encodings of twice so many chunks of text and words, and the validity of so many pairs of tokens.
+KEPT_WORDS, KEPT_PAIRS = 150_000, 400_000
 #: Characters of text handled at once.
 SLICE = 4_000_000
 
@@ -54,16 +54,27 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.letters = {i: c for i, c in enumerate(_byte_letters())}
-        # by the last two letters (one, at a word's start): the lengths of tokens that end with them, longest first
-        inner, final = {}, {}
-        for t in self.vocab:
-            body, where = (t[: -len(self.end)], final) if t.endswith(self.end) and t != self.end else (t, inner)
-            where.setdefault(body[-2:], set()).add(len(body))
-        self.inner = {k: sorted(v, reverse=True) for k, v in inner.items()}
-        self.final = {k: sorted(v, reverse=True) for k, v in final.items()}
+        self.inner, self.final = self._lengths(lambda t: not t.endswith(self.end)), self._lengths(lambda t: t.endswith(self.end))
         self.pairs: dict[int, bool] = {}
+        # chunks of text, and words as letters for bytes; each with the generation before
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.old: tuple[dict, dict] = ({}, {})
+        self.old_words: dict[str, tuple[int, ...]] = {}
+
+    def _lengths(self, wanted) -> dict[str, tuple[int, ...]]:
+        """By the last three letters of a word's prefix, or all where it is shorter: lengths of tokens that may end it, longest first."""
+        bodies = [t.removesuffix(self.end) for t in self.vocab if wanted(t) and t != self.end]
+        short = {n: {b for b in bodies if len(b) == n} for n in (1, 2)}
+        out: dict[str, set[int]] = {}
+        for b in bodies:
+            out.setdefault(b[-3:], set()).add(len(b))
+        for key, found in out.items():
+            found.update(n for n in (1, 2) if key[-n:] in short[n])
+        # prefixes that no longer token ends
+        self_short = {b: tuple(n for n in (2, 1) if b[-n:] in short[n]) for b in short[1] | short[2]}
+        return self_short | {k: tuple(sorted(v, reverse=True)) for k, v in out.items()}
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """The merges applied to symbols: the lowest rank first, then the leftmost."""
@@ -94,53 +105,75 @@ class WordBpe:
             self.pairs[key] = known
         return known
 
-    def _step(self, word: str, depth: int, states: list, lengths: dict, end: str) -> tuple:
-        """The state after word[:depth]: (state before its last token, that token)."""
-        vocab, pairs = self.vocab, self.pairs
-        for n in (*lengths.get(word[max(0, depth - 2) : depth], ()), *lengths.get(word[depth - 1 : depth], ())):
-            if n > depth:
-                continue
-            token = vocab.get(word[depth - n : depth] + end)
-            if token is not None:
-                before = states[depth - n]
-                known = pairs.get((before[1] + 1) << 20 | token)
-                if known or (known is None and self._apart(before[1], token)):
-                    return (before, token)
-        raise ValueError(f"no token ends {word[:depth]!r}")
-
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Token ids of distinct words, given as letters for bytes."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Token ids of distinct words, given as letters for bytes.
+
+        A state is (state before its last token, that token); states[d] is that of the first d letters of the path.
+        """
+        vocab, pairs, inner, final, end = self.vocab, self.pairs, self.inner, self.final, self.end
         out = {}
-        root = (None, -1)
-        path, states = "", [root]
+        path, states = "", [(None, -1)]
         for word in sorted(words):
-            shared, most = 0, min(len(path), len(word) - 1, len(states) - 1)
+            length = len(word)
+            shared, most = 0, min(len(path), length - 1, len(states) - 1)
             while shared < most and path[shared] == word[shared]:
                 shared += 1
             del states[shared + 1 :]
-            for depth in range(shared + 1, len(word)):
-                states.append(self._step(word, depth, states, self.inner, ""))
+            for depth in range(shared + 1, length + 1):
+                lengths, mark = (inner, "") if depth < length else (final, end)
+                tail = word[depth - 3 : depth] if depth > 2 else word[:depth]
+                for n in lengths.get(tail) or lengths.get(tail[-2:]) or (1,):
+                    if n > depth:
+                        continue
+                    token = vocab.get(word[depth - n : depth] + mark)
+                    if token is not None:
+                        before = states[depth - n]
+                        known = pairs.get((before[1] + 1) << 20 | token)
+                        if known or (known is None and self._apart(before[1], token)):
+                            states.append((before, token))
+                            break
+                else:
+                    raise ValueError(f"no token ends {word[:depth]!r}")
             path = word
-            state, ids = self._step(word, len(word), states, self.final, self.end), []
+            state, ids = states.pop(), []
             while state[0] is not None:
                 ids.append(state[1])
                 state = state[0]
-            out[word] = ids[::-1]
+            ids.reverse()
+            out[word] = tuple(ids)
         return out
 
     def _learn(self, chunks: set[str]) -> None:
-        """Keep the encodings of chunks without white space."""
-        if len(self.ids) + len(chunks) > KEPT_WORDS:
-            self.ids.clear()
-            self.text.clear()
-        byte_letters = self.letters
-        cut = {c: [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(byte_letters) for p in self.pieces.findall(c)] for c in chunks}
-        coded = self.encode_words({p for ps in cut.values() for p in ps})
+        """Encode chunks without white space."""
+        byte_letters, findall, words = self.letters, self.pieces.findall, self.words
+        if len(words) + len(chunks) > KEPT_WORDS:
+            self.old_words, self.words = words, {}
+            words = self.words
+        # printable ASCII stands for itself
+        cut = {c: findall(c) if c.isascii() and c.isprintable() else [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(byte_letters) for p in findall(c)] for c in chunks}
+        fresh = {p for ps in cut.values() for p in ps if p not in words}
+        known = {p: ids for p in fresh if (ids := self.old_words.get(p)) is not None}
+        words |= known
+        words |= self.encode_words(fresh - known.keys())
         for chunk, ps in cut.items():
-            ids = [i for p in ps for i in coded[p]]
+            ids = words[ps[0]] if len(ps) == 1 else [i for p in ps for i in words[p]]
             self.ids[chunk] = " ".join(map(str, ids))
             self.text[chunk] = self.decode(ids)
 
+    def _look_up(self, chunks: set[str]) -> None:
+        """Make all chunks known: from the older generation, or encoded."""
+        fresh = chunks - self.ids.keys()
+        if len(self.ids) + len(fresh) > KEPT_WORDS:
+            self.old, self.ids, self.text = (self.ids, self.text), {}, {}
+            fresh = chunks
+        old_ids, old_text = self.old
+        for c in fresh & old_ids.keys():
+            self.ids[c], self.text[c] = old_ids[c], old_text[c]
+        fresh -= old_ids.keys()
+        for c in fresh & self.special.keys():
+            self.ids[c], self.text[c] = str(self.special[c]), c
+        self._learn(fresh - self.special.keys())
+
     def chunks(self, text: str) -> list[str]:
         """Normalised text between white space, with special tokens as chunks of their own."""
         if self.cut is not None and "<|" in text:
@@ -158,17 +191,7 @@ class WordBpe:
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """For each text: its ids, joined by spaces, and what they decode to."""
         cut = [self.chunks(t) for t in texts]
-        missing = {c for cs in cut for c in cs}
-        fresh = missing - self.ids.keys()
-        if len(self.ids) + len(fresh) > KEPT_WORDS:
-            fresh = missing
-        for c in fresh & self.special.keys():
-            self.ids[c], self.text[c] = str(self.special[c]), c
-        fresh -= self.special.keys()
-        if fresh:
-            self._learn(fresh)
-            for c in missing & self.special.keys():
-                self.ids[c], self.text[c] = str(self.special[c]), c
+        self._look_up({c for cs in cut for c in cs})
         for cs in cut:
             yield " ".join(map(self.ids.__getitem__, cs)), " ".join(map(self.text.__getitem__, cs))
 
