@@ -46,6 +46,19 @@ def test_candidates_recall(spark):
     assert hits >= 54
 
 
+def test_many_and_long_passages(spark):
+    """Verbatim passages are all found where there are many more than a latent space's dimensions, and where one is much longer than a window."""
+    rng = random.Random(11)
+    rare = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    items = [rare(20) for _ in range(1000)] + [rare(1500)]
+    chosen = [*range(0, 1000, 10), 1000]
+    docs = [(k, " ".join(rare(rng.randint(20, 90)) + items[k] + rare(60))) for k in chosen]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()
+    missed = [r["doc_id"] for r in rows if r["doc_id"] not in [x["item_id"] for x in r["leaks"]]]
+    assert len(rows) == len(chosen) and missed == []
+
+
 def test_weighted_lcs():
     rng = random.Random(7)
 

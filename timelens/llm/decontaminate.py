@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of all words come from one pass over all documents, in hashed counts.
-2. Benchmark passages become TF-IDF rows; a distributed randomised SVD of them, with one power iteration, gives the latent space.
+2. Benchmark passages become TF-IDF rows; a distributed randomised SVD of each block of them, with one power iteration, gives the latent
+   space. A block has no more passages than the space has dimensions, so no cosine is lost to truncation.
 3. Documents are cut into overlapping windows; a window's cosine with each passage in the latent space makes candidates. Windows
    without a key word of any passage are left out: a passage's key words hold over KEY_SHARE of its weight,
    so what is left out could not pass step 4.
@@ -9,7 +10,8 @@
    the window. It is a leak where that holds SHARE of the passage's weight, or PARAPHRASE of it and the answer (the passage's
    last sentence, at least its last quarter) at ANSWER.
 
-Passages are taken in blocks of BLOCK, so what is broadcast has a fixed bound; documents of any length are searched whole.
+Passages are taken in blocks of BLOCK, TOGETHER of them in one pass over the documents, so what is broadcast has a fixed bound;
+documents of any length are searched whole. A window holds little of a long passage, so COSINE is lowered for it (LatentSpace.least).
 
 Defined results: null and empty texts leak nothing; empty or null passages are no passages; repeated rows are judged alike, row by row;
 equal passages are all reported; an empty benchmark or table gives no leaks; further columns stay as they are.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,9 @@ from pyspark.sql import types as T
 from timelens.llm.common import slices, table
 
 BUCKETS = 1 << 18
-BLOCK, RANK, OVERSAMPLE = 1000, 256, 16
+RANK, OVERSAMPLE = 256, 16
+#: Passages of a latent space, at most RANK so that it has full rank; spaces searched in one pass.
+BLOCK, TOGETHER = RANK, 4
 STRIDE = 16
 COSINE, SHARE, PARAPHRASE, ANSWER, KEY_SHARE = 0.2, 0.6, 0.45, 0.8, 0.56
 #: Characters of text searched at once; words that a Python worker keeps.
@@ -98,6 +103,7 @@ class LatentSpace:
         self.answers = [answer_of(p[1]) for p in passages]
         self.idf, self.row, self.basis = idf, words, basis
         self.coordinates = np.stack([self._coordinates(w) for w in self.words]).astype(np.float32)
+        self.least = np.array([self._least(w) for w in self.words], np.float32)
         self.keys = np.zeros(len(words), bool)
         for ws in self.words:
             weights = sorted(((float(idf[_bucket(w)]), w) for w in ws), key=lambda x: (-x[0], x[1]))
@@ -114,6 +120,15 @@ class LatentSpace:
             x[self.row[w]] += self.idf[_bucket(w)]
         return (x @ self.basis) / (np.linalg.norm(x) or 1.0)
 
+    def _least(self, ws: list[bytes]) -> float:
+        """Least cosine of a candidate: COSINE, or less where PARAPHRASE of the passage, spread over windows like its own, may stay under it.
+
+        The windows' products with the passage add up to PARAPHRASE of its squared norm, so one has this cosine at least.
+        """
+        squares = np.array([float(self.idf[_bucket(w)]) ** 2 for w in ws])
+        windows = np.sqrt(np.add.reduceat(squares, np.arange(0, len(ws), 2 * STRIDE))).sum()
+        return min(COSINE, PARAPHRASE * float(np.sqrt(squares.sum()) / (windows or 1.0)))
+
 
 def _passage_rows(passages: list[tuple], words: dict[bytes, int], idf: np.ndarray) -> list[tuple[list[int], list[float]]]:
     out = []
@@ -232,11 +247,10 @@ class _Search:
             self.weight = np.r_[self.weight, self.space.idf[np.fromiter(map(_bucket, fresh), np.int64, len(fresh))]]
         return ids
 
-    def search(self, texts: list[str]) -> list[list[tuple]]:
-        """For each text, its leaks: (item_id, share, cosine)."""
+    def search(self, cut: list[list[bytes]]) -> list[list[tuple]]:
+        """For each text, given by its words, its leaks: (item_id, share, cosine)."""
         space = self.space
-        out: list[list[tuple]] = [[] for _ in texts]
-        cut = [words_of(t) for t in texts]
+        out: list[list[tuple]] = [[] for _ in cut]
         flat = [w for ws in cut for w in ws]
         if not flat:
             return out
@@ -269,7 +283,7 @@ class _Search:
                 known = r >= 0
                 projected[i] = weight[begin[w] : to][known] @ space.basis[r[known]]
             cosine = projected @ space.coordinates.T / np.sqrt(total[part])[:, None]
-            for i, item in zip(*np.nonzero(cosine >= COSINE), strict=True):
+            for i, item in zip(*np.nonzero(cosine >= space.least), strict=True):
                 w, doc = part[i], owner[part[i]]
                 if (doc, item) in seen:
                     continue
@@ -303,15 +317,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     idf = idf_of(n, counts)
     names, at = docs.columns, docs.columns.index("text")
     found = docs.withColumn("leaks", F.array().cast(LEAKS))
-    for space in latent_spaces(benchmark, idf):
-        held = docs.sparkSession.sparkContext.broadcast(space)
+    for spaces in batched(latent_spaces(benchmark, idf), TOGETHER):
+        held = docs.sparkSession.sparkContext.broadcast(spaces)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            search = _Search(held.value)
+            searches = [_Search(space) for space in held.value]
             for batch in batches:
                 fresh: list[list[tuple]] = []
                 for part in slices([t or "" for t in batch.column(at).to_pylist()], SLICE):
-                    fresh += search.search(part)
+                    cut = [words_of(t) for t in part]
+                    fresh += [sum(xs, []) for xs in zip(*(s.search(cut) for s in searches), strict=True)]
                 before = batch.column(len(names)).to_pylist()
                 leaks = [(b or []) + [dict(zip(("item_id", "share", "cosine"), x, strict=True)) for x in xs] for b, xs in zip(before, fresh, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(leaks, _ARROW)], names=[*names, "leaks"])
