@@ -47,3 +47,15 @@ def test_small_tables(spark, tmp_path):
     assert run(spark, tmp_path / "b", [(100, [1.0], "x")]) == {}
     got = run(spark, tmp_path / "c", [(i, [float(i + 1)], "x") for i in (0, 1, 2, 100)])
     assert [v for v, _, _ in got[0]] == [1, 2, 100] and [v for v, _, _ in got[100]] == [2, 1, 0]
+
+
+def test_recall_with_a_narrow_first_beam(spark, tmp_path, monkeypatch):
+    """A poor graph and a beam of a fifteenth of the rows, as a fixed beam is on a large table: the search widens until recall is reached."""
+    for name, value in (("TREES", 2), ("LEAF", 40), ("ROUNDS", 0), ("BEAM", 100)):
+        monkeypatch.setattr(nn, name, value)
+    x = np.random.default_rng(3).normal(size=(1500, 64)).astype(np.float32)
+    vectors = {i: [float(v) for v in x[i]] for i in range(1500)}
+    got = run(spark, tmp_path, [(i, v, "x") for i, v in vectors.items()])
+    want = brute(vectors, [i for i in vectors if i % 100 == 0])
+    recall = sum(len({v for v, _, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+    assert recall >= 0.95, recall

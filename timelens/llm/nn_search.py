@@ -3,7 +3,8 @@
 Equal vectors are one node, which keeps its KEPT smallest ids: more of them can't be among ten nearest, so nothing is lost.
 Random-projection trees, fitted on a bounded sample, deal all nodes into blocks; within a block neighbours are exact. Then NN-descent
 joins each node's neighbours, both ways, with one another and keeps the nearest, for a few rounds of Spark joins. A
-query is a node of the graph; its search expands the nearest nodes found so far, all queries together, a join for each step.
+query is a node of the graph; its search expands the nearest nodes found so far, all queries together, a join for each step, until the
+beam holds no unexpanded node. Recall is measured on CHECKED queries against all nodes; while it is under RECALL, the beam is doubled.
 
 Defined results: rows whose id is null, or whose vector is null, zero, of another length than most, or holds null or non-finite
 components take no part; an id counts once, with the first of its vectors in order; fewer than ten candidates are all returned; an
@@ -28,8 +29,10 @@ NEAREST, KEPT = 10, 11
 NEIGHBOURS, REVERSE, TREES, LEAF = 16, 16, 8, 400
 SAMPLE = 20_000
 ROUNDS, SETTLED = 6, 0.005
-#: Nodes kept for a query, nodes expanded in a step, steps at most.
-BEAM, EXPAND, STEPS = 320, 64, 8
+#: Nodes kept for a query at first, and the part of them expanded in a step.
+BEAM, EXPAND = 320, 5
+#: Queries whose nearest nodes are also found exactly, and the recall that they must have.
+CHECKED, RECALL = 100, 0.95
 
 
 def valid_rows(rows: DataFrame) -> DataFrame:
@@ -203,23 +206,62 @@ def distance(x: str, y: str) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
 
 
-def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """q, node, d: the nodes found for each query (q, start, qvec), BEAM at most."""
-    links = checkpoint(both_ways(edges))
+def exact_nodes(nodes: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
+    """q, node: the k nearest other nodes of CHECKED queries, by one scan of all nodes."""
+    picked = queries.orderBy(F.xxhash64("q"), "q").limit(CHECKED).collect()
+    ids, starts = np.array([r["q"] for r in picked], np.int64), np.array([r["start"] for r in picked], np.int64)
+    held = nodes.sparkSession.sparkContext.broadcast(np.array([r["qvec"] for r in picked], np.float32).reshape(-1, width))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                members = b.column(0).to_numpy()
+                d = distances(held.value, matrix(b.column(1), width).astype(np.float32))
+                d[starts[:, None] == members[None]] = np.inf
+                few = min(k, len(members))
+                best = np.argpartition(d, few - 1, axis=1)[:, :few]
+                yield np.repeat(ids, few), members[best].ravel(), np.take_along_axis(d, best, 1).ravel()
+
+        return _edges(found())
+
+    every = nodes.select("node", "vec").mapInArrow(near, EDGES).filter(F.col("d") < F.lit(float("inf")))
+    return nearest_edges(every, k).select(F.col("u").alias("q"), F.col("v").alias("node"))
+
+
+def expand(nodes: DataFrame, links: DataFrame, queries: DataFrame, found: DataFrame, beam: int) -> DataFrame:
+    """found (q, node, d, done), expanded until none of a query's ``beam`` nearest nodes is left to expand."""
     vectors = nodes.select("node", "vec")
     best = Window.partitionBy("q").orderBy("d", "node")
-    found = checkpoint(queries.select("q", F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done")))
-    for _ in range(STEPS):
+    while True:
         ranked = found.filter(~F.col("done")).withColumn("rank", F.row_number().over(best))
-        open_ = checkpoint(ranked.filter(F.col("rank") <= EXPAND).select("q", "node"))
+        open_ = checkpoint(ranked.filter(F.col("rank") <= max(1, beam // EXPAND)).select("q", "node"))
         if open_.isEmpty():
-            break
+            return found
         met = open_.join(links, F.col("node") == F.col("u")).select("q", F.col("v").alias("node")).distinct()
         fresh = met.join(found.select("q", "node"), ["q", "node"], "left_anti").join(vectors, "node").join(queries.select("q", "qvec"), "q")
         fresh = fresh.select("q", "node", distance("vec", "qvec").alias("d"), F.lit(False).alias("done"))
         old = found.join(open_.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        found = checkpoint(old.union(fresh).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= BEAM).drop("rank"))
-    return found.select("q", "node", "d")
+        found = checkpoint(old.union(fresh).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= beam).drop("rank"))
+
+
+def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, n: int, width: int, k: int) -> DataFrame:
+    """q, node, d: the nodes found for each query (q, start, qvec), as many as the recall on CHECKED queries asks for."""
+    links = checkpoint(both_ways(edges))
+    exact = checkpoint(exact_nodes(nodes, queries, k, width))
+    wanted = exact.count()
+    found = checkpoint(queries.select("q", F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done")))
+    beam = max(BEAM, 2 * k)
+    while True:
+        found = expand(nodes, links, queries, found, beam)
+        met = found.join(exact, ["q", "node"]).count()
+        if met >= RECALL * wanted or beam >= n:
+            return found.select("q", "node", "d")
+        # what the narrower beam dropped is met again, from the nodes that it kept
+        beam *= 2
+        found = found.withColumn("done", F.lit(False))
+        free_shuffles(nodes.sparkSession)
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame:
@@ -233,7 +275,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame:
     width = len(nodes.first()["vec"])
     edges = build_graph(nodes, n, width) if n > 1 else nodes.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("d")).limit(0)
     queries = checkpoint(good.filter(is_query).select(F.col("vec_id").alias("q"), F.xxhash64("vec").alias("start"), F.col("vec").alias("qvec")))
-    found = search(nodes, edges, queries)
+    found = search(nodes, edges, queries, n, width, k)
     hits = found.join(nodes.select("node", "ids"), "node").select("q", F.explode("ids").alias("vec_id"), "d").filter("q <> vec_id")
     order = Window.partitionBy("q").orderBy("d", "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
