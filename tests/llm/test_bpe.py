@@ -17,7 +17,7 @@ def library():
 
 def samples():
     rng = random.Random(3)
-    parts = ["the", "Th", "ing", " ", "  ", "\n", "'s", "'LL", "é", "É", "Ça", "ß", "Σ", "ΑΣ", "İ", "1", "23", "½", "Ⅷ", "!", "...", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "</w>", "😀", "中文", "\x1c", "\x85", "\xa0", "​", "zz", "qu", "́", "a" * 40, "ﬁ", "ǅ"]
+    parts = ["the", "Th", "ing", " ", "  ", "\n", "'s", "'LL", "é", "É", "Ça", "ß", "Σ", "ΑΣ", "İ", "1", "23", "½", "Ⅷ", "!", "...", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", "</w>", "😀", "中文", "\x1c", "\x85", "\xa0", "​", "zz", "qu", "́", "a" * 40, "ﬁ", "ǅ"]
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + ["", " ", "x" * 5000, "ab" * 3000]
 
 
@@ -31,13 +31,29 @@ def test_matches_library():
 
 
 def test_bounded_caches(monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 5)
+    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 5)
     monkeypatch.setattr(bpe, "KEPT_PAIRS", 3)
     tok, own = library(), bpe.WordBpe(bpe.vocabulary(bpe.default_path()))
     for text in samples()[:200]:
         assert own.encode(text) == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_special_strings_in_other_cases_are_plain_text():
+    tok, own = library(), bpe.WordBpe(bpe.vocabulary(bpe.default_path()))
+    for text in ("<|ENDOFTEXT|>", "a <|endoftext|> b <|EndOfText|>", "<|endoftext|>", "<|STARTOFTEXT|><|startoftext|>"):
+        assert own.encode(text) == tok.encode(text, add_special_tokens=False).ids
+    assert own.encode("<|ENDOFTEXT|>") == [27, 347, 40786, 4160, 91, 285]
+
+
+def test_rare_words_match_library():
+    """Long words of few letters and of bytes outside ASCII reach deep merges."""
+    rng = random.Random(11)
+    tok, own = library(), bpe.WordBpe(bpe.vocabulary(bpe.default_path()))
+    texts = [" ".join("".join(rng.choice("aeinrstlohé" if i % 2 else "thingoerüñ中.!'") for _ in range(rng.randint(1, 24))) for _ in range(40)) for i in range(600)]
+    for text, enc, (ids, _) in zip(texts, tok.encode_batch(texts, add_special_tokens=False), own.encode_texts(texts), strict=True):
+        assert ids == " ".join(map(str, enc.ids)), text
+
+
 def test_query(spark, tmp_path):
     spark.createDataFrame([(1, "Some words", "x"), (2, None, "y"), (2, None, "y"), (None, "z", "z")], "doc_id long, text string, n_tokens string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = bpe.query(spark, str(tmp_path)).collect()

@@ -1,32 +1,36 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
 The distinct words of a batch form a trie, held as their sorted list: neighbours' common prefixes are its shared paths.
-A depth-first walk keeps one state for each letter of the path: the last token of that prefix's encoding and the state
-before that token. A prefix ends with token t after a state whose last token is l exactly if the merges
-leave the pair (l, t) apart, so each shared prefix is encoded once. A word's final letter carries the end-of-word mark
-and is a leaf of its own.
+A depth-first walk keeps one state for each letter of the path: the last token of that prefix's encoding, its length, and the place in
+an automaton of token suffixes, which names the tokens that end there. A prefix ends with token t after a prefix whose last token is l
+exactly if the merges leave the pair (l, t) apart, so each shared prefix is encoded once. A word's final letter
+carries the end-of-word mark and is a leaf of its own.
 
-Defined results: a null text is encoded as an empty one (no tokens); the strings of special tokens in a text become those
+Defined results: a null text is encoded as an empty one (no tokens); the exact strings of special tokens in a text become those
 tokens; repeated rows are encoded alike, row by row; an empty table gives no rows; texts are encoded whole, at any length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from timelens.llm.common import slices, table
+from timelens.llm.common import table, text_parts, worker_cache
 
-#: A Python worker keeps the encodings of twice so many chunks of text and words, and the validity of so many pairs of tokens.
-KEPT_WORDS, KEPT_PAIRS = 150_000, 400_000
-#: Characters of text handled at once.
+#: A Python worker keeps the encodings of so many chunks of text, and the validity of so many pairs of tokens.
+KEPT_CHUNKS, KEPT_PAIRS = 200_000, 1_000_000
+#: Bytes of text handled at once.
 SLICE = 4_000_000
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -39,6 +43,65 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in own else next(others)) for b in range(256)]
 
 
+class TokenSuffixes:
+    """Automaton over letters. A place stands for the longest end of what was read that begins a token; it knows the tokens that end there."""
+
+    def __init__(self, tokens: dict[str, int], end: str):
+        self.moves: list[dict[str, int]] = [{}]
+        self.parent: list[tuple[int, str]] = [(0, "")]
+        self.token: list[tuple[int, int]] = [(-1, -1)]  # of the whole place: inside a word, at its end
+        self.depth: list[int] = [0]
+        for t, i in tokens.items():
+            final = t.endswith(end)
+            place = 0
+            for letter in t[: -len(end)] if final else t:
+                place = self._child(place, letter)
+            inner_id, final_id = self.token[place]
+            self.token[place] = (inner_id, i) if final else (i, final_id)
+        self.own = [frozenset(m) for m in self.moves]
+        self.falls: dict[int, int] = {0: 0}
+        self.inner: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.moves)
+        self.final: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.moves)
+
+    def _child(self, place: int, letter: str) -> int:
+        to = self.moves[place].get(letter)
+        if to is None:
+            to = self.moves[place][letter] = len(self.moves)
+            self.moves.append({})
+            self.parent.append((place, letter))
+            self.token.append((-1, -1))
+            self.depth.append(self.depth[place] + 1)
+        return to
+
+    def fall(self, place: int) -> int:
+        """The longest proper end of a place that is a place."""
+        known = self.falls.get(place)
+        if known is None:
+            up, letter = self.parent[place]
+            known = self.move(self.fall(up), letter) if up else 0
+            self.falls[place] = known
+        return known
+
+    def move(self, place: int, letter: str) -> int:
+        to = self.moves[place].get(letter)
+        if to is None:
+            to = self.move(self.fall(place), letter) if place else 0
+            self.moves[place][letter] = to
+        return to
+
+    def ends(self, place: int) -> None:
+        """Set (token, length) of the tokens that end at a place, longest first."""
+        inner, final, at = [], [], place
+        while at:
+            i, f = self.token[at]
+            if i >= 0:
+                inner.append((i, self.depth[at]))
+            if f >= 0:
+                final.append((f, self.depth[at]))
+            at = self.fall(at)
+        self.inner[place], self.final[place] = tuple(inner), tuple(final)
+
+
 class WordBpe:
     """Encoder and decoder for a vocabulary file of the kind ``word_bpe``: words end with a mark, lower case, white space dropped."""
 
@@ -47,153 +110,185 @@ class WordBpe:
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.rank = {(a, b): i for i, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: t for t, i in (self.vocab | self.special).items()}
+        every = self.vocab | self.special
+        self.token = [""] * (max(every.values()) + 1)
+        for t, i in every.items():
+            self.token[i] = t
+        self.digits = [str(i) for i in range(len(self.token))]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.letters = {i: c for i, c in enumerate(_byte_letters())}
-        self.inner, self.final = self._lengths(lambda t: not t.endswith(self.end)), self._lengths(lambda t: t.endswith(self.end))
+        self.suffixes = TokenSuffixes(self.vocab, self.end)
+        # for each pair of tokens the rank of its merge; for each token the two that it was merged from, and the rank of that
+        self.rank: dict[tuple[int, int], int] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.made: dict[int, int] = {}
+        for n, m in enumerate(model["merges"]):
+            a, b = (self.vocab[x] for x in (m if isinstance(m, list) else m.split(" ")))
+            self.rank[(a, b)] = n
+            whole = self.vocab[self.token[a] + self.token[b]]
+            if whole not in self.halves:
+                self.halves[whole], self.made[whole] = (a, b), n
         self.pairs: dict[int, bool] = {}
-        # chunks of text, and words as letters for bytes; each with the generation before
-        self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.old: tuple[dict, dict] = ({}, {})
-        self.old_words: dict[str, tuple[int, ...]] = {}
-
-    def _lengths(self, wanted) -> dict[str, tuple[int, ...]]:
-        """By the last three letters of a word's prefix, or all where it is shorter: lengths of tokens that may end it, longest first."""
-        bodies = [t.removesuffix(self.end) for t in self.vocab if wanted(t) and t != self.end]
-        short = {n: {b for b in bodies if len(b) == n} for n in (1, 2)}
-        out: dict[str, set[int]] = {}
-        for b in bodies:
-            out.setdefault(b[-3:], set()).add(len(b))
-        for key, found in out.items():
-            found.update(n for n in (1, 2) if key[-n:] in short[n])
-        # prefixes that no longer token ends
-        self_short = {b: tuple(n for n in (2, 1) if b[-n:] in short[n]) for b in short[1] | short[2]}
-        return self_short | {k: tuple(sorted(v, reverse=True)) for k, v in out.items()}
-
-    def _merged(self, symbols: list[str]) -> list[str]:
-        """The merges applied to symbols: the lowest rank first, then the leftmost."""
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: (self.rank.get((symbols[i], symbols[i + 1]), 1 << 60), i))
-            if (symbols[best], symbols[best + 1]) not in self.rank:
-                break
-            symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
-        return symbols
-
-    def _symbols(self, token: str) -> list[str]:
-        if token.endswith(self.end) and token != self.end:
-            body = token[: -len(self.end)]
-            return [*body[:-1], body[-1] + self.end]
-        return list(token)
+        # chunks of text by number; for each number its ids, its decoded text, how many ids, and how often it was met
+        self.index: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.ids, self.text = pa.array([], pa.string()), pa.array([], pa.string())
+        self.count = self.met = np.empty(0, np.int64)
+
+    def _forget(self) -> None:
+        """Drop chunks that were met once or twice; all of them, if that leaves too many."""
+        often = np.flatnonzero(self.met > 2)
+        if 2 * len(often) > KEPT_CHUNKS:
+            often = often[:0]
+        names, kept = list(self.index), pa.array(often)
+        self.index = defaultdict(itertools.count(len(often)).__next__, {names[i]: n for n, i in enumerate(often.tolist())})
+        self.ids, self.text = self.ids.take(kept), self.text.take(kept)
+        self.count, self.met = self.count[often], np.zeros(len(often), np.int64)
 
     def _apart(self, last: int, token: int) -> bool:
-        """Whether the merges leave token alone after last (at a word's start: after -1)."""
-        key = (last + 1) << 20 | token
-        known = self.pairs.get(key)
-        if known is None:
-            before = [] if last < 0 else [self.token[last]]
-            symbols = [s for t in (*before, self.token[token]) for s in self._symbols(t)]
-            known = self._merged(symbols) == [*before, self.token[token]]
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
+        """Whether the merges leave token alone after last (at a word's start: after -1).
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        Undoes the merges of both, the later one first, down to the letters next to the seam: no pair across the seam may have been
+        merged before one of its sides was merged away. At equal ranks the left merge comes first.
+        """
+        if last < 0:
+            return True
+        rank, halves, made = self.rank, self.halves, self.made
+        left, right, before = last, token, (1 << 60, 0)
+        while True:
+            across = rank.get((left, right))
+            if across is not None and (across, 1) < before:
+                return False
+            of_left, of_right = made.get(left, -1), made.get(right, -1)
+            if of_left < 0 and of_right < 0:
+                return True
+            # a merge on the left of the seam goes before one of the same rank across it, and that before one on the right
+            if of_left > of_right:
+                left, before = halves[left][1], (of_left, 0)
+            else:
+                right, before = halves[right][0], (of_right, 2)
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Token ids of distinct words, given as letters for bytes.
 
-        A state is (state before its last token, that token); states[d] is that of the first d letters of the path.
+        For the first d letters of the path, last[d] is the last token of their encoding, size[d] its length, and place[d] where the automaton is.
         """
-        vocab, pairs, inner, final, end = self.vocab, self.pairs, self.inner, self.final, self.end
+        suffixes, pairs, apart = self.suffixes, self.pairs, self._apart
+        moves, inner, final = suffixes.moves, suffixes.inner, suffixes.final
+        if len(pairs) >= KEPT_PAIRS:
+            pairs.clear()
         out = {}
-        path, states = "", [(None, -1)]
+        path, last, size, place = "", [-1], [0], [0]
         for word in sorted(words):
-            length = len(word)
-            shared, most = 0, min(len(path), length - 1, len(states) - 1)
-            while shared < most and path[shared] == word[shared]:
-                shared += 1
-            del states[shared + 1 :]
-            for depth in range(shared + 1, length + 1):
-                lengths, mark = (inner, "") if depth < length else (final, end)
-                tail = word[depth - 3 : depth] if depth > 2 else word[:depth]
-                for n in lengths.get(tail) or lengths.get(tail[-2:]) or (1,):
-                    if n > depth:
-                        continue
-                    token = vocab.get(word[depth - n : depth] + mark)
-                    if token is not None:
-                        before = states[depth - n]
-                        known = pairs.get((before[1] + 1) << 20 | token)
-                        if known or (known is None and self._apart(before[1], token)):
-                            states.append((before, token))
-                            break
+            top = len(word) - 1
+            depth, most = 0, min(len(path), top, len(last) - 1)
+            while depth < most and path[depth] == word[depth]:
+                depth += 1
+            del last[depth + 1 :], size[depth + 1 :], place[depth + 1 :]
+            at = place[depth]
+            for letter in word[depth:]:
+                to = moves[at].get(letter)
+                at = suffixes.move(at, letter) if to is None else to
+                if inner[at] is None:
+                    suffixes.ends(at)
+                ends = inner[at] if depth < top else final[at]
+                depth += 1
+                for token, n in ends:
+                    before = last[depth - n]
+                    key = (before + 1) << 20 | token
+                    known = pairs.get(key)
+                    if known is None:
+                        known = pairs[key] = apart(before, token)
+                    if known:
+                        last.append(token)
+                        size.append(n)
+                        place.append(at)
+                        break
                 else:
                     raise ValueError(f"no token ends {word[:depth]!r}")
             path = word
-            state, ids = states.pop(), []
-            while state[0] is not None:
-                ids.append(state[1])
-                state = state[0]
+            ids = []
+            while depth:
+                ids.append(last[depth])
+                depth -= size[depth]
             ids.reverse()
-            out[word] = tuple(ids)
+            out[word] = ids
+            # the final letter's state is no state of a prefix
+            last.pop()
+            size.pop()
+            place.pop()
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode chunks without white space."""
-        byte_letters, findall, words = self.letters, self.pieces.findall, self.words
-        if len(words) + len(chunks) > KEPT_WORDS:
-            self.old_words, self.words = words, {}
-            words = self.words
-        # printable ASCII stands for itself
-        cut = {c: findall(c) if c.isascii() and c.isprintable() else [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(byte_letters) for p in findall(c)] for c in chunks}
-        fresh = {p for ps in cut.values() for p in ps if p not in words}
-        known = {p: ids for p in fresh if (ids := self.old_words.get(p)) is not None}
-        words |= known
-        words |= self.encode_words(fresh - known.keys())
-        for chunk, ps in cut.items():
-            ids = words[ps[0]] if len(ps) == 1 else [i for p in ps for i in words[p]]
-            self.ids[chunk] = " ".join(map(str, ids))
-            self.text[chunk] = self.decode(ids)
-
-    def _look_up(self, chunks: set[str]) -> None:
-        """Make all chunks known: from the older generation, or encoded."""
-        fresh = chunks - self.ids.keys()
-        if len(self.ids) + len(fresh) > KEPT_WORDS:
-            self.old, self.ids, self.text = (self.ids, self.text), {}, {}
-            fresh = chunks
-        old_ids, old_text = self.old
-        for c in fresh & old_ids.keys():
-            self.ids[c], self.text[c] = old_ids[c], old_text[c]
-        fresh -= old_ids.keys()
-        for c in fresh & self.special.keys():
-            self.ids[c], self.text[c] = str(self.special[c]), c
-        self._learn(fresh - self.special.keys())
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks that have just been numbered."""
+        byte_letters, findall = self.letters, self.pieces.findall
+        # printable ASCII stands for itself, and a run of its letters is one piece
+        cut = [
+            [c] if c.isascii() and c.isalpha() else findall(c) if c.isascii() and c.isprintable() else [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(byte_letters) for p in ([c[1:]] if c[0] == " " else findall(c))]
+            for c in chunks
+        ]
+        marked = {n for n, c in enumerate(chunks) if c[0] == " "}
+        words = self.encode_words({p for n, ps in enumerate(cut) if n not in marked for p in ps})
+        digits, token = self.digits, self.token
+        ids, text, count = [], [], []
+        for n, (c, ps) in enumerate(zip(chunks, cut, strict=True)):
+            if n in marked:
+                found = [self.special[c[1:]]]
+            else:
+                found = words[ps[0]] if len(ps) == 1 else [i for p in ps for i in words[p]]
+            ids.append(" ".join([digits[i] for i in found]))
+            text.append(" ".join([token[i] for i in found]))
+            count.append(len(found))
+        self.ids = pa.concat_arrays([self.ids, pa.array(ids, pa.string())])
+        self.text = pa.concat_arrays([self.text, pa.array(text, pa.string())])
+        self.count = np.r_[self.count, np.array(count, np.int64)]
 
     def chunks(self, text: str) -> list[str]:
-        """Normalised text between white space, with special tokens as chunks of their own."""
+        """Normalised text between white space, with special tokens as chunks of their own, marked by a space."""
         if self.cut is not None and "<|" in text:
-            return [c for i, part in enumerate(self.cut.split(text)) for c in ([part] if i % 2 else self._plain(part))]
+            return [c for i, part in enumerate(self.cut.split(text)) for c in ([" " + part] if i % 2 else self._plain(part))]
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        # a capital sigma is lowered without regard to what stands around it
-        text = text.lower() if "Σ" not in text else "σ".join(x.lower() for x in text.split("Σ"))
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text)
+            # a capital sigma is lowered without regard to what stands around it
+            text = text.lower() if "Σ" not in text else "σ".join(x.lower() for x in text.split("Σ"))
         if _SEPARATORS.search(text):
             return [c for c in regex.split(r"\p{White_Space}+", text) if c]
         return text.split()
 
+    def encode_batch(self, texts: list[str]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """For each text: its ids, joined by spaces, what they decode to, and their number."""
+        if len(self.index) > KEPT_CHUNKS:
+            self._forget()
+        flat: list[str] = []
+        ends = [0]
+        for t in texts:
+            flat += self.chunks(t)
+            ends.append(len(flat))
+        known = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, flat), np.int32, len(flat))
+        del flat
+        if len(self.index) > known:
+            self._learn(list(itertools.islice(self.index, known, None)))
+        ends_ = np.array(ends, np.int64)
+        taken, offsets = pa.array(at), pa.array(ends_.astype(np.int32))
+        ids, text = (pc.binary_join(pa.ListArray.from_arrays(offsets, x.take(taken)), " ") for x in (self.ids, self.text))
+        total = np.r_[0, np.cumsum(self.count[at])]
+        met = np.bincount(at, minlength=len(self.count))
+        met[: len(self.met)] += self.met
+        self.met = met
+        return ids, text, total[ends_[1:]] - total[ends_[:-1]]
+
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """For each text: its ids, joined by spaces, and what they decode to."""
-        cut = [self.chunks(t) for t in texts]
-        self._look_up({c for cs in cut for c in cs})
-        for cs in cut:
-            yield " ".join(map(self.ids.__getitem__, cs)), " ".join(map(self.text.__getitem__, cs))
+        ids, text, _ = self.encode_batch(texts)
+        return zip(ids.to_pylist(), text.to_pylist(), strict=True)
 
     def encode(self, text: str) -> list[int]:
         ids, _ = next(self.encode_texts([text]))
@@ -204,15 +299,13 @@ class WordBpe:
         return " ".join(self.token[i] for i in ids)
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
 def loaded(source: str) -> WordBpe:
     """The encoder for a vocabulary's content, made once in each Python worker."""
+    cache = worker_cache("bpe")
     key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _loaded:
-        _loaded[key] = WordBpe(source)
-    return _loaded[key]
+    if key not in cache:
+        cache[key] = WordBpe(source)
+    return cache[key]
 
 
 def vocabulary(path: str) -> str:
@@ -228,15 +321,14 @@ def bpe_encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(source.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             n, ids, decoded, listed = [], [], [], []
-            for part in slices(texts, SLICE):
-                for a, b in bpe.encode_texts(part):
-                    n.append(a.count(" ") + 1 if a else 0)
-                    ids.append(hashlib.sha256(a.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest())
-                    if with_ids:
-                        listed.append([int(x) for x in a.split()])
+            for part in text_parts(batch.column(1), SLICE):
+                a, b, counts = bpe.encode_batch(part)
+                n += counts.tolist()
+                ids += [hashlib.sha256(x.as_buffer()).hexdigest() for x in a]
+                decoded += [hashlib.sha256(x.as_buffer()).hexdigest() for x in b]
+                if with_ids:
+                    listed += [[int(y) for y in x.split()] for x in a.to_pylist()]
             columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if with_ids:
                 columns["token_ids"] = pa.array(listed, pa.list_(pa.int32()))

@@ -6,9 +6,17 @@ import gc
 import tempfile
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Values of a sample's key, such as languages.
+MOST_KEYS = 1000
+
+_held: dict[str, dict] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark only (the path may be in a remote store)."""
@@ -49,29 +57,49 @@ def bucket_of(key: str, buckets: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, order: str, per_key: int, columns: Sequence[str]) -> list:
-    """At most ``per_key`` rows for each value of ``key``, chosen by a hash of ``order``.
+    """At most ``per_key`` distinct rows for each value of ``key``, chosen by a hash of ``order`` and ``columns``.
 
-    The counts come from all rows; the choice is the same on every run and what reaches the driver is
-    bounded by ``per_key`` times the number of keys.
+    All rows are counted, by a sketch of their hashes; the choice is the same on every run, repeated rows count once, and what reaches the
+    driver is bounded by about 1.2 times ``per_key`` for each of at most MOST_KEYS values.
     """
-    rank = F.pmod(F.xxhash64(F.col(order).cast("string")), F.lit(1 << 20))
-    counts = {r[0]: r[1] for r in df.groupBy(key).count().collect() if r[0] is not None}
+    hashed = df.select(*columns, F.xxhash64(F.col(order).cast("string"), *columns).alias("_rank"), F.col(order).cast("string").alias("_order"))
+    counts = {r[0]: r[1] for r in hashed.filter(F.col(key).isNotNull()).groupBy(key).agg(F.approx_count_distinct("_rank", 0.02)).limit(MOST_KEYS + 1).collect()}
+    if len(counts) > MOST_KEYS:
+        raise ValueError(f"{key} has more than {MOST_KEYS} values")
     if not counts:
         return []
     keep = F.lit(False)
     for value, n in sorted(counts.items()):
-        share = min(1.0, (1.2 * per_key + 20) / n)
-        keep = keep | ((F.col(key) == F.lit(value)) & (rank < F.lit(int(share * (1 << 20)) + 1)))
-    rows = df.filter(keep).select(*columns, rank.alias("_rank"), F.col(order).alias("_order")).collect()
+        share = min(1.0, (1.2 * per_key + 20) / max(n, 1))
+        keep = keep | ((F.col(key) == F.lit(value)) & (F.col("_rank") <= F.lit(int(share * (1 << 63)) * 2 - (1 << 63) - 1)))
     taken: dict = {}
     out = []
-    for row in sorted(rows, key=lambda r: (r["_rank"], str(r["_order"]))):
+    for row in sorted(hashed.filter(keep).distinct().collect(), key=lambda r: (r["_rank"], r["_order"] or "")):
         if taken.get(row[key], 0) < per_key:
             taken[row[key]] = taken.get(row[key], 0) + 1
             out.append(row)
     return out
 
 
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks. Workers are used again by other operators; each drops what the others kept."""
+    if owner not in _held:
+        _held.clear()
+        gc.collect()
+        _held[owner] = {}
+    return _held[owner]
+
+
+def text_parts(column: pa.Array, most: int) -> Iterator[list[str]]:
+    """Texts of a column in order, null as empty, in parts of about ``most`` bytes; a part holds one text at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, n = 0, len(column)
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        yield [t or "" for t in column.slice(at, end - at).to_pylist()]
+        at = end
+
+
 def slices(texts: list[str], most: int) -> Iterator[list[str]]:
     """Texts in order, in parts of about ``most`` characters."""
     part, size = [], 0
