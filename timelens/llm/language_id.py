@@ -5,8 +5,9 @@ transitions join neighbouring words; forward-backward gives each word a distribu
 labelled word by word. A text's language is the one with the largest share of its letters' weight, and the score is that share.
 
 The field is fitted on at most SAMPLE documents for each language, chosen by a hash over all rows given, none longer than
-SAMPLE_CHARS; training sequences are spliced from spans of them, so that switches occur. Every text is labelled whole, in
-chains of CHAIN words.
+SAMPLE_CHARS, and on at most TRAIN_WORDS of their words; training sequences are spliced from spans of them, so that switches occur.
+Every text is one chain, whatever its length: the messages between pieces of PIECE words are products of the pieces'
+transfer matrices, so the pieces are labelled side by side without a cut.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0; without any labelled rows every text is
 ``und``; ties go to the language first in order; repeated rows are labelled alike, row by row; further columns are ignored.
@@ -14,30 +15,32 @@ Defined results: a null text, and one without a letter, is ``und`` with score 0;
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timelens.llm.common import bounded_sample, bucket_of, slices, table
+from timelens.llm.common import bounded_sample, bucket_of, table, text_parts, worker_cache
 
 SAMPLE, SAMPLE_CHARS = 120, 20_000
 #: Words of training text for each language.
 TRAIN_WORDS = 40_000
 FEATURES = 1 << 17
-CHAIN = 128
+#: Words of a training chain, and of the pieces in which a text's chain is computed.
+CHAIN, PIECE = 128, 64
 EPOCHS, RATE, DECAY = 30, 0.3, 1e-4
 LEXICON_LEAST, LEXICON_SHARE = 2, 0.8
-#: Characters of text labelled at once.
-SLICE = 3_000_000
+#: Bytes of text labelled at once, words whose features are made at once, words whose scores a Python worker keeps.
+SLICE, FRESH, KEPT_WORDS = 1_000_000, 20_000, 100_000
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -115,23 +118,57 @@ def forward_backward(emissions: np.ndarray, moves: np.ndarray, lengths: np.ndarr
     return marginals, expected
 
 
-def word_marginals(emissions: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Marginals of all words of chains that stand one after another; lengths are the chains' words."""
+def word_marginals(emissions: np.ndarray, moves: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Marginals of all words of chains that stand one after another; counts are the chains' words, 1 at least.
+
+    Each chain is taken in pieces. What reaches a piece from either side is found from the transfer matrices of the others; then forward and
+    backward messages run through all pieces side by side.
+    """
+    k = emissions.shape[1]
     table_ = np.exp(moves - moves.max()).astype(np.float32)
-    steps, k = int(lengths.max()), emissions.shape[1]
-    order = np.argsort(-lengths, kind="stable")
-    first = (np.cumsum(lengths) - lengths)[order]
-    active = np.searchsorted(-lengths[order], -np.arange(steps), side="left")  # chains with more than t words
     local = np.exp(emissions - emissions.max(axis=1, keepdims=True)).astype(np.float32)
+    number = -(-counts // PIECE)
+    chain = np.repeat(np.arange(len(counts)), number)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(number) - number, number)
+    first = (np.cumsum(counts) - counts)[chain] + nth * PIECE
+    lengths = np.minimum(PIECE, counts[chain] - nth * PIECE)
+
+    # longest pieces first, so that those with more than t words are the first ones
+    order = np.argsort(-lengths, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    first, lengths, opens = first[order], lengths[order], (nth == 0)[order]
+    steps = int(lengths.max())
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left")
+
+    into, back = np.ones((len(order), k), np.float32), np.ones((len(order), k), np.float32)
+    if len(order) > len(counts):
+        carry = np.where(opens[:, None, None], np.eye(k, dtype=np.float32)[None], table_[None]) * local[first][:, None, :]
+        for t in range(1, steps):
+            m = active[t]
+            x = (carry[:m].reshape(-1, k) @ table_).reshape(-1, k, k) * local[first[:m] + t][:, None, :]
+            carry[:m] = x / x.max(axis=(1, 2), keepdims=True)
+        by_chain = np.argsort(-number, kind="stable")
+        start = (np.cumsum(number) - number)[by_chain]
+        with_more = np.searchsorted(-number[by_chain], -np.arange(int(number.max())), side="left")
+        for j in range(1, int(number.max())):
+            at, before = place[start[: with_more[j]] + j], place[start[: with_more[j]] + j - 1]
+            x = np.einsum("ni,nij->nj", into[before], carry[before])
+            into[at] = x / x.sum(axis=1, keepdims=True)
+        for j in range(int(number.max()) - 1, 0, -1):
+            at, before = place[start[: with_more[j]] + j], place[start[: with_more[j]] + j - 1]
+            x = np.einsum("nij,nj->ni", carry[at], back[at])
+            back[before] = x / x.sum(axis=1, keepdims=True)
+
     forward = np.empty_like(local)
-    state = local[first]
+    state = np.where(opens[:, None], 1.0, into @ table_).astype(np.float32) * local[first]
     forward[first] = state = state / state.sum(axis=1, keepdims=True)
     for t in range(1, steps):
         at = first[: active[t]] + t
         x = (state[: active[t]] @ table_) * local[at]
         state = x / x.sum(axis=1, keepdims=True)
         forward[at] = state
-    back = np.ones((len(lengths), k), np.float32)
+    forward[first + lengths - 1] *= back
     for t in range(steps - 2, -1, -1):
         m = active[t + 1]
         at = first[:m] + t
@@ -219,36 +256,56 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     return Field(langs, weights.astype(np.float32), lexicon, lexical.astype(np.float32), moves.astype(np.float32))
 
 
-def label_texts(field: Field, texts: list[str]) -> list[tuple[str, float]]:
-    """Language and score of each text."""
-    out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
-    index: dict[bytes, int] = {}
-    flat: list[int] = []
-    counts, which = [], []
-    for i, text in enumerate(texts):
-        if not text or not _LETTER.search(text):
-            continue
-        words = words_of(text)
-        if not words:
-            continue
-        which.append(i)
-        counts.append(len(words))
-        flat += [index.setdefault(w, len(index)) for w in words]
-    if not which:
+class Labeller:
+    """Labels texts by a field; keeps the scores of words between texts."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.emissions = np.empty((0, len(self.field.langs)), np.float32)
+        self.letters = np.empty(0, np.float32)
+
+    def _look_up(self, words: list[bytes]) -> np.ndarray:
+        index = self.index
+        known = len(index)
+        ids = np.fromiter([index.setdefault(w, len(index)) for w in words], np.int64, len(words))
+        fresh = list(index)[known:] if len(index) > known else []
+        for at in range(0, len(fresh), FRESH):
+            part = fresh[at : at + FRESH]
+            self.emissions = np.concatenate([self.emissions, self.field.emissions(part)])
+            letters = np.fromiter((len(w) if w.isalpha() else len(_LETTER.findall(w.decode("utf-8", "replace"))) for w in part), np.float32, len(part))
+            self.letters = np.concatenate([self.letters, letters])
+        return ids
+
+    def label_texts(self, texts: list[str]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
+        if len(self.index) > KEPT_WORDS:
+            self._forget()
+        flat: list[bytes] = []
+        counts, which = [], []
+        for i, text in enumerate(texts):
+            if text and _LETTER.search(text):
+                words = words_of(text)
+                which.append(i)
+                counts.append(len(words))
+                flat += words
+        if not which:
+            return out
+        ids, counts_ = self._look_up(flat), np.array(counts)
+        marginals = word_marginals(self.emissions[ids], self.field.moves, counts_) * self.letters[ids][:, None]
+        sums = np.add.reduceat(marginals, np.cumsum(counts_) - counts_, axis=0, dtype=np.float64)
+        totals = sums.sum(axis=1)
+        for i, j, top, total in zip(which, sums.argmax(axis=1), sums.max(axis=1), totals, strict=True):
+            out[i] = (self.field.langs[j], float(min(1.0, top / total)) if total > 0 else 0.0)
         return out
-    distinct = list(index)
-    emissions = field.emissions(distinct)
-    letters = np.fromiter((sum(1 for c in w.decode("utf-8", "replace") if c.isalpha()) if not w.isalpha() else len(w) for w in distinct), np.float32, len(distinct))
-    ids, counts_ = np.array(flat), np.array(counts)
-    whole, rest = counts_ // CHAIN, counts_ % CHAIN
-    lengths = np.concatenate([np.r_[np.full(w, CHAIN), r] if r else np.full(w, CHAIN) for w, r in zip(whole, rest, strict=True)])
-    marginals = word_marginals(emissions[ids], field.moves, lengths) * letters[ids][:, None]
-    sums = np.add.reduceat(marginals, np.cumsum(counts_) - counts_, axis=0)
-    best = sums.argmax(axis=1)
-    totals = sums.sum(axis=1)
-    for i, j, top, total in zip(which, best, sums.max(axis=1), totals, strict=True):
-        out[i] = (field.langs[j], float(min(1.0, top / total)) if total > 0 else 0.0)
-    return out
+
+
+def label_texts(field: Field, texts: list[str]) -> list[tuple[str, float]]:
+    return Labeller(field).label_texts(texts)
 
 
 def label_words(field: Field, text: str) -> list[tuple[str, str]]:
@@ -256,27 +313,32 @@ def label_words(field: Field, text: str) -> list[tuple[str, str]]:
     words = words_of(text)
     if not words:
         return []
-    lengths = np.array([min(CHAIN, len(words) - a) for a in range(0, len(words), CHAIN)])
-    best = word_marginals(field.emissions(words), field.moves, lengths).argmax(axis=1)
+    best = word_marginals(field.emissions(words), field.moves, np.array([len(words)])).argmax(axis=1)
     return [(w.decode("utf-8", "replace"), field.langs[j]) for w, j in zip(words, best, strict=True)]
 
 
-def predict(docs: DataFrame, field: Field | None) -> DataFrame:
-    """docs with lang_pred and score for every row; docs has doc_id and text, and other columns stay."""
-    held = docs.sparkSession.sparkContext.broadcast(field)
+def predict(docs: DataFrame, field: Field | None, language: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with a language and a score for every row; docs has a text, and other columns stay, but for any of the two new names."""
+    docs = docs.drop(language, score)
+    held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, field))
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        key, model = held.value
+        cache = worker_cache("language_id")
+        if key not in cache:
+            cache.clear()
+            cache[key] = None if model is None else Labeller(model)
+        labeller = cache[key]
         for batch in batches:
             found: list[tuple[str, float]] = []
-            for part in slices([t or "" for t in batch.column(at).to_pylist()], SLICE):
-                found += label_texts(model, part) if model is not None else [(UNDETERMINED, 0.0)] * len(part)
+            for part in text_parts(batch.column(at), SLICE):
+                found += [(UNDETERMINED, 0.0)] * len(part) if labeller is None else labeller.label_texts(part)
             columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, language, score])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(language, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

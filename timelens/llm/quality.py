@@ -5,7 +5,7 @@ either dictionary; the difference of the two sizes, as a share of the text's byt
 regression on labelled texts that the dictionaries haven't seen.
 
 The model is fitted on at most SAMPLE rows for each label, chosen by a hash over all labelled rows that aren't held out;
-longer texts than SAMPLE_BYTES aren't chosen. Every text is scored whole.
+longer texts than SAMPLE_BYTES aren't chosen, and of several texts of one document the first in order. Every text is scored whole.
 
 Defined results: a null text counts as empty; an empty text scores as the calibration says for a difference of 0; without labels
 of both kinds every score is the share of label 1 among those there are, or 0.5 without any; repeated rows score alike; a
@@ -23,12 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm.common import bounded_sample, bucket_of, table
+from timelens.llm.common import bounded_sample, bucket_of, table, text_parts, worker_cache
 
 SAMPLE, SAMPLE_BYTES = 1500, 65_536
 #: Bytes that are compressed at once: a dictionary counts most at a block's start.
 BLOCK = 2048
 DICTIONARY_BYTES, LEVEL = 65_536, 3
+#: Bytes of text held at once.
+SLICE = 4_000_000
 
 
 def build_dictionary(texts: list[bytes]) -> bytes:
@@ -64,14 +66,13 @@ class Sizes:
         return (bad - good) / len(text)
 
 
-_made: dict[str, Sizes] = {}
-
-
 def sizes(good: bytes, bad: bytes) -> Sizes:
+    """The compressors, made once in each Python worker."""
+    made = worker_cache("quality")
     key = hashlib.sha256(good + b"|" + bad).hexdigest()
-    if key not in _made:
-        _made[key] = Sizes(good, bad)
-    return _made[key]
+    if key not in made:
+        made[key] = Sizes(good, bad)
+    return made[key]
 
 
 def sigmoid(x: float) -> float:
@@ -113,9 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     chosen = bounded_sample(known, "quality", "doc_id", sample, ["doc_id", "quality"])
     # at most 2 * sample rows, so the list may be broadcast
     picked = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in chosen], "doc_id long, quality int")
-    rows = docs.join(F.broadcast(picked), "doc_id").filter((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text", "quality").collect()
+    rows = docs.join(F.broadcast(picked), "doc_id").filter((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in sorted({(r["doc_id"], r["text"], r["quality"]) for r in rows}):
+    for r in sorted((r["doc_id"], r["text"], r["quality"]) for r in rows):
         texts[r[2]].append(r[1].encode())
     n0, n1 = (known.filter(F.col("quality") == k).count() for k in (0, 1))
     if min(map(len, texts.values())) < 2:
@@ -138,7 +139,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         m = held.value
         by = None if "share" in m else sizes(m["good"], m["bad"])
         for batch in batches:
-            texts = (t or "" for t in batch.column(1).to_pylist())
+            texts = (t for part in text_parts(batch.column(1), SLICE) for t in part)
             scores = [m["share"] if by is None else sigmoid(m["slope"] * by.difference(t.encode("utf-8", "surrogatepass")) + m["intercept"]) for t in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(scores, pa.float64())})
 
