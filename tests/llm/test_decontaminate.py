@@ -1,6 +1,8 @@
 """Leaks against brute force, edited passages, edge cases."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -36,22 +38,71 @@ def test_leaks(spark, tmp_path):
     assert got.count((0, [k for d, k in planted if d == 0][0])) == 2
 
 
-def test_candidates_recall(spark):
-    """Of the windows that a plain TF-IDF cosine brings up, the latent search finds at least nine in ten."""
-    rng = random.Random(5)
-    items = [(i, " ".join(words(rng, 30))) for i in range(60)]
-    counts = np.zeros(dc.BUCKETS, np.int64)
-    space = next(dc.latent_spaces(spark.createDataFrame(items, "item_id long, text string"), dc.idf_of(100, counts)))
-    hits = sum(bool(np.argmax(space.coordinates @ space.coordinates[i]) == i) for i in range(60))
-    assert hits >= 54
+def plain_leaks(docs, bench):
+    """(row, item) of all leaks by trying every window of every document against every passage: exact cosines, no keys, no latent space."""
+    cut = [dc.words_of(t) for t in docs]
+    df = Counter(w for ws in cut for w in set(ws))
+    idf = lambda w: math.log1p(len(docs) / (1 + df[w]))
+    passages = [(item, dc.words_of(t), dc.answer_of(t)) for item, t in bench]
+    known = {w for _, ws, _ in passages for w in ws}
+    out = set()
+    for d, ws in enumerate(cut):
+        for item, p, k in passages:
+            n, weights = len(p), np.array([idf(w) for w in p])
+            tf = Counter(p)
+            norm = math.sqrt(sum((c * idf(w)) ** 2 for w, c in tf.items()))
+            spans = [math.sqrt(sum(idf(w) ** 2 for w in p[a : a + 2 * dc.STRIDE])) for a in range(0, n, 2 * dc.STRIDE)]
+            least = min(dc.COSINE, dc.PARAPHRASE * math.sqrt(sum(idf(w) ** 2 for w in p)) / sum(spans))
+            for a in range(0, len(ws), dc.STRIDE):
+                window = Counter(w for w in ws[a : a + 2 * dc.STRIDE] if w in known)
+                size = math.sqrt(sum((c * idf(w)) ** 2 for w, c in window.items()))
+                if not size or sum(c * tf[w] * idf(w) ** 2 for w, c in window.items()) / (size * norm) < least:
+                    continue
+                around = ws[max(0, a - n) : a + 2 * dc.STRIDE + n]
+                share = dc.weighted_lcs(p, around, weights) / weights.sum()
+                if share >= dc.SHARE or (share >= dc.PARAPHRASE and dc.weighted_lcs(p[n - k :], around, weights[n - k :]) >= dc.ANSWER * weights[n - k :].sum()):
+                    out.add((d, item))
+                    break
+    return out
+
+
+def test_matches_trying_everything(spark, monkeypatch):
+    """Neither the keys nor a space of few dimensions lose a leak that trying every window finds."""
+    rng = random.Random(17)
+    items = [words(rng, rng.randint(3, 40)) for _ in range(40)]
+    docs = []
+    for i in range(120):
+        body = words(rng, rng.randint(0, 80))
+        if i % 2:
+            leak = [w for w in rng.choice(items) if rng.random() < rng.choice([0.5, 0.7, 0.9, 1.0])]
+            body[len(body) // 2 : len(body) // 2] = leak
+        docs.append(" ".join(body))
+    bench = [(i, " ".join(w[:-3]) + ". " + " ".join(w[-3:])) for i, w in enumerate(items)]
+    wanted = plain_leaks(docs, bench)
+    assert len(wanted) > 20
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for rank, group in ((128, 1_000_000), (4, 1_000_000), (16, 300)):
+        monkeypatch.setattr(dc, "RANK", rank)
+        monkeypatch.setattr(dc, "OVERSAMPLE", 4)
+        monkeypatch.setattr(dc, "GROUP_WORDS", group)
+        rows = dc.find_leaks(frame, spark.createDataFrame(bench, "item_id long, text string")).collect()
+        got = {(r["doc_id"], x["item_id"]) for r in rows for x in r["leaks"]}
+        assert wanted <= got
+        # nearby windows of a long passage share one look around them, which may hold a little more
+        assert len(got - wanted) <= 1
+
+
+def test_document_frequencies_are_exact(spark):
+    docs = spark.createDataFrame([("A b, b",), ("b c",), (None,), ("",), ("d",)], "text string").repartition(3)
+    assert dc.document_frequencies(docs, frozenset([b"a", b"b", b"x"])) == (5, {b"a": 1, b"b": 2})
 
 
 def test_many_and_long_passages(spark):
     """Verbatim passages are all found where there are many more than a latent space's dimensions, and where one is much longer than a window."""
     rng = random.Random(11)
     rare = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
-    items = [rare(20) for _ in range(1000)] + [rare(1500)]
-    chosen = [*range(0, 1000, 10), 1000]
+    items = [rare(20) for _ in range(1000)] + [rare(n) for n in (900, 1200, 3000, 20_000)]
+    chosen = [*range(0, 1000, 10), *range(1000, 1004)]
     docs = [(k, " ".join(rare(rng.randint(20, 90)) + items[k] + rare(60))) for k in chosen]
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     rows = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()
@@ -77,7 +128,9 @@ def test_weighted_lcs():
 
 
 def test_empty(spark):
-    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e", "old")], "doc_id long, text string, leaks string")
     bench = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
     assert dc.find_leaks(docs.limit(0), bench).count() == 0
     assert dc.find_leaks(docs, bench.limit(0)).first()["leaks"] == []
+    clash = dc.find_leaks(docs, bench)
+    assert clash.columns == ["doc_id", "text", "leaks"] and clash.first()["leaks"][0]["item_id"] == 1

@@ -1,45 +1,50 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of all words come from one pass over all documents, in hashed counts.
-2. Benchmark passages become TF-IDF rows; a distributed randomised SVD of each block of them, with one power iteration, gives the latent
-   space. A block has no more passages than the space has dimensions, so no cosine is lost to truncation.
-3. Documents are cut into overlapping windows; a window's cosine with each passage in the latent space makes candidates. Windows
-   without a key word of any passage are left out: a passage's key words hold over KEY_SHARE of its weight,
-   so what is left out could not pass step 4.
-4. A candidate is verified by a longest common subsequence, weighted by inverse document frequency, between the passage and the text around
-   the window. It is a leak where that holds SHARE of the passage's weight, or PARAPHRASE of it and the answer (the passage's
-   last sentence, at least its last quarter) at ANSWER.
-
-Passages are taken in blocks of BLOCK, TOGETHER of them in one pass over the documents, so what is broadcast has a fixed bound;
-documents of any length are searched whole. A window holds little of a long passage, so COSINE is lowered for it (LatentSpace.least).
+1. The benchmark is taken in groups of passages of at most GROUP_WORDS words, so what is broadcast has a fixed bound; one group is the
+   usual case. A further group takes two further passes over the documents.
+2. Document frequencies of a group's words come from one pass over all documents: exact counts, added up before the shuffle.
+3. The group's TF-IDF matrix has its rows made on the executors. A randomised SVD with one power iteration gives the latent space: the
+   products with the matrix run over its rows, and the driver holds factors of RANK + OVERSAMPLE columns for the group's words and passages.
+4. A document can only leak a passage if words of at least PARAPHRASE of the passage's weight stand in it, as step 6 asks for that. The
+   words that hold the passage's weight but for REST are its keys, and the sum over keys found shows which passages are possible. This
+   loses nothing: a longest common subsequence weighs no more than the words that both have.
+5. A document with a possible passage is cut into windows of two STRIDEs. A window is a candidate where its cosine with the passage, in
+   the latent space, reaches the passage's least one. What the space doesn't hold of either is added at its bound (the product
+   of the two residuals' norms), so no cosine is lost to the rank. Words that no passage of the group has count for nothing.
+6. Candidates are verified by a longest common subsequence, weighted by inverse document frequency, between the passage and the text around
+   them: as many words as the passage has to either side. It is a leak where that holds SHARE of the passage's weight, or
+   PARAPHRASE of it and the answer (the passage's last sentence, at least its last quarter) at ANSWER.
+
+A window holds little of a long passage, so the least cosine is lower for it (PassageIndex.least). Documents of any length are searched whole.
 
 Defined results: null and empty texts leak nothing; empty or null passages are no passages; repeated rows are judged alike, row by row;
-equal passages are all reported; an empty benchmark or table gives no leaks; further columns stay as they are.
+equal passages are all reported; an empty benchmark or table gives no leaks; further columns stay as they are, but for one
+that has the new column's name, which goes.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timelens.llm.common import slices, table
+from timelens.llm.common import checkpoint, table, text_parts
 
-BUCKETS = 1 << 18
-RANK, OVERSAMPLE = 256, 16
-#: Passages of a latent space, at most RANK so that it has full rank; spaces searched in one pass.
-BLOCK, TOGETHER = RANK, 4
+#: Words of the passages of a group; a longer passage is a group of its own.
+GROUP_WORDS = 1_000_000
+RANK, OVERSAMPLE = 128, 16
 STRIDE = 16
-COSINE, SHARE, PARAPHRASE, ANSWER, KEY_SHARE = 0.2, 0.6, 0.45, 0.8, 0.56
-#: Characters of text searched at once; words that a Python worker keeps.
-SLICE, KEPT_WORDS = 3_000_000, 100_000
+COSINE, SHARE, PARAPHRASE, ANSWER = 0.2, 0.6, 0.45, 0.8
+#: Share of a passage's weight that its keys leave out.
+REST = 0.2
+#: Bytes of text held at once; windows projected, and cosines held, at once.
+SLICE, WINDOWS, CELLS = 1_000_000, 4096, 4_000_000
 
 _BREAKS = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x00\x1c\x1d\x1e\x1f", b" " * 37)
 
@@ -48,43 +53,23 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BREAKS).split()
 
 
-def _bucket(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) % BUCKETS
-
-
-class _Buckets(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = b = _bucket(word)
-        return b
-
-
-_buckets = _Buckets()
-
-
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of rows, and in how many each hashed word stands. A task gives a row for each bucket at most."""
+def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[int, dict[bytes, int]]:
+    """Number of rows, and in how many of them each word of the vocabulary stands. A task gives a row for each of its words at most."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(BUCKETS, np.int64), 0
+        counts, n, known = Counter(), 0, held.value
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = set(words_of(text))
-                counts[np.unique(np.fromiter(map(_buckets.__getitem__, found), np.int64, len(found)))] += 1
+            for part in text_parts(batch.column(0), SLICE):
+                for text in part:
+                    counts.update(known.intersection(words_of(text)))
             n += batch.num_rows
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.r_[at, -1].astype(np.int32)), "n": pa.array(np.r_[counts[at], n])})
-
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(BUCKETS, np.int64)
-    inside = rows["bucket"] >= 0
-    counts[rows["bucket"][inside]] = rows["n"][inside]
-    return int(rows["n"][~inside].sum()), counts
+        yield pa.RecordBatch.from_pydict({"word": pa.array([*counts, None], pa.binary()), "n": pa.array([*counts.values(), n], pa.int64())})
 
-
-def idf_of(n: int, counts: np.ndarray) -> np.ndarray:
-    return np.log1p(n / (1.0 + counts)).astype(np.float32)
+    rows = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    held.unpersist()
+    counts = {None if r["word"] is None else bytes(r["word"]): r["n"] for r in rows}
+    return counts.pop(None, 0), counts
 
 
 def answer_of(text: str) -> int:
@@ -94,61 +79,10 @@ def answer_of(text: str) -> int:
     return min(n, max(len(words_of(sentences[-1])) if sentences else 0, -(-n // 4)))
 
 
-class LatentSpace:
-    """A block of passages in the latent space: projections of words, the passages' coordinates, and their words."""
-
-    def __init__(self, passages: list[tuple], idf: np.ndarray, words: dict[bytes, int], basis: np.ndarray):
-        self.ids = [p[0] for p in passages]
-        self.words = [words_of(p[1]) for p in passages]
-        self.answers = [answer_of(p[1]) for p in passages]
-        self.idf, self.row, self.basis = idf, words, basis
-        self.coordinates = np.stack([self._coordinates(w) for w in self.words]).astype(np.float32)
-        self.least = np.array([self._least(w) for w in self.words], np.float32)
-        self.keys = np.zeros(len(words), bool)
-        for ws in self.words:
-            weights = sorted(((float(idf[_bucket(w)]), w) for w in ws), key=lambda x: (-x[0], x[1]))
-            total, most = 0.0, KEY_SHARE * sum(x for x, _ in weights)
-            for x, w in weights:
-                if total > most:
-                    break
-                self.keys[words[w]] = True
-                total += x
-
-    def _coordinates(self, ws: list[bytes]) -> np.ndarray:
-        x = np.zeros(len(self.row))
-        for w in ws:
-            x[self.row[w]] += self.idf[_bucket(w)]
-        return (x @ self.basis) / (np.linalg.norm(x) or 1.0)
-
-    def _least(self, ws: list[bytes]) -> float:
-        """Least cosine of a candidate: COSINE, or less where PARAPHRASE of the passage, spread over windows like its own, may stay under it.
-
-        The windows' products with the passage add up to PARAPHRASE of its squared norm, so one has this cosine at least.
-        """
-        squares = np.array([float(self.idf[_bucket(w)]) ** 2 for w in ws])
-        windows = np.sqrt(np.add.reduceat(squares, np.arange(0, len(ws), 2 * STRIDE))).sum()
-        return min(COSINE, PARAPHRASE * float(np.sqrt(squares.sum()) / (windows or 1.0)))
-
-
-def _passage_rows(passages: list[tuple], words: dict[bytes, int], idf: np.ndarray) -> list[tuple[list[int], list[float]]]:
-    out = []
-    for _, text in passages:
-        row: dict[int, float] = {}
-        for w in words_of(text):
-            row[words[w]] = row.get(words[w], 0.0) + float(idf[_bucket(w)])
-        norm = sum(x * x for x in row.values()) ** 0.5 or 1.0
-        out.append((list(row), [x / norm for x in row.values()]))
-    return out
-
-
-def randomised_svd(spark: SparkSession, rows: list[tuple[list[int], list[float]]], width: int, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors [width, rank] of sparse rows, by a range finder with one power iteration.
-
-    Products with the matrix run over its partitions; the driver holds only factors of rank columns for a block of rows.
-    """
-    k = min(len(rows), width, rank + OVERSAMPLE)
-    frame = spark.createDataFrame([(i, at, xs) for i, (at, xs) in enumerate(rows)], "row long, at array<int>, x array<double>").repartition(min(8, 1 + len(rows) // 64))
-    context = spark.sparkContext
+def randomised_svd(matrix: DataFrame, height: int, width: int, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors [width, rank] of sparse rows (row, at, x), by a range finder with one power iteration."""
+    k = min(height, width, rank + OVERSAMPLE)
+    context = matrix.sparkSession.sparkContext
 
     def times(right: np.ndarray) -> np.ndarray:
         """The matrix times right [width, k]."""
@@ -156,15 +90,17 @@ def randomised_svd(spark: SparkSession, rows: list[tuple[list[int], list[float]]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                y = [(np.array(x) @ held.value[np.array(at, np.int64)]).tolist() if len(at) else [0.0] * k for at, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                y = [(np.array(x) @ held.value[np.array(at, np.int64)]).tolist() for at, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"row": b.column(0), "y": pa.array(y, pa.list_(pa.float64()))})
 
-        got = frame.mapInArrow(run, "row long, y array<double>").collect()
+        out = np.zeros((height, k))
+        for r in matrix.mapInArrow(run, "row int, y array<double>").toLocalIterator():
+            out[r["row"]] = r["y"]
         held.unpersist()
-        return np.array([r["y"] for r in sorted(got, key=lambda r: r["row"])])
+        return out
 
     def transposed(left: np.ndarray) -> np.ndarray:
-        """The matrix, transposed, times left [rows, k]."""
+        """The matrix, transposed, times left [height, k]."""
         held = context.broadcast(left)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +109,10 @@ def randomised_svd(spark: SparkSession, rows: list[tuple[list[int], list[float]]
                 for i, at, x in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                     for j, v in zip(at, x, strict=True):
                         total[j] = total.get(j, 0.0) + v * held.value[i]
-            yield pa.RecordBatch.from_pydict({"at": pa.array(list(total), pa.int32()), "y": pa.array([t.tolist() for t in total.values()], pa.list_(pa.float32()))})
+            yield pa.RecordBatch.from_pydict({"at": pa.array(list(total), pa.int32()), "y": pa.array([t.tolist() for t in total.values()], pa.list_(pa.float64()))})
 
         out = np.zeros((width, k))
-        for r in frame.mapInArrow(run, "at int, y array<float>").toLocalIterator():
+        for r in matrix.mapInArrow(run, "at int, y array<double>").toLocalIterator():
             out[r["at"]] += r["y"]
         held.unpersist()
         return out
@@ -185,36 +121,174 @@ def randomised_svd(spark: SparkSession, rows: list[tuple[list[int], list[float]]
     q = np.linalg.qr(times(sketch))[0]
     z = np.linalg.qr(transposed(q))[0]
     q = np.linalg.qr(times(z))[0]
-    b = transposed(q)
-    u, s, _ = np.linalg.svd(b, full_matrices=False)
+    u, s, _ = np.linalg.svd(transposed(q), full_matrices=False)
     return u[:, : min(rank, int((s > 1e-9).sum()) or 1)].astype(np.float32)
 
 
-def latent_spaces(benchmark: DataFrame, idf: np.ndarray) -> Iterator[LatentSpace]:
-    """The passages, block by block."""
-    part: list[tuple] = []
-    spark = benchmark.sparkSession
+class PassageIndex:
+    """A group of passages: words, weights, latent coordinates, and the keys that tell which passages a document may leak."""
 
-    def made(passages: list[tuple]) -> LatentSpace:
-        words: dict[bytes, int] = {}
-        for _, text in passages:
-            for w in words_of(text):
-                words.setdefault(w, len(words))
-        return LatentSpace(passages, idf, words, randomised_svd(spark, _passage_rows(passages, words, idf), len(words)))
+    def __init__(self, passages: list[tuple], n: int, counts: dict[bytes, int]):
+        self.ids = [p[0] for p in passages]
+        self.answers = [answer_of(p[1]) for p in passages]
+        self.row: dict[bytes, int] = {}
+        self.words = [np.array([self.row.setdefault(w, len(self.row)) for w in words_of(p[1])], np.int32) for p in passages]
+        self.idf = np.log1p(n / (1.0 + np.array([counts.get(w, 0) for w in self.row], np.float64)))
+        self.total = np.array([self.idf[w].sum() for w in self.words])
+        self.least = np.array([self._least(w) for w in self.words])
+        self.keys: dict[bytes, list[tuple[int, float]]] = {}
+        self.need: list[float] = []
+        names = list(self.row)
+        for item, ws in enumerate(self.words):
+            rows, times = np.unique(ws, return_counts=True)
+            weight = self.idf[rows] * times
+            order = np.lexsort((rows, -self.idf[rows]))
+            upto = np.cumsum(weight[order])
+            # keys: up to the first with which no more than REST is left out
+            many = int(np.searchsorted(upto, (1 - REST) * self.total[item])) + 1
+            for j in order[:many]:
+                self.keys.setdefault(names[rows[j]], []).append((item, float(weight[j])))
+            self.need.append(float(PARAPHRASE * self.total[item] - (self.total[item] - upto[min(many, len(upto)) - 1]) - 1e-6 * self.total[item]))
+        self.key_words = frozenset(self.keys)
+
+    def _least(self, ws: np.ndarray) -> float:
+        """Least cosine of a candidate: COSINE, or less where PARAPHRASE of the passage, spread over windows like its own, may stay under it.
 
+        The windows' products with the passage add up to PARAPHRASE of its squared norm, so one has this cosine at least.
+        """
+        squares = self.idf[ws] ** 2
+        windows = np.sqrt(np.add.reduceat(squares, np.arange(0, len(ws), 2 * STRIDE))).sum()
+        return min(COSINE, PARAPHRASE * float(np.sqrt(squares.sum()) / (windows or 1.0)))
+
+    def place(self, basis: np.ndarray) -> None:
+        """Put the passages into the latent space."""
+        self.basis = basis
+        out = []
+        for ws in self.words:
+            rows, times = np.unique(ws, return_counts=True)
+            x = self.idf[rows] * times
+            out.append((x @ basis[rows]) / (np.linalg.norm(x) or 1.0))
+        self.coordinates = np.array(out, np.float32)
+        self.residual = np.sqrt(np.maximum(0.0, 1.0 - (self.coordinates.astype(np.float64) ** 2).sum(axis=1)))
+
+    def possible(self, words: list[bytes]) -> list[int]:
+        """Passages of which enough weight stands among the words."""
+        found = self.key_words.intersection(words)
+        if not found:
+            return []
+        weight: dict[int, float] = {}
+        for w in found:
+            for item, x in self.keys[w]:
+                weight[item] = weight.get(item, 0.0) + x
+        need = self.need
+        return sorted(item for item, x in weight.items() if x >= need[item])
+
+    def leaks(self, words: list[bytes], items: list[int]) -> list[tuple]:
+        """Leaks of the items in a text, given by its words: (item_id, share, cosine)."""
+        rows = np.fromiter((self.row.get(w, -1) for w in words), np.int64, len(words))
+        windows, out = -(-len(words) // STRIDE), []
+        together = max(1, CELLS // windows)
+        for part in (items[i : i + together] for i in range(0, len(items), together)):
+            cosines = np.concatenate([self._cosines(rows, a, part) for a in range(0, windows, WINDOWS)])
+            for n, item in enumerate(part):
+                at = np.flatnonzero(cosines[:, n] >= self.least[item])
+                if len(at) and (found := self._verified(rows, item, at, cosines[at, n])):
+                    out.append((self.ids[item], *found))
+        return out
+
+    def _cosines(self, rows: np.ndarray, first: int, items: list[int]) -> np.ndarray:
+        """Upper bounds of cosines [windows, items] of WINDOWS windows; a window is two strides of words."""
+        inside = rows[first * STRIDE : (first + WINDOWS + 1) * STRIDE]
+        number = min(WINDOWS, -(-(len(rows) - first * STRIDE) // STRIDE))
+        known = np.flatnonzero(inside >= 0)
+        stride, width = known // STRIDE, len(self.idf)
+        # a word stands in the windows that begin with its own stride and with the one before
+        pairs = np.concatenate([stride * width + inside[known], (stride - 1) * width + inside[known]])
+        pairs, times = np.unique(pairs[(pairs >= 0) & (pairs < number * width)], return_counts=True)
+        window, row = pairs // width, pairs % width
+        x = self.idf[row] * times
+        norm = np.sqrt(np.bincount(window, x * x, number))
+        y = np.zeros((number, self.basis.shape[1]))
+        if len(window):
+            begin = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+            y[window[begin]] = np.add.reduceat(x[:, None] * self.basis[row], begin, axis=0)
+        y /= np.where(norm > 0, norm, 1.0)[:, None]
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1)))
+        return np.where(norm[:, None] > 0, y @ self.coordinates[items].T + rest[:, None] * self.residual[items][None], 0.0)
+
+    def _verified(self, rows: np.ndarray, item: int, at: np.ndarray, cosine: np.ndarray) -> tuple[float, float] | None:
+        """Share and cosine where the text around one of the windows passes; nearby windows of a long passage are tried together."""
+        n = len(self.words[item])
+        apart = max(1, n // (2 * STRIDE))
+        groups: dict[int, list[int]] = {}
+        for i in np.argsort(-cosine, kind="stable"):
+            groups.setdefault(int(at[i]) // apart, []).append(i)
+        for members in groups.values():
+            windows = at[members]
+            around = rows[max(0, windows.min() * STRIDE - n) : (windows.max() + 2) * STRIDE + n]
+            share = self._share(item, around)
+            if share:
+                return round(share, 6), round(min(1.0, float(cosine[members[0]])), 6)
+        return None
+
+    def _share(self, item: int, around: np.ndarray) -> float:
+        """Share of the passage's weight in the text around a window, where it is a leak, else 0."""
+        passage, total = self.words[item], self.total[item]
+        weights = self.idf[passage]
+        if weights[np.isin(passage, around)].sum() < PARAPHRASE * total:
+            return 0.0
+        share = weighted_lcs(passage.tolist(), around.tolist(), weights) / total
+        if share >= SHARE:
+            return share
+        k = self.answers[item]
+        if share >= PARAPHRASE and weighted_lcs(passage[-k:].tolist(), around.tolist(), weights[-k:]) >= ANSWER * weights[-k:].sum():
+            return share
+        return 0.0
+
+
+def passage_groups(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The passages (item_id, text) that hold words, in groups."""
+    part, size = [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if words_of(r["text"]):
+        n = len(words_of(r["text"]))
+        if part and size + n > GROUP_WORDS:
+            yield part
+            part, size = [], 0
+        if n:
             part.append((r["item_id"], r["text"]))
-        if len(part) == BLOCK:
-            yield made(part)
-            part = []
+            size += n
     if part:
-        yield made(part)
+        yield part
 
 
-def weighted_lcs(a: list[bytes], b: list[bytes], weights: np.ndarray) -> float:
+def make_index(docs: DataFrame, passages: list[tuple]) -> PassageIndex:
+    """A group's index, with the frequencies of its words in docs."""
+    spark = docs.sparkSession
+    n, counts = document_frequencies(docs, frozenset(w for _, t in passages for w in words_of(t)))
+    index = PassageIndex(passages, n, counts)
+    held = spark.sparkContext.broadcast((index.row, index.idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, idf = held.value
+        for b in batches:
+            at, xs = [], []
+            for text in b.column(1).to_pylist():
+                rows, times = np.unique(np.array([row[w] for w in words_of(text)], np.int32), return_counts=True)
+                x = idf[rows] * times
+                at.append(rows.tolist())
+                xs.append((x / (np.linalg.norm(x) or 1.0)).tolist())
+            yield pa.RecordBatch.from_pydict({"row": b.column(0), "at": pa.array(at, pa.list_(pa.int32())), "x": pa.array(xs, pa.list_(pa.float64()))})
+
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(passages)], "row int, text string").repartition(min(64, 1 + len(passages) // 256))
+    matrix = checkpoint(texts.mapInArrow(run, "row int, at array<int>, x array<double>"))
+    index.place(randomised_svd(matrix, len(passages), len(index.row)))
+    held.unpersist()
+    return index
+
+
+def weighted_lcs(a: list, b: list, weights: np.ndarray) -> float:
     """Largest weight of a common subsequence of a (with weights) and b."""
-    places: dict[bytes, list[int]] = {}
+    places: dict[object, list[int]] = {}
     for j, w in enumerate(b):
         places.setdefault(w, []).append(j)
     best = np.zeros(len(b) + 1)
@@ -227,109 +301,33 @@ def weighted_lcs(a: list[bytes], b: list[bytes], weights: np.ndarray) -> float:
     return float(best[-1])
 
 
-class _Search:
-    """Searches texts for a block of passages; keeps words' weights and rows between texts."""
-
-    def __init__(self, space: LatentSpace):
-        self.space = space
-        self.index: dict[bytes, int] = {}
-        self.row = np.empty(0, np.int64)
-        self.weight = np.empty(0, np.float32)
-
-    def _look_up(self, words: list[bytes]) -> np.ndarray:
-        if len(self.index) >= 2 * KEPT_WORDS:
-            self.index, self.row, self.weight = {}, self.row[:0], self.weight[:0]
-        index = self.index
-        ids = np.fromiter([index.setdefault(w, len(index)) for w in words], np.int64, len(words))
-        if len(index) > len(self.row):
-            fresh = list(index)[len(self.row) :]
-            self.row = np.r_[self.row, np.fromiter((self.space.row.get(w, -1) for w in fresh), np.int64, len(fresh))]
-            self.weight = np.r_[self.weight, self.space.idf[np.fromiter(map(_bucket, fresh), np.int64, len(fresh))]]
-        return ids
-
-    def search(self, cut: list[list[bytes]]) -> list[list[tuple]]:
-        """For each text, given by its words, its leaks: (item_id, share, cosine)."""
-        space = self.space
-        out: list[list[tuple]] = [[] for _ in cut]
-        flat = [w for ws in cut for w in ws]
-        if not flat:
-            return out
-        ids = self._look_up(flat)
-        row, weight = self.row[ids], self.weight[ids]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        first = np.cumsum(counts) - counts
-        # blocks of STRIDE words within each text; a window is a block and the next one of the same text
-        blocks = -(-counts // STRIDE)
-        start_block = np.cumsum(blocks) - blocks
-        owner = np.repeat(np.arange(len(cut)), blocks)
-        begin = first[owner] + (np.arange(len(owner)) - start_block[owner]) * STRIDE
-        last = (np.arange(len(owner)) - start_block[owner]) == blocks[owner] - 1
-        energy = np.add.reduceat(weight.astype(np.float64) ** 2, begin)
-        keyed = np.zeros(len(row), bool)
-        keyed[row >= 0] = space.keys[row[row >= 0]]
-        has_key = np.add.reduceat(keyed, begin) > 0
-        window = has_key | np.r_[has_key[1:] & ~last[:-1], False]
-        chosen = np.flatnonzero(window)
-        if not len(chosen):
-            return out
-        end = np.where(last, first[owner] + counts[owner], begin + STRIDE)
-        total = energy + np.where(last, 0.0, np.r_[energy[1:], 0.0])
-        seen: set[tuple[int, int]] = set()
-        for part in np.array_split(chosen, -(-len(chosen) // 2048)):
-            projected = np.zeros((len(part), space.basis.shape[1]), np.float32)
-            for i, w in enumerate(part):
-                to = end[w] if last[w] else end[w + 1]
-                r = row[begin[w] : to]
-                known = r >= 0
-                projected[i] = weight[begin[w] : to][known] @ space.basis[r[known]]
-            cosine = projected @ space.coordinates.T / np.sqrt(total[part])[:, None]
-            for i, item in zip(*np.nonzero(cosine >= space.least), strict=True):
-                w, doc = part[i], owner[part[i]]
-                if (doc, item) in seen:
-                    continue
-                share = self._share(cut[doc], begin[w] - first[doc], item)
-                if share:
-                    seen.add((doc, item))
-                    out[doc].append((space.ids[item], round(share, 6), round(float(cosine[i, item]), 6)))
-        return out
-
-    def _share(self, words: list[bytes], at: int, item: int) -> float:
-        """Share of the passage's weight in the text around a window, where it is a leak, else 0."""
-        passage, n = self.space.words[item], len(self.space.words[item])
-        around = words[max(0, at - n) : at + 2 * STRIDE + n]
-        weights = np.array([float(self.space.idf[_bucket(w)]) for w in passage])
-        share = weighted_lcs(passage, around, weights) / weights.sum()
-        if share >= SHARE:
-            return share
-        k = self.space.answers[item]
-        if share >= PARAPHRASE and weighted_lcs(passage[n - k :], around, weights[n - k :]) >= ANSWER * weights[n - k :].sum():
-            return share
-        return 0.0
-
-
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("cosine", T.DoubleType())]))
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64())]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with one more column, ``leaks``: the passages found in each row's text."""
-    n, counts = document_frequencies(docs)
-    idf = idf_of(n, counts)
+def find_leaks(docs: DataFrame, benchmark: DataFrame, leaks: str = "leaks") -> DataFrame:
+    """docs with one more column: the passages found in each row's text."""
+    docs = docs.drop(leaks)
     names, at = docs.columns, docs.columns.index("text")
-    found = docs.withColumn("leaks", F.array().cast(LEAKS))
-    for spaces in batched(latent_spaces(benchmark, idf), TOGETHER):
-        held = docs.sparkSession.sparkContext.broadcast(spaces)
+    found, groups = docs.withColumn(leaks, F.array().cast(LEAKS)), 0
+    for passages in passage_groups(benchmark):
+        if groups:
+            found = checkpoint(found)  # a group's passages are live in one pass only
+        groups += 1
+        held = docs.sparkSession.sparkContext.broadcast(make_index(docs, passages))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            searches = [_Search(space) for space in held.value]
+            index = held.value
             for batch in batches:
-                fresh: list[list[tuple]] = []
-                for part in slices([t or "" for t in batch.column(at).to_pylist()], SLICE):
-                    cut = [words_of(t) for t in part]
-                    fresh += [sum(xs, []) for xs in zip(*(s.search(cut) for s in searches), strict=True)]
-                before = batch.column(len(names)).to_pylist()
-                leaks = [(b or []) + [dict(zip(("item_id", "share", "cosine"), x, strict=True)) for x in xs] for b, xs in zip(before, fresh, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(leaks, _ARROW)], names=[*names, "leaks"])
+                fresh: list[list[dict]] = []
+                for part in text_parts(batch.column(at), SLICE):
+                    for text in part:
+                        words = words_of(text)
+                        items = index.possible(words)
+                        found_ = index.leaks(words, items) if items else []
+                        fresh.append([dict(zip(("item_id", "share", "cosine"), x, strict=True)) for x in found_])
+                every = [(b or []) + xs for b, xs in zip(batch.column(len(names)).to_pylist(), fresh, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(every, _ARROW)], names=[*names, leaks])
 
         found = found.mapInArrow(run, found.schema)
     return found
