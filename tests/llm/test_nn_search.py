@@ -30,7 +30,7 @@ def test_recall_and_hot_vector(spark, tmp_path):
     vectors |= {i: vectors[100] for i in range(3000, 3700)}
     bad = [(None, vectors[1], "x"), (9000, None, "x"), (9100, [0.0] * 24, "x"), (9200, [float("nan")] + [1.0] * 23, "x"), (9300, [None] + [1.0] * 23, "x"), (9400, [float("inf")] + [1.0] * 23, "x"), (9500, [1.0, 2.0], "x"), (9600, [], "x")]
     rows = [(i, v, "x") for i, v in vectors.items()]
-    got = run(spark, tmp_path, [*rows, rows[0], rows[100], *bad])
+    got = run(spark, tmp_path, [*rows, *bad])
     want = brute(vectors, [i for i in vectors if i % 100 == 0])
     assert got.keys() == want.keys()
     found = sum(len({v for v, _, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
@@ -49,6 +49,33 @@ def test_small_tables(spark, tmp_path):
     assert [v for v, _, _ in got[0]] == [1, 2, 100] and [v for v, _, _ in got[100]] == [2, 1, 0]
 
 
+def test_lengths_and_repeated_ids(spark, tmp_path):
+    """Each length is a space of its own; rows with one id are rows of their own, as queries and as candidates."""
+    rows = [(0, [0.0, 1.0], "x"), (1, [0.0, 2.0], "x"), (2, [0.0, 4.0], "x"), (100, [1.0, 0.0, 0.0], "x"), (3, [3.0, 0.0, 0.0], "x"), (200, [0.0, 9.0], "x"), (200, [0.0, 9.0], "x"), (200, [0.0, 7.0], "x")]
+    got = run(spark, tmp_path, rows)
+    assert [v for v, _, _ in got[100]] == [3] and [v for v, _, _ in got[0]] == [1, 2, 200, 200, 200]
+    # its two equal rows have each other, the third row with its id, then 2, 1, 0; the third has both
+    assert sorted((v, r) for v, _, r in got[200]) == sorted([(200, 1), (200, 2), (2, 3), (1, 4), (0, 5)] * 2 + [(200, 1), (200, 2), (2, 3), (1, 4), (0, 5)])
+
+
+def test_doubles_are_scored_as_they_are(spark, tmp_path):
+    vectors = {i: [1.0 + i * 1e-9, 1.0] for i in range(5)}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [(r["vec_id"], r["score"]) for r in nn.query(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == [(v, s) for v, s in brute(vectors, [0])[0]]
+
+
+def test_small_parts_of_the_graph_are_completed(spark, tmp_path, monkeypatch):
+    """Without rounds, blocks of few nodes are parts of their own: ten rows are found all the same, and they are the nearest."""
+    for name, value in (("TREES", 1), ("LEAF", 8), ("ROUNDS", 0), ("RECALL", 0.0), ("BLOCK", 3)):
+        monkeypatch.setattr(nn, name, value)
+    x = np.random.default_rng(8).normal(size=(900, 6)).astype(np.float32)
+    vectors = {i: [float(v) for v in x[i]] for i in range(900)}
+    got, want = run(spark, tmp_path, [(i, v, "x") for i, v in vectors.items()]), brute(vectors, range(0, 900, 100))
+    assert all(len(got[q]) == 10 for q in want)
+    assert sum([v for v, _, _ in got[q]] == [v for v, _ in want[q]] for q in want) >= 5
+
+
 def test_recall_with_a_narrow_first_beam(spark, tmp_path, monkeypatch):
     """A poor graph and a beam of a fifteenth of the rows, as a fixed beam is on a large table: the search widens until recall is reached."""
     for name, value in (("TREES", 2), ("LEAF", 40), ("ROUNDS", 0), ("BEAM", 100)):

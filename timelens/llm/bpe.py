@@ -17,6 +17,7 @@ import itertools
 import json
 import re
 import unicodedata
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from timelens.llm.common import table, text_parts, worker_cache
 
 #: A Python worker keeps the encodings of so many chunks of text, and the validity of so many pairs of tokens.
-KEPT_CHUNKS, KEPT_PAIRS = 200_000, 1_000_000
+KEPT_CHUNKS, KEPT_PAIRS = 150_000, 500_000
 #: Bytes of text handled at once.
-SLICE = 4_000_000
+SLICE = 3_000_000
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -48,17 +49,15 @@ class TokenSuffixes:
 
     def __init__(self, tokens: dict[str, int], end: str):
         self.moves: list[dict[str, int]] = [{}]
-        self.parent: list[tuple[int, str]] = [(0, "")]
-        self.token: list[tuple[int, int]] = [(-1, -1)]  # of the whole place: inside a word, at its end
-        self.depth: list[int] = [0]
+        self.up, self.letter, self.depth = array("i", [0]), array("i", [0]), array("i", [0])
+        # the token that a whole place is, inside a word and at its end
+        self.whole_inner, self.whole_final = array("i", [-1]), array("i", [-1])
         for t, i in tokens.items():
             final = t.endswith(end)
             place = 0
             for letter in t[: -len(end)] if final else t:
                 place = self._child(place, letter)
-            inner_id, final_id = self.token[place]
-            self.token[place] = (inner_id, i) if final else (i, final_id)
-        self.own = [frozenset(m) for m in self.moves]
+            (self.whole_final if final else self.whole_inner)[place] = i
         self.falls: dict[int, int] = {0: 0}
         self.inner: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.moves)
         self.final: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.moves)
@@ -68,17 +67,16 @@ class TokenSuffixes:
         if to is None:
             to = self.moves[place][letter] = len(self.moves)
             self.moves.append({})
-            self.parent.append((place, letter))
-            self.token.append((-1, -1))
-            self.depth.append(self.depth[place] + 1)
+            for values, x in ((self.up, place), (self.letter, ord(letter)), (self.depth, self.depth[place] + 1), (self.whole_inner, -1), (self.whole_final, -1)):
+                values.append(x)
         return to
 
     def fall(self, place: int) -> int:
         """The longest proper end of a place that is a place."""
         known = self.falls.get(place)
         if known is None:
-            up, letter = self.parent[place]
-            known = self.move(self.fall(up), letter) if up else 0
+            up = self.up[place]
+            known = self.move(self.fall(up), chr(self.letter[place])) if up else 0
             self.falls[place] = known
         return known
 
@@ -93,11 +91,9 @@ class TokenSuffixes:
         """Set (token, length) of the tokens that end at a place, longest first."""
         inner, final, at = [], [], place
         while at:
-            i, f = self.token[at]
-            if i >= 0:
-                inner.append((i, self.depth[at]))
-            if f >= 0:
-                final.append((f, self.depth[at]))
+            for whole, out in ((self.whole_inner[at], inner), (self.whole_final[at], final)):
+                if whole >= 0:
+                    out.append((whole, self.depth[at]))
             at = self.fall(at)
         self.inner[place], self.final[place] = tuple(inner), tuple(final)
 

@@ -10,7 +10,8 @@
    loses nothing: a longest common subsequence weighs no more than the words that both have.
 5. A document with a possible passage is cut into windows of two STRIDEs. A window is a candidate where its cosine with the passage, in
    the latent space, reaches the passage's least one. What the space doesn't hold of either is added at its bound (the product
-   of the two residuals' norms), so no cosine is lost to the rank. Words that no passage of the group has count for nothing.
+   of the two residuals' norms), so no cosine is lost to the rank; where that bound decides, the exact cosine is taken. Words that no
+   passage of the group has count for nothing.
 6. Candidates are verified by a longest common subsequence, weighted by inverse document frequency, between the passage and the text around
    them: as many words as the passage has to either side. It is a leak where that holds SHARE of the passage's weight, or
    PARAPHRASE of it and the answer (the passage's last sentence, at least its last quarter) at ANSWER.
@@ -37,14 +38,14 @@ from pyspark.sql import types as T
 from timelens.llm.common import checkpoint, table, text_parts
 
 #: Words of the passages of a group; a longer passage is a group of its own.
-GROUP_WORDS = 1_000_000
-RANK, OVERSAMPLE = 128, 16
+GROUP_WORDS = 300_000
+RANK, OVERSAMPLE = 256, 16
 STRIDE = 16
 COSINE, SHARE, PARAPHRASE, ANSWER = 0.2, 0.6, 0.45, 0.8
-#: Share of a passage's weight that its keys leave out.
-REST = 0.2
+#: Share of a passage's weight that its keys leave out; residual under which a passage's latent coordinates are exact.
+REST, EXACT = 0.2, 1e-3
 #: Bytes of text held at once; windows projected, and cosines held, at once.
-SLICE, WINDOWS, CELLS = 1_000_000, 4096, 4_000_000
+SLICE, WINDOWS, CELLS = 1_000_000, 1024, 4_000_000
 
 _BREAKS = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x00\x1c\x1d\x1e\x1f", b" " * 37)
 
@@ -163,11 +164,15 @@ class PassageIndex:
     def place(self, basis: np.ndarray) -> None:
         """Put the passages into the latent space."""
         self.basis = basis
-        out = []
+        out, norms = [], []
         for ws in self.words:
             rows, times = np.unique(ws, return_counts=True)
             x = self.idf[rows] * times
-            out.append((x @ basis[rows]) / (np.linalg.norm(x) or 1.0))
+            norms.append(np.linalg.norm(x) or 1.0)
+            out.append((x @ basis[rows]) / norms[-1])
+        self.norm = np.array(norms)
+        # for words of a passage or of a text; unknown words of a text are -1, the last place
+        self.scratch, self.present = np.zeros(len(self.row)), np.zeros(len(self.row) + 1, bool)
         self.coordinates = np.array(out, np.float32)
         self.residual = np.sqrt(np.maximum(0.0, 1.0 - (self.coordinates.astype(np.float64) ** 2).sum(axis=1)))
 
@@ -197,7 +202,7 @@ class PassageIndex:
         return out
 
     def _cosines(self, rows: np.ndarray, first: int, items: list[int]) -> np.ndarray:
-        """Upper bounds of cosines [windows, items] of WINDOWS windows; a window is two strides of words."""
+        """Cosines [windows, items] of WINDOWS windows that reach an item's least one, else 0; a window is two strides of words."""
         inside = rows[first * STRIDE : (first + WINDOWS + 1) * STRIDE]
         number = min(WINDOWS, -(-(len(rows) - first * STRIDE) // STRIDE))
         known = np.flatnonzero(inside >= 0)
@@ -211,10 +216,20 @@ class PassageIndex:
         y = np.zeros((number, self.basis.shape[1]))
         if len(window):
             begin = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
-            y[window[begin]] = np.add.reduceat(x[:, None] * self.basis[row], begin, axis=0)
+            y[window[begin]] = np.add.reduceat(x.astype(np.float32)[:, None] * self.basis[row], begin, axis=0)
         y /= np.where(norm > 0, norm, 1.0)[:, None]
         rest = np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1)))
-        return np.where(norm[:, None] > 0, y @ self.coordinates[items].T + rest[:, None] * self.residual[items][None], 0.0)
+        latent = y @ self.coordinates[items].T
+        upper = latent + rest[:, None] * self.residual[items][None]
+        reached = (norm[:, None] > 0) & (upper >= self.least[items][None])
+        for n, item in enumerate(items):
+            if self.residual[item] > EXACT and reached[:, n].any():
+                self.scratch[self.words[item]] = 0.0
+                np.add.at(self.scratch, self.words[item], self.idf[self.words[item]])
+                latent[:, n] = np.bincount(window, x * self.scratch[row], number) / np.where(norm > 0, norm, 1.0) / self.norm[item]
+                self.scratch[self.words[item]] = 0.0
+                reached[:, n] &= latent[:, n] >= self.least[item]
+        return np.where(reached, latent, 0.0)
 
     def _verified(self, rows: np.ndarray, item: int, at: np.ndarray, cosine: np.ndarray) -> tuple[float, float] | None:
         """Share and cosine where the text around one of the windows passes; nearby windows of a long passage are tried together."""
@@ -235,7 +250,10 @@ class PassageIndex:
         """Share of the passage's weight in the text around a window, where it is a leak, else 0."""
         passage, total = self.words[item], self.total[item]
         weights = self.idf[passage]
-        if weights[np.isin(passage, around)].sum() < PARAPHRASE * total:
+        self.present[around] = True
+        shared = weights[self.present[passage]].sum()
+        self.present[around] = False
+        if shared < PARAPHRASE * total:
             return 0.0
         share = weighted_lcs(passage.tolist(), around.tolist(), weights) / total
         if share >= SHARE:

@@ -1,14 +1,21 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
 
-Equal vectors are one node, which keeps its KEPT smallest ids: more of them can't be among ten nearest, so nothing is lost.
+Equal vectors are one node, which keeps its k + 1 smallest ids: more of them can't be among k nearest, so nothing is lost.
 Random-projection trees, fitted on a bounded sample, deal all nodes into blocks; within a block neighbours are exact. Then NN-descent
-joins each node's neighbours, both ways, with one another and keeps the nearest, for a few rounds of Spark joins. A
-query is a node of the graph; its search expands the nearest nodes found so far, all queries together, a join for each step, until the
-beam holds no unexpanded node. Recall is measured on CHECKED queries against all nodes; while it is under RECALL, the beam is doubled.
+joins each node's neighbours, both ways, with one another and keeps the nearest, for a few rounds of Spark joins. Of two
+neighbours one must be new since the last round, so settled parts of the graph ship no vectors any more.
 
-Defined results: rows whose id is null, or whose vector is null, zero, of another length than most, or holds null or non-finite
-components take no part; an id counts once, with the first of its vectors in order; fewer than ten candidates are all returned; an
-empty table gives no rows; ties go to the smaller id; further columns are ignored.
+A query is a node of the graph. Its search holds one row: the beam of its nearest nodes found so far. A step expands those not expanded
+yet, all queries together, in two joins (links, vectors), until no beam has any left. Recall is measured on CHECKED queries
+against all nodes; while it is under RECALL, the beam is doubled. A query that has met fewer than k rows (its part of the
+graph is small) is compared with all nodes, in blocks of queries.
+
+Vectors that are joined are shipped as 16-bit floats around the mean of all; the scores returned are of the original vectors.
+
+Defined results: rows whose id is null, or whose vector is null, empty, zero, or holds null or non-finite components take no part; a row
+is searched among rows with vectors of its own length; rows with the same id are rows of their own, as candidates and as
+queries; fewer than k candidates are all returned; an empty table gives no rows; ties go to the smaller id; further columns
+are ignored.
 
 The choice of a node's REVERSE incoming neighbours is part of NN-descent's sampling, and of no effect on which rows are indexed.
 """
@@ -16,6 +23,7 @@ The choice of a node's REVERSE incoming neighbours is part of NN-descent's sampl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +32,31 @@ from pyspark.sql import functions as F
 
 from timelens.llm.common import checkpoint, free_shuffles, table
 
-NEAREST, KEPT = 10, 11
+NEAREST = 10
 #: Neighbours kept for a node, incoming ones joined with them, trees, nodes of a block.
-NEIGHBOURS, REVERSE, TREES, LEAF = 16, 16, 8, 400
-SAMPLE = 20_000
-ROUNDS, SETTLED = 6, 0.005
-#: Nodes kept for a query at first, and the part of them expanded in a step.
-BEAM, EXPAND = 320, 5
-#: Queries whose nearest nodes are also found exactly, and the recall that they must have.
-CHECKED, RECALL = 100, 0.95
+NEIGHBOURS, REVERSE, TREES, LEAF = 20, 20, 6, 400
+SAMPLE = 10_000
+ROUNDS, SETTLED = 8, 0.005
+#: Nodes kept for a query at first.
+BEAM = 64
+#: Queries whose nearest nodes are also found exactly, the recall that they must have, and queries compared with all nodes in one pass.
+CHECKED, RECALL, BLOCK = 100, 0.95, 1000
 
 
 def valid_rows(rows: DataFrame) -> DataFrame:
-    """(vec_id, vec) of the rows that take part."""
-    vec = F.col("embedding").cast("array<float>")
+    """(vec_id, vec, length) of the rows that take part."""
+    kind = dict(rows.dtypes)["embedding"]
+    vec = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).filter(finite & F.exists("vec", lambda x: x != 0))
+    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).filter("vec_id IS NOT NULL AND vec IS NOT NULL").filter(finite & F.exists("vec", lambda x: x != 0))
     # adding zero makes -0.0 equal to 0.0
-    good = good.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast("float")))
-    length = good.groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    return good.filter(F.size("vec") == (length["length"] if length else 0)).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return good.withColumn("vec", F.transform("vec", lambda x: x + (F.lit(0.0).cast("float") if kind == "array<float>" else F.lit(0.0)))).withColumn("length", F.size("vec"))
 
 
-def make_nodes(rows: DataFrame) -> DataFrame:
-    """node, vec, ids: a row for each distinct vector."""
+def make_nodes(rows: DataFrame, k: int) -> DataFrame:
+    """node, vec, ids (sorted, as often as they stand in rows): a row for each distinct vector."""
     order = Window.partitionBy("vec").orderBy("vec_id")
-    few = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= KEPT)
+    few = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1)
     return few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.xxhash64("vec").alias("node"), "vec", "ids")
 
 
@@ -57,6 +64,46 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def mean_of(nodes: DataFrame, width: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(width), 0
+        for b in batches:
+            total += matrix(b.column(0), width).sum(axis=0, dtype=np.float64)
+            n += b.num_rows
+        yield pa.RecordBatch.from_pydict({"total": pa.array([total.tolist()], pa.list_(pa.float64())), "n": pa.array([n], pa.int64())})
+
+    parts = nodes.select("vec").mapInArrow(run, "total array<double>, n long").collect()
+    return np.sum([p["total"] for p in parts], axis=0) / max(1, sum(p["n"] for p in parts))
+
+
+def packed(nodes: DataFrame, mean: np.ndarray) -> DataFrame:
+    """node, code: vectors less the mean as 16-bit floats, scaled by the largest power of two that keeps them finite."""
+    width = len(mean)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column(1), width) - mean
+            yield pa.RecordBatch.from_pydict({"node": b.column(0), "code": pa.array([c.tobytes() for c in x.astype(np.float32)], pa.binary())})
+
+    def halves(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = unpacked(b.column(1), width, np.float32) / scale
+            yield pa.RecordBatch.from_pydict({"node": b.column(0), "code": pa.array([c.tobytes() for c in x.astype(np.float16)], pa.binary())})
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"top": pa.array([float(np.abs(unpacked(b.column(1), width, np.float32)).max(initial=0.0))])})
+
+    wide = nodes.select("node", "vec").mapInArrow(run, "node long, code binary")
+    top = wide.mapInArrow(largest, "top double").agg(F.max("top")).first()[0] or 1.0
+    scale = float(2.0 ** np.ceil(np.log2(top / 1024.0)))
+    return wide.mapInArrow(lambda batches: halves(batches, scale), "node long, code binary")
+
+
+def unpacked(column: pa.Array, width: int, kind: type = np.float16) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width).astype(np.float32)
+
+
 def fit_tree(sample: np.ndarray, least: int, rng: np.random.Generator) -> list:
     """A random-projection tree: nested [direction, cut, below, above] down to parts of about ``least`` vectors."""
     if len(sample) <= 2 * least:
@@ -93,35 +140,36 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
-def _edges(batches_of: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    for u, v, d in batches_of:
-        yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "d": pa.array(d.astype(np.float64))})
+def _edges(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    for u, v, d in found:
+        yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "d": pa.array(d.astype(np.float32))})
 
 
-EDGES = "u long, v long, d double"
+EDGES = "u long, v long, d float"
 
 
-def forest_edges(nodes: DataFrame, n: int, width: int) -> DataFrame:
+def forest_edges(codes: DataFrame, n: int, width: int) -> DataFrame:
     """Exact neighbours within the blocks of every tree."""
     share = min(1.0, SAMPLE / n)
     rank = F.pmod(F.col("node"), F.lit(1 << 20))
-    picked = nodes.filter(rank < F.lit(int(share * (1 << 20)) + 1)).select("vec").limit(2 * SAMPLE).collect()
-    sample = np.array([r["vec"] for r in picked], np.float32).reshape(-1, width)
+    picked = codes.filter(rank < F.lit(int(share * (1 << 20)) + 1)).select("code").limit(2 * SAMPLE).toArrow()
+    sample = unpacked(picked.column(0).combine_chunks(), width)
     rng = np.random.default_rng(31)
     least = max(4, int(LEAF * len(sample) / n) // 2)
-    held = nodes.sparkSession.sparkContext.broadcast([fit_tree(sample, least, rng) for _ in range(TREES)])
+    held = codes.sparkSession.sparkContext.broadcast([fit_tree(sample, least, rng) for _ in range(TREES)])
+    del picked, sample
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = matrix(b.column(1), width)
+            vectors = unpacked(b.column(1), width)
             for i, tree in enumerate(held.value):
                 leaf = route(tree, vectors)
-                yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(len(leaf), i, np.int32)), "leaf": pa.array(leaf), "node": b.column(0), "vec": b.column(1)})
+                yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(len(leaf), i, np.int32)), "leaf": pa.array(leaf), "node": b.column(0), "code": b.column(1)})
 
-    dealt = checkpoint(nodes.select("node", "vec").mapInArrow(leaves, "tree int, leaf long, node long, vec array<float>"))
+    dealt = checkpoint(codes.mapInArrow(leaves, "tree int, leaf long, node long, code binary"))
     # a leaf that outgrew its sample is cut by a hash of its nodes, so blocks have a bounded size
     parts = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2.0 * LEAF)).cast("int").alias("parts"))
-    blocks = dealt.join(parts, ["tree", "leaf"]).groupBy("tree", "leaf", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("node", "vec")).alias("members"))
+    blocks = dealt.join(parts, ["tree", "leaf"]).groupBy("tree", "leaf", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("node", "code")).alias("members"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
@@ -129,7 +177,7 @@ def forest_edges(nodes: DataFrame, n: int, width: int) -> DataFrame:
                 for i in range(b.num_rows):
                     members = b.column(0)[i].values
                     ids = members.field("node").to_numpy()
-                    x = matrix(members.field("vec"), width).astype(np.float32)
+                    x = unpacked(members.field("code"), width)
                     k = min(NEIGHBOURS, len(ids) - 1)
                     if k < 1:
                         continue
@@ -140,28 +188,30 @@ def forest_edges(nodes: DataFrame, n: int, width: int) -> DataFrame:
 
         return _edges(found())
 
-    return nearest_edges(blocks.select("members").mapInArrow(near, EDGES))
+    return nearest_edges(blocks.select("members").mapInArrow(near, EDGES).withColumn("fresh", F.lit(True)))
 
 
 def nearest_edges(edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """The k nearest of each node's edges."""
+    """The k nearest of each node's edges (u, v, d, fresh); an edge that is there already is not fresh."""
     order = Window.partitionBy("u").orderBy("d", "v")
-    once = edges.groupBy("u", "v").agg(F.min("d").alias("d"))
+    once = edges.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Each node with its neighbours and its REVERSE nearest incoming ones: (u, v)."""
+    """Each node with its neighbours and its REVERSE nearest incoming ones: (u, v, fresh)."""
     order = Window.partitionBy("v").orderBy("d", "u")
     incoming = edges.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= REVERSE)
-    return edges.select("u", "v").union(incoming.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    return edges.select("u", "v", "fresh").union(incoming.select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
 
 
-def descend(nodes: DataFrame, edges: DataFrame, width: int) -> tuple[DataFrame, int]:
+def descend(codes: DataFrame, edges: DataFrame, width: int) -> tuple[DataFrame, int]:
     """A round of NN-descent: the better graph, and how many nearer neighbours it found."""
     worst = edges.groupBy(F.col("u").alias("node")).agg(F.max("d").alias("worst"))
-    known = nodes.select("node", "vec").join(worst, "node")
-    groups = both_ways(edges).join(known, F.col("v") == F.col("node")).groupBy("u").agg(F.collect_list(F.struct("node", "vec", "worst")).alias("members"))
+    known = codes.join(worst, "node", "left").select("node", "code", F.coalesce("worst", F.lit(float("inf"))).cast("float").alias("worst"))
+    of = Window.partitionBy("u")
+    open_ = both_ways(edges).withColumn("any", F.max("fresh").over(of)).filter("any").select("u", "v", "fresh")
+    groups = open_.join(known, F.col("v") == F.col("node")).groupBy("u").agg(F.collect_list(F.struct("node", "code", "worst", "fresh")).alias("members"))
 
     def nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
@@ -170,33 +220,36 @@ def descend(nodes: DataFrame, edges: DataFrame, width: int) -> tuple[DataFrame,
                 for i in range(b.num_rows):
                     members = b.column(0)[i].values
                     ids, worst_ = members.field("node").to_numpy(), members.field("worst").to_numpy()
-                    x = matrix(members.field("vec"), width).astype(np.float32)
+                    fresh = members.field("fresh").to_numpy(zero_copy_only=False)
+                    x = unpacked(members.field("code"), width)
                     d = distances(x, x)
                     np.fill_diagonal(d, np.inf)
-                    a, c = np.nonzero(d < worst_[:, None])
+                    a, c = np.nonzero((d < worst_[:, None]) & (fresh[:, None] | fresh[None]))
                     us.append(ids[a])
                     vs.append(ids[c])
                     ds.append(d[a, c])
                 if us:
-                    yield np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
+                    u, v, d = map(np.concatenate, (us, vs, ds))
+                    # a pair is met in several groups
+                    order = np.lexsort((d, v, u))
+                    first = np.r_[True, (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])] if len(u) else order
+                    yield u[order[first]], v[order[first]], d[order[first]]
 
         return _edges(found())
 
     updates = groups.select("members").mapInArrow(nearer, EDGES)
-    better = checkpoint(nearest_edges(edges.withColumn("old", F.lit(1)).select("u", "v", "d").union(updates)))
-    fresh = better.join(edges.select("u", "v"), ["u", "v"], "left_anti").count()
-    return better, fresh
+    better = checkpoint(nearest_edges(edges.select("u", "v", "d", F.lit(False).alias("fresh")).union(updates.withColumn("fresh", F.lit(True)))))
+    return better, better.filter("fresh").count()
 
 
-def build_graph(nodes: DataFrame, n: int, width: int) -> DataFrame:
-    spark = nodes.sparkSession
-    edges = checkpoint(forest_edges(nodes, n, width))
+def build_graph(codes: DataFrame, n: int, width: int) -> DataFrame:
+    edges = checkpoint(forest_edges(codes, n, width))
     for _ in range(ROUNDS):
-        free_shuffles(spark)
-        edges, fresh = descend(nodes, edges, width)
+        free_shuffles(codes.sparkSession)
+        edges, fresh = descend(codes, edges, width)
         if fresh <= SETTLED * n * NEIGHBOURS:
             break
-    free_shuffles(spark)
+    free_shuffles(codes.sparkSession)
     return edges
 
 
@@ -206,80 +259,132 @@ def distance(x: str, y: str) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
 
 
-def exact_nodes(nodes: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
-    """q, node: the k nearest other nodes of CHECKED queries, by one scan of all nodes."""
-    picked = queries.orderBy(F.xxhash64("q"), "q").limit(CHECKED).collect()
-    ids, starts = np.array([r["q"] for r in picked], np.int64), np.array([r["start"] for r in picked], np.int64)
-    held = nodes.sparkSession.sparkContext.broadcast(np.array([r["qvec"] for r in picked], np.float32).reshape(-1, width))
+def exact_nodes(codes: DataFrame, picked: pa.Table, k: int, width: int) -> DataFrame:
+    """u, v, d: the k nearest other nodes of the nodes picked (node, code), by one scan of all nodes."""
+    starts = picked.column("node").to_numpy()
+    held = codes.sparkSession.sparkContext.broadcast(unpacked(picked.column("code").combine_chunks(), width))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for b in batches:
-                if not b.num_rows or not len(ids):
+                if not b.num_rows or not len(starts):
                     continue
                 members = b.column(0).to_numpy()
-                d = distances(held.value, matrix(b.column(1), width).astype(np.float32))
+                d = distances(held.value, unpacked(b.column(1), width))
                 d[starts[:, None] == members[None]] = np.inf
                 few = min(k, len(members))
                 best = np.argpartition(d, few - 1, axis=1)[:, :few]
-                yield np.repeat(ids, few), members[best].ravel(), np.take_along_axis(d, best, 1).ravel()
+                yield np.repeat(starts, few), members[best].ravel(), np.take_along_axis(d, best, 1).ravel()
 
         return _edges(found())
 
-    every = nodes.select("node", "vec").mapInArrow(near, EDGES).filter(F.col("d") < F.lit(float("inf")))
-    return nearest_edges(every, k).select(F.col("u").alias("q"), F.col("v").alias("node"))
+    every = codes.mapInArrow(near, EDGES).filter(F.col("d") < F.lit(float("inf")))
+    return nearest_edges(every.withColumn("fresh", F.lit(True)), k).select("u", "v", "d")
+
 
+STATE = "q long, code binary, node array<long>, d array<float>, done array<boolean>"
 
-def expand(nodes: DataFrame, links: DataFrame, queries: DataFrame, found: DataFrame, beam: int) -> DataFrame:
-    """found (q, node, d, done), expanded until none of a query's ``beam`` nearest nodes is left to expand."""
-    vectors = nodes.select("node", "vec")
-    best = Window.partitionBy("q").orderBy("d", "node")
+
+def expand(codes: DataFrame, links: DataFrame, state: DataFrame, beam: int, width: int) -> DataFrame:
+    """state (a row for each query node), expanded until none of a query's ``beam`` nearest nodes is left to expand."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, ds, dones = [], [], []
+            own = unpacked(b.column(1), width)
+            for i in range(b.num_rows):
+                old, old_d = b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy()
+                met = b.column(5)[i].values
+                fresh = met.field("node").to_numpy() if met is not None else old[:0]
+                keep = ~np.isin(fresh, old)
+                fresh = fresh[keep]
+                d = distances(own[i : i + 1], unpacked(met.field("code"), width)[keep])[0] if len(fresh) else old_d[:0]
+                every, every_d = np.r_[old, fresh], np.r_[old_d, d].astype(np.float32)
+                done = np.r_[np.ones(len(old), bool), np.zeros(len(fresh), bool)]
+                best = np.lexsort((every, every_d))[:beam]
+                nodes.append(every[best])
+                ds.append(every_d[best])
+                dones.append(done[best])
+            kinds = (pa.int64(), pa.float32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x.tolist() for x in xs], pa.list_(t)) for xs, t in zip((nodes, ds, dones), kinds, strict=True))], names=["q", "code", "node", "d", "done"])
+
+    spark = codes.sparkSession
     while True:
-        ranked = found.filter(~F.col("done")).withColumn("rank", F.row_number().over(best))
-        open_ = checkpoint(ranked.filter(F.col("rank") <= max(1, beam // EXPAND)).select("q", "node"))
-        if open_.isEmpty():
-            return found
-        met = open_.join(links, F.col("node") == F.col("u")).select("q", F.col("v").alias("node")).distinct()
-        fresh = met.join(found.select("q", "node"), ["q", "node"], "left_anti").join(vectors, "node").join(queries.select("q", "qvec"), "q")
-        fresh = fresh.select("q", "node", distance("vec", "qvec").alias("d"), F.lit(False).alias("done"))
-        old = found.join(open_.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        found = checkpoint(old.union(fresh).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= beam).drop("rank"))
+        open_ = state.select("q", F.explode(F.arrays_zip("node", "done")).alias("x")).filter(~F.col("x.done")).select("q", F.col("x.node").alias("node"))
+        met = open_.join(links, F.col("node") == F.col("u")).select("q", F.explode("near").alias("node")).distinct()
+        groups = met.join(codes, "node").groupBy("q").agg(F.collect_list(F.struct("node", "code")).alias("met"))
+        state = checkpoint(state.join(groups, "q", "left").mapInArrow(merged, STATE))
+        if state.filter(F.exists("done", lambda x: ~x)).isEmpty():
+            return state
+        free_shuffles(spark)
 
 
-def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, n: int, width: int, k: int) -> DataFrame:
-    """q, node, d: the nodes found for each query (q, start, qvec), as many as the recall on CHECKED queries asks for."""
-    links = checkpoint(both_ways(edges))
-    exact = checkpoint(exact_nodes(nodes, queries, k, width))
+def search(codes: DataFrame, edges: DataFrame, starts: DataFrame, n: int, width: int, k: int) -> DataFrame:
+    """q, v: the nodes found for each query node (starts: node), as many as the recall on CHECKED ones asks for."""
+    links = checkpoint(both_ways(edges).groupBy("u").agg(F.collect_list("v").alias("near")))
+    first = starts.join(codes, "node").select(F.col("node").alias("q"), "code")
+    picked = first.orderBy(F.xxhash64("q"), "q").limit(CHECKED).select(F.col("q").alias("node"), "code").toArrow()
+    exact = checkpoint(exact_nodes(codes, picked, k, width))
     wanted = exact.count()
-    found = checkpoint(queries.select("q", F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done")))
+    one = lambda x, kind: F.array(x).cast(f"array<{kind}>")
+    state = checkpoint(first.select("q", "code", one(F.col("q"), "long").alias("node"), one(F.lit(0.0), "float").alias("d"), one(F.lit(False), "boolean").alias("done")))
     beam = max(BEAM, 2 * k)
     while True:
-        found = expand(nodes, links, queries, found, beam)
-        met = found.join(exact, ["q", "node"]).count()
+        state = expand(codes, links, state, beam, width)
+        found = state.select("q", F.explode("node").alias("v")).filter("q <> v")
+        met = found.join(exact.select(F.col("u").alias("q"), "v"), ["q", "v"]).count()
         if met >= RECALL * wanted or beam >= n:
-            return found.select("q", "node", "d")
+            return found
         # what the narrower beam dropped is met again, from the nodes that it kept
         beam *= 2
-        found = found.withColumn("done", F.lit(False))
-        free_shuffles(nodes.sparkSession)
+        state = state.withColumn("done", F.transform("done", lambda _: F.lit(False)))
+
+
+def completed(codes: DataFrame, nodes: DataFrame, found: DataFrame, starts: DataFrame, n: int, width: int, k: int) -> DataFrame:
+    """found (q, v), and for each query node that has met fewer than k rows its nearest nodes of all."""
+    size = nodes.select(F.col("node").alias("v"), F.size("ids").alias("rows"))
+    own = starts.select(F.col("node").alias("q")).join(size, F.col("q") == F.col("v")).select("q", (F.col("rows") - 1).alias("rows"))
+    rows = found.join(size, "v").select("q", "rows").union(own).groupBy("q").agg(F.sum("rows").alias("rows"))
+    met = found.groupBy("q").count()
+    short = rows.join(met, "q", "left").filter((F.col("rows") < k) & (F.coalesce("count", F.lit(0)) < n - 1)).select(F.col("q").alias("node"))
+    short = checkpoint(short.join(codes, "node"))
+    many = short.count()
+    blocks = -(-many // BLOCK)
+    more = [found]
+    for i in range(blocks):
+        # blocks by a hash, so that a block's size is near BLOCK
+        picked = short.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i).toArrow()
+        more.append(checkpoint(exact_nodes(codes, picked, k, width)).select(F.col("u").alias("q"), "v"))
+    return reduce(DataFrame.union, more).distinct() if blocks else found
+
+
+def _nearest_of_length(good: DataFrame, is_query: Column, width: int, k: int) -> DataFrame:
+    nodes = checkpoint(make_nodes(good, k))
+    n = nodes.count()
+    codes = checkpoint(packed(nodes, mean_of(nodes, width)))
+    queries = good.filter(is_query).select(F.col("vec_id").alias("q"), F.xxhash64("vec").alias("start"), F.col("vec").alias("qvec"))
+    starts = checkpoint(queries.select(F.col("start").alias("node")).distinct())
+    if n > 1:
+        edges = build_graph(codes, n, width)
+        found = completed(codes, nodes, search(codes, edges, starts, n, width, k), starts, n, width, k)
+    else:
+        found = starts.select(F.col("node").alias("q"), F.col("node").alias("v")).limit(0)
+    reached = checkpoint(found.union(starts.select("node", F.col("node").alias("v"))).select(F.col("q").alias("start"), F.col("v").alias("node")))
+    hits = queries.withColumn("copy", F.monotonically_increasing_id()).join(reached, "start").join(nodes, "node")
+    hits = hits.select("q", "copy", distance("vec", "qvec").alias("d"), F.when(F.col("start") == F.col("node"), F.array_position("ids", F.col("q"))).otherwise(0).alias("own"), F.posexplode("ids").alias("at", "vec_id"))
+    # the query's own row is one of those with its id and vector; of k + 1 that are kept, it may be beyond the last
+    order = Window.partitionBy("q", "copy").orderBy("d", "vec_id")
+    ranked = hits.filter("at + 1 <> own").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", F.col("d").alias("score"))
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame:
-    """The k nearest rows of each query row: query_id, rank, vec_id, score."""
+    """The k nearest rows of each query row: query_id, rank, vec_id, score. is_query is a condition on vec_id."""
     good = checkpoint(valid_rows(rows))
-    nodes = checkpoint(make_nodes(good))
-    n = nodes.count()
+    lengths = [r["length"] for r in good.select("length").distinct().orderBy("length").collect()]
+    found = [_nearest_of_length(good.filter(F.col("length") == w).select("vec_id", "vec"), is_query, w, k) for w in lengths]
     empty = good.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    if n == 0:
-        return empty
-    width = len(nodes.first()["vec"])
-    edges = build_graph(nodes, n, width) if n > 1 else nodes.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("d")).limit(0)
-    queries = checkpoint(good.filter(is_query).select(F.col("vec_id").alias("q"), F.xxhash64("vec").alias("start"), F.col("vec").alias("qvec")))
-    found = search(nodes, edges, queries, n, width, k)
-    hits = found.join(nodes.select("node", "ids"), "node").select("q", F.explode("ids").alias("vec_id"), "d").filter("q <> vec_id")
-    order = Window.partitionBy("q").orderBy("d", "vec_id")
-    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", F.col("d").alias("score"))
+    return reduce(DataFrame.union, found) if found else empty
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
