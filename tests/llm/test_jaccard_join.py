@@ -57,6 +57,8 @@ def corpus(seed):
     rows = [(i, " ".join(w).upper() if rng.random() < 0.2 else "\t".join(w), "x") for i, w in enumerate(texts)]
     rng.shuffle(rows)
     rows += [(9000, None, "x"), (9001, "", "x"), (9002, " \n", "x"), (9003, "one two", "x"), (9004, "ONE two", "x"), (9005, "É a", "x"), (9006, "é a", "x")]
+    long = [f"u{i % 40_000}" for i in range(120_000)]
+    rows += [(9010, " ".join(long), "x"), (9011, " ".join(edited(rng, long, 300)), "x")]
     return [*rows, rows[0], rows[0], (None, rows[0][1], "x"), (None, None, "x")]
 
 
@@ -76,6 +78,16 @@ def test_empty_table(spark, tmp_path):
     assert jj.query(spark, str(tmp_path)).collect() == []
 
 
+def test_one_of_each_component(spark):
+    """Different texts under one id are judged by themselves; equal rows are one; the rest of a component goes."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a, "x"), (2, a, "x"), (3, a + " more", "x"), (7, b, "x"), (7, c, "y"), (7, b, "x"), (8, c, "x"), (9, d, "x"), (5, "", "x"), (5, "", "x"), (6, None, "x"), (None, a, "x")]
+    got = sorted(map(tuple, jj.one_of_each_component(spark.createDataFrame(rows, "doc_id long, text string, node string")).collect()), key=str)
+    assert got == sorted([(1, a, "x"), (7, b, "x"), (7, c, "y"), (9, d, "x"), (5, "", "x"), (5, "", "x"), (6, None, "x"), (None, a, "x")], key=str)
+    plain = spark.createDataFrame([r for r in rows if r[0] not in (5, 7)], "doc_id long, text string, node string")
+    assert sorted(r["doc_id"] or 0 for r in jj.one_of_each_component(plain).collect()) == [0, 1, 6, 8, 9]
+
+
 def test_multi_matches_lose_no_link():
     """For any order and any number of matches, linked sets share that many shingles in their prefixes."""
     rng = random.Random(3)

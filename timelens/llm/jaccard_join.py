@@ -26,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from timelens.llm.common import checkpoint, free_shuffles, table
+from timelens.llm.common import checkpoint, free_shuffles, table, text_parts
 
 WORDS = 4
 SHARE = (85, 100)
@@ -40,6 +41,8 @@ MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 KEPT_WORDS = 100_000
 #: Earlier shingles of its prefix that a posting carries: two postings that share one of them have met there.
 CARRIED = 4
+#: Bytes of text held at once.
+SLICE = 2_000_000
 #: Rows of two integers that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -97,7 +100,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, prefixes = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in (t for part in text_parts(batch.column(1), SLICE) for t in part):
                 s = shingles(text)
                 n = len(s)
                 nodes.append(_node(s))
@@ -239,6 +242,47 @@ def _candidates_across(prefixes: DataFrame, labels: DataFrame, centres: DataFram
 
 def linked_components(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with their sets' sizes and components: doc_id, n_shingles, component_id."""
+    return linked_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_component(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, further columns) that stay where one document of each component does: the one with the smallest doc_id.
+
+    A document is a doc_id with a set: a text under a repeated id counts by its own set, and of repeated rows one stays. Rows without a
+    doc_id, and those with an empty set, are linked with nothing and stay.
+    """
+    found = checkpoint(linked_rows(docs.select("doc_id", "text")).filter("doc_id IS NOT NULL"))
+    first = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.doc_id", "first.node")
+    stays = checkpoint(first.union(found.filter("n_shingles = 0").select("doc_id", "node").distinct()))
+    repeated = checkpoint(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    nameless = docs.filter("doc_id IS NULL")
+    if repeated.isEmpty():
+        return docs.join(stays.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).union(nameless)
+    once = docs.join(repeated, "doc_id", "left_anti").join(stays.select("doc_id").distinct(), "doc_id", "left_semi")
+    # rows of an id that stands for several are told apart by their sets
+    node, size, copy = (f"{'_' * (1 + max(map(len, docs.columns)))}{n}" for n in ("node", "size", "copy"))
+    told = _with_nodes(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns), node, size)
+    named = told.join(stays.select(F.col("doc_id").alias(f"{node}_id"), F.col("node").alias(f"{node}_of")), (F.col("doc_id") == F.col(f"{node}_id")) & (F.col(node) == F.col(f"{node}_of")), "left_semi")
+    order = Window.partitionBy("doc_id", node).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    ranked = named.filter(F.col(size) > 0).withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1)
+    kept = ranked.select(*docs.columns).union(named.filter(F.col(size) == 0).select(*docs.columns))
+    return once.select(*docs.columns).union(kept).union(nameless)
+
+
+def _with_nodes(docs: DataFrame, node: str, size: str) -> DataFrame:
+    """docs with their sets' hashes and sizes."""
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text) for part in text_parts(batch.column(at), SLICE) for text in part]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=[*names, node, size])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(node, T.LongType()), T.StructField(size, T.LongType())]))
+
+
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text): doc_id, node (a hash of the set), n_shingles, root (a node of the component; null without a set or an id), component_id."""
     spark = docs.sparkSession
     signed = checkpoint(signatures(docs))
     filled = signed.filter("n > 0 AND doc_id IS NOT NULL")
@@ -280,11 +324,27 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
     rooted = checkpoint(nodes.join(labels, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("component")))
-    by_node = checkpoint(rooted.join(least, "root").select("node", "component"))
+    by_node = checkpoint(rooted.join(least, "root").select("node", "root", "component"))
     out = signed.select("doc_id", "node", F.col("n").alias("n_shingles")).join(by_node, "node", "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "node", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"), own.alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = """
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS gram FROM cut
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * met.shared >= 85 * (p.n + q.n - met.shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT DISTINCT a AS doc_id, a AS seen FROM ways UNION SELECT r.doc_id, w.b FROM reached r JOIN ways w ON w.a = r.seen),
+least AS (SELECT doc_id, min(seen) AS component_id FROM reached GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""

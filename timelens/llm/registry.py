@@ -17,4 +17,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.query,
 }
 
-ORACLE_SQL = {"op1_url_filter": url_filter.SQL, "op9_chat_format": chat_template.SQL}
+ORACLE_SQL = {"op1_url_filter": url_filter.SQL, "op9_chat_format": chat_template.SQL, "op10_jaccard_join": jaccard_join.SQL}
