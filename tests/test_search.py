@@ -35,7 +35,7 @@ def test_text_forms(spark):
 
 
 def test_times(spark):
-    assert [one(spark, tp.coerced_seconds(F.lit(x))) for x in ("12", "3.5s", "1:07", "01:02:03", "soon", "1:2:3:4")] == [12.0, 3.5, 67.0, 3723.0, None, None]
+    assert [one(spark, tp.coerced_seconds(F.lit(x))) for x in ("12", "3.5S", "1:07 ", "01:02:03", "soon", "1:2:3:4", "3 s s", "1d", "")] == [12.0, 3.5, 67.0, 3723.0, None, 223384.0, None, None, None]
     assert one(spark, tp.window_uri(F.lit("1"), F.lit(0.4), F.lit(0.6))) == "nvr://1/1970-01-01T00:00:00+00:00/1970-01-01T00:00:01+00:00"
     assert one(spark, tp.window_uri(F.lit("1"), F.lit(0.4), F.lit(120.4))).endswith("00:02:00+00:00")
     assert one(spark, tp.local_iso(F.lit(0.0), "America/Los_Angeles")) == "1969-12-31T16:00:00"
@@ -92,7 +92,7 @@ def test_planner(spark):
     assert kept.needs_ocr_search and kept.search_terms == "" and kept.extra == {"needs_smell": True}
     assert planner.QueryPlan.salvage("who said it", {"params": 1}).needs_transcript_search
     answer = planner.ask("budget", {"caption_search": lambda p: items(spark).drop("position"), "visual": lambda p: 1 / 0})
-    assert answer["items"][0].startswith("transcript evidence") and any("visual was skipped" in n for n in answer["notes"])
+    assert answer["items"][0].startswith("transcript: ") and any("visual was skipped" in n for n in answer["notes"])
     swept = []
     again = planner.ask("birds", {}, scan=lambda target: swept.append(target) or items(spark).drop("position"))
     assert swept == ["the birds"] and again["items"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from timelens import schemas
 from timelens.functions.timeparse import TimeWindow
 from timelens.functions.vector import hash_embed
-from timelens.operators import aggregate, catalog, fuse, search, statechange, tracks, vectors
+from timelens.operators import catalog, fuse, search, statechange, tracks, vectors
 from timelens.plans import planner
 from timelens.sources import sidecars, trace
 from timelens.streaming import watch
@@ -118,7 +118,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame | dict:
         found = catalog.stale_roles(_videos(spark, args), provenance, json.loads(args.fingerprints))
         return found if verb == "stale" else catalog.reprocess_plan(found, provenance, {"captions": ["text"]})
     if verb == "watch":
-        events = sidecars.read_sidecars(spark, args.events, "motion").withColumn("open", F.lit(False))
+        events = sidecars.read_sidecars(spark, args.events, "motion")
         cameras = _role(spark, args, "cameras").withColumnRenamed("id", "camera_id")
         return watch.catch_up(cameras, events, args.now, watch.WatchRules(max_windows=args.max_windows)).windows
     if verb == "motion-probe":
@@ -145,7 +145,3 @@ def main(argv: Sequence[str] | None = None) -> int:
     else:
         print(json.dumps({k: v for k, v in got.items() if k != "plan"}, default=str, indent=2))
     return 0
-
-
-def aggregate_totals(counted: aggregate.CountResult) -> str:
-    return f"{counted.total} {counted.category}; " + "; ".join(counted.caveats)

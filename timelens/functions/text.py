@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 #: Labels that say the subject isn't visible.
 NOT_VISIBLE = r"(?i)^\s*(none|n/?a|other|not visible|no \w+)\s*\.?\s*$"
 
-#: Words of a scan target that name no subject.
-KEY_NOISE = ("the", "a", "an", "of", "in", "on", "and", "or", "s", "color", "colour", "wearing", "worn", "visible", "shown", "frame", "current", "currently", "each")
+#: Words of a scan target that name no subject.
+KEY_NOISE = (
+    "the", "a", "an", "of", "in", "on", "is", "are", "its", "their", "and", "or", "main", "person", "persons", "current", "state", "wearing", "worn",
+    "color", "colour", "style", "garment", "e", "g", "eg", "frame", "visible",
+)
 
 
 def tokens(text: Column) -> Column:

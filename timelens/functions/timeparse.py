@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column
@@ -17,8 +17,8 @@ _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86_400}
 
 
 def bucket_seconds(bucket: str) -> int:
-    """Seconds of ``<int><s|m|h|d>``."""
-    m = re.fullmatch(r"(\d+)([smhd])", bucket.strip())
+    """Seconds of ``<int><s|m|h|d>``, in either case and with blanks between."""
+    m = re.fullmatch(r"(\d+)\s*([smhd])", bucket.strip().lower())
     if not m or int(m[1]) <= 0:
         raise ValueError(f"bucket {bucket!r} is not <int><s|m|h|d>")
     return int(m[1]) * _UNITS[m[2]]
@@ -58,11 +58,10 @@ def local_iso(epoch: Column, tz: str) -> Column:
 
 
 def coerced_seconds(value: Column) -> Column:
-    """Seconds from ``12``, ``3.5s``, ``1:07`` or ``01:02:03``; null for anything else."""
-    text = F.regexp_replace(F.trim(value), "s$", "")
-    parts = F.transform(F.split(text, ":"), lambda p: p.try_cast("double"))
-    total = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc * 60 + p)
-    return F.when(F.size(parts) <= 3, total)
+    """Seconds from ``12``, ``3.5S``, ``1:07`` or ``01:02:03``, each part 60 of the next; null for anything else."""
+    text = F.regexp_replace(F.regexp_replace(F.lower(value), r"^\s+|\s+$", ""), r"\s*s*$", "")
+    number = lambda p: F.when(p.rlike(r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?\s*$"), F.trim(p).try_cast("double"))
+    return F.aggregate(F.transform(F.split(text, ":"), number), F.lit(0.0), lambda acc, p: acc * 60 + p)
 
 
 def window_uri(source_ref: Column, start: Column, end: Column) -> Column:
@@ -85,7 +84,3 @@ def parse_date(text: str, tz: str = "UTC") -> float:
 
 def bucket_count(start: float, end: float, width: int) -> int:
     return max(0, math.ceil((end - start) / width))
-
-
-def midnight(day: datetime) -> datetime:
-    return day.replace(hour=0, minute=0, second=0, microsecond=0) + timedelta(0)

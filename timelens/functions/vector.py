@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,13 +37,18 @@ def query_vector(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def min_max(value: Column, *lane: str) -> Column:
-    """Scaled to [0, 1] within a lane; 0.5 where the lane is flat."""
-    over = Window.partitionBy(*lane)
-    low, high = F.min(value).over(over), F.max(value).over(over)
+def scaled(value: Column, low: Column, high: Column) -> Column:
+    """Scaled to [0, 1] between two bounds; 0.5 where they are one."""
     return F.when(high - low < 1e-9, 0.5).otherwise((value - low) / (high - low))
 
 
+def min_max(df: DataFrame, value: str, lane: str, name: str) -> DataFrame:
+    """df with a column scaled to [0, 1] within its lane. The lanes' bounds are added up before any shuffle and joined back, a row for each."""
+    bounds = df.groupBy(F.col(lane).alias("_lane_of")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    joined = df.join(bounds, F.col(lane).eqNullSafe(F.col("_lane_of")))
+    return joined.withColumn(name, scaled(F.col(value), F.col("_low"), F.col("_high"))).drop("_lane_of", "_low", "_high")
+
+
 def hash_embedding(text: Column, dim: int = 256) -> Column:
     """Signed hashing of words: the sum over words of a sign at a place, both from the word's sha256, normalised."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9']+)"), F.lit(1))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelens.constants import MAX_BUCKETS, MIN_FRAMES, NO_CAMERA
@@ -15,6 +17,8 @@ from timelens.operators.tracks import select_placed, window_anchoring
 
 UPPER_BOUND = "each track counts once; an object that leaves and returns, or passes several cameras, counts again"
 START_MEMBERSHIP = "a track belongs to the window in which it starts"
+#: Bins in which values are counted before they are ranked.
+RANK_BINS = 4096
 PARKED = "a still object is one track for as long as it is seen; if its track breaks it counts again"
 
 
@@ -110,6 +114,36 @@ def footage_domains(videos: DataFrame) -> DataFrame:
 
 def latency_stats(samples: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, deviation, extremes, median and p95 (the sample at index round(0.95 n) - 1) of each group."""
-    v = F.array_sort(F.collect_list(value))
-    at = F.least(F.count(value), F.greatest(F.lit(1), F.round(F.count(value) * F.lit(0.95)).cast("bigint"))).cast("int")
-    return samples.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.median(value).alias("p50"), F.element_at(v, at).alias("p95"))
+    stats = samples.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    n = F.col("n")
+    ranks = {"_lower": F.floor((n + 1) / 2), "_upper": F.floor(n / 2) + 1, "p95": F.least(n, F.greatest(F.lit(1), F.round(n * F.lit(0.95)).cast("bigint")))}
+    found = ranked_values(samples.filter(F.col(value).isNotNull()), value, by, stats.filter("n > 0").select(*by, "min", "max", *[r.cast("bigint").alias(c) for c, r in ranks.items()]), list(ranks))
+    keys = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    joined = stats.join(found.withColumnsRenamed({c: f"_by_{c}" for c in by}), reduce(and_, keys), "left")
+    return joined.select(*by, "n", "mean", "std", "min", "max", ((F.col("_lower") + F.col("_upper")) / 2).alias("p50"), "p95")
+
+
+def ranked_values(samples: DataFrame, value: str, by: Sequence[str], wanted: DataFrame, ranks: Sequence[str]) -> DataFrame:
+    """The values at some ranks (columns of wanted: by, min, max, ranks) of each group, from 1.
+
+    Rows are counted in RANK_BINS bins of a group first; only the bins that hold a rank are counted by value. No group is sorted whole.
+    """
+    keyed = wanted.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("min").alias("_low"), F.col("max").alias("_high"), *[F.col(r).alias(f"_rank_{r}") for r in ranks])
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    share = (F.col(value) - F.col("_low")) / F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
+    binned = samples.select(*by, value).join(keyed, on).withColumn("_bin", F.least(F.floor(share * RANK_BINS), F.lit(RANK_BINS - 1)).cast("int"))
+    group = [f"_by_{c}" for c in by]
+    rank_columns = [f"_rank_{r}" for r in ranks]
+
+    def upto(counts: DataFrame, order: str, within: Sequence[str]) -> DataFrame:
+        seq = Window.partitionBy(*within).orderBy(order)
+        return counts.withColumn("_upto", F.sum("count").over(seq.rowsBetween(Window.unboundedPreceding, 0)))
+
+    bins = upto(binned.groupBy(*group, *rank_columns, "_bin").count(), "_bin", group).withColumn("_before", F.col("_upto") - F.col("count"))
+    holds = reduce(or_, [(F.col(r) > F.col("_before")) & (F.col(r) <= F.col("_upto")) for r in rank_columns])
+    chosen = bins.filter(holds).select(*[F.col(c).alias(f"_of{c}") for c in group], F.col("_bin").alias("_in"), "_before")
+    near = binned.join(chosen, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in group] + [F.col("_bin") == F.col("_in")]))
+    counted = upto(near.groupBy(*group, *rank_columns, "_bin", "_before", value).count(), value, [*group, "_bin"])
+    placed = counted.withColumns({"_to": F.col("_before") + F.col("_upto"), "_from": F.col("_before") + F.col("_upto") - F.col("count")})
+    at = [F.max(F.when((F.col(f"_rank_{r}") > F.col("_from")) & (F.col(f"_rank_{r}") <= F.col("_to")), F.col(value))).alias(r) for r in ranks]
+    return placed.groupBy(*group).agg(*at).withColumnsRenamed({f"_by_{c}": c for c in by})

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelens.constants import EVIDENCE_CAP, KEYFRAME_CAP, RENDER_CAP, RERANK_WEIGHT
 from timelens.functions.text import minutes, overlap_score, query_tokens
-from timelens.functions.vector import min_max
+from timelens.functions.vector import scaled
 
 COLUMNS = ["modality", "video_id", "time_start", "time_end", "content", "score"]
 
@@ -77,9 +79,14 @@ def fuse(items: DataFrame, weight: float = RERANK_WEIGHT) -> DataFrame:
     Rerank scores are scaled over all items that have one; native ones within visual items and within the others. An item without a
     rerank score counts 0 for it.
     """
-    lanes = items.withColumns({"_lane": F.col("modality") == "visual", "_ranked": F.col("rerank_score").isNotNull()})
-    scaled = lanes.withColumns({"native_norm": min_max(F.col("score"), "_lane"), "_rerank": F.when(F.col("_ranked"), min_max(F.col("rerank_score"), "_ranked")).otherwise(0.0)})
-    return scaled.withColumn("fused_score", weight * F.col("_rerank") + (1 - weight) * F.col("native_norm")).drop("_lane", "_ranked", "_rerank")
+    visual = F.col("modality") == "visual"
+    spans = {"_visual": F.when(visual, F.col("score")), "_other": F.when(~visual, F.col("score")), "_rerank": F.col("rerank_score")}
+    # one row of bounds, added up before the shuffle, that every item needs
+    bounds = items.agg(*[f(x).alias(f"{n}{end}") for n, x in spans.items() for end, f in (("_low", F.min), ("_high", F.max))])
+    joined = items.join(F.broadcast(bounds))
+    native = F.when(visual, scaled(F.col("score"), F.col("_visual_low"), F.col("_visual_high"))).otherwise(scaled(F.col("score"), F.col("_other_low"), F.col("_other_high")))
+    rerank = F.when(F.col("rerank_score").isNull(), 0.0).otherwise(scaled(F.col("rerank_score"), F.col("_rerank_low"), F.col("_rerank_high")))
+    return joined.withColumns({"native_norm": native, "fused_score": weight * rerank + (1 - weight) * native}).drop(*bounds.columns)
 
 
 def ranked(items: DataFrame, cap: int | None = EVIDENCE_CAP) -> DataFrame:
@@ -121,9 +128,11 @@ def strongest(items: DataFrame) -> DataFrame:
 
 def rendered(items: DataFrame, order: Sequence[str | Column], cap: int = RENDER_CAP) -> DataFrame:
     """Items taken in turn from each modality, then by time. ``position`` orders items within and between modalities."""
-    by = Window.partitionBy("modality")
-    placed = items.withColumns({"_rank": F.row_number().over(by.orderBy(*order)), "_first": F.min("position").over(by)})
-    return placed.orderBy("_rank", "_first", "modality").limit(cap).orderBy("time_start", "modality", "_rank").drop("_rank", "_first")
+    firsts = items.groupBy(F.col("modality").alias("_of")).agg(F.min("position").alias("_first"))
+    # a modality can't give more rows than are shown, so each task keeps that many of it
+    few = items.withColumn("_rank", F.row_number().over(Window.partitionBy("modality").orderBy(*order))).filter(F.col("_rank") <= cap)
+    placed = few.join(firsts, F.col("modality") == F.col("_of"))
+    return placed.orderBy("_rank", "_first", "modality").limit(cap).orderBy("time_start", "modality", "_rank").drop("_rank", "_first", "_of")
 
 
 def keyframes(items: DataFrame, cap: int = KEYFRAME_CAP) -> DataFrame:
@@ -137,12 +146,17 @@ def keyframes(items: DataFrame, cap: int = KEYFRAME_CAP) -> DataFrame:
 
 def verified_within(items: DataFrame, checks: int, accepts: int) -> DataFrame:
     """Items with ``accepted`` (a verifier's answer): the first ``checks`` by score count until ``accepts`` of them hold; refused ones go, the rest pass."""
-    order = Window.orderBy(F.desc("score"), "time_start", "video_id")
-    # the window runs over the few items of one answer, at most EVIDENCE_CAP
-    few = items.orderBy(F.desc("score"), "time_start", "video_id").limit(EVIDENCE_CAP)
-    placed = few.withColumns({"_n": F.row_number().over(order), "_held": F.coalesce(F.sum(F.col("accepted").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    checked = (F.col("_n") <= checks) & (F.col("_held") < accepts)
-    return placed.withColumn("checked", checked).filter(~F.col("checked") | F.col("accepted")).drop("_n", "_held")
+    by = (F.desc("score"), "time_start", "video_id", "modality", "content")
+    # the window runs over the items that can be checked, ``checks`` at most; each is known by all its columns and its number among equals
+    alike = Window.partitionBy(*items.columns).orderBy(F.lit(0))
+    numbered = items.withColumn("_copy", F.row_number().over(alike))
+    few = numbered.orderBy(*by, "_copy").limit(checks)
+    held = F.coalesce(F.sum(F.col("accepted").cast("int")).over(Window.orderBy(*by, "_copy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    looked = few.withColumn("_held", held).filter(F.col("_held") < accepts)
+    named = looked.select(*[F.col(c).alias(f"_of_{c}") for c in (*items.columns, "_copy")])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*items.columns, "_copy")])
+    marked = numbered.join(named, same, "left").withColumn("checked", F.col("_of__copy").isNotNull()).select(*items.columns, "checked")
+    return marked.filter(~F.col("checked") | F.col("accepted"))
 
 
 def first_texts(items: DataFrame, norm: Column) -> DataFrame:

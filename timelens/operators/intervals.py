@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelens.constants import CLUSTER_GAP, CO_OCCURRENCE_GAP, CUT_DISTANCE, CUT_LEAST_SECONDS, MAX_WINDOW, MIN_SPAN
 from timelens.functions.geometry import overlap
+from timelens.operators.folds import streamed
+
+#: Seconds of a group's history that are compared in one task.
+ISLAND_BUCKET = 86_400.0
 
 
 def islands(df: DataFrame, by: Sequence[str], start: str, end: str, gap: float, order: Sequence[str] = ()) -> DataFrame:
@@ -19,9 +25,34 @@ def islands(df: DataFrame, by: Sequence[str], start: str, end: str, gap: float,
     return df.withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(seq.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
 
 
+def wide_islands(df: DataFrame, by: Sequence[str], start: str, end: str, gap: float, width: float = ISLAND_BUCKET) -> DataFrame:
+    """islands for groups of any length, such as a camera's whole history; ``island`` is the start of its first row.
+
+    Rows are compared within buckets of time; what a bucket needs of those before it (their latest end, and where their last island began)
+    is carried over from a row for each bucket. No task sorts a group whole.
+    """
+    bucket = F.floor(F.col(start) / width).cast("bigint")
+    placed = df.withColumn("_bucket", bucket)
+    seq = Window.partitionBy(*by, "_bucket").orderBy(start, end)
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        each = rows.groupBy(*by, "_bucket").agg(value.alias("_each")).withColumn(name, F.max("_each").over(earlier)).drop("_each")
+        named = each.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_bucket").alias("_in"), name)
+        on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_bucket") == F.col("_in")]
+        return rows.join(named, reduce(and_, on)).drop("_in", *[f"_of_{c}" for c in by])
+
+    reached = carried(placed, F.max(end), "_carried_end")
+    before = F.greatest(F.max(end).over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried_end"))
+    opened = reached.withColumn("_opens", F.when(before.isNull() | (F.col(start) - before > gap), F.col(start))).drop("_carried_end")
+    known = carried(opened, F.max("_opens"), "_carried_island")
+    own = F.max("_opens").over(seq.rowsBetween(Window.unboundedPreceding, 0))
+    return known.withColumn("island", F.coalesce(own, F.col("_carried_island"))).drop("_opens", "_carried_island", "_bucket")
+
+
 def cluster_events(events: DataFrame, gap: float = CLUSTER_GAP) -> DataFrame:
     """Episodes of events (camera_ref, start_epoch, end_epoch, kind) by camera; an episode has its first event's kind."""
-    found = islands(events, ["camera_ref"], "start_epoch", "end_epoch", gap, ["kind"])
+    found = wide_islands(events, ["camera_ref"], "start_epoch", "end_epoch", gap)
     first = F.min_by("kind", F.struct("start_epoch", "end_epoch", "kind"))
     return found.groupBy("camera_ref", "island").agg(F.min("start_epoch").alias("start_epoch"), F.max("end_epoch").alias("end_epoch"), first.alias("kind"), F.count("*").alias("n_events")).drop("island")
 
@@ -38,7 +69,7 @@ def co_occurrence(detections: DataFrame, classes: Sequence[str], max_gap: float
 def padded_spans(spans: DataFrame, pad: float, duration: Column, least: float = MIN_SPAN) -> DataFrame:
     """Spans (video_id, start_time, end_time) padded, cut to the clip, merged where they touch, short ones dropped."""
     wide = spans.select("video_id", F.greatest(F.lit(0.0), F.col("start_time") - pad).alias("start_time"), F.least(duration, F.col("end_time") + pad).alias("end_time")).filter("end_time > start_time")
-    merged = islands(wide, ["video_id"], "start_time", "end_time", 0.0).groupBy("video_id", "island").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
+    merged = wide_islands(wide, ["video_id"], "start_time", "end_time", 0.0).groupBy("video_id", "island").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
     return merged.drop("island").filter(F.col("end_time") - F.col("start_time") >= least)
 
 
@@ -68,19 +99,22 @@ def pair_markers(log: DataFrame) -> DataFrame:
 
 def scene_cuts(frames: DataFrame, threshold: float = CUT_DISTANCE, least: float = CUT_LEAST_SECONDS) -> DataFrame:
     """Cuts of each video from frames (video_id, timestamp, distance to the frame before): far enough, and long enough since the last cut."""
-    ordered = frames.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("timestamp", "distance"))).alias("frames"))
-    start = F.struct(F.element_at("frames", 1)["timestamp"].alias("last"), F.array().cast("array<double>").alias("cuts"))
 
-    def step(acc: Column, f: Column) -> Column:
-        cut = (f["distance"] > threshold) & (f["timestamp"] - acc["last"] >= least)
-        return F.struct(F.when(cut, f["timestamp"]).otherwise(acc["last"]).alias("last"), F.when(cut, F.concat(acc["cuts"], F.array(f["timestamp"]))).otherwise(acc["cuts"]).alias("cuts"))
+    def cuts(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
+        last = None
+        for at, distance in rows:
+            last = at if last is None else last
+            if distance is not None and distance > threshold and at - last >= least:
+                yield *key, at
+                last = at
 
-    return ordered.select("video_id", F.explode(F.aggregate("frames", start, step)["cuts"]).alias("timestamp"))
+    kind = frames.schema["video_id"].dataType.simpleString()
+    return streamed(frames.filter("timestamp IS NOT NULL"), ["video_id"], ["timestamp", "distance"], ["timestamp", "distance"], cuts, f"video_id {kind}, timestamp double")
 
 
-def runs(df: DataFrame, by: Sequence[str], order: str, label: Column) -> DataFrame:
-    """Runs of equal labels: by, run, label, time_start, time_end, samples."""
-    seq = Window.partitionBy(*by).orderBy(order)
+def runs(df: DataFrame, by: Sequence[str], order: str, label: Column, ties: Sequence[str] = ()) -> DataFrame:
+    """Runs of equal labels: by, run, label, time_start, time_end, samples. ``ties`` orders rows of one time."""
+    seq = Window.partitionBy(*by).orderBy(order, *ties)
     marked = df.withColumn("label", label)
     fresh = F.when(F.col("label").eqNullSafe(F.lag("label").over(seq)) & (F.row_number().over(seq) > 1), 0).otherwise(1)
     numbered = marked.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(seq.rowsBetween(Window.unboundedPreceding, 0)))

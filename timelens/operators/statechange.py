@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelens.constants import LONG_SHOT_STRIDE, MIDPOINT_SHOT, SIMILAR_LABELS
 from timelens.functions.text import NOT_VISIBLE
+from timelens.operators.folds import streamed
 
 _NOT_VISIBLE = re.compile(NOT_VISIBLE)
 
@@ -24,7 +24,7 @@ def _alike(a: str, b: str) -> bool:
     return bool(x and y) and len(x & y) / len(x | y) >= SIMILAR_LABELS
 
 
-def analyze(observations: list[tuple[float, str]]) -> tuple[list[tuple[float, float, str]], int, int, int]:
+def analyze(observations: Iterable[tuple[float, str]]) -> tuple[list[tuple[float, float, str]], int, int, int]:
     """Runs of a timeline of (time, label), fewest and most changes, distinct states.
 
     Labels that say the subject isn't visible don't count. Equal labels run together, which gives the most changes; then runs
@@ -63,17 +63,13 @@ SUMMARY = "video_id string, prompt_key string, runs array<struct<time_start:doub
 
 def analyze_timelines(observations: DataFrame) -> DataFrame:
     """R4 for each (video_id, prompt_key): a fold in which each step depends on the last. A timeline is one clip's samples."""
-    lines = F.sort_array(F.collect_list(F.struct("timestamp", "text")))
-    grouped = observations.filter("text IS NOT NULL").groupBy(F.col("video_id").cast("string").alias("video_id"), F.col("prompt_key").cast("string").alias("prompt_key")).agg(lines.alias("lines"))
+    seen = observations.filter("text IS NOT NULL").select(F.col("video_id").cast("string").alias("video_id"), F.col("prompt_key").cast("string").alias("prompt_key"), "timestamp", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("time_start", pa.float64()), ("time_end", pa.float64()), ("label", pa.string())]))
-        for batch in batches:
-            found = [analyze([(x["timestamp"], x["text"]) for x in lines_]) for lines_ in batch.column(2).to_pylist()]
-            runs = [[{"time_start": a, "time_end": b, "label": t} for a, b, t in f[0]] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, kind), *(pa.array([f[i] for f in found], pa.int32()) for i in (1, 2, 3))], names=["video_id", "prompt_key", "runs", "changes_low", "changes_high", "distinct_states"])
+    def summary(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
+        runs, low, high, distinct = analyze(rows)
+        yield *key, [{"time_start": a, "time_end": b, "label": t} for a, b, t in runs], low, high, distinct
 
-    return grouped.mapInArrow(run, SUMMARY)
+    return streamed(seen, ["video_id", "prompt_key"], ["timestamp", "text"], ["timestamp", "text"], summary, SUMMARY)
 
 
 def episodes(analyzed: DataFrame) -> DataFrame:

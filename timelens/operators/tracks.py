@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import itertools
+from collections.abc import Iterable, Iterator, Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timelens.constants import MIN_FRAMES, TRACK_GAP, TRACK_IOU
 from timelens.functions.text import resolve_category
+from timelens.operators.folds import streamed
 
 
 def _number(value: object, name: str) -> float:
@@ -98,35 +99,54 @@ def _iou(a: tuple, b: tuple) -> float:
     return both / union if union > 0 else 0.0
 
 
-def associate(detections: list[tuple], threshold: float = TRACK_IOU, gap: float = TRACK_GAP) -> tuple[list[int], list[_Track]]:
-    """Greedy association of (timestamp, class, confidence, box) rows in frame order: a track's number for each, and the tracks.
+class Tracker:
+    """Greedy association, frame by frame; holds the tracks that can still go on.
 
     Candidates are tracks that were alive before the frame; surer detections choose first; the last of equally
     overlapping tracks is taken.
     """
+
+    def __init__(self, threshold: float = TRACK_IOU, gap: float = TRACK_GAP):
+        self.threshold, self.gap, self.live, self.made = threshold, gap, [], 0
+
+    def ended_before(self, ts: float) -> list[_Track]:
+        """Drops and returns the tracks that a frame at ts can't continue."""
+        over = [t for t in self.live if ts - t.last > self.gap]
+        self.live = [t for t in self.live if ts - t.last <= self.gap]
+        return over
+
+    def frame(self, ts: float, rows: list[tuple]) -> list[_Track]:
+        """Tracks of the frame's rows (class, confidence, box), which are sorted by falling confidence."""
+        free, fresh, out = list(self.live), [], []
+        for cls, confidence, box in rows:
+            match, best = None, self.threshold
+            for t in free:
+                if t.cls == cls and (score := _iou(box, t.box)) >= best:
+                    match, best = t, score
+            if match is None:
+                match = _Track(self.made, cls, box, ts, confidence)
+                self.made += 1
+                fresh.append(match)
+            else:
+                free.remove(match)
+                match.frames += match.last != ts
+                match.box, match.last, match.confidence = box, ts, max(match.confidence, confidence)
+            out.append(match)
+        self.live += fresh
+        return out
+
+
+def associate(detections: list[tuple], threshold: float = TRACK_IOU, gap: float = TRACK_GAP) -> tuple[list[int], list[_Track]]:
+    """Association of (timestamp, class, confidence, box) rows: a track's number for each, and the tracks."""
     order = sorted(range(len(detections)), key=lambda i: (detections[i][0], -detections[i][2]))
-    given, tracks = [0] * len(detections), []
-    live: list[_Track] = []
-    taken: set[int] = set()
-    frame = None
-    for i in order:
-        ts, cls, confidence, box = detections[i]
-        if ts != frame:
-            frame, taken = ts, set()
-            live = [t for t in tracks if ts - t.last <= gap]
-        match, best = None, threshold
-        for t in live:
-            if t.number not in taken and t.cls == cls and (score := _iou(box, t.box)) >= best:
-                match, best = t, score
-        if match is None:
-            match = _Track(len(tracks), cls, box, ts, confidence)
-            tracks.append(match)
-        else:
-            taken.add(match.number)
-            match.frames += match.last != ts
-            match.box, match.last, match.confidence = box, ts, max(match.confidence, confidence)
-        given[i] = match.number
-    return given, tracks
+    tracker, given, found = Tracker(threshold, gap), [0] * len(detections), {}
+    for ts, part in itertools.groupby(order, key=lambda i: detections[i][0]):
+        frame = list(part)
+        tracker.ended_before(ts)
+        for i, t in zip(frame, tracker.frame(ts, [detections[i][1:] for i in frame]), strict=True):
+            given[i] = t.number
+            found[t.number] = t
+    return given, [found[n] for n in sorted(found)]
 
 
 TRACKS = "video_id string, track_id string, object_class string, track_confidence double, first_seen double, last_seen double, frame_count int"
@@ -135,19 +155,21 @@ TRACKS = "video_id string, track_id string, object_class string, track_confidenc
 def track(detections: DataFrame, threshold: float = TRACK_IOU, gap: float = TRACK_GAP) -> DataFrame:
     """UD6: tracks of each video, from (video_id, timestamp, object_class, confidence, bbox_x, bbox_y, bbox_w, bbox_h).
 
-    A fold over a video's frames, which reads one video at a time; ids are hashes of video and number, so that runs agree.
+    A fold over a video's frames, streamed in order; ids are hashes of video and number, so that runs agree.
     """
-    rows = F.sort_array(F.collect_list(F.struct("timestamp", (-F.col("confidence")).alias("less"), "object_class", "bbox_x", "bbox_y", "bbox_w", "bbox_h")))
-    grouped = detections.groupBy(F.col("video_id").cast("string").alias("video_id")).agg(rows.alias("rows"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for video, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, tracks = associate([(r["timestamp"], r["object_class"], -r["less"], (r["bbox_x"], r["bbox_y"], r["bbox_w"], r["bbox_h"])) for r in found], threshold, gap)
-                out += [(video, f"{video}#{t.number}", t.cls, t.confidence, t.first, t.last, t.frames) for t in tracks]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
-            names = [f.split()[0] for f in TRACKS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
-
-    return grouped.mapInArrow(run, TRACKS).withColumn("track_id", F.sha1("track_id"))
+    values = ["timestamp", "object_class", "confidence", "bbox_x", "bbox_y", "bbox_w", "bbox_h"]
+    rows = detections.withColumns({"video_id": F.col("video_id").cast("string"), "_less": -F.col("confidence")})
+
+    def tracks_of(key: tuple, found: Iterable[tuple]) -> Iterator[tuple]:
+        tracker = Tracker(threshold, gap)
+
+        def shown(ended: list[_Track]) -> Iterator[tuple]:
+            for t in ended:
+                yield *key, f"{key[0]}#{t.number}", t.cls, t.confidence, t.first, t.last, t.frames
+
+        for ts, part in itertools.groupby(found, key=lambda r: r[0]):
+            yield from shown(tracker.ended_before(ts))
+            tracker.frame(ts, [(r[1], r[2], r[3:]) for r in part])
+        yield from shown(tracker.live)
+
+    return streamed(rows, ["video_id"], ["timestamp", "_less", "object_class", "bbox_x", "bbox_y", "bbox_w", "bbox_h"], values, tracks_of, TRACKS).withColumn("track_id", F.sha1("track_id"))

@@ -67,7 +67,7 @@ def a5(s, d):
     return aggregate.list_events(_entities(s, d)).select("track_id", "video_id", "absolute", "frame_count")
 
 
-@query("a6_histogram", f"WITH {_PLACED}, counted AS (SELECT floor((absolute - {b.T0}) / 3600)::BIGINT AS bucket, count(*) AS n FROM entities GROUP BY 1) SELECT r.range AS bucket, {b.T0} + r.range * 3600.0 AS bucket_start, coalesce(n, 0) AS n FROM range({int((b.T1 - b.T0) // 3600)}) r LEFT JOIN counted ON counted.bucket = r.range")
+@query("a6_histogram", f"WITH {_PLACED}, counted AS (SELECT floor((absolute - {b.T0}) / 3600)::BIGINT AS bucket, count(*) AS n FROM entities GROUP BY 1) SELECT r.range AS bucket, {b.T0}::DOUBLE + r.range * 3600.0::DOUBLE AS bucket_start, coalesce(n, 0) AS n FROM range({int((b.T1 - b.T0) // 3600)}) r LEFT JOIN counted ON counted.bucket = r.range")
 def a6(s, d):
     return aggregate.timeline_histogram(_entities(s, d), b.T0, b.T1, "1h")
 
@@ -198,10 +198,10 @@ def i6(s, d):
 
 
 @query("r1_runs", f"""WITH {b.DETECTIONS}, o AS (SELECT video_id, timestamp, event_id, CASE WHEN object_class = 'view' THEN 'none' ELSE object_class END AS label FROM detections),
-c1 AS (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY video_id ORDER BY timestamp) THEN 0 ELSE 1 END AS fresh FROM o), c2 AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS run FROM c1)
+c1 AS (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY video_id ORDER BY timestamp, event_id) THEN 0 ELSE 1 END AS fresh FROM o), c2 AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c1)
 SELECT video_id, run::BIGINT AS run, label, min(timestamp) AS time_start, max(timestamp) AS time_end, count(*) AS samples FROM c2 GROUP BY 1, 2, 3""")
 def r1(s, d):
-    return intervals.runs(b.observations(s, d), ["video_id"], "timestamp", F.col("text"))
+    return intervals.runs(b.observations(s, d), ["video_id"], "timestamp", F.col("text"), ["event_id"])
 
 
 @query("r4_state_changes")
@@ -518,7 +518,7 @@ def s_text(s, d):
     return b.load(s, d, "documents").select("doc_id", tx.squeezed(t).alias("squeezed"), tx.collapsed(t).alias("collapsed"), tx.state(t).alias("state"), F.size(tx.tokens(t)).cast("bigint").alias("n_tokens"), F.sha2(t, 256).alias("sha"))
 
 
-@query("s7_canonical_key", f"""WITH w AS (SELECT p_partkey, list_sort(list_distinct(list_transform(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: regexp_replace(x, 's+$', '')))) AS ws FROM part), k AS (SELECT p_partkey, ws, array_to_string(list_filter(ws, lambda x: x NOT IN {tuple(sorted({n.rstrip('s') for n in tx.KEY_NOISE} | {''}))}), '-') AS key FROM w)
+@query("s7_canonical_key", f"""WITH w AS (SELECT p_partkey, list_sort(list_distinct(list_transform(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: regexp_replace(x, 's+$', '')))) AS ws FROM part), k AS (SELECT p_partkey, ws, array_to_string(list_filter(ws, lambda x: x NOT IN ('', 'the', 'a', 'an', 'of', 'in', 'on', 'i', 'are', 'it', 'their', 'and', 'or', 'main', 'person', 'current', 'state', 'wearing', 'worn', 'color', 'colour', 'style', 'garment', 'e', 'g', 'eg', 'frame', 'visible')), '-') AS key FROM w)
 SELECT p_partkey, CASE WHEN key <> '' THEN key ELSE 't' || substr(sha1(array_to_string(ws, ' ')), 1, 12) END AS key FROM k""")
 def s7(s, d):
     return b.load(s, d, "part").select("p_partkey", tx.canonical_key(F.col("p_name")).alias("key"))
@@ -534,16 +534,16 @@ def s11(s, d):
     return b.load(s, d, "events").select("event_id", tx.minutes(F.col("value")).alias("shown"))
 
 
-@query("s13_coerced_seconds", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 100)::DOUBLE WHEN 1 THEN (o_orderkey % 60) * 60 + 7.0::DOUBLE END AS seconds FROM orders")
+@query("s13_coerced_seconds", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN (o_orderkey % 100)::DOUBLE WHEN 1 THEN (o_orderkey % 60) * 60 + 7.0::DOUBLE WHEN 2 THEN 223384.5::DOUBLE WHEN 3 THEN (o_orderkey % 10)::DOUBLE END AS seconds FROM orders")
 def s13(s, d):
     k = F.col("o_orderkey")
-    said = F.when(k % 3 == 0, F.concat((k % 100).cast("string"), F.lit("s"))).when(k % 3 == 1, F.concat((k % 60).cast("string"), F.lit(":07"))).otherwise("soon")
+    said = F.when(k % 5 == 0, F.concat((k % 100).cast("string"), F.lit("s"))).when(k % 5 == 1, F.concat((k % 60).cast("string"), F.lit(":07"))).when(k % 5 == 2, "1:02:03:04.5").when(k % 5 == 3, F.concat(F.lit(" "), (k % 10).cast("string"), F.lit(" S "))).otherwise("soon")
     return b.load(s, d, "orders").select("o_orderkey", timeparse.coerced_seconds(said).alias("seconds"))
 
 
 @query("s22_min_max", f"WITH {b.EV} SELECT event_id, round(CASE WHEN max(value) OVER w - min(value) OVER w < 1e-9 THEN 0.5 ELSE (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) END, 6) AS scaled FROM ev WINDOW w AS (PARTITION BY event_type)")
 def s22(s, d):
-    return b.raw_events(s, d).select("event_id", F.round(vector.min_max(F.col("value"), "event_type"), 6).alias("scaled"))
+    return vector.min_max(b.raw_events(s, d), "value", "event_type", "scaled").select("event_id", F.round("scaled", 6).alias("scaled"))
 
 
 @query("s23_hash_embedding")

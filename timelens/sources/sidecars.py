@@ -9,7 +9,7 @@ _SCHEMAS = {
     "transcript": ("lines", "struct<start_time:double,end_time:double,text:string,speaker:string>"),
     "diarization": ("turns", "struct<start_time:double,end_time:double,speaker:string>"),
     "ocr": ("lines", "struct<timestamp:double,text:string,bbox_x:double,bbox_y:double,bbox_w:double,bbox_h:double>"),
-    "motion": ("events", "struct<camera_ref:string,start_epoch:double,end_epoch:double,kind:string>"),
+    "motion": ("events", "struct<camera_ref:string,start_epoch:double,end_epoch:double,kind:string,open:boolean>"),
 }
 
 

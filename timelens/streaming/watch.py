@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timelens.constants import CLUSTER_GAP, MAX_WINDOW
 from timelens.functions.timeparse import window_uri
 from timelens.operators.catalog import advance_watermarks
-from timelens.operators.intervals import islands, split_windows
+from timelens.operators.intervals import split_windows, wide_islands
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ def catch_up(cameras: DataFrame, events: DataFrame, now: float, rules: WatchRule
     n = cameras.agg(F.count("*").alias("n_cameras"))
     pending = pending_events(cameras, events, now, rules)
     deferred = pending.filter("deferred").groupBy("camera_id").agg(F.min("start_epoch").alias("deferred_start"))
-    settled = islands(pending.filter("NOT deferred"), ["camera_id"], "start_epoch", "end_epoch", rules.gap)
+    settled = wide_islands(pending.filter("NOT deferred"), ["camera_id"], "start_epoch", "end_epoch", rules.gap)
     episodes = settled.groupBy("camera_id", "source_ref", "watermark", "island").agg(F.min("start_epoch").alias("start_epoch"), F.max("end_epoch").alias("end_epoch"))
     windows = split_windows(episodes).withColumn("uri", window_uri(F.col("source_ref"), F.col("window_start"), F.col("window_end")))
     windows = windows.join((keys if ingested is None else ingested.select("uri")).distinct().withColumn("free", F.lit(True)), "uri", "left")
@@ -89,7 +90,8 @@ class WatchStream:
     """A stream of events that catches up in each micro-batch.
 
     The state, watermarks and events not yet passed, is a versioned folder of Parquet: a batch that is replayed starts from the version before
-    it and writes the same one again, and ingested windows are known by their URI, so delivery is at least once with no double work.
+    it, with the time that it was first run at, and writes the same one again; ingested windows are known by their URI, so delivery is at
+    least once with no double work. A batch adds its own ingested windows only, and versions that no replay needs are removed.
     """
 
     def __init__(self, spark: SparkSession, state_path: str, cameras: DataFrame, ingest: Callable[[DataFrame], DataFrame], now: Callable[[], float], rules: WatchRules = WatchRules()):
@@ -98,23 +100,48 @@ class WatchStream:
     def _load(self, name: str, batch: int, empty: DataFrame) -> DataFrame:
         return empty if batch < 0 else self.spark.read.parquet(f"{self.path}/{name}/v={batch}")
 
+    def _clock(self, batch: int) -> float:
+        """The time of a batch, the same when it is replayed."""
+        path = f"{self.path}/clock/v={batch}"
+        try:
+            return self.spark.read.schema("now double").parquet(path).first()["now"]
+        except (AnalysisException, TypeError):
+            now = float(self.now())
+            self.spark.createDataFrame([(now,)], "now double").write.mode("overwrite").parquet(path)
+            return now
+
+    def _ingested(self, batch: int) -> DataFrame:
+        """Windows that earlier batches ingested."""
+        if batch <= 0:
+            return self.spark.createDataFrame([], "uri string")
+        return self.spark.read.schema("uri string, v long").parquet(f"{self.path}/ingested").filter(F.col("v") < batch).select("uri")
+
+    def _drop(self, path: str) -> None:
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
     def process(self, events: DataFrame, batch: int) -> None:
         before = batch - 1
         cameras = self._load("cameras", before, self.first.select("camera_id", "source_ref", F.col("last_processed_epoch").cast("double").alias("last_processed_epoch")))
-        fresh = events.select("camera_ref", F.col("start_epoch").cast("double"), F.col("end_epoch").cast("double"), F.lit(False).alias("open"))
+        is_open = F.coalesce(F.col("open").cast("boolean"), F.lit(False)) if "open" in events.columns else F.lit(False)
+        fresh = events.select("camera_ref", F.col("start_epoch").cast("double"), F.col("end_epoch").cast("double"), is_open.alias("open"))
         kept = self._load("events", before, fresh.limit(0)).unionByName(fresh).distinct()
-        known = self._load("ingested", before, self.spark.createDataFrame([], "uri string"))
-        now = self.now()
+        known = self._ingested(batch)
+        now = self._clock(batch)
         plan = catch_up(cameras, kept, now, self.rules, known)
         done = self.ingest(plan.windows)  # rows (uri) that were ingested
         failed = plan.windows.join(done.select("uri"), "uri", "left_anti")
         result = catch_up(cameras, kept, now, self.rules, known, failed)
         save = lambda df, name: df.write.mode("overwrite").parquet(f"{self.path}/{name}/v={batch}")
         save(result.cameras.select("camera_id", "source_ref", "last_processed_epoch"), "cameras")
-        save(known.unionByName(done.select("uri")).distinct(), "ingested")
+        save(done.select("uri").distinct(), "ingested")
         passed = result.cameras.select(F.col("source_ref").alias("camera_ref"), "last_processed_epoch")
         left = kept.join(passed, "camera_ref", "left").filter(F.col("last_processed_epoch").isNull() | (F.col("start_epoch") >= F.col("last_processed_epoch")))
         save(left.select("camera_ref", "start_epoch", "end_epoch", "open"), "events")
+        # a replayed batch needs the version before it, and none older
+        for name in ("cameras", "events", "clock"):
+            self._drop(f"{self.path}/{name}/v={batch - 2}")
 
     def start(self, stream: DataFrame, checkpoint: str, interval: str | None = None):
         """ST12: every interval, or what there is now if none is given."""
