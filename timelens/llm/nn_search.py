@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 from timelens.llm.common import checkpoint, free_shuffles, table
 
 NEAREST = 10
-#: Neighbours kept for a node, incoming ones joined with them, trees, nodes of a block.
-NEIGHBOURS, REVERSE, TREES, LEAF = 20, 20, 6, 400
+#: Neighbours kept for a node, incoming ones joined with them, trees, nodes of a block, neighbours taken from a block.
+NEIGHBOURS, REVERSE, TREES, LEAF, FROM_LEAF = 32, 32, 6, 400, 16
+#: Groups of neighbours whose pairs are put out at once.
+GROUPS = 200
 SAMPLE = 10_000
 ROUNDS, SETTLED = 8, 0.005
 #: Nodes kept for a query at first.
-BEAM = 64
+BEAM = 192
 #: Queries whose nearest nodes are also found exactly, the recall that they must have, and queries compared with all nodes in one pass.
 CHECKED, RECALL, BLOCK = 100, 0.95, 1000
 
@@ -64,44 +66,37 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def mean_of(nodes: DataFrame, width: int) -> np.ndarray:
+def mean_and_reach(nodes: DataFrame, width: int) -> tuple[np.ndarray, float]:
+    """The mean vector, and a bound of how far a component is from it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(width), 0
+        total, n, top = np.zeros(width), 0, 0.0
         for b in batches:
-            total += matrix(b.column(0), width).sum(axis=0, dtype=np.float64)
+            x = matrix(b.column(0), width)
+            total += x.sum(axis=0, dtype=np.float64)
             n += b.num_rows
-        yield pa.RecordBatch.from_pydict({"total": pa.array([total.tolist()], pa.list_(pa.float64())), "n": pa.array([n], pa.int64())})
+            top = max(top, float(np.abs(x).max(initial=0.0)))
+        yield pa.RecordBatch.from_pydict({"total": pa.array([total.tolist()], pa.list_(pa.float64())), "n": pa.array([n], pa.int64()), "top": pa.array([top])})
 
-    parts = nodes.select("vec").mapInArrow(run, "total array<double>, n long").collect()
-    return np.sum([p["total"] for p in parts], axis=0) / max(1, sum(p["n"] for p in parts))
+    parts = nodes.select("vec").mapInArrow(run, "total array<double>, n long, top double").collect()
+    mean = np.sum([p["total"] for p in parts], axis=0) / max(1, sum(p["n"] for p in parts))
+    return mean, max(p["top"] for p in parts) + float(np.abs(mean).max(initial=0.0))
 
 
-def packed(nodes: DataFrame, mean: np.ndarray) -> DataFrame:
-    """node, code: vectors less the mean as 16-bit floats, scaled by the largest power of two that keeps them finite."""
-    width = len(mean)
+def packed(nodes: DataFrame, mean: np.ndarray, reach: float) -> DataFrame:
+    """node, code: vectors less the mean as 16-bit floats, scaled by a power of two to a reach of about a thousand."""
+    scale, width = float(2.0 ** np.ceil(np.log2((reach or 1.0) / 1024.0))), len(mean)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column(1), width) - mean
-            yield pa.RecordBatch.from_pydict({"node": b.column(0), "code": pa.array([c.tobytes() for c in x.astype(np.float32)], pa.binary())})
-
-    def halves(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = unpacked(b.column(1), width, np.float32) / scale
-            yield pa.RecordBatch.from_pydict({"node": b.column(0), "code": pa.array([c.tobytes() for c in x.astype(np.float16)], pa.binary())})
+            x = ((matrix(b.column(1), width) - mean) / scale).astype(np.float16)
+            yield pa.RecordBatch.from_pydict({"node": b.column(0), "code": pa.array([c.tobytes() for c in x], pa.binary())})
 
-    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"top": pa.array([float(np.abs(unpacked(b.column(1), width, np.float32)).max(initial=0.0))])})
+    return nodes.select("node", "vec").mapInArrow(run, "node long, code binary")
 
-    wide = nodes.select("node", "vec").mapInArrow(run, "node long, code binary")
-    top = wide.mapInArrow(largest, "top double").agg(F.max("top")).first()[0] or 1.0
-    scale = float(2.0 ** np.ceil(np.log2(top / 1024.0)))
-    return wide.mapInArrow(lambda batches: halves(batches, scale), "node long, code binary")
 
-
-def unpacked(column: pa.Array, width: int, kind: type = np.float16) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width).astype(np.float32)
+def unpacked(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
 
 
 def fit_tree(sample: np.ndarray, least: int, rng: np.random.Generator) -> list:
@@ -178,7 +173,7 @@ def forest_edges(codes: DataFrame, n: int, width: int) -> DataFrame:
                     members = b.column(0)[i].values
                     ids = members.field("node").to_numpy()
                     x = unpacked(members.field("code"), width)
-                    k = min(NEIGHBOURS, len(ids) - 1)
+                    k = min(FROM_LEAF, len(ids) - 1)
                     if k < 1:
                         continue
                     d = distances(x, x)
@@ -215,9 +210,9 @@ def descend(codes: DataFrame, edges: DataFrame, width: int) -> tuple[DataFrame,
 
     def nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            for b in batches:
+            for b, first in ((b, first) for b in batches for first in range(0, b.num_rows, GROUPS)):
                 us, vs, ds = [], [], []
-                for i in range(b.num_rows):
+                for i in range(first, min(first + GROUPS, b.num_rows)):
                     members = b.column(0)[i].values
                     ids, worst_ = members.field("node").to_numpy(), members.field("worst").to_numpy()
                     fresh = members.field("fresh").to_numpy(zero_copy_only=False)
@@ -232,8 +227,8 @@ def descend(codes: DataFrame, edges: DataFrame, width: int) -> tuple[DataFrame,
                     u, v, d = map(np.concatenate, (us, vs, ds))
                     # a pair is met in several groups
                     order = np.lexsort((d, v, u))
-                    first = np.r_[True, (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])] if len(u) else order
-                    yield u[order[first]], v[order[first]], d[order[first]]
+                    once = order[np.r_[True, (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])]] if len(u) else order
+                    yield u[once], v[once], d[once]
 
         return _edges(found())
 
@@ -361,7 +356,7 @@ def completed(codes: DataFrame, nodes: DataFrame, found: DataFrame, starts: Data
 def _nearest_of_length(good: DataFrame, is_query: Column, width: int, k: int) -> DataFrame:
     nodes = checkpoint(make_nodes(good, k))
     n = nodes.count()
-    codes = checkpoint(packed(nodes, mean_of(nodes, width)))
+    codes = checkpoint(packed(nodes, *mean_and_reach(nodes, width)))
     queries = good.filter(is_query).select(F.col("vec_id").alias("q"), F.xxhash64("vec").alias("start"), F.col("vec").alias("qvec"))
     starts = checkpoint(queries.select(F.col("start").alias("node")).distinct())
     if n > 1:
