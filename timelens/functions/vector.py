@@ -65,6 +65,17 @@ def hash_embedding(text: Column, dim: int = 256) -> Column:
     return bound(bound(spots, summed), normalised)
 
 
+def hash_embeddings(df: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
+    """hash_embedding for long texts, as rows (key, at, value) of the places that aren't zero: words are added up before the shuffle."""
+    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9']+)"), F.lit(1)))
+    digest = df.select(key, words.alias("w")).select(key, F.sha2("w", 256).alias("h"))
+    at = (F.conv(F.substring("h", 9, 8), 16, 10).cast("bigint") % dim).cast("int")
+    sign = F.when(F.conv(F.substring("h", 17, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    sums = digest.groupBy(key, at.alias("at")).agg(F.sum(sign).alias("sum")).filter("sum <> 0")
+    length = sums.groupBy(F.col(key).alias("_of")).agg(F.sqrt(F.sum(F.col("sum") * F.col("sum"))).alias("_length"))
+    return sums.join(length, F.col(key).eqNullSafe(F.col("_of"))).select(key, "at", (F.col("sum") / F.col("_length")).alias("value"))
+
+
 def hash_embed(text: str, dim: int = 256) -> list[float]:
     """hash_embedding for a query, on the driver."""
     out = [0.0] * dim

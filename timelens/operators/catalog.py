@@ -75,6 +75,16 @@ def get_many(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return table.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def ordered_read(table: DataFrame, video_id: object, order: Sequence[str]) -> DataFrame:
+    """FP5: one video's rows in order."""
+    return lookup(table, video_id=video_id).orderBy(*order)
+
+
+def with_ids(table: DataFrame, key: str, *of: str) -> DataFrame:
+    """FP6: rows without an id get one made of their own columns, the same on every read."""
+    return table.withColumn(key, F.coalesce(F.col(key), F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in of]))))
+
+
 def newest(table: DataFrame, limit: int | None, order: str = "created_at", key: str = "id") -> DataFrame:
     """FP3."""
     ordered = table.orderBy(F.desc(order), key)

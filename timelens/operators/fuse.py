@@ -57,6 +57,11 @@ def from_summaries(rows: DataFrame) -> DataFrame:
     return _item(rows, "object", "first_seen", "last_seen", F.format_string("%s in %d frames", "object_class", "frames"), F.col("confidence"))
 
 
+def top_spans(spans: DataFrame, most: int = 3) -> DataFrame:
+    """The spans with most frames."""
+    return spans.orderBy(F.desc("frames"), "time_start", "video_id").limit(most)
+
+
 def gather(parts: Sequence[DataFrame]) -> DataFrame:
     """All candidates in one pool; ``position`` keeps the order of the parts."""
     pool = None

@@ -121,6 +121,29 @@ def runs(df: DataFrame, by: Sequence[str], order: str, label: Column, ties: Sequ
     return numbered.groupBy(*by, "run", "label").agg(F.min(order).alias("time_start"), F.max(order).alias("time_end"), F.count("*").alias("samples"))
 
 
+def positional_join(left: DataFrame, right: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The n-th row of a group on the left with the n-th on the right; what is left over on either side goes."""
+    seq = Window.partitionBy(*by).orderBy(*order)
+    numbered = lambda df: df.withColumn("_at", F.row_number().over(seq)).drop(*order)
+    return numbered(left).join(numbered(right), [*by, "_at"]).drop("_at")
+
+
+def motion_spans(episodes: DataFrame, chunks: DataFrame, margin: float, pad: float, least: float = MIN_SPAN) -> DataFrame:
+    """Motion within chunks (video_id, camera_ref, start_epoch, duration_seconds): events near a chunk are clustered, then set against its start, padded, cut to it and merged.
+
+    Events reach a chunk from ``margin`` seconds around it. A chunk without a span is one whole span.
+    """
+    named = chunks.select("video_id", F.col("camera_ref").alias("_camera"), F.col("start_epoch").alias("_start"), "duration_seconds")
+    near = (F.col("camera_ref") == F.col("_camera")) & (F.col("end_epoch") >= F.col("_start") - margin) & (F.col("start_epoch") <= F.col("_start") + F.col("duration_seconds") + margin)
+    met = episodes.join(named, near).select("video_id", "duration_seconds", (F.col("start_epoch") - F.col("_start")).alias("start_time"), (F.col("end_epoch") - F.col("_start")).alias("end_time"))
+    grouped = wide_islands(met, ["video_id"], "start_time", "end_time", CLUSTER_GAP).groupBy("video_id", "duration_seconds", "island").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")).drop("island")
+    low, high = F.greatest(F.lit(0.0), F.col("start_time") - pad), F.least(F.col("duration_seconds"), F.col("end_time") + pad)
+    wide = grouped.select("video_id", low.alias("start_time"), high.alias("end_time")).filter(F.col("end_time") - F.col("start_time") >= least)
+    merged = wide_islands(wide, ["video_id"], "start_time", "end_time", 0.0).groupBy("video_id", "island").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")).drop("island")
+    whole = chunks.join(merged.select("video_id").distinct(), "video_id", "left_anti").select("video_id", F.lit(0.0).alias("start_time"), F.col("duration_seconds").alias("end_time"))
+    return merged.union(whole)
+
+
 def temporal_join(points: DataFrame, spans: DataFrame, on: str = "video_id") -> DataFrame:
     """Points (timestamp) within spans (start_time, end_time) of the same key, both ends included."""
     return points.join(spans, on).filter(F.col("timestamp").between(F.col("start_time"), F.col("end_time")))

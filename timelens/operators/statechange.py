@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timelens.constants import LONG_SHOT_STRIDE, MIDPOINT_SHOT, SIMILAR_LABELS
+from timelens.constants import LONG_SHOT_STRIDE, MIDPOINT_SHOT, SHOWN_RUNS, SIMILAR_LABELS, TOP_STATES
 from timelens.functions.text import NOT_VISIBLE
 from timelens.operators.folds import streamed
 
@@ -78,6 +78,24 @@ def episodes(analyzed: DataFrame) -> DataFrame:
     return analyzed.select("video_id", "prompt_key", F.explode("runs").alias("run")).groupBy("video_id", "prompt_key", label.alias("state")).agg(F.count("*").alias("episodes"))
 
 
+def top_states(analyzed: DataFrame, most: int = TOP_STATES) -> DataFrame:
+    """The states of each timeline with most episodes."""
+    by = Window.partitionBy("video_id", "prompt_key").orderBy(F.desc("episodes"), "state")
+    return episodes(analyzed).withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= most).drop("_rank")
+
+
+def scan_evidence(analyzed: DataFrame, frames: DataFrame, target: str) -> DataFrame:
+    """A counted item for each timeline (score 1), and its first SHOWN_RUNS runs; frames (video_id, prompt_key, frames) says how many were looked at."""
+    said = top_states(analyzed).groupBy("video_id", "prompt_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("episodes")).alias("less"), "state"))).alias("states"))
+    joined = analyzed.join(said, ["video_id", "prompt_key"], "left").join(frames, ["video_id", "prompt_key"], "left")
+    shown = F.array_join(F.transform(F.coalesce("states", F.array().cast("array<struct<less:bigint,state:string>>")), lambda x: F.concat(x["state"], F.lit(": "), (-x["less"]).cast("string"))), ", ")
+    counted = F.format_string("counted over %d frames of '%s': %d distinct states, %d to %d changes, %d episodes (%s)", F.coalesce("frames", F.lit(0)), F.lit(target), "distinct_states", "changes_low", "changes_high", F.size("runs"), shown)
+    first, last = F.get("runs", F.lit(0))["time_start"], F.get("runs", F.size("runs") - 1)["time_end"]
+    total = joined.select(F.lit("deep_scan_count").alias("modality"), "video_id", F.coalesce(first, F.lit(0.0)).alias("time_start"), F.coalesce(last, F.lit(0.0)).alias("time_end"), counted.alias("content"), F.lit(1.0).alias("score"))
+    each = analyzed.select("video_id", F.explode(F.slice("runs", 1, SHOWN_RUNS)).alias("run")).select(F.lit("observation").alias("modality"), "video_id", "run.time_start", "run.time_end", F.col("run.label").alias("content"), F.lit(0.9).alias("score"))
+    return total.unionByName(each)
+
+
 def mapped(observations: DataFrame, mapping: DataFrame) -> DataFrame:
     """labels replaced by a mapping (label, canonical); others stay."""
     return observations.join(mapping.select(F.col("label").alias("text"), "canonical"), "text", "left").withColumn("text", F.coalesce("canonical", "text")).drop("canonical")

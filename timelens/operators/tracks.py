@@ -70,6 +70,11 @@ def existing_classes(detections: DataFrame) -> DataFrame:
     return detections.select(F.lower("object_class").alias("object_class")).distinct()
 
 
+def known_among(detections: DataFrame, text: str) -> DataFrame:
+    """Classes that are detected and that a text names as they are."""
+    return existing_classes(detections).filter(F.col("object_class").isin(*dict.fromkeys(text.lower().split())))
+
+
 def best_detections(detections: DataFrame) -> DataFrame:
     """Each track's detection of most confidence, the first of equal ones."""
     best = F.min_by(F.struct("timestamp", "confidence"), F.struct((-F.col("confidence")).alias("less"), "timestamp"))

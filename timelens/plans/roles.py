@@ -8,20 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelens.functions.text import overlap_score, query_tokens
+from timelens.functions.image import color_embedding, color_key, nearest_color
+from timelens.functions.text import overlap_score, query_tokens, verdict
 from timelens.functions.vector import hash_embedding
 from timelens.operators import intervals, tracks
-from timelens.sources import sidecars
-
-#: A ten-colour palette that colour-word backends share.
-PALETTE = {"black": (0, 0, 0), "white": (255, 255, 255), "red": (220, 30, 30), "green": (30, 160, 60), "blue": (30, 60, 220), "yellow": (240, 220, 40), "orange": (240, 140, 30), "purple": (130, 40, 160), "brown": (120, 80, 40), "gray": (128, 128, 128)}
-
-
-def nearest_color(r: Column, g: Column, b: Column) -> Column:
-    """The palette's colour nearest to a mean colour."""
-    far = F.array(*[F.struct(sum(((c - v) * (c - v) for c, v in zip((r, g, b), rgb, strict=True)), F.lit(0)).alias("d"), F.lit(name).alias("name")) for name, rgb in sorted(PALETTE.items())])
-    return F.array_min(far)["name"]
-
+from timelens.sources import media, sidecars
 
 def scalar_model(load: Callable[[], Callable[[pd.Series], pd.Series]], kind: str) -> Callable[[Column], Column]:
     """A slot for a model over one column: loaded once in each Python worker, called by Arrow batches."""
@@ -38,9 +29,9 @@ def scalar_model(load: Callable[[], Callable[[pd.Series], pd.Series]], kind: str
 ROLES: dict[str, Callable] = {
     "scene_detector": intervals.scene_cuts,
     "text_embedder": hash_embedding,
-    "visual_embedder": lambda color: hash_embedding(color, 64),
+    "visual_embedder": lambda text: color_embedding(color_key(text)),
     "vlm_captioner": lambda r, g, b: F.concat(F.lit("a mostly "), nearest_color(r, g, b), F.lit(" frame")),
-    "object_detector": lambda frames: frames,
+    "object_detector": media.synthetic_boxes,
     "object_tracker": tracks.track,
     "action_recognizer": intervals.motion_level,
     "speech_to_text": lambda spark, path: sidecars.read_sidecars(spark, path, "transcript"),
@@ -48,7 +39,7 @@ ROLES: dict[str, Callable] = {
     "ocr": lambda spark, path: sidecars.read_sidecars(spark, path, "ocr"),
     "motion_source": lambda spark, path: sidecars.read_sidecars(spark, path, "motion"),
     "reranker": lambda text, query: overlap_score(text, query_tokens(query)),
-    "vlm_verifier": lambda items: items.withColumn("accepted", F.lit(True)),
+    "vlm_verifier": lambda items: items.withColumn("accepted", F.coalesce(verdict(F.col("answer")) != "no", F.lit(True)) if "answer" in items.columns else F.lit(True)),
 }
 
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timelens import bindings as b
 from timelens.constants import NO_CAMERA
+from timelens.functions import image, timeparse, vector
 from timelens.functions import text as tx
-from timelens.functions import timeparse, vector
-from timelens.operators import aggregate, catalog, delivery, fuse, intervals, search, statechange, tracks, vectors
-from timelens.plans import planner
+from timelens.operators import aggregate, catalog, delivery, fuse, intervals, jobs, presence, search, statechange, textindex, tracks, vectors
+from timelens.plans import ingest, planner
 from timelens.sources import media, uris
 from timelens.streaming import watch
 
@@ -191,7 +191,9 @@ def i5(s, d):
     return intervals.pair_markers(log)
 
 
-@query("i6_scene_cuts")
+@query("i6_scene_cuts", f"""WITH RECURSIVE {b.DETECTIONS}, cuts AS (SELECT video_id, min(timestamp) AS stamp, 0 AS n FROM detections GROUP BY 1
+  UNION ALL SELECT c.video_id, min(d.timestamp), max(c.n) + 1 FROM cuts c JOIN detections d ON d.video_id = c.video_id AND d.confidence > 0.4 AND d.timestamp - c.stamp >= 86400 GROUP BY c.video_id)
+SELECT video_id, stamp AS timestamp FROM cuts WHERE n > 0""")
 def i6(s, d):
     frames = b.detections(s, d).select("video_id", "timestamp", F.col("confidence").alias("distance"))
     return intervals.scene_cuts(frames, 0.4, 86_400.0)
@@ -204,12 +206,25 @@ def r1(s, d):
     return intervals.runs(b.observations(s, d), ["video_id"], "timestamp", F.col("text"), ["event_id"])
 
 
-@query("r4_state_changes")
+# a stack of runs for each video: a single sample between two runs of one state is taken off when the second one comes
+_STATES = f"""WITH RECURSIVE {b.DETECTIONS}, seen AS (SELECT video_id, timestamp, object_class AS state FROM detections WHERE object_class <> 'view'),
+c1 AS (SELECT *, CASE WHEN state = lag(state) OVER (PARTITION BY video_id ORDER BY timestamp, state) THEN 0 ELSE 1 END AS fresh FROM seen),
+c2 AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY timestamp, state ROWS UNBOUNDED PRECEDING) AS run FROM c1),
+runs AS (SELECT video_id, run::BIGINT AS run, state, min(timestamp) AS t0, max(timestamp) AS t1 FROM c2 GROUP BY 1, 2, 3),
+fold AS (SELECT video_id, run, [{{'s': state, 'a': t0, 'b': t1}}] AS st FROM runs WHERE run = 1 UNION ALL
+  SELECT f.video_id, r.run, CASE WHEN len(st) >= 2 AND st[len(st)].a = st[len(st)].b AND st[len(st) - 1].s = r.state
+    THEN list_append(st[1:len(st) - 2], {{'s': r.state, 'a': st[len(st) - 1].a, 'b': r.t1}}) ELSE list_append(st, {{'s': r.state, 'a': r.t0, 'b': r.t1}}) END
+  FROM fold f JOIN runs r ON r.video_id = f.video_id AND r.run = f.run + 1),
+final AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY run DESC) = 1)"""
+
+
+@query("r4_state_changes", f"""{_STATES} SELECT video_id::VARCHAR AS video_id, (len(st) - 1)::INTEGER AS changes_low, (run - 1)::INTEGER AS changes_high,
+  len(list_distinct(list_transform(st, lambda x: x.s)))::INTEGER AS distinct_states FROM final""")
 def r4(s, d):
     return statechange.analyze_timelines(b.observations(s, d)).select("video_id", "changes_low", "changes_high", "distinct_states")
 
 
-@query("a18_episodes")
+@query("a18_episodes", f"{_STATES}, each AS (SELECT video_id, unnest(st) AS x FROM final) SELECT video_id::VARCHAR AS video_id, 'state' AS prompt_key, x.s AS state, count(*) AS episodes FROM each GROUP BY 1, 2, 3")
 def a18(s, d):
     return statechange.episodes(statechange.analyze_timelines(b.observations(s, d)))
 
@@ -321,10 +336,13 @@ def f5(s, d):
     return search.search_ocr(b.screen_lines(s, d), QUERY, 50)
 
 
-@query("f6_action_search", f"WITH {b.EV} SELECT event_id, value AS confidence FROM ev WHERE event_type = 'purchase' ORDER BY confidence DESC, epoch, video_id LIMIT 50")
+@query("f6_action_search", f"""WITH {b.EV}, a AS (SELECT event_id, video_id, epoch, value AS confidence, CASE WHEN video_id % 2 = 0 THEN 'late ' ELSE '' END || event_type AS cls FROM ev),
+f AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(cls, '[a-z0-9'']+')), ['late', 'purchase'])) / 2.0::DOUBLE AS score FROM a)
+SELECT event_id, confidence, score FROM f WHERE score > 0 ORDER BY score DESC, confidence DESC, epoch, video_id LIMIT 5000""")
 def f6(s, d):
-    acts = b.raw_events(s, d).select("event_id", "video_id", F.col("epoch").alias("start_time"), F.col("value").alias("confidence"), F.col("event_type").alias("action_class"))
-    return search.search_actions(acts, "purchase", 50).select("event_id", "confidence")
+    cls = F.concat(F.when(F.col("video_id") % 2 == 0, "late ").otherwise(""), F.col("event_type"))
+    acts = b.raw_events(s, d).select("event_id", "video_id", F.col("epoch").alias("start_time"), F.col("value").alias("confidence"), cls.alias("action_class"))
+    return search.search_actions(acts, "late Purchase", 5000).select("event_id", "confidence", "score")
 
 
 _Q = [((i * 37) % 17 - 8) / 8.0 for i in range(64)]
@@ -436,10 +454,12 @@ def sk1(s, d):
     return catalog.replace_keys(docs.select(F.col("doc_id").alias("video_id"), F.lit(0).alias("version")), docs.filter("source = 'src0'").select(F.col("doc_id").alias("video_id"), F.lit(1).alias("version")), ["video_id"])
 
 
-@query("sk9_first_writer", "SELECT min(doc_id) AS doc_id, sha256(text) AS source_key FROM documents GROUP BY 2")
+@query("sk9_first_writer", """WITH d AS (SELECT doc_id, sha256(text) AS source_key FROM documents), there AS (SELECT max(doc_id) AS doc_id, source_key FROM d WHERE doc_id % 3 = 0 GROUP BY 2)
+SELECT doc_id, source_key FROM there UNION ALL SELECT min(doc_id), source_key FROM d WHERE source_key NOT IN (SELECT source_key FROM there) GROUP BY 2""")
 def sk9(s, d):
     rows = b.load(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("source_key"))
-    return catalog.first_writer(rows.limit(0), rows, "source_key", ["doc_id"])
+    there = rows.filter("doc_id % 3 = 0").groupBy("source_key").agg(F.max("doc_id").alias("doc_id")).select("doc_id", "source_key")
+    return catalog.first_writer(there, rows, "source_key", ["doc_id"])
 
 
 @query("sk11_watermarks", "SELECT c_custkey AS camera_id, greatest(CASE WHEN c_custkey % 2 = 0 THEN 200000.0::DOUBLE END, max(o_totalprice)) AS last_processed_epoch FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -546,9 +566,21 @@ def s22(s, d):
     return vector.min_max(b.raw_events(s, d), "value", "event_type", "scaled").select("event_id", F.round("scaled", 6).alias("scaled"))
 
 
-@query("s23_hash_embedding")
+@query("s23_hash_embedding", """WITH h AS (SELECT doc_id, sha256(unnest(regexp_extract_all(lower(text), '[a-z0-9'']+'))) AS h FROM documents),
+spots AS (SELECT doc_id, (('0x' || substr(h, 9, 8))::BIGINT % 256)::INTEGER AS "at", CASE WHEN ('0x' || substr(h, 17, 2))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS sign FROM h),
+sums AS (SELECT doc_id, "at", sum(sign) AS total FROM spots GROUP BY 1, 2 HAVING sum(sign) <> 0)
+SELECT doc_id, "at", round(total / sqrt(sum(total * total) OVER (PARTITION BY doc_id)), 6) AS value FROM sums""")
 def s23(s, d):
-    return b.load(s, d, "benchmark").select("item_id", vector.hash_embedding(F.col("text")).alias("embedding"))
+    return vector.hash_embeddings(b.load(s, d, "documents"), "doc_id", "text").withColumn("value", F.round("value", 6))
+
+
+@query("s23_hash_embedding_items", """WITH h AS (SELECT item_id, sha256(unnest(regexp_extract_all(lower(text), '[a-z0-9'']+'))) AS h FROM benchmark),
+spots AS (SELECT item_id, (('0x' || substr(h, 9, 8))::BIGINT % 256)::INTEGER AS "at", CASE WHEN ('0x' || substr(h, 17, 2))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS sign FROM h),
+sums AS (SELECT item_id, "at", sum(sign) AS total FROM spots GROUP BY 1, 2 HAVING sum(sign) <> 0)
+SELECT item_id, "at", round(total / sqrt(sum(total * total) OVER (PARTITION BY item_id)), 5) AS value FROM sums""")
+def s23_items(s, d):
+    rows = b.load(s, d, "benchmark").select("item_id", F.posexplode(vector.hash_embedding(F.col("text"))).alias("at", "value")).filter("value <> 0")
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
 @query("s28_window_uris", f"WITH {b.MOTION}, w AS (SELECT camera_ref, floor(start_epoch)::BIGINT AS lo, least(greatest(ceil(end_epoch)::BIGINT, floor(start_epoch)::BIGINT + 1), floor(start_epoch)::BIGINT + 120) AS hi FROM motion) SELECT 'nvr://' || camera_ref || '/' || strftime(make_timestamp(lo * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '/' || strftime(make_timestamp(hi * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS uri FROM w")
@@ -599,14 +631,32 @@ def v1(s, d):
     return delivery.verify_delivery(clips, head, clock, [(2688, 1520, 20)])
 
 
-@query("st_catch_up")
+_WATCH = f"""WITH {b.MOTION}, met AS (SELECT 'cam-' || camera_ref AS camera_id, camera_ref AS source_ref, start_epoch, end_epoch, end_epoch <= start_epoch AS instant,
+  end_epoch <= start_epoch AND {b.T1} - 120 - start_epoch > 600 AS lost FROM motion WHERE start_epoch <= {b.T1} - 120 AND start_epoch >= {b.T0}),
+flagged AS (SELECT camera_id, source_ref, start_epoch, CASE WHEN lost THEN least(start_epoch + 120, {b.T1} - 120) ELSE end_epoch END AS end_epoch, NOT lost AND (instant OR end_epoch >= {b.T1} - 120) AS deferred FROM met),
+held AS (SELECT camera_id, min(start_epoch) AS deferred_start FROM flagged WHERE deferred GROUP BY 1),
+c1 AS (SELECT *, CASE WHEN start_epoch - max(end_epoch) OVER (PARTITION BY camera_id ORDER BY start_epoch, end_epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 30 THEN 0 ELSE 1 END AS fresh FROM flagged WHERE NOT deferred),
+c2 AS (SELECT *, sum(fresh) OVER (PARTITION BY camera_id ORDER BY start_epoch, end_epoch ROWS UNBOUNDED PRECEDING) AS island FROM c1),
+episodes AS (SELECT camera_id, source_ref, island, min(start_epoch) AS start_epoch, max(end_epoch) AS end_epoch FROM c2 GROUP BY 1, 2, 3),
+cut AS (SELECT *, unnest(range(0, ceil((end_epoch - start_epoch) / 120)::BIGINT)) AS part FROM episodes WHERE end_epoch > start_epoch),
+windows AS (SELECT *, start_epoch + part * 120 AS window_start, least(end_epoch, start_epoch + part * 120 + 120) AS window_end FROM cut),
+placed AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY start_epoch, window_start) <= 100 AS reached, floor(window_start)::BIGINT AS lo,
+  least(greatest(ceil(window_end)::BIGINT, floor(window_start)::BIGINT + 1), floor(window_start)::BIGINT + 120) AS hi FROM windows),
+whole AS (SELECT camera_id, end_epoch, bool_and(reached) AS whole FROM placed GROUP BY camera_id, island, end_epoch),
+state AS (SELECT camera_id, max(CASE WHEN whole THEN end_epoch END) AS upto, bool_and(whole) AS every FROM whole GROUP BY 1)"""
+
+
+@query("st_catch_up", f"""{_WATCH} SELECT camera_id, 'nvr://' || source_ref || '/' || strftime(make_timestamp(lo * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '/' || strftime(make_timestamp(hi * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS uri,
+  window_start, window_end FROM placed WHERE reached""")
 def st(s, d):
     cameras = s.range(6).select(F.concat(F.lit("cam-"), "id").alias("camera_id"), F.col("id").cast("string").alias("source_ref"), F.lit(b.T0).alias("last_processed_epoch"))
     plan = watch.catch_up(cameras, b.motion(s, d).withColumn("open", F.lit(False)), b.T1, watch.WatchRules(max_windows=600))
     return plan.windows.select("camera_id", "uri", "window_start", "window_end")
 
 
-@query("st_watermarks")
+@query("st_watermarks", f"""{_WATCH}, cams AS (SELECT range::VARCHAR AS source_ref, 'cam-' || range AS camera_id FROM range(6))
+SELECT camera_id, source_ref, greatest({b.T0}, CASE WHEN coalesce(every, true) THEN least({b.T1} - 120, deferred_start) WHEN upto IS NOT NULL THEN least(upto, deferred_start) END)::DOUBLE AS last_processed_epoch,
+  NOT coalesce(every, true) AS truncated, deferred_start FROM cams LEFT JOIN state USING (camera_id) LEFT JOIN held USING (camera_id)""")
 def st_marks(s, d):
     cameras = s.range(6).select(F.concat(F.lit("cam-"), "id").alias("camera_id"), F.col("id").cast("string").alias("source_ref"), F.lit(b.T0).alias("last_processed_epoch"))
     return watch.catch_up(cameras, b.motion(s, d).withColumn("open", F.lit(False)), b.T1, watch.WatchRules(max_windows=600)).cameras
@@ -616,3 +666,155 @@ def st_marks(s, d):
 def f13(s, d):
     request = {"op": "count_objects", "args": {"category": CATEGORY, "start": b.WINDOW.start, "end": b.WINDOW.end, "tz": b.WINDOW.tz}}
     return planner.dispatch_aggregation(request, b.tracks(s, d), b.videos(s, d)).frame
+
+
+# Jobs, text index, presence, pixels
+
+_JOBS = "jobs AS (SELECT o_orderkey::VARCHAR AS id, CASE o_orderkey % 2 WHEN 0 THEN 'ingest' ELSE 'ask' END AS kind, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'done' END AS state, o_custkey::VARCHAR AS payload, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey::VARCHAR END AS video_id, NULL::VARCHAR AS error, NULL::VARCHAR AS result, (o_orderkey % 4)::INTEGER AS attempts FROM orders)"
+
+
+def _jobs(s, d):
+    k = F.col("o_orderkey")
+    state = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
+    none, then = F.lit(None).cast("string"), F.lit("2020-01-01 00:00:00").cast("timestamp")
+    return b.load(s, d, "orders").select(k.cast("string").alias("id"), F.when(k % 2 == 0, "ingest").otherwise("ask").alias("kind"), state.alias("state"), F.col("o_custkey").cast("string").alias("payload"), F.when(k % 3 == 0, F.col("o_custkey").cast("string")).alias("video_id"), none.alias("error"), none.alias("result"), (k % 4).cast("int").alias("attempts"), then.alias("created_at"), then.alias("updated_at"))
+
+
+def _now():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+
+@query("sk14_record", f"WITH {_JOBS} SELECT id, kind, state, payload FROM jobs WHERE id::BIGINT % 5 <> 0 UNION ALL SELECT o_orderkey::VARCHAR, 'new', 'queued', o_orderstatus FROM orders WHERE o_orderkey % 5 = 0")
+def sk14_record(s, d):
+    table = _jobs(s, d).filter(F.col("id").cast("bigint") % 5 != 0)
+    fresh = b.load(s, d, "orders").filter("o_orderkey % 5 < 2").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("new").alias("kind"), F.col("o_orderstatus").alias("payload"))
+    return jobs.record(table, fresh, _now()).select("id", "kind", "state", "payload")
+
+
+@query("sk14_update", f"WITH {_JOBS} SELECT id, CASE WHEN attempts = 2 THEN 'done' ELSE state END AS state, CASE WHEN attempts = 2 AND kind = 'ask' THEN 'v' ELSE video_id END AS video_id, CASE WHEN attempts = 2 THEN 'ok' ELSE error END AS error, attempts = 2 AS touched FROM jobs")
+def sk14_update(s, d):
+    table = _jobs(s, d)
+    changes = table.filter("attempts = 2").select("id", F.lit("done").alias("state"), F.when(F.col("kind") == "ask", "v").alias("video_id"), F.lit("ok").alias("error"), F.lit(None).cast("string").alias("result"))
+    return jobs.update(table, changes, _now()).select("id", "state", "video_id", "error", (F.col("updated_at") > F.col("created_at")).alias("touched"))
+
+
+@query("sk14_bump_and_requeue", f"WITH {_JOBS} SELECT id, CASE WHEN state = 'running' AND video_id IS NOT NULL THEN 'queued' ELSE state END AS state, attempts + CASE WHEN video_id IS NOT NULL THEN 1 ELSE 0 END AS attempts FROM jobs")
+def sk14_bump(s, d):
+    table = _jobs(s, d)
+    some = table.filter("video_id IS NOT NULL").select("id")
+    return jobs.requeue_running(jobs.bump_attempts(table, some, _now()), some, _now()).select("id", "state", "attempts")
+
+
+@query("sk14_fail_pending", f"WITH {_JOBS} SELECT id, CASE WHEN kind = 'ask' AND state <> 'done' THEN 'failed' ELSE state END AS state, CASE WHEN kind = 'ask' AND state <> 'done' THEN 'restart' END AS error FROM jobs")
+def sk14_fail(s, d):
+    return jobs.fail_pending(_jobs(s, d), "ask", "restart", _now()).select("id", "state", "error")
+
+
+@query("s33_payloads", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS customer FROM orders")
+def s33(s, d):
+    raw = F.when(F.col("o_orderkey") % 2 == 0, F.format_string('{"customer": %d}', "o_custkey")).otherwise("{broken")
+    return b.load(s, d, "orders").select("o_orderkey", F.try_variant_get(jobs.parsed(raw), "$.customer", "bigint").alias("customer"))
+
+
+@query("u4_text_rows", f"""WITH {b.SEGMENTS}, {b.TRANSCRIPTS}, {b.EV} SELECT video_id::BIGINT AS video_id, 'caption' AS modality, start_time AS time_start, end_time AS time_end, regexp_replace(caption, '^\\s+|\\s+$', '', 'g') AS text FROM segments WHERE regexp_replace(caption, '^\\s+|\\s+$', '', 'g') <> ''
+UNION ALL SELECT video_id, 'transcript', start_time, end_time, regexp_replace(text, '^\\s+|\\s+$', '', 'g') FROM transcripts WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' UNION ALL SELECT video_id, 'action', epoch, epoch + 60 * value, event_type FROM ev""")
+def u4(s, d):
+    acts = b.raw_events(s, d).select("video_id", F.col("epoch").alias("start_time"), (F.col("epoch") + 60 * F.col("value")).alias("end_time"), F.col("event_type").alias("action_class"))
+    return textindex.text_rows({"segments": b.segments(s, d), "transcripts": b.transcripts(s, d), "action_events": acts})
+
+
+@query("f22_index_rows", f"WITH {b.EV} SELECT video_id, 'action' AS modality, min(epoch) AS time_start, event_type AS text FROM ev GROUP BY video_id, event_type")
+def f22(s, d):
+    acts = b.raw_events(s, d).select("video_id", F.col("epoch").alias("start_time"), (F.col("epoch") + 60 * F.col("value")).alias("end_time"), F.col("event_type").alias("action_class"))
+    return textindex.index_rows({"action_events": acts}).select("video_id", "modality", "time_start", "text")
+
+
+@query("a21_presence_times", f"""WITH {b.MOTION}, m AS (SELECT camera_ref, (start_epoch + end_epoch) / 2.0 AS timestamp, row_number() OVER (PARTITION BY camera_ref ORDER BY start_epoch, (start_epoch + end_epoch) / 2.0) - 1 AS i, count(*) OVER (PARTITION BY camera_ref) AS n FROM motion)
+SELECT camera_ref AS video_id, timestamp FROM m WHERE n <= 10 OR list_contains(list_transform(range(0, 10), lambda k: floor(k * (n / 10.0::DOUBLE))::BIGINT), i) UNION ALL SELECT 'none', 6.0::DOUBLE * (range + 0.5::DOUBLE) FROM range(10)""")
+def a21(s, d):
+    spans = b.motion(s, d).select(F.col("camera_ref").alias("video_id"), F.col("start_epoch").alias("start_time"), F.col("end_epoch").alias("end_time"))
+    videos = s.range(7).select(F.when(F.col("id") < 6, F.col("id").cast("string")).otherwise("none").alias("video_id"), F.lit(None).cast("double").alias("duration_seconds"))
+    return presence.presence_times(videos, spans).withColumn("timestamp", F.round("timestamp", 6))
+
+
+@query("a21_presence_counts", "SELECT o_custkey AS video_id, count(*) FILTER (o_orderstatus = 'F') AS present FROM orders GROUP BY 1")
+def a21_counts(s, d):
+    label = F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "O", "no").otherwise("unsure")
+    return presence.presence_counts(b.load(s, d, "orders").select(F.col("o_custkey").alias("video_id"), label.alias("label")))
+
+
+_PIXELS = "list_transform(embedding::DOUBLE[], lambda x: least(255.0, floor(abs(x) * 600)))"
+
+
+def _pixels():
+    return F.transform("embedding", lambda x: F.least(F.lit(255.0), F.floor(F.abs(x.cast("double")) * 600)))
+
+
+@query("s26_histogram", f"SELECT vec_id, unnest(range(16))::INTEGER AS bin, round(unnest(list_transform(range(16), lambda i: len(list_filter({_PIXELS}, lambda v: least(floor(v * 16 / 255.0), 15) = i)) / 64.0::DOUBLE)), 6) AS share FROM embeddings")
+def s26(s, d):
+    return b.load(s, d, "embeddings").select("vec_id", F.posexplode(image.channel_histogram(_pixels())).alias("bin", "share")).withColumn("share", F.round("share", 6))
+
+
+@query("s26_histogram_distance", """WITH h AS (SELECT vec_id, list_transform(range(16), lambda i: len(list_filter(list_transform(embedding::DOUBLE[], lambda x: least(255.0, floor(abs(x) * 600))), lambda v: least(floor(v * 16 / 255.0), 15) = i)) / 64.0::DOUBLE) AS h FROM embeddings),
+n AS (SELECT vec_id, h, lead(h) OVER (ORDER BY vec_id) AS g FROM h) SELECT vec_id, round(list_sum(list_transform(range(1, 17), lambda i: abs(h[i] - g[i]))) * 3 / 6.0, 6) AS distance FROM n WHERE g IS NOT NULL AND vec_id + 1 IN (SELECT vec_id FROM embeddings)""")
+def s26_distance(s, d):
+    grey = image.rgb_histogram(_pixels(), _pixels(), _pixels())
+    frames = b.load(s, d, "embeddings").select("vec_id", grey.alias("h"))
+    after = frames.select((F.col("vec_id") - 1).alias("vec_id"), F.col("h").alias("g"))
+    return frames.join(after, "vec_id").select("vec_id", F.round(image.histogram_distance(F.col("h"), F.col("g")), 6).alias("distance"))
+
+
+@query("s27_dhash", "SELECT vec_id, list_sum(list_transform(range(49), lambda i: CASE WHEN embedding[(i // 7) * 8 + i % 7 + 1] > embedding[(i // 7) * 8 + i % 7 + 2] THEN 1::BIGINT << (48 - i)::INTEGER ELSE 0 END))::BIGINT AS hash FROM embeddings")
+def s27(s, d):
+    return b.load(s, d, "embeddings").select("vec_id", image.dhash(F.col("embedding"), 7).alias("hash"))
+
+
+@query("s24_color_keys", """WITH w AS (SELECT p_partkey, lower(p_name) AS name, list_filter(string_split(trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')), ' '), lambda x: x IN ('black', 'white', 'red', 'green', 'blue', 'yellow', 'orange', 'purple', 'brown', 'gray')) AS found FROM part)
+SELECT p_partkey, coalesce(found[1], '__text__:' || name) AS key FROM w""")
+def s24(s, d):
+    return b.load(s, d, "part").select("p_partkey", image.color_key(F.col("p_name")).alias("key"))
+
+
+@query("fp5_ordered_reads", f"WITH {b.MOTION} SELECT camera_ref AS video_id, start_epoch, row_number() OVER (ORDER BY start_epoch, end_epoch) AS n FROM motion WHERE camera_ref = '3'")
+def fp5(s, d):
+    rows = catalog.ordered_read(b.motion(s, d).withColumnRenamed("camera_ref", "video_id"), "3", ["start_epoch", "end_epoch"])
+    return rows.select("video_id", "start_epoch", F.row_number().over(Window.partitionBy("video_id").orderBy("start_epoch", "end_epoch")).cast("bigint").alias("n"))
+
+
+@query("fp6_ids", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE sha1(o_custkey::VARCHAR || '|' || o_orderkey::VARCHAR) END AS id FROM orders")
+def fp6(s, d):
+    rows = b.load(s, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("id"))
+    return catalog.with_ids(rows, "id", "o_custkey", "o_orderkey").drop("o_custkey")
+
+
+@query("fp18_pending_videos", "SELECT doc_id, sha256(text) AS source_key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source IN ('src0', 'src1'))")
+def fp18(s, d):
+    docs = b.load(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("source_key"), F.when(F.col("source") == "src0", "done").when(F.col("source") == "src1", "quarantined").otherwise("failed").alias("ingest_status"))
+    return ingest.pending_videos(docs.select("doc_id", "source_key"), docs)
+
+
+@query("j10_segment_actions", f"""WITH {b.EV}, g AS (SELECT video_id, event_id, row_number() OVER (PARTITION BY video_id ORDER BY epoch, event_id) AS i FROM ev WHERE event_type = 'view'), a AS (SELECT video_id, event_id AS action_id, row_number() OVER (PARTITION BY video_id ORDER BY epoch, event_id) AS i FROM ev WHERE event_type = 'click')
+SELECT video_id, event_id AS segment_id, action_id FROM g JOIN a USING (video_id, i)""")
+def j10(s, d):
+    e = b.raw_events(s, d)
+    segments = e.filter("event_type = 'view'").select("video_id", F.col("event_id").alias("segment_id"), "epoch", "event_id")
+    acts = e.filter("event_type = 'click'").select("video_id", F.col("event_id").alias("action_id"), "epoch", "event_id")
+    return intervals.positional_join(segments, acts, ["video_id"], ["epoch", "event_id"]).select("video_id", "segment_id", "action_id")
+
+
+@query("j14_known_classes", "SELECT DISTINCT lower(event_type) AS object_class FROM events WHERE lower(event_type) IN ('click', 'error', 'zebra')")
+def j14(s, d):
+    return tracks.known_among(b.detections(s, d), "Zebra click ERROR")
+
+
+@query("t10_top_spans", f"""WITH {b.EV}, seen AS (SELECT video_id % 6 AS video_id, floor(epoch / 3600) * 3600.0 AS timestamp FROM ev WHERE event_type IN ('click', 'error') GROUP BY 1, 2 HAVING count(DISTINCT event_type) = 2),
+c1 AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY video_id ORDER BY timestamp) <= 3600 THEN 0 ELSE 1 END AS fresh FROM seen),
+c2 AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS island FROM c1)
+SELECT video_id, min(timestamp) AS time_start, max(timestamp) AS time_end, count(*) AS frames FROM c2 GROUP BY video_id, island ORDER BY frames DESC, time_start, video_id LIMIT 3""")
+def t10(s, d):
+    return fuse.top_spans(i2(s, d), 3)
+
+
+@query("t8_scan_states", f"{_STATES}, each AS (SELECT video_id, unnest(st) AS x FROM final), n AS (SELECT video_id, x.s AS state, count(*) AS episodes FROM each GROUP BY 1, 2) SELECT video_id::VARCHAR AS video_id, state, episodes FROM n QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY episodes DESC, state) <= 3")
+def t8(s, d):
+    return statechange.top_states(statechange.analyze_timelines(b.observations(s, d)), 3).select("video_id", "state", "episodes")
