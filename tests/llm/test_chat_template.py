@@ -60,3 +60,35 @@ def test_pieces_join_to_the_whole(spark):
     assert "".join(p["text"] for p in pieces) == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
     assert [p["text"] for p in pieces if p["masked"]] == ["yo"]
     assert ct.format_conversations(df.limit(0)).count() == 0
+
+
+def shown(source, **env):
+    return "".join(text for text, _ in ct.compile_template(source)(env))
+
+
+def test_language():
+    turns = [{"role": "user", "content": " hi "}, {"role": "assistant", "content": "yo"}]
+    public = (
+        "{# a comment #}{%- set system = 'be' + ' kind' -%}\n"
+        "{%- for message in messages -%}\n"
+        "  {%- if message['role'] == 'user' %}[U] {{ message['content'] | trim }}{{ '}}' -}}\n"
+        "  {%- elif message['role'] in ['assistant'] or message.role == 'assistant' %} [A] {% generation %}{{ message['content'] }}{% endgeneration %}{% endif -%}\n"
+        "  {%- if not loop.last %},{% endif -%}\n"
+        "{%- endfor -%}\n"
+        "{%- if add_generation_prompt is defined and add_generation_prompt %} [A]{% endif %} {{ system }}"
+    ).replace("message['role'] in ['assistant'] or ", "")
+    assert shown(public, messages=turns) == "[U] hi}}, [A] yo be kind"
+    assert shown(public, messages=turns, add_generation_prompt=True).endswith("[A] be kind")
+    assert shown("{% for m in ms %}{% if loop.index0 % 2 == 0 %}{{ m }}{% endif %}{% endfor %}", ms=["a", "b", "c"]) == "ac"
+    assert shown("{{ x[0]['k'] }}{{ x[5] }}{{ 'a' in 'cat' }}{{ 'z' not in 'cat' }}{{ none is none }}", x=[{"k": "v"}]) == "vTrueTrueTrue"
+    assert shown("{% for m in ms %}{% set y = m %}{{ y }}{% endfor %}{{ y }}", ms=["a", "b"]) == "ab"
+
+
+def test_errors_are_template_errors():
+    for bad in ("{{ 'a' + 1 }}", "{{ 1 | upper }}", "{{ x._y }}", "{{ x['_y'] }}", "{{ x['a' }}", "{% set = 3 %}", "{{ 'a' % 2 }}", "{{ 1 % 0 }}", "{{ x is odd }}", "{% for a in b %}", "{{ f(1) }}"):
+        with pytest.raises(ct.TemplateError):
+            shown(bad, x={"_y": 1})
+    with pytest.raises(ct.TemplateError):
+        shown("{{ x + 1 }}", x="a")
+    with pytest.raises(ct.TemplateError):
+        shown("{% for a in x %}{% endfor %}", x=3)

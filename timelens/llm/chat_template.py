@@ -1,8 +1,9 @@
 """Chat formatting by compiled templates.
 
 A template is parsed into a syntax tree, constants are folded, and each node becomes a Python closure. The language is
-sandboxed: expressions reach only the names given, keys of mappings, and the filters listed in FILTERS; there are no calls, no
-attributes and no imports. Rendering is lazy: turns are an iterator, and pieces come out as (text, masked), masked
+sandboxed: expressions reach only the names given, keys of mappings, items of lists, and the filters listed in FILTERS; there are no calls,
+no attributes and no imports. Tags may drop white space beside them (``-``), comments are left out, ``set`` binds a name up to the end of
+its block, and whatever is wrong with a template or its values is a TemplateError. Rendering is lazy: turns are an iterator, and pieces come out as (text, masked), masked
 being true inside ``{% generation %}``. Conversations of any length therefore render, and are read back, turn by turn.
 
 Defined results: null roles and texts count as empty; turns are ordered by turn, then role, then text, nulls first, and
@@ -52,8 +53,10 @@ def unescape_line(text: str) -> str:
 
 FILTERS: dict[str, Callable] = {"escape": escape, "escape_line": escape_line, "upper": str.upper, "lower": str.lower, "trim": str.strip, "length": len}
 
-_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[+|().]))")
-_PARTS = re.compile(r"({{.*?}}|{%.*?%})", re.S)
+_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[+%|().\[\]-]))")
+# a tag ends at the first closing mark that stands in none of its strings
+_STRINGS = r"(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[^'\"])*?"
+_PARTS = re.compile(r"({{" + _STRINGS + r"}}|{%" + _STRINGS + r"%}|{#.*?#})", re.S)
 _ESCAPES = {"n": "\n", "t": "\t"}
 
 
@@ -116,16 +119,40 @@ class _Expression:
 
     def compared(self) -> tuple:
         node = self.added()
-        while self.peek("==", "!="):
-            kind = "eq" if self.take()[1] == "==" else "ne"
-            node = fold((kind, node, self.added()))
+        while self.peek("==", "!=", "in", "is", "not"):
+            word = self.take()[1]
+            if word in ("==", "!="):
+                node = fold(("eq" if word == "==" else "ne", node, self.added()))
+            elif word == "is":
+                node = self.tested(node)
+            else:
+                if word == "not" and self.take()[1] != "in":
+                    raise TemplateError("not is followed by in here")
+                inside = fold(("in", node, self.added()))
+                node = inside if word == "in" else fold(("not", inside))
         return node
 
+    def tested(self, node: tuple) -> tuple:
+        """What follows ``is``: defined or none, either with not."""
+        negated = self.peek("not") and bool(self.take())
+        name = self.take()[1]
+        if name not in ("defined", "none"):
+            raise TemplateError(f"no test {name!r}")
+        found: tuple = (name, node)
+        return ("not", found) if negated else found
+
     def added(self) -> tuple:
+        node = self.divided()
+        while self.peek("+", "-"):
+            kind = "add" if self.take()[1] == "+" else "less"
+            node = fold((kind, node, self.divided()))
+        return node
+
+    def divided(self) -> tuple:
         node = self.filtered()
-        while self.peek("+"):
+        while self.peek("%"):
             self.take()
-            node = fold(("add", node, self.filtered()))
+            node = fold(("rest", node, self.filtered()))
         return node
 
     def filtered(self) -> tuple:
@@ -149,11 +176,19 @@ class _Expression:
         elif kind == "num":
             node = ("const", int(value))
         elif kind == "name":
-            node = ("const", value == "true") if value in ("true", "false") else ("name", value)
+            low = value.lower()
+            node = ("const", {"true": True, "false": False, "none": None}[low]) if low in ("true", "false", "none") else ("name", value)
         else:
             raise TemplateError(f"unexpected {value!r}")
-        while self.peek("."):
-            self.take()
+        while self.peek(".", "["):
+            if self.take()[1] == "[":
+                of = self.either()
+                if self.take()[1] != "]":
+                    raise TemplateError("missing ]")
+                if of[0] == "const" and isinstance(of[1], str) and of[1].startswith("_"):
+                    raise TemplateError(f"key {of[1]!r} is not allowed")
+                node = ("item", node, of)
+                continue
             kind, key = self.take()
             if kind != "name" or key.startswith("_"):
                 raise TemplateError(f"key {key!r} is not allowed")
@@ -161,28 +196,61 @@ class _Expression:
         return node
 
 
-_FOLDS: dict[str, Callable] = {"eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "add": lambda a, b: a + b, "and": lambda a, b: a and b, "or": lambda a, b: a or b, "not": lambda a: not a}
+_FOLDS: dict[str, Callable] = {
+    "eq": lambda a, b: a == b,
+    "ne": lambda a, b: a != b,
+    "in": lambda a, b: a in b,
+    "add": lambda a, b: a + b,
+    "less": lambda a, b: a - b,
+    "rest": lambda a, b: a % b,
+    "and": lambda a, b: a and b,
+    "or": lambda a, b: a or b,
+    "not": lambda a: not a,
+}
+
+
+def _tried(does: Callable, *args: object) -> object:
+    """A function of a template's values; what they don't allow is the template's error."""
+    try:
+        if does is _FOLDS["rest"] and not all(isinstance(a, int) for a in args):
+            raise TypeError("only whole numbers have a remainder")
+        return does(*args)
+    except (TypeError, ValueError, ArithmeticError, AttributeError) as e:
+        raise TemplateError(str(e)) from e
 
 
 def fold(node: tuple) -> tuple:
     """The constant that an expression of constants has as its value, else the expression."""
     kind, *args = node
     if kind == "filter" and args[0][0] == "const":
-        return ("const", FILTERS[args[1]](args[0][1]))
+        return ("const", _tried(FILTERS[args[1]], args[0][1]))
     if kind in _FOLDS and all(a[0] == "const" for a in args):
-        return ("const", _FOLDS[kind](*(a[1] for a in args)))
+        return ("const", _tried(_FOLDS[kind], *(a[1] for a in args)))
     return node
 
 
 def parse(source: str) -> tuple:
     """The syntax tree of a template, constants folded, neighbouring texts joined and dead branches gone."""
-    parts = [p for p in _PARTS.split(source) if p]
+    parts = [p for p in _trimmed(_PARTS.split(source)) if p]
     tree, at = _block(parts, 0, ())
     if at < len(parts):
         raise TemplateError(f"unexpected {parts[at]}")
     return tree
 
 
+def _trimmed(parts: list[str]) -> list[str]:
+    """Texts and tags in turn, without comments, and without the white space that tags drop; tags lose their hyphens."""
+    out = list(parts)
+    for i in range(1, len(out), 2):
+        tag = out[i]
+        if tag[2] == "-":
+            out[i - 1] = out[i - 1].rstrip()
+        if tag[-3] == "-" and len(tag) > 5:
+            out[i + 1] = out[i + 1].lstrip()
+        out[i] = "" if tag.startswith("{#") else tag[:2] + tag[2:-2].removeprefix("-").removesuffix("-") + tag[-2:]
+    return out
+
+
 def _block(parts: list[str], at: int, ends: tuple[str, ...]) -> tuple[tuple, int]:
     out: list[tuple] = []
 
@@ -206,6 +274,13 @@ def _block(parts: list[str], at: int, ends: tuple[str, ...]) -> tuple[tuple, int
             head = words.split(None, 1)[0] if words else ""
             if head in ends:
                 break
+            if head == "set":
+                m = re.fullmatch(r"set\s+([A-Za-z]\w*)\s*=\s*(.+)", words, re.S)
+                if not m:
+                    raise TemplateError(words)
+                add(("set", m[1], _Expression(m[2]).whole()))
+                at += 1
+                continue
             if head == "for":
                 m = re.fullmatch(r"for\s+([A-Za-z]\w*)\s+in\s+(.+)", words, re.S)
                 if not m:
@@ -262,9 +337,25 @@ def _value(node: tuple) -> Callable[[dict], object]:
             return found.get(key, "") if isinstance(found, dict) else ""
 
         return look_up
+    if kind == "item":
+        of, which = map(_value, args)
+
+        def item(env: dict) -> object:
+            found, key = of(env), which(env)
+            if isinstance(found, dict):
+                return "" if str(key).startswith("_") else found.get(key, "")
+            return found[key] if isinstance(found, (list, tuple)) and isinstance(key, int) and -len(found) <= key < len(found) else ""
+
+        return item
+    if kind == "defined":
+        of, name = _value(args[0]), args[0][1] if args[0][0] == "name" else None
+        return lambda env: name in env if name is not None else of(env) != ""
+    if kind == "none":
+        of = _value(args[0])
+        return lambda env: of(env) is None
     if kind == "filter":
         of, does = _value(args[0]), FILTERS[args[1]]
-        return lambda env: does(of(env))
+        return lambda env: _tried(does, of(env))
     if kind == "not":
         of = _value(args[0])
         return lambda env: not of(env)
@@ -274,7 +365,7 @@ def _value(node: tuple) -> Callable[[dict], object]:
     if kind == "or":
         return lambda env: a(env) or b(env)
     does = _FOLDS[kind]
-    return lambda env: does(a(env), b(env))
+    return lambda env: _tried(does, a(env), b(env))
 
 
 Piece = tuple[str, bool]
@@ -297,6 +388,14 @@ def _statement(node: tuple, masked: bool) -> Callable[[dict], Iterator[Piece]]:
             yield str(of(env)), masked
 
         return printed
+    if kind == "set":
+        bound, of = args[0], _value(args[1])
+
+        def assigned(env: dict) -> Iterator[Piece]:
+            env[bound] = of(env)
+            yield from ()
+
+        return assigned
     if kind == "generation":
         return _statement(args[0], True)
     if kind == "if":
@@ -306,8 +405,16 @@ def _statement(node: tuple, masked: bool) -> Callable[[dict], Iterator[Piece]]:
         name, of, body = args[0], _value(args[1]), _statement(args[2], masked)
 
         def looped(env: dict) -> Iterator[Piece]:
-            for i, item in enumerate(of(env)):
-                yield from body({**env, name: item, "loop": {"index": i + 1, "index0": i, "first": i == 0}})
+            found = of(env)
+            if isinstance(found, (str, bytes)) or not hasattr(found, "__iter__"):
+                raise TemplateError(f"{name!r} has nothing to go over")
+            # one item ahead, to know the last one
+            items = iter(found)
+            item, i = next(items, items), 0
+            while item is not items:
+                after = next(items, items)
+                yield from body({**env, name: item, "loop": {"index": i + 1, "index0": i, "first": i == 0, "last": after is items}})
+                item, i = after, i + 1
 
         return looped
     steps = [_statement(x, masked) for x in args[0]]
@@ -320,7 +427,8 @@ def _statement(node: tuple, masked: bool) -> Callable[[dict], Iterator[Piece]]:
 
 
 def compile_template(source: str) -> Callable[[dict], Iterator[Piece]]:
-    return _statement(parse(source), False)
+    does = _statement(parse(source), False)
+    return lambda env: does(dict(env))
 
 
 class Reader:

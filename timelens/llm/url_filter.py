@@ -73,12 +73,12 @@ def _strength(groups: DataFrame) -> float:
 
 
 def host_reputation(pages: DataFrame, z: float = Z) -> DataFrame:
-    """Posterior of the rate of bad pages by host, from (host, bad) where bad is null for unlabelled pages.
+    """Posterior of the rate of bad pages by host, from (host, pages, bad) where bad is null for unlabelled pages.
 
     Rows are added up before any shuffle, so a host with a third of all pages costs no more than another.
     """
     domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = checkpoint(pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad")).withColumns({"domain": domain, "suffix": suffix}))
+    hosts = checkpoint(pages.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("bad").isNotNull(), F.col("pages"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("bad") * F.col("pages")), F.lit(0)).cast("double").alias("bad")).withColumns({"domain": domain, "suffix": suffix}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     all_n, all_bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
@@ -98,7 +98,11 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     key = F.expr("try_cast(nullif(regexp_extract(path, '/([0-9]+)(?:[.]html)?/?$', 1), '') AS bigint)")
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("key", key)
     known = outcomes.filter("key IS NOT NULL AND bad IS NOT NULL").groupBy("key").agg(F.max("bad").cast("long").alias("bad"))
-    reputation = checkpoint(host_reputation(judged.select("host", "key").join(known, "key", "left").select("host", "bad"), z))
+    # pages are added up by host and key before they meet the labels, so neither a hot host nor the many pages without a key make a hot key
+    counted = judged.groupBy("host", "key").agg(F.count("*").alias("pages"))
+    labelled = counted.filter("key IS NOT NULL").join(known, "key").select("host", "pages", "bad")
+    bare = counted.select("host").distinct().select("host", F.lit(0).cast("long").alias("pages"), F.lit(None).cast("long").alias("bad"))
+    reputation = checkpoint(host_reputation(labelled.union(bare), z))
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(action, F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow"))
     return judged.join(reputation, "host", "left").select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.coalesce("host_labels", F.lit(0)).alias("host_labels"))
