@@ -109,7 +109,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame | dict:
             "action_query": lambda p: fuse.from_actions(search.search_actions(_role(spark, args, "action_events"), p.search_terms, args.k)),
             "object_query": lambda p: fuse.from_distinct_counts(tracks.count_objects_of(_tracks(spark, args), p.search_terms)),
         }
-        return planner.ask(args.text, gatherers)
+        return planner.ask(args.text, gatherers, aggregate_by=lambda p: planner.dispatch_aggregation(p, _tracks(spark, args), _videos(spark, args)))
     if verb == "scan":
         seen = _role(spark, args, "observations")
         return statechange.analyze_timelines(seen if args.prompt_key is None else seen.filter(F.col("prompt_key") == args.prompt_key))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,18 +49,30 @@ def search_ocr(lines: DataFrame, query: str, k: int | None = 10) -> DataFrame:
     return top(found, k, F.desc("score"), "time_start", "video_id", "text")
 
 
+def semantic_or_lexical(usable: DataFrame, semantic: Callable[[], DataFrame], lexical: Sequence[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """The semantic search where its index holds anything (usable), else the lexical searches one by one."""
+    return [make() for make in lexical] if usable.isEmpty() else [semantic()]
+
+
 def search_actions(events: DataFrame, query: str, k: int | None = 10) -> DataFrame:
     """by share of the query's words, then confidence, then start."""
     found = _scored(events, F.col("action_class"), query)
     return top(found, k, F.desc("score"), F.desc("confidence"), "start_time", "video_id")
 
 
+def settled(found: DataFrame) -> DataFrame:
+    """A search's few rows, computed and kept: what fails in its stages fails here."""
+    kept = found.persist()
+    kept.count()
+    return kept
+
+
 def search_columns(sources: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame | str]:
-    """several searches side by side; one that fails leaves its message and the others as they are."""
+    """several searches side by side; one that fails, as its plan is made or as it runs, leaves its message and the others as they are."""
     out: dict[str, DataFrame | str] = {}
     for name, make in sources.items():
         try:
-            out[name] = make()
+            out[name] = settled(make())
         except Exception as e:  # noqa: BLE001
             out[name] = f"{type(e).__name__}: {e}"
     return out
