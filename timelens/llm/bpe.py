@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from timelens.llm.common import table, text_parts, worker_cache
 
 #: A Python worker keeps the encodings of so many chunks of text, and the validity of so many pairs of tokens.
-KEPT_CHUNKS, KEPT_PAIRS = 150_000, 500_000
+KEPT_CHUNKS, KEPT_PAIRS = 150_000, 300_000
 #: Bytes of text handled at once.
-SLICE = 3_000_000
+SLICE = 2_000_000
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -86,11 +88,17 @@ def bounded_sample(df: DataFrame, key: str, order: str, per_key: int, columns: S
 
 
 def worker_cache(owner: str) -> dict:
-    """What an operator keeps in a Python worker between tasks. Workers are used again by other operators; each drops what the others kept."""
+    """What an operator keeps in a Python worker between tasks; asked for as a task begins.
+
+    Workers are used again by other operators; each drops what the others kept. Memory that earlier tasks have freed goes back to the system.
+    """
     if owner not in _held:
         _held.clear()
         gc.collect()
         _held[owner] = {}
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the system's allocator has no such call
+        ctypes.CDLL(None).malloc_trim(0)
     return _held[owner]
 
 

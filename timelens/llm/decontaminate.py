@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timelens.llm.common import checkpoint, table, text_parts
+from timelens.llm.common import checkpoint, table, text_parts, worker_cache
 
 #: Words of the passages of a group; a longer passage is a group of its own.
 GROUP_WORDS = 300_000
@@ -59,6 +59,7 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("decontaminate")
         counts, n, known = Counter(), 0, held.value
         for batch in batches:
             for part in text_parts(batch.column(0), SLICE):
@@ -335,6 +336,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leaks: str = "leaks") -> D
         held = docs.sparkSession.sparkContext.broadcast(make_index(docs, passages))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            worker_cache("decontaminate")
             index = held.value
             for batch in batches:
                 fresh: list[list[dict]] = []

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timelens.llm.common import checkpoint, free_shuffles, table, text_parts
+from timelens.llm.common import checkpoint, free_shuffles, table, text_parts, worker_cache
 
 WORDS = 4
 SHARE = (85, 100)
@@ -38,7 +38,7 @@ SHARE = (85, 100)
 VERIFY = 4.0
 #: Multi-match numbers that are tried for a document.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
-KEPT_WORDS = 100_000
+KEPT_WORDS = 50_000
 #: Earlier shingles of its prefix that a posting carries: two postings that share one of them have met there.
 CARRIED = 4
 #: Bytes of text held at once.
@@ -98,6 +98,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, node (a hash of the set), n, and the set's first shingles in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         for batch in batches:
             nodes, sizes, prefixes = [], [], []
             for text in (t for part in text_parts(batch.column(1), SLICE) for t in part):
@@ -117,6 +118,7 @@ def whole_sets(rows: DataFrame) -> DataFrame:
     """node, n and all shingles, from (node, text) where the text has that node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         for batch in batches:
             sets = [(node, s) for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _node(s := shingles(text)) == node]
             offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in sets])]).astype(np.int32)

@@ -37,7 +37,7 @@ CHAIN, PIECE = 128, 64
 EPOCHS, RATE, DECAY = 30, 0.3, 1e-4
 LEXICON_LEAST, LEXICON_SHARE = 2, 0.8
 #: Bytes of text labelled at once, words whose features are made at once, words whose scores a Python worker keeps.
-SLICE, FRESH, KEPT_WORDS = 1_000_000, 20_000, 100_000
+SLICE, FRESH, KEPT_WORDS = 500_000, 5_000, 60_000
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
