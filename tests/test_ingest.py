@@ -10,6 +10,7 @@ from timelens import schemas
 from timelens.functions import image
 from timelens.operators import catalog, intervals, statechange
 from timelens.plans import config, ingest
+from timelens.sources import versions
 
 
 def write(path, document):
@@ -44,12 +45,12 @@ def test_run_roles_reingest_and_reprocess(spark, tmp_path):
     assert {r["video_id"]: r["ingest_status"] for r in done.collect()} == {"a": "done", "b": "done", "c": "pending"}
     assert ingest.finished(videos, videos, got, ["ocr"], "r1").filter("ingest_status = 'failed' AND ingest_error LIKE 'ocr%'").count() == 3
 
-    read = lambda: {r["video_id"]: r["text"] for r in schemas.read_role(spark, f"{tmp_path}/transcripts", "transcripts").collect()}
+    read = lambda: {r["video_id"]: r["text"] for r in versions.open_role(spark, f"{tmp_path}/transcripts", "transcripts").collect()}
     after, outcome = ingest.reingest(videos, videos.filter("video_id IN ('a', 'b')"), {"transcript": ("transcripts", said("two ", ["b"]))}, str(tmp_path), {"transcript": "f2"}, "r2")
     assert outcome.failed == {} and read() == {"a": "two a", "c": "one c"}  # b has no rows any more, c is as it was
     assert after.filter("video_id = 'a'").first()["camera_id"] == "cam" and after.filter("ingest_status = 'done'").count() == 2
 
-    provenance = spark.read.parquet(f"{tmp_path}/role_provenance")
+    provenance = versions.open_role(spark, f"{tmp_path}/role_provenance", "role_provenance")
     assert {(r["video_id"], r["fingerprint"]) for r in provenance.collect()} == {("a", "f2"), ("b", "f2"), ("c", "f1")}
     stale = catalog.stale_roles(videos.withColumn("ingest_status", F.lit("done")), provenance, {"transcript": "f3"})
     plan = catalog.reprocess_plan(stale, provenance, {})

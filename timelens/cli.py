@@ -13,8 +13,8 @@ from timelens import schemas
 from timelens.functions.timeparse import TimeWindow
 from timelens.functions.vector import hash_embed
 from timelens.operators import catalog, fuse, search, statechange, tracks, vectors
-from timelens.plans import planner
-from timelens.sources import sidecars, trace
+from timelens.plans import ingest, planner
+from timelens.sources import sidecars, trace, versions
 from timelens.streaming import watch
 
 
@@ -64,7 +64,7 @@ def build_parser() -> argparse.ArgumentParser:
 
 
 def _role(spark: SparkSession, args: argparse.Namespace, name: str) -> DataFrame:
-    return schemas.read_role(spark, f"{args.workdir}/{name}", name)
+    return versions.open_role(spark, f"{args.workdir}/{name}", name)
 
 
 def _videos(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -127,8 +127,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame | dict:
         return trace.list_runs(trace.load_events(spark, args.path))
     if verb == "remove":
         gone = catalog.resolve_ident(_videos(spark, args), args.ident)
-        roles = [n for n in schemas.SCHEMAS if n not in ("videos", "cameras", "jobs", "vectors")]
-        return catalog.counts_by_video({n: _role(spark, args, n).join(gone.select("video_id"), "video_id", "left_semi") for n in roles})
+        held = gone.select("video_id").collect()  # one row at most
+        if not held:
+            return {"removed": 0}
+        return {"removed": 1, "rows": ingest.remove(args.workdir, spark.createDataFrame(held, "video_id string"), [n for n in schemas.SCHEMAS if n not in ("cameras", "jobs")])}
     if verb == "migrate-layout":
         catalog.migrate_layout(_role(spark, args, "vectors"), args.target)
         return {"written": args.target}

@@ -1,20 +1,21 @@
-"""Running roles over videos: ingest, reingest and reprocessing. Roles are callables from videos to rows; each is one Spark job over all videos."""
+"""Running roles over videos: ingest, reingest, reprocessing and removal. Roles are callables from videos to rows; each is one Spark job over all videos."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timelens import schemas
 from timelens.operators import catalog
+from timelens.sources import versions
 
 #: A role's rows (video_id and its table's columns) for videos.
 Role = Callable[[DataFrame], DataFrame]
 TERMINAL = ("done", "quarantined")
+#: Keys of tables that are replaced by more or other than the video.
+KEYS = {"videos": ("id",), "role_provenance": ("video_id", "role"), "observations": ("video_id", "prompt_key")}
 
 
 @dataclass
@@ -32,62 +33,46 @@ def pending_videos(requests: DataFrame, videos: DataFrame) -> DataFrame:
     return requests.join(over, "source_key", "left_anti")
 
 
-def stamped(rows: DataFrame, videos: DataFrame, role: str, fingerprint: str, run_id: str) -> DataFrame:
-    """Provenance of a role over videos, with the number of rows that each got."""
-    counts = rows.groupBy("video_id").agg(F.count("*").cast("int").alias("row_count"))
-    each = videos.select("video_id", "fps").join(counts, "video_id", "left")
+def stamped(counts: DataFrame, videos: DataFrame, role: str, fingerprint: str, run_id: str) -> DataFrame:
+    """Provenance of a role over videos, with the number of rows that each got (video_id, row_count)."""
+    each = videos.select("video_id", "fps").join(counts.select("video_id", F.col("row_count").cast("int").alias("row_count")), "video_id", "left")
     return each.select("video_id", F.lit(role).alias("role"), F.lit(role).alias("model"), F.lit(fingerprint).alias("fingerprint"), "fps", F.lit(run_id).alias("run_id"), F.coalesce("row_count", F.lit(0)).alias("row_count"), F.current_timestamp().alias("produced_at"))
 
 
 def run_roles(videos: DataFrame, roles: Mapping[str, tuple[str, Role]], workdir: str, fingerprints: Mapping[str, str], run_id: str, disabled: Sequence[str] = ()) -> Outcome:
-    """each role's rows replace the videos' partitions of its table (role -> (table, callable)), and its provenance is stamped.
+    """each role's rows replace the videos' in its table (role -> (table, callable)), and its provenance is stamped.
 
-    A role that fails leaves its message and what was there, and the others go on: a failure is one of the write, where Spark's stages
-    run. A disabled role is skipped.
+    A role's rows are computed once, staged as a version and counted there; the commit makes them visible and lets videos that got none lose
+    their old ones. A role that fails leaves its message and what was there, and the others go on: a failure is one of the write, where
+    Spark's stages run. A disabled role is skipped.
     """
-    out = Outcome()
+    out, spark = Outcome(), videos.sparkSession
     for role, (table, make) in roles.items():
         if role in disabled:
             out.skipped.append(role)
             continue
         try:
-            path = f"{workdir}/{table}"
-            rows = schemas.conform(make(videos), table)
-            # videos without a row in the new result lose their old ones too
-            old = _read(videos, path, table)
-            gone = videos.select("video_id").join(rows.select("video_id").distinct(), "video_id", "left_anti")
-            catalog.overwrite_partitions(rows, path, "video_id")
-            if old is not None:
-                _drop_partitions(gone, path)
-            held = schemas.read_role(videos.sparkSession, path, table).join(videos.select("video_id"), "video_id", "left_semi")
-            stamps = stamped(held, videos, role, fingerprints.get(role, ""), run_id)
-            out.written[role] = held.count()
-            _replace_stamps(stamps, f"{workdir}/role_provenance")
+            counts = versions.adopt(spark, f"{workdir}/{table}", table, KEYS.get(table, ("video_id",))).replace(make(videos), videos)
+            stamps = stamped(counts, videos, role, fingerprints.get(role, ""), run_id)
+            versions.adopt(spark, f"{workdir}/role_provenance", "role_provenance", KEYS["role_provenance"]).replace(stamps)
+            out.written[role] = counts.agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
         except Exception as e:  # noqa: BLE001
             out.failed[role] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
     return out
 
 
-def _read(videos: DataFrame, path: str, table: str) -> DataFrame | None:
-    try:
-        return schemas.read_role(videos.sparkSession, path, table)
-    except AnalysisException:
-        return None
-
-
-def _drop_partitions(gone: DataFrame, path: str) -> None:
-    """Remove partition folders of videos; the ids are those of one run's videos without rows, read one by one."""
-    spark = gone.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for r in gone.toLocalIterator():
-        at = hadoop.Path(f"{path}/video_id={escape(str(r['video_id']))}")
-        at.getFileSystem(conf).delete(at, True)
-
-
-def _replace_stamps(stamps: DataFrame, path: str) -> None:
-    stamps.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("role", "video_id").parquet(path)
+def remove(workdir: str, gone: DataFrame, tables: Sequence[str]) -> dict[str, int]:
+    """SK15: videos (video_id) go from each role table, by a commit that drops their keys; gives how many rows each table lost."""
+    lost, spark = {}, gone.sparkSession
+    for table in tables:
+        held = versions.adopt(spark, f"{workdir}/{table}", table, KEYS.get(table, ("video_id",)))
+        if not held.exists():
+            continue
+        column = "id" if table == "videos" else "video_id"
+        mine = held.ledger().join(gone.select(F.col("video_id").alias(column)), column, "left_semi")
+        lost[table] = mine.agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
+        held.drop(mine)
+    return lost
 
 
 def finished(videos: DataFrame, done: DataFrame, outcome: Outcome, required: Sequence[str], run_id: str) -> DataFrame:
