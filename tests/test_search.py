@@ -9,7 +9,7 @@ from timelens.functions import text as tx
 from timelens.functions import timeparse as tp
 from timelens.operators import catalog, fuse, search, vectors
 from timelens.plans import planner, roles
-from timelens.sources import media, sidecars, trace, uris, vendor_log
+from timelens.sources import media, sidecars, uris, vendor_log
 
 
 def one(spark, column, **values):
@@ -162,15 +162,6 @@ def test_vendor_log(spark):
     assert got == [("1", 10.0, 40.0, False), ("2", 60.0, 120.0, False)]
 
 
-def test_trace(spark, tmp_path):
-    rows = [("2026-01-01T00:00:00", "r1", "plan", "start", "a=1\nmore"), ("2026-01-01T00:00:05", "r1", "plan", "error", None), ("2026-01-02T00:00:00", "r2", "plan", "start", "b=2")]
-    trace.write_events(spark.createDataFrame(rows, "time string, run string, stage string, event string, detail string").coalesce(1), str(tmp_path / "t"))
-    events = trace.load_events(spark, str(tmp_path / "t"))
-    assert {(r["run"], r["events"], r["errors"]) for r in trace.list_runs(events).collect()} == {("r1", 2, 1), ("r2", 1, 0)}
-    assert events.filter("run = 'r1' AND event = 'start'").first()["detail"] == "a=1\nmore"
-    assert {r["run"] for r in trace.prune(events, 1).collect()} == {"r2"}
-
-
 def test_cli(spark, tmp_path):
     from timelens import cli
 

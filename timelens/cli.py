@@ -54,8 +54,12 @@ def build_parser() -> argparse.ArgumentParser:
     probe.add_argument("events")
     probe.add_argument("start", type=float)
     probe.add_argument("end", type=float)
-    t = verbs.add_parser("trace")
+    t = verbs.add_parser("trace", help="a folder's runs, or one of them as it is")
     t.add_argument("path")
+    t.add_argument("--run")
+    t.add_argument("--keep", type=int)
+    t.add_argument("--older-than-days", type=float)
+    t.add_argument("--clear", action="store_true")
     remove = verbs.add_parser("remove")
     remove.add_argument("ident")
     migrate = verbs.add_parser("migrate-layout")
@@ -124,7 +128,12 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame | dict:
     if verb == "motion-probe":
         return sidecars.motion_events(sidecars.read_sidecars(spark, args.events, "motion"), args.start, args.end)
     if verb == "trace":
-        return trace.list_runs(trace.load_events(spark, args.path))
+        if args.clear or args.keep is not None or args.older_than_days is not None:
+            return {"removed": trace.prune(spark, args.path, args.keep, args.older_than_days, args.clear)}
+        if args.run is not None:
+            found = trace.find_run(spark, args.path, args.run)
+            return {"run": args.run, "trace": found and trace.render(spark, found)}
+        return trace.newest_runs(trace.list_runs(trace.read_lines(spark, args.path)))
     if verb == "remove":
         gone = catalog.resolve_ident(_videos(spark, args), args.ident)
         held = gone.select("video_id").collect()  # one row at most

@@ -11,5 +11,6 @@ TOP_STATES, SHOWN_RUNS = 8, 40
 TRACK_IOU, TRACK_GAP = 0.3, 2.5
 CUT_DISTANCE, CUT_LEAST_SECONDS = 0.4, 0.6
 MIDPOINT_SHOT, LONG_SHOT_STRIDE = 15.0, 4.0
+SCAN_FRAMES, SCAN_FPS = 120, 1.0
 MIN_SPAN = 0.5
 NO_CAMERA = "(no camera)"

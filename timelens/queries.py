@@ -818,3 +818,6 @@ def t10(s, d):
 @query("t8_scan_states", f"{_STATES}, each AS (SELECT video_id, unnest(st) AS x FROM final), n AS (SELECT video_id, x.s AS state, count(*) AS episodes FROM each GROUP BY 1, 2) SELECT video_id::VARCHAR AS video_id, state, episodes FROM n QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY episodes DESC, state) <= 3")
 def t8(s, d):
     return statechange.top_states(statechange.analyze_timelines(b.observations(s, d)), 3).select("video_id", "state", "episodes")
+
+
+from timelens import queries_scan  # noqa: E402, F401 (registers more queries)

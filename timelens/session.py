@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "timelens", **conf: str) -> SparkSession:
@@ -19,3 +22,14 @@ def build_session(app: str = "timelens", **conf: str) -> SparkSession:
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut in the shared folder of ``spark.checkpoint.dir``; only a single machine may lack that setting."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
