@@ -43,6 +43,11 @@ INGEST_STATUSES = ("pending", "fetching", "processing", "done", "failed", "quara
 SOURCE_TYPES = ("youtube", "local", "nvr_recorded")
 
 
+def columns(name: str) -> dict[str, str]:
+    """A role table's columns and their types."""
+    return dict(c.split(" ", 1) for c in _DDL[name].split(", "))
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """df with exactly the columns of a role table: absent ones are null, others cast or dropped."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])

@@ -98,9 +98,9 @@ class Versioned:
         """
         document = self.commits.latest()[1] if commit is None else self.commits.read(commit)
         if not document.get("versions"):
-            if self.table is None:
+            if self.table is None and not document.get("columns"):
                 raise FileNotFoundError(f"{self.path} has no rows")
-            return schemas.empty_role(self.spark, self.table)
+            return self._shaped(self.spark.createDataFrame([], "_ int").drop("_"), document)
         keys = document["keys"]
         ledger = self.spark.read.parquet(f"{self.path}/ledger/{document['ledger']}").filter("row_count > 0")
         rows = self._rows(document["versions"])
@@ -110,8 +110,33 @@ class Versioned:
             if torn := compared.filter(~F.col("_whole")).count():
                 log.warning("%s: %d keys have other rows than were committed and read as empty", self.path, torn)
             ledger = compared.filter("_whole")
-        mine = rows.join(ledger.select(*keys, "version"), [*keys, "version"], "left_semi").drop("version")
-        return mine if self.table is None else schemas.conform(mine, self.table)
+        return self._shaped(rows.join(ledger.select(*keys, "version"), [*keys, "version"], "left_semi").drop("version"), document)
+
+    def _shaped(self, rows: DataFrame, document: dict) -> DataFrame:
+        """Rows as the table's schema has them, or with the columns that were added since they were written."""
+        if self.table is not None:
+            return schemas.conform(rows, self.table)
+        return rows.withColumns({c: F.lit(None).cast(kind) for c, kind in document.get("columns", {}).items() if c not in rows.columns})
+
+    def add_columns(self, columns: dict[str, str]) -> bool:
+        """Nullable columns that rows without them read as null: a commit alone, no file is written again. False if all are there.
+
+        A table that isn't there yet is made, empty.
+        """
+        while True:
+            number, document = self.commits.latest()
+            have = set(document.get("columns", {}))
+            if document.get("versions"):
+                have |= set(self._rows(document["versions"]).columns)
+            new = {c: k for c, k in columns.items() if c not in have}
+            if not new and document:
+                return False
+            if not document:
+                name = uuid.uuid4().hex
+                self.spark.createDataFrame([], ", ".join([f"{k} {columns.get(k, 'string')}" for k in self.keys] + ["version string", "row_count bigint"])).write.parquet(f"{self.path}/ledger/{name}")
+                document = {"ledger": name, "versions": [], "keys": self.keys}
+            if self.commits.add(number + 1, document | {"columns": document.get("columns", {}) | new}):
+                return True
 
     def stage(self, rows: DataFrame) -> str:
         """Write rows as a version that no commit names yet."""
@@ -144,7 +169,7 @@ class Versioned:
         ledger = self.spark.read.parquet(f"{self.path}/ledger/{document['ledger']}")
         name = uuid.uuid4().hex
         ledger.withColumn("version", F.lit(version)).write.parquet(f"{self.path}/ledger/{name}")
-        if not self.commits.add(number + 1, {"ledger": name, "versions": [version], "keys": self.keys}):
+        if not self.commits.add(number + 1, document | {"ledger": name, "versions": [version]}):
             raise RuntimeError(f"{self.path} was written while it was compacted")
 
     def vacuum(self, keep: int = 2) -> int:
@@ -176,7 +201,7 @@ class Versioned:
             written = self.spark.read.parquet(f"{self.path}/ledger/{name}")
             # as many as there were commits since the last compaction
             live = {r[0] for r in written.filter("row_count > 0").select("version").distinct().collect()}
-            if self.commits.add(number + 1, {"ledger": name, "versions": sorted(live | set(named)), "keys": self.keys}):
+            if self.commits.add(number + 1, document | {"ledger": name, "versions": sorted(live | set(named)), "keys": self.keys}):
                 return written if version is None else written.filter(F.col("version") == version).drop("version")
 
 
