@@ -27,11 +27,16 @@ def test_text_forms(spark):
     assert one(spark, tx.canonical_key(F.lit("the color"))).startswith("t") and one(spark, tx.canonical_key(F.lit("the color"))) != one(spark, tx.canonical_key(F.lit("the wearing")))
     assert one(spark, tx.snippet(F.lit("one two three"), 9)) == "one two…" and one(spark, tx.snippet(F.lit("one"), 9)) == "one"
     assert one(spark, tx.minutes(F.lit(67.9))) == "1:07"
-    assert [one(spark, tx.verdict(F.lit(a))) for a in ("Yes, it is", "no.", "maybe yes", "it is")] == ["yes", "no", "unsure", "unsure"]
+    assert [one(spark, tx.verdict(F.lit(a))) for a in ("Yes, it is", "no.", "maybe yes", "it is", "NOPE", " None of it", "false", "Yeah", "correct", "true", "sure", "not sure", "no, cannot see it", "nothing", "")] == ["yes", "no", "unsure", "unsure", "no", "no", "no", "yes", "yes", "yes", "yes", "no", "no", "unsure", "unsure"]
     assert tx.first_json_object('x {"a": {"b": 1}} y') == {"a": {"b": 1}} and tx.first_json_object("none") is None and tx.first_json_object("{bad}") is None
     assert tx.fingerprint("r", {"a": 1, "b": 2}) == tx.fingerprint("r", {"b": 2, "a": 1}) != tx.fingerprint("r", {"a": 2})
     assert one(spark, tx.deep_link(F.lit("youtube"), F.lit("k"), F.lit("u"), F.lit(67.5))).endswith("watch?v=k&t=67s")
-    assert one(spark, tx.insufficient(F.lit("There is not enough evidence"))) is True
+    said = ("There is not enough evidence", "It is unclear from this", "Unknown.", "cannot be confirmed", "Can't count them", "five cars", None)
+    assert [one(spark, tx.insufficient(F.lit(a).cast("string"))) for a in said] == [True] * 5 + [False] * 2
+    assert tx.first_json_object('```json\n{"a": 1}\n```') == {"a": 1} and tx.first_json_object('{"a": "```json"}') == {"a": ""}
+    assert [one(spark, tx.slug(F.lit(t).cast("string"))) for t in ("A  Red-Car!", "x" * 31 + " y", "???", None)] == ["a-red-car", "x" * 31, "video", "video"]
+    assert [one(spark, tx.key16(F.lit(k))) for k in ("sha256:abcdef0123456789ff", "nvr:ch1:100-200", "plain_key", "a:!")] == ["abcdef0123456789", "ch1100-200", "plain_key", "unknown"]
+    assert [one(spark, tx.snippet(F.lit(t).cast("string"), 9)) for t in (" one\ntwo  x\t", "abcdefghijkl", "ab  cd  efg", None)] == ["one two…", "abcdefghi…", "ab  cd…", ""]
 
 
 def test_times(spark):
@@ -146,7 +151,11 @@ def test_sources(spark, tmp_path):
     windows = spark.createDataFrame([("nvr://3/2026-01-01T00:00:00/2026-01-01T00:01:00",), ("nvr://3/2026-01-01T00:01:00/2026-01-01T00:00:00",), ("nvr://3/2026-01-01T00:00:00Z/2026-01-01T00:10:00Z",), ("nvr://3/x/y",), ("file",)], "uri string")
     rows = uris.recorder_windows(windows, "America/Los_Angeles").collect()
     assert [r["problem"] for r in rows] == [None, "ends before it starts", "too long", "no time", "not a window"] and rows[0]["start_epoch"] == 1767254400.0 and rows[0]["camera_id"] == "nvr-ch3"
-    assert [tuple(p) for p in one(spark, uris.stream_profiles(F.lit("2688x1520@20, 640x480,bad")))] == [(2688, 1520, 20), (640, 480, None)]
+    assert [tuple(p) for p in one(spark, uris.stream_profiles(F.lit("2688x1520@20, 640X480@,, 352x240@14.6")))] == [(2688, 1520, 20), (640, 480, None), (352, 240, 15)]
+    assert one(spark, uris.stream_profiles(F.lit("  "))) is None and one(spark, uris.stream_profiles(F.lit(None).cast("string"))) is None
+    for slip in ("2688x1520@20,bad", "2688x@20", "640x480@fast", ",", " , "):
+        with pytest.raises(Exception, match="stream profile"):
+            one(spark, uris.stream_profiles(F.lit(slip)))
     clip = spark.createDataFrame([("v", 30.0, 65)], "video_id string, fps double, frame_count int")
     assert [r["frame_index"] for r in media.sampled_frames(clip).collect()] == [0, 30, 60]
     assert media.first_frames(media.sampled_frames(clip), 2).count() == 2

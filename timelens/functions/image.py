@@ -15,6 +15,30 @@ BINS = 16
 PALETTE = {"black": (0, 0, 0), "white": (255, 255, 255), "red": (220, 30, 30), "green": (30, 160, 60), "blue": (30, 60, 220), "yellow": (240, 220, 40), "orange": (240, 140, 30), "purple": (130, 40, 160), "brown": (120, 80, 40), "gray": (128, 128, 128)}
 
 
+# Colours that the mask detector knows, how far a pixel may be from one, and the least share of a frame.
+MASK_PALETTE = {"red": (220, 30, 30), "green": (30, 180, 30), "blue": (30, 30, 220), "yellow": (230, 220, 40), "white": (240, 240, 240), "black": (15, 15, 15)}
+MASK_DISTANCE, MASK_SHARE = 60, 0.002
+
+
+def color_mask(r: Column, g: Column, b: Column, rgb: tuple[int, int, int]) -> Column:
+    """UD5: places (from 0) of the pixels nearer than MASK_DISTANCE to a colour, in channels given as arrays."""
+    far = lambda v, c: (v - F.lit(c)) * (v - F.lit(c))
+    squares = F.zip_with(F.zip_with(F.transform(r, lambda v: far(v, rgb[0])), F.transform(g, lambda v: far(v, rgb[1])), lambda x, y: x + y), F.transform(b, lambda v: far(v, rgb[2])), lambda x, y: x + y)
+    placed = F.transform(squares, lambda d, i: F.when(d < MASK_DISTANCE * MASK_DISTANCE, i))
+    return F.filter(placed, lambda i: i.isNotNull())
+
+
+def mask_extent(mask: Column, pixels: Column, width: Column, object_class: str) -> Column:
+    """SC14: the detection that a mask makes: its extent in shares of the frame, surer the more of the frame it covers; null under MASK_SHARE."""
+    share = F.size(mask) / F.nullif(pixels, F.lit(0))
+    height = pixels / width
+    xs, ys = F.transform(mask, lambda i: i % width), F.transform(mask, lambda i: F.floor(i / width))
+    low = lambda v: F.array_min(v).cast("double")
+    wide = lambda v: (F.array_max(v) - F.array_min(v) + 1).cast("double")
+    box = F.struct(F.lit(object_class).alias("object_class"), F.least(F.lit(1.0), 0.5 + share).alias("confidence"), (low(xs) / width).alias("bbox_x"), (low(ys) / height).alias("bbox_y"), (wide(xs) / width).alias("bbox_w"), (wide(ys) / height).alias("bbox_h"))
+    return F.when(share >= MASK_SHARE, box)
+
+
 def channel_histogram(values: Column) -> Column:
     """Shares of one channel's values (0 to 255) in BINS equal bins, the last one closed; zeros without values."""
     bin_of = lambda v: F.least(F.floor(v.cast("double") * BINS / 255.0), F.lit(BINS - 1))

@@ -74,19 +74,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)).cast("double"), F.lit(0.0))
 
 
-def snippet(text: Column, limit: int) -> Column:
-    """Text cut at a word's end to at most limit characters, with an ellipsis where cut."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, limit), r"\s+\S*$", ""), F.lit("…")))
+def snippet(text: Column, limit: int = 50) -> Column:
+    """Text on one line, cut to at most limit characters and back to a space, with an ellipsis where cut."""
+    flat = F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
+    cut = F.regexp_replace(F.regexp_replace(F.substring(flat, 1, limit), " [^ ]*$", ""), r"(?U)\s+$", "")
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(cut, F.lit("…")))
 
 
 def slug(title: Column) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")), 1, 60)
+    """Words of a title in a path, 32 characters at most; ``video`` where there are none."""
+    words = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.coalesce(F.nullif(F.regexp_replace(F.substring(words, 1, 32), "-$", ""), F.lit("")), F.lit("video"))
 
 
 def key16(source_key: Column) -> Column:
-    """First sixteen characters of a key, without its scheme."""
-    return F.substring(F.regexp_replace(F.substring_index(source_key, ":", -1), "[^A-Za-z0-9_-]", ""), 1, 16)
+    """First sixteen characters of a key after its scheme, up to the first colon; ``unknown`` where there are none."""
+    bare = F.regexp_replace(F.regexp_replace(source_key, "(?s)^[^:]*:", ""), "[^A-Za-z0-9_-]", "")
+    return F.coalesce(F.nullif(F.substring(bare, 1, 16), F.lit("")), F.lit("unknown"))
 
 
 def minutes(seconds: Column) -> Column:
@@ -100,21 +104,29 @@ def deep_link(source_type: Column, source_key: Column, source_uri: Column, secon
     return F.when(source_type == "youtube", link).otherwise(F.concat(F.lit("["), minutes(seconds), F.lit(" @ "), source_uri, F.lit("]")))
 
 
+# How answers begin, and what says that evidence doesn't suffice.
+NEGATIVE = r"^\s*(no|nope|not|none|negative|false)\b"
+POSITIVE = r"^\s*(yes|yeah|yep|correct|true|sure)\b"
+INSUFFICIENT = (
+    r"insufficien|not enough|cannot (be )?(determin|count|tell|confirm|verif)"
+    r"|can't (determine|tell|count)|unable to|no (relevant )?evidence"
+    r"|unclear from|unknown"
+)
+
+
 def verdict(answer: Column) -> Column:
-    """yes, no or unsure, read conservatively from a verifier's answer."""
-    low = F.lower(F.trim(answer))
-    hedged = low.rlike(r"\b(unsure|unclear|cannot|can't|not sure|maybe|possibly)\b")
-    return F.when(hedged, "unsure").when(low.rlike(r"^\W*yes\b"), "yes").when(low.rlike(r"^\W*no\b"), "no").otherwise("unsure")
+    """Yes, no or unsure, by the word that a verifier's answer begins with."""
+    return F.when(answer.rlike(f"(?i){NEGATIVE}"), "no").when(answer.rlike(f"(?i){POSITIVE}"), "yes").otherwise("unsure")
 
 
 def insufficient(answer: Column) -> Column:
-    """Whether an answer says that the evidence doesn't suffice."""
-    return answer.rlike(r"(?i)(insufficient|not enough|no (relevant )?evidence|cannot (determine|be determined|answer)|can't (determine|tell)|unable to (determine|answer))")
+    """Whether an answer says that the evidence doesn't suffice."""
+    return F.coalesce(answer.rlike(f"(?i){INSUFFICIENT}"), F.lit(False))
 
 
 def first_json_object(text: str | None) -> dict | None:
-    """The first balanced object in a text, braces counted without regard to strings; null if it doesn't parse."""
-    text = text or ""
+    """The first balanced object in a text without its code fences, braces counted without regard to strings; null if it doesn't parse."""
+    text = re.sub(r"```(?:json)?", "", text or "")
     start = text.find("{")
     depth = 0
     for at in range(start, len(text)) if start >= 0 else ():

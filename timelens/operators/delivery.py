@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelens.functions.image import dhash
+
 MAX_DISTANCE, CLOCK_TOLERANCE, LEAST_KEPT = 20, 5.0, 1.0
+HEAD_FRAMES = 8
 
 
 def _head(signals: DataFrame, foreign, name: str) -> DataFrame:
@@ -40,3 +43,43 @@ def verify_delivery(clips: DataFrame, head: DataFrame, clock: DataFrame, profile
     lost = (F.col("head_last").isNotNull() & F.col("head_trim").isNull()) | (F.col("clock_last").isNotNull() & F.col("clock_trim").isNull())
     action = F.when(~fits, "reject").when(lost, "reject").when(trim <= 0, "accept").when(F.col("window_len") - trim < LEAST_KEPT, "reject").otherwise("trim")
     return joined.select("clip_id", action.alias("action"), F.when(action == "trim", trim).otherwise(0.0).alias("trim_before"))
+
+
+def head_signals(clips: DataFrame, frames: DataFrame, size: int = 8) -> DataFrame:
+    """UD15: how far each of a clip's first HEAD_FRAMES frames is from its body: clip_id, t, distance (differing bits of difference hashes).
+
+    The body is the frame at the middle of what was decoded (clips: clip_id, duration; else window_len), by which a head of another camera
+    stands out without any reference for the channel. frames: clip_id, frame_index, t, grid (grey values, as image.dhash takes them for ``size``). Hashes are made
+    before frames meet, so a number a frame is shuffled, not pixels.
+    """
+    hashed = frames.select("clip_id", "frame_index", "t", dhash(F.col("grid"), size).alias("hash"))
+    length = F.coalesce("duration", "window_len")
+    at = F.least(F.greatest(length / 2, F.lit(0.0)), F.greatest(length - 0.1, F.lit(0.0)))
+    placed = hashed.join(clips.select("clip_id", at.alias("_at")), "clip_id")
+    body = placed.groupBy("clip_id").agg(F.min_by("hash", F.struct(F.abs(F.col("t") - F.col("_at")), "frame_index")).alias("_body"))
+    first = Window.partitionBy("clip_id").orderBy("frame_index")
+    head = hashed.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= HEAD_FRAMES)
+    return head.join(body, "clip_id").select("clip_id", "t", F.bit_count(F.col("hash").bitwiseXOR(F.col("_body"))).cast("bigint").alias("distance"))
+
+
+def observed(clips: DataFrame) -> DataFrame:
+    """UD15: clips with width, height and fps read from their metadata (resolution ``WxH``, rate); null where it says nothing."""
+    part = lambda i: F.nullif(F.regexp_extract("resolution", r"^(\d+)[xX](\d+)$", i), F.lit("")).cast("int")
+    return clips.withColumns({"width": part(1), "height": part(2), "fps": F.when(F.col("rate") != 0, F.bround("rate").cast("int"))})
+
+
+def verified_clips(clips: DataFrame, frames: DataFrame, clock: DataFrame, profiles: Sequence[tuple[int, int, int | None]] | None, size: int = 8) -> DataFrame:
+    """UD15, V1: from frames to verdicts: clip_id, action (accept, trim, reject), trim_before, start_epoch (of what is kept).
+
+    A trim is checked again on what it leaves: if that isn't accepted, the clip is refused.
+    """
+    known = observed(clips)
+    first = verify_delivery(known, head_signals(known, frames, size), clock, profiles)
+    cut = first.filter("action = 'trim'").select("clip_id", F.col("trim_before").alias("_cut"))
+    rest = known.join(cut, "clip_id").withColumns({"start_epoch": F.col("start_epoch") + F.col("_cut"), "window_len": F.greatest(F.col("window_len") - F.col("_cut"), F.lit(0.0)), "duration": F.col("duration") - F.col("_cut")}).drop("_cut")
+    later = lambda df: df.join(cut, "clip_id").filter(F.col("t") >= F.col("_cut")).withColumn("t", F.col("t") - F.col("_cut")).drop("_cut")
+    again = verify_delivery(rest, head_signals(rest, later(frames), size), later(clock), profiles).select("clip_id", (F.col("action") == "accept").alias("_clean"))
+    judged = first.join(again, "clip_id", "left").join(known.select("clip_id", "start_epoch"), "clip_id")
+    action = F.when((F.col("action") == "trim") & ~F.coalesce("_clean", F.lit(False)), "reject").otherwise(F.col("action"))
+    trim = F.when(action == "trim", F.col("trim_before")).otherwise(0.0)
+    return judged.select("clip_id", action.alias("action"), trim.alias("trim_before"), (F.col("start_epoch") + trim).alias("start_epoch"))

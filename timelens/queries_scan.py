@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from timelens import bindings as b
-from timelens.operators import deepscan, statechange, verify
+from timelens.functions import text as tx
+from timelens.operators import delivery, deepscan, statechange, verify
 from timelens.queries import query
-from timelens.sources import trace
+from timelens.sources import media, trace, uris, versions
 
 # Deep scan
 
@@ -198,3 +202,101 @@ def j13(s, d):
     asked = b.load(s, d, "orders").select((F.col("o_custkey") % 200).alias("video_id"))
     videos = s.range(400).select(F.col("id").alias("video_id"), F.when(F.col("id") % 9 != 0, F.concat(F.lit("run-"), (F.col("id") % 170).cast("string"))).alias("last_ingest_run_id"))
     return trace.ingest_links(asked, videos, trace.list_runs(_trace_lines(s, d)))
+
+
+# Colour masks: 8 x 8 pixels of each vector's components
+
+
+def _frames(s, d):
+    shade = lambda k: F.transform(F.slice("embedding", 1, 64), lambda x: F.floor(F.abs(x.cast("double")) * k).cast("int") % 256)
+    return b.load(s, d, "embeddings").select(F.col("vec_id").alias("video_id"), F.lit(0.0).alias("timestamp"), F.lit(8).alias("width"), shade(2100).alias("r"), shade(1300).alias("g"), shade(900).alias("b"))
+
+
+@query("ud5_color_boxes", """WITH px AS (SELECT vec_id, i, floor(abs(embedding[i + 1]::DOUBLE) * 2100)::INTEGER % 256 AS r, floor(abs(embedding[i + 1]::DOUBLE) * 1300)::INTEGER % 256 AS g, floor(abs(embedding[i + 1]::DOUBLE) * 900)::INTEGER % 256 AS b
+  FROM (SELECT vec_id, embedding, unnest(range(least(64, len(embedding)))) AS i FROM embeddings)),
+pal(name, pr, pg, pb) AS (VALUES ('green', 30, 180, 30), ('black', 15, 15, 15), ('red', 220, 30, 30)),
+met AS (SELECT vec_id, name, i % 8 AS x, i // 8 AS y FROM px, pal WHERE (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb) < 3600)
+SELECT vec_id AS video_id, 0.0::DOUBLE AS timestamp, name AS object_class, least(1.0, 0.5 + count(*) / 64.0::DOUBLE) AS confidence, min(x) / 8.0::DOUBLE AS bbox_x, min(y) / 8.0::DOUBLE AS bbox_y, (max(x) - min(x) + 1) / 8.0::DOUBLE AS bbox_w, (max(y) - min(y) + 1) / 8.0::DOUBLE AS bbox_h FROM met GROUP BY vec_id, name""")
+def ud5(s, d):
+    return media.color_boxes(_frames(s, d), ["green", "Black", "red", "car"])
+
+
+# Tables in versions
+
+
+def _scratch(s) -> str:
+    """A folder of its own for a query that writes tables: in the shared folder where there is one."""
+    at = s.sparkContext._jsc.sc().getCheckpointDir()
+    shared = at.get() if at.isDefined() else s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
+@query("sk18_versions", """SELECT o_custkey::VARCHAR AS video_id, CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority ELSE o_orderstatus END AS text, o_totalprice AS start_time FROM orders WHERE o_custkey % 7 <> 0 AND NOT (o_custkey % 3 = 0 AND o_orderkey % 2 = 0)""")
+def sk18(s, d):
+    held = versions.Versioned(s, f"{_scratch(s)}/transcripts", "transcripts")
+    orders = b.load(s, d, "orders").withColumn("video_id", F.col("o_custkey").cast("string"))
+    rows = lambda text: orders.select("video_id", "o_orderkey", F.col("o_totalprice").cast("double").alias("start_time"), F.col(text).alias("text"))
+    held.replace(rows("o_orderstatus"))
+    some = orders.filter("o_custkey % 3 = 0")
+    held.replace(rows("o_orderpriority").filter("CAST(video_id AS BIGINT) % 3 = 0 AND o_orderkey % 2 = 1"), some)
+    held.drop(orders.filter("o_custkey % 7 = 0"))
+    held.stage(rows("o_orderstatus"))  # never committed
+    return held.read(checked=True).select("video_id", "text", "start_time")
+
+
+# Delivery: a clip is twelve vectors, each a grey image of 7 x 8; the first ones are another camera's
+
+
+@query("ud15_delivery", """WITH own AS (SELECT vec_id // 12 AS clip_id, vec_id % 12 AS fi, vec_id, embedding FROM embeddings),
+grids AS (SELECT a.clip_id, a.fi, a.fi / 4.0::DOUBLE AS t, CASE WHEN a.fi < a.clip_id % 11 THEN a.embedding ELSE coalesce(c.embedding, a.embedding) END AS g FROM own a LEFT JOIN own c ON c.clip_id = a.clip_id AND c.fi = 11),
+hashes AS (SELECT clip_id, fi, t, list_sum(list_transform(range(49), lambda i: CASE WHEN g[(i // 7) * 8 + i % 7 + 1] > g[(i // 7) * 8 + i % 7 + 2] THEN 1::BIGINT << (48 - i)::INTEGER ELSE 0 END))::BIGINT AS h FROM grids),
+clips AS (SELECT clip_id, count(*) / 4.0::DOUBLE AS seconds FROM hashes GROUP BY 1),
+b1 AS (SELECT clip_id, arg_min(h, {'far': abs(t - least(seconds / 2, greatest(seconds - 0.1, 0))), 'fi': fi}) AS body FROM hashes JOIN clips USING (clip_id) GROUP BY 1),
+h1 AS (SELECT clip_id, t, bit_count(xor(h, body)) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY fi) AS n FROM hashes) JOIN b1 USING (clip_id) WHERE n <= 8),
+l1 AS (SELECT clip_id, max(t) FILTER (distance > 20) AS last FROM h1 GROUP BY 1), t1 AS (SELECT clip_id, any_value(last) AS last, min(t) FILTER (t > last) AS trim FROM h1 JOIN l1 USING (clip_id) GROUP BY 1),
+v1 AS (SELECT clip_id, seconds, CASE WHEN clip_id % 13 = 5 THEN 'reject' WHEN last IS NOT NULL AND trim IS NULL THEN 'reject' WHEN coalesce(trim, 0) <= 0 THEN 'accept' WHEN seconds - trim < 1 THEN 'reject' ELSE 'trim' END AS action, trim FROM clips LEFT JOIN t1 USING (clip_id)),
+rest AS (SELECT clip_id, fi, t - trim AS t, h, seconds - trim AS seconds FROM hashes JOIN v1 USING (clip_id) WHERE action = 'trim' AND t >= trim),
+b2 AS (SELECT clip_id, arg_min(h, {'far': abs(t - least(greatest(seconds / 2, 0), greatest(seconds - 0.1, 0))), 'fi': fi}) AS body FROM rest GROUP BY 1),
+clean AS (SELECT clip_id, max(bit_count(xor(h, body))) <= 20 AS clean FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY fi) AS n FROM rest) JOIN b2 USING (clip_id) WHERE n <= 8 GROUP BY 1),
+done AS (SELECT clip_id, CASE WHEN action = 'trim' AND NOT coalesce(clean, false) THEN 'reject' ELSE action END AS action, trim FROM v1 LEFT JOIN clean USING (clip_id))
+SELECT clip_id, action, CASE WHEN action = 'trim' THEN trim ELSE 0.0 END AS trim_before, 1000.0::DOUBLE * clip_id + CASE WHEN action = 'trim' THEN trim ELSE 0.0 END AS start_epoch FROM done""")
+def ud15(s, d):
+    own = b.load(s, d, "embeddings").select(F.floor(F.col("vec_id") / 12).alias("clip_id"), (F.col("vec_id") % 12).alias("frame_index"), "embedding")
+    last = own.filter("frame_index = 11").select("clip_id", F.col("embedding").alias("body"))
+    grid = F.when(F.col("frame_index") < F.col("clip_id") % 11, F.col("embedding")).otherwise(F.coalesce("body", "embedding"))
+    frames = own.join(last, "clip_id", "left").select("clip_id", "frame_index", (F.col("frame_index") / 4.0).alias("t"), grid.alias("grid"))
+    resolution = F.when(F.col("clip_id") % 13 == 5, "352x240").when(F.col("clip_id") % 13 == 6, "unknown").otherwise("2688x1520")
+    clips = own.groupBy("clip_id").agg((F.count("*") / 4.0).alias("duration")).select("clip_id", (1000.0 * F.col("clip_id")).alias("start_epoch"), F.col("duration").alias("window_len"), "duration", resolution.alias("resolution"), F.lit(19.98).alias("rate"))
+    clock = frames.select("clip_id", "t", (1000.0 * F.col("clip_id") + F.col("t") + 1).alias("observed_epoch"))
+    return delivery.verified_clips(clips, frames, clock, [(2688, 1520, 20)], size=7)
+
+
+# Text forms
+
+_ANSWERS = ("Yes", "no.", "NOPE", "maybe yes", " None of", "false", "Yeah", "correct", "true", "sure,", "not", "nothing", "it is unclear from", "Unknown", "cannot be confirmed:", "not enough")
+
+
+@query("s31_s32_answers", f"""WITH said AS (SELECT p_partkey, [{", ".join(f"'{a}'" for a in _ANSWERS)}][p_partkey % {len(_ANSWERS)} + 1] || ' ' || p_name AS answer FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(answer, '^\\s*(no|nope|not|none|negative|false)\\b', 'i') THEN 'no' WHEN regexp_matches(answer, '^\\s*(yes|yeah|yep|correct|true|sure)\\b', 'i') THEN 'yes' ELSE 'unsure' END AS label,
+  regexp_matches(answer, 'insufficien|not enough|cannot (be )?(determin|count|tell|confirm|verif)|can''t (determine|tell|count)|unable to|no (relevant )?evidence|unclear from|unknown', 'i') AS insufficient FROM said""")
+def s31_s32(s, d):
+    answer = F.concat(F.get(F.array(*map(F.lit, _ANSWERS)), F.col("p_partkey") % len(_ANSWERS)), F.lit(" "), "p_name")
+    return b.load(s, d, "part").select("p_partkey", tx.verdict(answer).alias("label"), tx.insufficient(answer).alias("insufficient"))
+
+
+@query("s15_s16_names", """WITH t AS (SELECT doc_id, text, replace(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS flat, substr(coalesce(text, ''), 1, 45) AS title, CASE WHEN doc_id % 3 = 0 THEN 'sha256:' || sha256(coalesce(text, '')) WHEN doc_id % 3 = 1 THEN 'nvr:ch' || doc_id || ':1-2' ELSE '?:!' END AS key FROM documents)
+SELECT doc_id, CASE WHEN length(flat) <= 50 THEN flat ELSE regexp_replace(regexp_replace(flat[1:50], ' [^ ]*$', ''), '\\s+$', '') || '…' END AS snippet,
+  coalesce(nullif(rtrim(left(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 32), '-'), ''), 'video') AS slug,
+  coalesce(nullif(left(regexp_replace(substr(key, strpos(key, ':') + 1), '[^A-Za-z0-9_-]', '', 'g'), 16), ''), 'unknown') AS key16 FROM t""")
+def s15_s16(s, d):
+    n = F.col("doc_id")
+    key = F.when(n % 3 == 0, F.concat(F.lit("sha256:"), F.sha2(F.coalesce("text", F.lit("")), 256))).when(n % 3 == 1, F.concat(F.lit("nvr:ch"), n.cast("string"), F.lit(":1-2"))).otherwise("?:!")
+    return b.load(s, d, "documents").select("doc_id", tx.snippet(F.col("text")).alias("snippet"), tx.slug(F.substring(F.coalesce("text", F.lit("")), 1, 45)).alias("slug"), tx.key16(key).alias("key16"))
+
+
+@query("sc9_stream_profiles", """SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN 2 - (p_size = 20 AND p_partkey % 2 = 1)::BIGINT END AS profiles, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS width, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 2 = 0 THEN 15 END AS fps FROM part""")
+def sc9(s, d):
+    size = F.col("p_size").cast("string")
+    spec = F.when(F.col("p_partkey") % 5 == 0, F.lit(" ")).otherwise(F.concat(size, F.lit("x"), size, F.when(F.col("p_partkey") % 2 == 0, "@14.6").otherwise(""), F.lit(", 20X20,")))
+    found = b.load(s, d, "part").select("p_partkey", uris.stream_profiles(spec).alias("p"))
+    return found.select("p_partkey", F.when(F.col("p").isNotNull(), F.size("p")).cast("bigint").alias("profiles"), F.col("p")[0]["w"].alias("width"), F.col("p")[0]["fps"].alias("fps"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelens.functions.image import MASK_PALETTE, color_mask, mask_extent
+
 
 def sampled_frames(videos: DataFrame, fps: float = 1.0) -> DataFrame:
     """SC10: frames that a sampling rate keeps, from (video_id, fps, frame_count): every max(1, round(fps / rate))-th."""
@@ -35,3 +39,39 @@ def synthetic_boxes(frames: DataFrame, boxes: list[tuple[str, float, float, floa
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("object_class"), *[F.lit(float(v)).alias(n) for n, v in zip(("x", "bbox_y", "bbox_w", "bbox_h", "drift"), vs, strict=True)]) for c, *vs in boxes]))
     rows = frames.select("video_id", "timestamp", each.alias("b")).select("video_id", "timestamp", "b.*")
     return rows.withColumn("bbox_x", F.col("x") + F.col("drift") * F.col("timestamp")).withColumn("confidence", F.lit(0.9)).drop("x", "drift")
+
+
+def color_boxes(frames: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """UD5, SC14: detections of named colours on frames (video_id, timestamp, width, and channels r, g, b of 0 to 255 as arrays, row by row).
+
+    A class that names no colour of the palette finds nothing. Each frame is judged within its row, so nothing is shuffled.
+    """
+    known = [c.lower() for c in classes if c.lower() in MASK_PALETTE]
+    if not known:
+        none = F.array().cast("array<struct<object_class:string,confidence:double,bbox_x:double,bbox_y:double,bbox_w:double,bbox_h:double>>")
+        return frames.select("video_id", "timestamp", F.explode(none).alias("box")).select("video_id", "timestamp", "box.*")
+
+    def box(c: str) -> Column:  # the mask is made once and used for all of its extents
+        return F.transform(F.array(color_mask(F.col("r"), F.col("g"), F.col("b"), MASK_PALETTE[c])), lambda mask: mask_extent(mask, F.size("r"), F.col("width"), c))[0]
+
+    found = frames.select("video_id", "timestamp", F.explode(F.filter(F.array(*map(box, known)), lambda x: x.isNotNull())).alias("box"))
+    return found.select("video_id", "timestamp", "box.*")
+
+
+def painted_frames(videos: DataFrame, boxes: Sequence[tuple[str, float, float, float, float, float]], width: int, height: int, fps: float, seconds: float) -> DataFrame:
+    """SC27: frames with pixels: a grey ground and boxes (colour, x, y, w, h, drift in x for each second), the later ones on top."""
+    times = F.explode(F.sequence(F.lit(0), F.lit(max(int(fps * seconds) - 1, 0))))
+    rows = videos.select("video_id", times.alias("i")).select("video_id", (F.col("i") / fps).alias("timestamp"))
+
+    def channel(at: int) -> Column:
+        def pixel(i: Column) -> Column:
+            x, y, value = (i % width + 0.5) / width, (F.floor(i / width) + 0.5) / height, F.lit(128)
+            for name, bx, by, bw, bh, drift in boxes:
+                left = F.lit(float(bx)) + F.lit(float(drift)) * F.col("timestamp")
+                inside = (x >= left) & (x < left + float(bw)) & (y >= float(by)) & (y < float(by) + float(bh))
+                value = F.when(inside, MASK_PALETTE[name][at]).otherwise(value)
+            return value
+
+        return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), pixel)
+
+    return rows.select("video_id", "timestamp", F.lit(width).alias("width"), channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))

@@ -67,7 +67,18 @@ def recorder_windows(uris: DataFrame, tz: str = "UTC") -> DataFrame:
 
 
 def stream_profiles(spec: Column) -> Column:
-    """SC9: ``WxH[@fps],...`` as an array of (w, h, fps); entries that don't parse are left out."""
-    form = r"^\s*(\d+)x(\d+)(?:@(\d+))?\s*$"
-    parts = F.filter(F.split(spec, ","), lambda p: p.rlike(form))
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, form, 1).cast("int").alias("w"), F.regexp_extract(p, form, 2).cast("int").alias("h"), F.nullif(F.regexp_extract(p, form, 3), F.lit("")).cast("int").alias("fps")))
+    """SC9: ``WxH[@fps],...`` as an array of (w, h, fps). Null or blank is null: no check is asked for.
+
+    Anything that doesn't parse, or a text without an entry, is an error: a slip must not switch the check off.
+    """
+    form = r"^\s*(\d+)\s*[xX]\s*(\d+)\s*(?:@\s*(\d+(?:\.\d*)?|\.\d+)?\s*)?$"
+    parts = F.filter(F.split(spec, ","), lambda p: F.trim(p) != "")
+
+    def profile(p: Column) -> Column:
+        rate = F.bround(F.nullif(F.regexp_extract(p, form, 3), F.lit("")).cast("double")).cast("int")
+        read = F.struct(F.regexp_extract(p, form, 1).cast("int").alias("w"), F.regexp_extract(p, form, 2).cast("int").alias("h"), rate.alias("fps"))
+        bad = F.raise_error(F.concat(F.lit("bad stream profile '"), p, F.lit("': WxH[@fps] is expected, as in 2688x1520@20")))
+        return F.when(p.rlike(form), read).otherwise(bad.cast("struct<w:int,h:int,fps:int>"))
+
+    none = F.raise_error(F.concat(F.lit("no stream profile in '"), spec, F.lit("'"))).cast("array<struct<w:int,h:int,fps:int>>")
+    return F.when(F.trim(spec) == "", None).when(F.size(parts) > 0, F.array_distinct(F.transform(parts, profile))).when(spec.isNotNull(), none)
