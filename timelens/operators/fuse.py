@@ -57,6 +57,11 @@ def from_summaries(rows: DataFrame) -> DataFrame:
     return _item(rows, "object", "first_seen", "last_seen", F.format_string("%s in %d frames", "object_class", "frames"), F.col("confidence"))
 
 
+def from_text(hits: DataFrame) -> DataFrame:
+    """Hits of the text index, each of its own modality, with the cosine as score."""
+    return hits.select("modality", F.col("video_id").cast("string").alias("video_id"), F.col("time_start").cast("double").alias("time_start"), F.col("time_end").cast("double").alias("time_end"), F.col("text").alias("content"), F.col("score").cast("double").alias("score"))
+
+
 def top_spans(spans: DataFrame, most: int = 3) -> DataFrame:
     """The spans with most frames."""
     return spans.orderBy(F.desc("frames"), "time_start", "video_id").limit(most)

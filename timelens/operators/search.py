@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelens.functions.text import collapsed, overlap_score, query_tokens
+from timelens.session import checkpoint
 
 
 def _scored(df: DataFrame, text: Column, query: str) -> DataFrame:
@@ -49,11 +50,6 @@ def search_ocr(lines: DataFrame, query: str, k: int | None = 10) -> DataFrame:
     return top(found, k, F.desc("score"), "time_start", "video_id", "text")
 
 
-def semantic_or_lexical(usable: DataFrame, semantic: Callable[[], DataFrame], lexical: Sequence[Callable[[], DataFrame]]) -> list[DataFrame]:
-    """The semantic search where its index holds anything (usable), else the lexical searches one by one."""
-    return [make() for make in lexical] if usable.isEmpty() else [semantic()]
-
-
 def search_actions(events: DataFrame, query: str, k: int | None = 10) -> DataFrame:
     """by share of the query's words, then confidence, then start."""
     found = _scored(events, F.col("action_class"), query)
@@ -61,10 +57,8 @@ def search_actions(events: DataFrame, query: str, k: int | None = 10) -> DataFra
 
 
 def settled(found: DataFrame) -> DataFrame:
-    """A search's few rows, computed and kept: what fails in its stages fails here."""
-    kept = found.persist()
-    kept.count()
-    return kept
+    """A search's few rows, computed and kept until nothing refers to them: what fails in its stages fails here."""
+    return checkpoint(found)
 
 
 def search_columns(sources: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame | str]:

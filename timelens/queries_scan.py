@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from timelens import bindings as b
 from timelens.functions import text as tx
 from timelens.operators import delivery, deepscan, statechange, verify
 from timelens.queries import query
-from timelens.sources import media, trace, uris, versions
+from timelens.sources import media, trace, uris, vendor_log, versions
 
 # Deep scan
 
@@ -300,3 +301,17 @@ def sc9(s, d):
     spec = F.when(F.col("p_partkey") % 5 == 0, F.lit(" ")).otherwise(F.concat(size, F.lit("x"), size, F.when(F.col("p_partkey") % 2 == 0, "@14.6").otherwise(""), F.lit(", 20X20,")))
     found = b.load(s, d, "part").select("p_partkey", uris.stream_profiles(spec).alias("p"))
     return found.select("p_partkey", F.when(F.col("p").isNotNull(), F.size("p")).cast("bigint").alias("profiles"), F.col("p")[0]["w"].alias("width"), F.col("p")[0]["fps"].alias("fps"))
+
+
+# Paged logs: each user's events are a search, an event a page; a purchase is a page without items
+
+
+@query("sc20_searched_pages", f"""WITH {b.EV}, numbered AS (SELECT video_id, event_id, event_type, row_number() OVER (PARTITION BY video_id ORDER BY epoch, event_id) AS n FROM ev),
+ends AS (SELECT *, event_type = 'purchase' OR event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY video_id ORDER BY n) OR n > 6 AS stops FROM numbered),
+stop AS (SELECT video_id, min(n) FILTER (stops) AS stop FROM ends GROUP BY 1)
+SELECT video_id::VARCHAR AS session, n::INTEGER AS page, event_type AS kind FROM ends JOIN stop USING (video_id) WHERE stop IS NULL OR n < stop""")
+def sc20(s, d):
+    n = F.row_number().over(Window.partitionBy("video_id").orderBy("epoch", "event_id"))
+    text = F.when(F.col("event_type") == "purchase", "found=0").otherwise(F.concat(F.lit("found=1\nitems[0].Type="), "event_type"))
+    pages = b.raw_events(s, d).select(F.col("video_id").cast("string").alias("session"), n.alias("page"), text.alias("text"))
+    return vendor_log.searched(pages, 6).select("session", "page", F.regexp_extract("text", "Type=(.*)", 1).alias("kind"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelens.functions.image import MASK_PALETTE, color_mask, mask_extent
+from timelens.functions.text import key16
 
 
 def sampled_frames(videos: DataFrame, fps: float = 1.0) -> DataFrame:
@@ -34,6 +35,23 @@ def first_frames(frames: DataFrame, count: int = 8) -> DataFrame:
     return frames.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= count).drop("_n")
 
 
+def media_paths(videos: DataFrame, files: DataFrame) -> DataFrame:
+    """FP21: where each video's media lies (video_id, path): its stored local_path if that is among the files (path), else the first ``media.*`` in a folder ``<key>-*`` of its own; null for none.
+
+    files is a listing, such as the path column of a binaryFile read, which reads no contents.
+    """
+    bare = F.regexp_replace(F.col("path"), "^file:/*", "/")
+    listed = files.select(bare.alias("path")).distinct()
+    own = listed.filter(F.col("path").rlike(r"/[^/]+/media\.[^/]+$")).withColumn("_folder", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
+    # a folder begins with the key and a dash; keys may hold dashes, so each part that ends before one is tried
+    words = F.split("_folder", "-")
+    tried = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), "-"))
+    first = own.filter(F.size(words) > 1).select("path", F.explode(tried).alias("_key")).groupBy("_key").agg(F.min("path").alias("_found"))
+    known = videos.select("video_id", F.regexp_replace("local_path", "^file:/*", "/").alias("_stored"), key16(F.col("source_key")).alias("_key"))
+    stored = known.join(listed.select(F.col("path").alias("_stored"), F.lit(True).alias("_there")), "_stored", "left")
+    return stored.join(first, "_key", "left").select("video_id", F.when(F.col("_there"), F.col("_stored")).otherwise(F.col("_found")).alias("path"))
+
+
 def synthetic_boxes(frames: DataFrame, boxes: list[tuple[str, float, float, float, float, float]]) -> DataFrame:
     """SC27: detections of boxes (class, x, y, w, h, drift in x for each second) on frames (video_id, timestamp)."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("object_class"), *[F.lit(float(v)).alias(n) for n, v in zip(("x", "bbox_y", "bbox_w", "bbox_h", "drift"), vs, strict=True)]) for c, *vs in boxes]))

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from timelens.constants import CLUSTER_GAP, MAX_WINDOW
 from timelens.functions.timeparse import window_uri
 from timelens.operators.catalog import advance_watermarks
 from timelens.operators.intervals import split_windows, wide_islands
+from timelens.session import checkpoint
+
+log = logging.getLogger(__name__)
+#: Parts into which cameras are split to find those whose ingest fails.
+MOST_BUCKETS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -121,6 +129,30 @@ class WatchStream:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
+    def _ingest(self, windows: DataFrame, buckets: int = 1, bucket: int = 0) -> DataFrame:
+        """ST11: the windows (uri) that were ingested. Where ingest raises, its cameras are tried in halves, down to those that fail by themselves;
+        such a camera's windows are tried one after the other, up to the first that fails.
+
+        That camera's watermark is held there; the others go on. Windows that were ingested before their half failed are offered again and
+        known by their URI to whoever ingests them.
+        """
+        mine = windows if buckets == 1 else windows.filter(F.pmod(F.xxhash64("camera_id"), F.lit(buckets)) == bucket)
+        try:
+            return checkpoint(self.ingest(mine).select("uri").distinct())
+        except Exception:  # noqa: BLE001
+            if mine.select("camera_id").distinct().limit(2).count() > 1 and buckets < MOST_BUCKETS:
+                # a hash that is bucket modulo buckets is one of two modulo twice as many
+                return self._ingest(windows, 2 * buckets, bucket).union(self._ingest(windows, 2 * buckets, bucket + buckets))
+        done = []
+        for row in mine.orderBy("window_start").collect():  # one camera's share of max_windows
+            one = self.spark.createDataFrame([row], windows.schema)
+            try:
+                done += self.ingest(one).select("uri").collect()
+            except Exception:  # noqa: BLE001
+                log.warning("ingest failed for %s; the watermark of camera %s is held and the next pass tries again", row["uri"], row["camera_id"], exc_info=True)
+                break
+        return self.spark.createDataFrame(done, "uri string")
+
     def process(self, events: DataFrame, batch: int) -> None:
         before = batch - 1
         cameras = self._load("cameras", before, self.first.select("camera_id", "source_ref", F.col("last_processed_epoch").cast("double").alias("last_processed_epoch")))
@@ -130,7 +162,7 @@ class WatchStream:
         known = self._ingested(batch)
         now = self._clock(batch)
         plan = catch_up(cameras, kept, now, self.rules, known)
-        done = self.ingest(plan.windows)  # rows (uri) that were ingested
+        done = self._ingest(checkpoint(plan.windows))
         failed = plan.windows.join(done.select("uri"), "uri", "left_anti")
         result = catch_up(cameras, kept, now, self.rules, known, failed)
         save = lambda df, name: df.write.mode("overwrite").parquet(f"{self.path}/{name}/v={batch}")
@@ -143,12 +175,35 @@ class WatchStream:
         for name in ("cameras", "events", "clock"):
             self._drop(f"{self.path}/{name}/v={batch - 2}")
 
-    def start(self, stream: DataFrame, checkpoint: str, interval: str | None = None):
-        """ST12: every interval, or what there is now if none is given."""
-        writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+    def start(self, stream: DataFrame, location: str, interval: str | None = None):
+        """Every interval, or what there is now if none is given."""
+        writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", location)
         return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def run_watch(start: Callable[[], StreamingQuery], interval: float = 60.0, stop_after: int | None = None, sleep: Callable[[float], None] = time.sleep) -> int:
+    """ST12: a pass every interval, each a query that takes what there is now and ends; gives how many passes failed.
+
+    ``start`` starts it from its checkpoint, so a pass that fails, in starting or in running, is made good by the next one. ``stop_after`` bounds
+    the passes; without it the loop goes on.
+    """
+    passes = failures = 0
+    while True:
+        query = None
+        try:
+            query = start()
+            query.awaitTermination()
+        except Exception:  # noqa: BLE001
+            failures += 1
+            log.warning("a pass failed; the next interval tries again", exc_info=True)
+            if query is not None and query.isActive:
+                query.stop()
+        passes += 1
+        if stop_after is not None and passes >= stop_after:
+            return failures
+        sleep(interval)
+
+
 def session_episodes(stream: DataFrame, gap: str = "30 seconds", late: str = "120 seconds") -> DataFrame:
     """ST6 on a stream of events (camera_ref, start timestamp): sessions of each camera, final once the watermark has passed them."""
     return stream.withWatermark("start", late).groupBy(F.session_window("start", gap), "camera_ref").agg(F.count("*").alias("n_events")).select("camera_ref", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_events")
