@@ -177,3 +177,38 @@ def test_cli(spark, tmp_path):
     spark.createDataFrame([("l", "v", 0.0, 1.0, "A", "hello there"), ("m", "v", 1.0, 2.0, "B", "bye")], schemas.SCHEMAS["transcripts"]).write.parquet(str(tmp_path / "transcripts"))
     args = cli.build_parser().parse_args(["--workdir", str(tmp_path), "transcript", "hello", "--speaker", "A"])
     assert [r["text"] for r in cli.run(args, spark).collect()] == ["hello there"]
+
+
+def test_retrieve_by_meaning_or_by_words(spark):
+    lines = spark.createDataFrame([("v", 0.0, 1.0, "A", "red car"), ("w", 1.0, 2.0, "B", "blue boat")], "video_id string, start_time double, end_time double, speaker string, text string")
+    vecs = spark.createDataFrame([("text", "e1", 2, [1.0, 0.0], "transcript", "v", 0.0, 1.0, "red car"), ("text", "e1", 2, [0.0, 1.0], "caption", "w", 0.0, 1.0, "a boat")], "space string, embedder string, dim int, embedding array<double>, modality string, video_id string, time_start double, time_end double, text string")
+    gatherers = {"transcript_search": lambda p: fuse.from_transcripts(search.search_transcripts(lines, p.search_terms)), "caption_search": lambda p: lines.filter("no_such_column")}
+    found = planner.QueryPlan("red car", needs_caption_search=False, needs_transcript_search=True, search_terms="red car")
+    index = lambda embedder, rows=vecs: planner.TextIndex(rows, "text", embedder, 2, lambda terms: [1.0, 0.1])
+    got = planner.retrieve(found, gatherers, text=index("e1"))
+    assert [(r["modality"], r["content"]) for r in got.items.collect()] == [("transcript", "red car")] and not got.notes
+    for text, said in ((index("e2"), "unusable (2 vectors"), (index("e1", vecs.limit(0)), "is empty")):
+        got = planner.retrieve(found, gatherers, text=text)
+        assert [r["content"] for r in got.items.collect()] == ["red car"] and any(said in n for n in got.notes)
+    plain = planner.assemble(planner.QueryPlan("red car", needs_transcript_search=True, search_terms="blue car"), gatherers)
+    assert sorted((r["content"], r["score"], r["position"]) for r in plain.items.collect()) == [("blue boat", 0.5, 0), ("red car", 0.5, 0)]
+    assert len(plain.notes) == 1 and plain.notes[0].startswith("caption_search was skipped")
+
+
+def test_colour_boxes(spark):
+    videos = spark.createDataFrame([("v",), ("w",)], "video_id string")
+    frames = media.painted_frames(videos, [("red", 0.25, 0.25, 0.25, 0.5, 0.0), ("green", 0.0, 0.75, 0.5, 0.25, 0.25)], 16, 8, 2.0, 1.0)
+    got = {(r["video_id"], r["timestamp"], r["object_class"]): (r["bbox_x"], r["bbox_y"], r["bbox_w"], r["bbox_h"], r["confidence"]) for r in media.color_boxes(frames, ["Red", "green", "blue", "car"]).collect()}
+    assert len(got) == 8 and got[("v", 0.0, "red")] == (0.25, 0.25, 0.25, 0.5, 0.5 + 16 / 128)
+    assert got[("w", 0.0, "green")][:4] == (0.0, 0.75, 0.5, 0.25) and got[("w", 0.5, "green")][:4] == (0.125, 0.75, 0.5, 0.25)
+    few = frames.withColumns({c: F.concat(F.array(F.lit(v)), F.array_repeat(F.lit(128), 999)) for c, v in (("r", 220), ("g", 30), ("b", 30))}).withColumn("width", F.lit(40))
+    assert media.color_boxes(few, ["red"]).count() == 0 and media.color_boxes(frames, ["car"]).count() == 0  # a pixel in a thousand is too little
+    near = frames.limit(1).withColumns({"r": F.array(F.lit(220), F.lit(220)), "g": F.array(F.lit(30 + 59), F.lit(30 + 60)), "b": F.array(F.lit(30), F.lit(30)), "width": F.lit(2)})
+    assert media.color_boxes(near, ["red"]).first()["bbox_w"] == 0.5
+
+
+def test_media_paths(spark):
+    videos = spark.createDataFrame([("a", "/d/a.mp4", "sha256:k1"), ("b", "/gone.mp4", "sha256:k-2"), ("c", None, "sha256:k3"), ("d", None, "sha256:k-2-x")], "video_id string, local_path string, source_key string")
+    files = spark.createDataFrame([("file:/d/a.mp4",), ("file:///w/videos/k1-title/media.mp4",), ("/w/videos/k-2-title/media.webm",), ("/w/videos/k-2-title/media.mkv",), ("/w/videos/k-2-title/other.mp4",), ("/w/videos/k3/media.mp4",)], "path string")
+    got = {r["video_id"]: r["path"] for r in media.media_paths(videos, files).collect()}
+    assert got == {"a": "/d/a.mp4", "b": "/w/videos/k-2-title/media.mkv", "c": None, "d": None}

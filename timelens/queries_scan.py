@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from timelens import bindings as b
 from timelens.functions import text as tx
 from timelens.operators import delivery, deepscan, statechange, verify
-from timelens.queries import query
-from timelens.sources import media, trace, uris, vendor_log, versions
+from timelens.plans import planner
+from timelens.queries import _FUSED, _Q, _WATCH, _score, QUERY, _pool, query
+from timelens.sources import media, migrations, trace, uris, vendor_log, versions
+from timelens.streaming import watch
 
 # Deep scan
 
@@ -315,3 +317,54 @@ def sc20(s, d):
     text = F.when(F.col("event_type") == "purchase", "found=0").otherwise(F.concat(F.lit("found=1\nitems[0].Type="), "event_type"))
     pages = b.raw_events(s, d).select(F.col("video_id").cast("string").alias("session"), n.alias("page"), text.alias("text"))
     return vendor_log.searched(pages, 6).select("session", "page", F.regexp_extract("text", "Type=(.*)", 1).alias("kind"))
+
+
+@query("sk21_migrated", "SELECT c_custkey::VARCHAR AS id, c_name AS title, NULL::VARCHAR AS last_ingest_run_id, NULL::VARCHAR AS camera_id, NULL::DOUBLE AS start_epoch FROM customer")
+def sk21(s, d):
+    workdir = _scratch(s)
+    b.load(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title")).write.parquet(f"{workdir}/videos")
+    migrations.migrate(s, workdir)
+    return migrations.read(s, workdir, "videos").select("id", "title", "last_ingest_run_id", "camera_id", "start_epoch")
+
+
+# Retrieval
+
+
+@query("f10_planned", f"{_FUSED} SELECT modality, video_id, time_start, round(fused_score, 6) AS fused_score FROM fused WHERE CASE WHEN modality = 'visual' THEN score >= 0.1 ELSE rerank_score >= 0.5 END ORDER BY fused.fused_score DESC, score DESC, time_start, video_id, modality, content LIMIT 40")
+def f10_planned(s, d):
+    pool = _pool(s, d).drop("position")
+    gatherers = {"visual": lambda p: pool.filter("modality = 'visual'"), "transcript_search": lambda p: pool.filter("modality = 'transcript'"), "ocr_search": lambda p: pool.filter("no_such_column")}
+    found = planner.QueryPlan(QUERY, needs_caption_search=False, needs_transcript_search=True, search_terms=QUERY)
+    return planner.retrieve(found, gatherers, (0.5, 0.1)).items.select("modality", "video_id", "time_start", F.round("fused_score", 6).alias("fused_score"))
+
+
+_LENGTH = sum(x * x for x in _Q) ** 0.5
+
+
+@query("f7_semantic", f"""WITH {b.VECTORS}, said AS (SELECT *, CASE vec_id % 4 WHEN 0 THEN 'the thanea' WHEN 1 THEN 'and' ELSE 'label ' || video_id END AS content, list_dot_product(embedding, {[x / _LENGTH for x in _Q]}::DOUBLE[]) AS score FROM vecs WHERE modality IN ('caption', 'transcript')),
+top AS (SELECT *, {_score('content')} AS rerank_score FROM said ORDER BY score DESC, video_id, timestamp, modality, content LIMIT 50),
+n AS (SELECT *, min(score) OVER () AS lo, max(score) OVER () AS hi, min(rerank_score) OVER () AS rlo, max(rerank_score) OVER () AS rhi FROM top)
+SELECT modality, video_id::VARCHAR AS video_id, timestamp AS time_start, content, round(0.6::DOUBLE * CASE WHEN rhi - rlo < 1e-9 THEN 0.5 ELSE (rerank_score - rlo) / (rhi - rlo) END + 0.4::DOUBLE * CASE WHEN hi - lo < 1e-9 THEN 0.5 ELSE (score - lo) / (hi - lo) END, 6) AS fused_score FROM n""")
+def f7_semantic(s, d):
+    label = F.when(F.col("vec_id") % 4 == 0, "the thanea").when(F.col("vec_id") % 4 == 1, "and").otherwise(F.concat(F.lit("label "), F.col("video_id").cast("string")))
+    rows = b.vectors(s, d).select(F.lit("text").alias("space"), F.lit("hash").alias("embedder"), F.lit(64).alias("dim"), "embedding", "modality", "video_id", F.col("timestamp").alias("time_start"), F.col("timestamp").alias("time_end"), label.alias("text"))
+    index = planner.TextIndex(rows, "text", "hash", 64, lambda terms: _Q, k=50)
+    found = planner.QueryPlan(QUERY, needs_caption_search=True, needs_transcript_search=True, search_terms=QUERY)
+    got = planner.retrieve(found, {"caption_search": lambda p: rows.filter("no_such_column"), "transcript_search": lambda p: rows.filter("no_such_column")}, cap=50, text=index)
+    return got.items.select("modality", "video_id", "time_start", "content", F.round("fused_score", 6).alias("fused_score"))
+
+
+# Catching up with open events and instants
+
+_OPEN = b.MOTION.replace("epoch + value AS end_epoch", "CASE WHEN event_id % 3 = 0 THEN epoch ELSE epoch + value END AS end_epoch, event_id % 4 = 0 AS open")
+
+
+@query("st_open_events", f"""{_WATCH.replace(b.MOTION, _OPEN).replace("end_epoch <= start_epoch", "(open OR end_epoch <= start_epoch)")}, cams AS (SELECT range::VARCHAR AS source_ref, 'cam-' || range AS camera_id FROM range(6))
+SELECT camera_id, source_ref, greatest({b.T0}, CASE WHEN coalesce(every, true) THEN least({b.T1} - 120, deferred_start) WHEN upto IS NOT NULL THEN least(upto, deferred_start) END)::DOUBLE AS last_processed_epoch,
+  NOT coalesce(every, true) AS truncated, deferred_start, coalesce((SELECT count(*) FILTER (reached) FROM placed p WHERE p.camera_id = cams.camera_id), 0) AS windows FROM cams LEFT JOIN state USING (camera_id) LEFT JOIN held USING (camera_id)""")
+def st_open(s, d):
+    cameras = s.range(6).select(F.concat(F.lit("cam-"), "id").alias("camera_id"), F.col("id").cast("string").alias("source_ref"), F.lit(b.T0).alias("last_processed_epoch"))
+    e = b.raw_events(s, d).filter("event_type = 'error'")
+    events = e.select((F.col("video_id") % 6).cast("string").alias("camera_ref"), F.col("epoch").alias("start_epoch"), F.when(F.col("event_id") % 3 == 0, F.col("epoch")).otherwise(F.col("epoch") + F.col("value")).alias("end_epoch"), (F.col("event_id") % 4 == 0).alias("open"))
+    plan = watch.catch_up(cameras, events, b.T1, watch.WatchRules(max_windows=600))
+    return plan.cameras.join(plan.windows.groupBy("camera_id").agg(F.count("*").alias("windows")), "camera_id", "left").withColumn("windows", F.coalesce("windows", F.lit(0)))
