@@ -62,3 +62,26 @@ def test_query(spark, tmp_path):
     assert len(rows) == 4 and got[1]["n_tokens"] == len(ids) and got[2]["n_tokens"] == 0
     assert got[1]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert got[2]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_every_code_point_matches_library():
+    """Each alone, after a letter, before a digit, after a sign, and between letters."""
+    tok, own = library(), bpe.WordBpe(bpe.vocabulary(bpe.default_path()))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"{c} a{c} {c}1 !{c} a{c}b" for c in every[i : i + 200]) for i in range(0, len(every), 200)]
+    wrong = []
+    for i in range(0, len(texts), 500):
+        part = texts[i : i + 500]
+        for text, enc, (ids, decoded) in zip(part, tok.encode_batch(part, add_special_tokens=False), own.encode_texts(part), strict=True):
+            if ids != " ".join(map(str, enc.ids)) or decoded != tok.decode(enc.ids, skip_special_tokens=False):
+                wrong.append(hex(ord(text[0])))
+    assert not wrong
+
+
+def test_empty_table_and_a_very_long_text(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert bpe.query(spark, f"{tmp_path}/none").collect() == []
+    text = "The thing's é 12 " * 200_000
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/long/documents.parquet")
+    ids = library().encode(text, add_special_tokens=False).ids
+    assert bpe.query(spark, f"{tmp_path}/long").first()["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()

@@ -44,6 +44,23 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in own else next(others)) for b in range(256)]
 
 
+# The library's tables are those of Unicode 16. Letters and numbers that came later are neither there, and capitals that came after
+# Python's own tables have a lower case there.
+_LATER = regex.compile(
+    "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1"
+    "\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    "\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5"
+    "\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
+)
+_LOWERED = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_LOWERED |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_CAPITALS = regex.compile("[" + "".join(map(chr, _LOWERED)) + "]")
+#: Neither letter nor number nor space, and never assigned.
+_OTHER = "\uffff"
+
+
 class TokenSuffixes:
     """Automaton over letters. A place stands for the longest end of what was read that begins a token; it knows the tokens that end there."""
 
@@ -219,7 +236,7 @@ class WordBpe:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks that have just been numbered."""
-        byte_letters, findall = self.letters, self.pieces.findall
+        byte_letters, findall = self.letters, self.split
         # printable ASCII stands for itself, and a run of its letters is one piece
         cut = [
             [c] if c.isascii() and c.isalpha() else findall(c) if c.isascii() and c.isprintable() else [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(byte_letters) for p in ([c[1:]] if c[0] == " " else findall(c))]
@@ -247,6 +264,11 @@ class WordBpe:
             return [c for i, part in enumerate(self.cut.split(text)) for c in ([" " + part] if i % 2 else self._plain(part))]
         return self._plain(text)
 
+    def split(self, chunk: str) -> list[str]:
+        if chunk.isascii() or not _LATER.search(chunk):
+            return self.pieces.findall(chunk)
+        return [chunk[m.start() : m.end()] for m in self.pieces.finditer(_LATER.sub(_OTHER, chunk))]
+
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
             text = text.lower()
@@ -254,6 +276,8 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
             # a capital sigma is lowered without regard to what stands around it
             text = text.lower() if "Σ" not in text else "σ".join(x.lower() for x in text.split("Σ"))
+            if _CAPITALS.search(text):
+                text = text.translate(_LOWERED)
         if _SEPARATORS.search(text):
             return [c for c in regex.split(r"\p{White_Space}+", text) if c]
         return text.split()
