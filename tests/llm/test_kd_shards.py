@@ -43,3 +43,20 @@ def test_small_tables(spark, tmp_path):
     assert place_all(spark, tmp_path / "a", []) == []
     rows = place_all(spark, tmp_path / "b", [(1, "a", "x"), (1, "a", "x")])
     assert len(rows) == 2 and {r["slot"] for r in rows} <= {0, 1}
+
+
+def test_repeated_rows_are_split(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    docs = [(i, rng.choice("aéz") * rng.randint(100, 300) + str(i), "x") for i in range(3000)] + [(7, "same " * 40, "x")] * 1500
+    check(place_all(spark, tmp_path / "a", docs), docs, 0.05)
+    docs = [(None, None, "x")] * 2000 + [(i, f"{i} text", "x") for i in range(1000)]
+    monkeypatch.setattr(kd_shards, "COPIES", 300)
+    check(place_all(spark, tmp_path / "b", docs), docs, 0.05)
+
+
+def test_a_very_long_text(spark, tmp_path):
+    docs = [(i, "word " * 50, "x") for i in range(200)] + [(999, "long text " * 500_000, "x")]
+    rows = place_all(spark, tmp_path, docs)
+    assert len(rows) == 201 and max(r["size"] for r in rows) == 5_000_008
+    alone = next(r["shard"] for r in rows if r["doc_id"] == 999)
+    assert sum(r["shard"] == alone for r in rows) < 201

@@ -6,11 +6,11 @@ length and its bytes for each character), so equal texts stand at one point and
 are at most TOLERANCE of a shard; heavier groups are dealt over shards row by row.
 
 A point's place along a dimension is an integer of 62 bits: the dimension's value, then a checksum of the text, then a hash of
-doc_id. The median is found by narrowing brackets with histograms: jobs over a slim table, adding up before
+doc_id and, for rows that are alike, their number. The median is found by narrowing brackets with histograms: jobs over a slim table, adding up before
 any shuffle. Only histograms of at most BINS bins for each node reach the driver, whatever the number of rows.
 
-Defined results: a null text has size 8 and the checksum of an empty one; repeated rows and null ids are placed
-like any other; an empty table gives no rows; with fewer distinct places than shards some shards stay empty; further columns are ignored.
+Defined results: a null text has size 8 and the checksum of an empty one; repeated rows, with null ids too, are a group of equal texts
+like any other, split row by row where it is heavy; texts of any length are one row; an empty table gives no rows; with fewer distinct places than shards some shards stay empty; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ SHARDS, OVERHEAD = 24, 8
 TOLERANCE = 0.005
 BINS = 1024
 VALUE_BITS, TEXT_BITS, ROW_BITS = 22, 24, 16
+#: Rows that are alike and are put out together.
+COPIES = 65_536
 #: Rows numbered in one sort.
 SLOT_ROWS = 4096
 
@@ -45,7 +47,22 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         *[F.least(F.lit(top), (x * top).cast("long")).cast("long").alias(n) for n, x in zip(DIMENSIONS, (length, density), strict=True)],
     )
-    return slim.withColumn("row_hash", F.xxhash64(F.col("doc_id").cast("string")))
+    return _numbered(slim)
+
+
+def _numbered(slim: DataFrame) -> DataFrame:
+    """The rows with row_hash, which tells rows apart that are alike in all of the slim table.
+
+    They are counted, which adds up before the shuffle, and put out again with a number each: blocks of COPIES first, which are dealt out, so that
+    copies of one row, however many, are never one task's.
+    """
+    alike = slim.groupBy(*slim.columns).agg(F.count("*").alias("copies"))
+    blocks = alike.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    dealt = blocks.filter("copies > 1").repartition("doc_id", "text_crc32", "from")
+    again = dealt.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + COPIES, F.col("copies")) - 1)))
+    every = blocks.filter("copies = 1").withColumn("copy", F.col("from")).unionByName(again)
+    key = F.col("doc_id").cast("string")
+    return every.select(*slim.columns, F.when(F.col("copy") == 0, F.xxhash64(key)).otherwise(F.xxhash64(key, "copy")).alias("row_hash"))
 
 
 def place(dimension: str) -> Column:
