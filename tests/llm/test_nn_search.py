@@ -86,3 +86,24 @@ def test_recall_with_a_narrow_first_beam(spark, tmp_path, monkeypatch):
     want = brute(vectors, [i for i in vectors if i % 100 == 0])
     recall = sum(len({v for v, _, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values()))
     assert recall >= 0.95, recall
+
+
+def test_one_very_long_vector(spark, tmp_path):
+    """It must not cost the others their digits."""
+    x = np.random.default_rng(12).normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[700] *= 1e8
+    vectors = {i: [float(v) for v in x[i].astype(np.float32)] for i in range(1500)}
+    got = run(spark, tmp_path, [(i, v, "x") for i, v in vectors.items()])
+    want = brute(vectors, [i for i in vectors if i % 100 == 0])
+    recall = sum(len({v for v, _, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+    assert recall >= 0.95 and all(len(got[q]) == 10 for q in want), recall
+
+
+def test_codes_keep_each_vectors_digits():
+    import pyarrow as pa
+
+    x = np.array([[1.0, -2.0, 0.5], [1e8, 1.0, -3e7], [1e-20, 2e-20, 0.0], [0.0, 0.0, 0.0], [1e30, -1e30, 2e30]])
+    code = nn.coded(x)
+    back = nn.unpacked(pa.array(code, pa.binary()), 3)
+    assert np.allclose(back, x, rtol=1e-3, atol=0) or np.all(np.abs(back - x) <= np.abs(x).max(axis=1, keepdims=True) * 1e-3)

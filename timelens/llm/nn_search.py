@@ -10,7 +10,8 @@ yet, all queries together, in two joins (links, vectors), until no beam has any
 against all nodes; while it is under RECALL, the beam is doubled. A query that has met fewer than k rows (its part of the
 graph is small) is compared with all nodes, in blocks of queries.
 
-Vectors that are joined are shipped as 16-bit floats around the mean of all; the scores returned are of the original vectors.
+Vectors that are joined are shipped as 16-bit floats around a mean of all, each with a scale of its own, so that very long vectors leave the others'
+digits alone; recall is measured, and the scores returned are, by the original vectors.
 
 Defined results: rows whose id is null, or whose vector is null, empty, zero, or holds null or non-finite components take no part; a row
 is searched among rows with vectors of its own length; rows with the same id are rows of their own, as candidates and as
@@ -66,37 +67,47 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def mean_and_reach(nodes: DataFrame, width: int) -> tuple[np.ndarray, float]:
-    """The mean vector, and a bound of how far a component is from it."""
+def centre(nodes: DataFrame, width: int) -> np.ndarray:
+    """The mean of the vectors that are no longer than four times the median length; a few very long ones don't move it."""
+    long = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    most = 4 * (nodes.agg(F.percentile_approx(long, 0.5)).first()[0] or 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, top = np.zeros(width), 0, 0.0
+        total, n = np.zeros(width), 0
         for b in batches:
-            x = matrix(b.column(0), width)
-            total += x.sum(axis=0, dtype=np.float64)
+            total += matrix(b.column(0), width).sum(axis=0, dtype=np.float64)
             n += b.num_rows
-            top = max(top, float(np.abs(x).max(initial=0.0)))
-        yield pa.RecordBatch.from_pydict({"total": pa.array([total.tolist()], pa.list_(pa.float64())), "n": pa.array([n], pa.int64()), "top": pa.array([top])})
+        yield pa.RecordBatch.from_pydict({"total": pa.array([total.tolist()], pa.list_(pa.float64())), "n": pa.array([n], pa.int64())})
 
-    parts = nodes.select("vec").mapInArrow(run, "total array<double>, n long, top double").collect()
-    mean = np.sum([p["total"] for p in parts], axis=0) / max(1, sum(p["n"] for p in parts))
-    return mean, max(p["top"] for p in parts) + float(np.abs(mean).max(initial=0.0))
+    parts = nodes.filter(long <= F.lit(most)).select("vec").mapInArrow(run, "total array<double>, n long").collect()
+    return np.sum([p["total"] for p in parts], axis=0) / max(1, sum(p["n"] for p in parts))
 
 
-def packed(nodes: DataFrame, mean: np.ndarray, reach: float) -> DataFrame:
-    """node, code: vectors less the mean as 16-bit floats, scaled by a power of two to a reach of about a thousand."""
-    scale, width = float(2.0 ** np.ceil(np.log2((reach or 1.0) / 1024.0))), len(mean)
+def coded(x: np.ndarray) -> list[bytes]:
+    """Rows as 16-bit floats, after the power of two that scales each to a reach of about a thousand."""
+    top = np.abs(x).max(axis=1, initial=0.0)
+    power = np.where(top > 0, np.ceil(np.log2(np.where(top > 0, top, 1.0) / 1024.0)), 0.0).astype(np.int16)
+    parts = np.ldexp(x, -power.astype(np.int32)[:, None]).astype(np.float16)
+    return [p.tobytes() + c.tobytes() for p, c in zip(power, parts, strict=True)]
+
+
+def packed(nodes: DataFrame, mean: np.ndarray) -> DataFrame:
+    """node, code: vectors less the mean."""
+    width = len(mean)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = ((matrix(b.column(1), width) - mean) / scale).astype(np.float16)
-            yield pa.RecordBatch.from_pydict({"node": b.column(0), "code": pa.array([c.tobytes() for c in x], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": b.column(0), "code": pa.array(coded(matrix(b.column(1), width) - mean), pa.binary())})
 
     return nodes.select("node", "vec").mapInArrow(run, "node long, code binary")
 
 
 def unpacked(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width + 1)
+    power, parts = raw[:, 0].copy().view(np.int16).astype(np.int32), raw[:, 1:]
+    # lengths whose squares are beyond single precision are rare, and taken in double
+    kind = np.float64 if len(power) and power.max() > 40 else np.float32
+    return np.ldexp(parts.astype(kind), power[:, None])
 
 
 def fit_tree(sample: np.ndarray, least: int, rng: np.random.Generator) -> list:
@@ -254,26 +265,33 @@ def distance(x: str, y: str) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
 
 
-def exact_nodes(codes: DataFrame, picked: pa.Table, k: int, width: int) -> DataFrame:
-    """u, v, d: the k nearest other nodes of the nodes picked (node, code), by one scan of all nodes."""
+def exact_nodes(nodes: DataFrame, picked: pa.Table, k: int, width: int) -> DataFrame:
+    """u, v, d: the k nearest other nodes (node, vec) of those picked, by the vectors themselves in double precision, by one scan of all nodes."""
     starts = picked.column("node").to_numpy()
-    held = codes.sparkSession.sparkContext.broadcast(unpacked(picked.column("code").combine_chunks(), width))
+    held = nodes.sparkSession.sparkContext.broadcast(matrix(picked.column("vec").combine_chunks(), width).astype(np.float64))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for b in batches:
                 if not b.num_rows or not len(starts):
                     continue
-                members = b.column(0).to_numpy()
-                d = distances(held.value, unpacked(b.column(1), width))
+                members, x = b.column(0).to_numpy(), matrix(b.column(1), width).astype(np.float64)
+                d = distances(held.value, x)
                 d[starts[:, None] == members[None]] = np.inf
+                # the short form loses digits far from the origin: more than k by it, then the differences themselves
+                some = min(2 * k + 10, len(members))
+                best = np.argpartition(d, some - 1, axis=1)[:, :some]
+                apart = np.stack([((x[rows] - own) ** 2).sum(axis=1) for own, rows in zip(held.value, best, strict=True)])
+                apart[np.isinf(np.take_along_axis(d, best, 1))] = np.inf
                 few = min(k, len(members))
-                best = np.argpartition(d, few - 1, axis=1)[:, :few]
-                yield np.repeat(starts, few), members[best].ravel(), np.take_along_axis(d, best, 1).ravel()
+                order = np.argsort(apart, axis=1)[:, :few]
+                u, v, d = np.repeat(starts, few), np.take_along_axis(members[best], order, 1).ravel(), np.take_along_axis(apart, order, 1).ravel()
+                other = np.isfinite(d)
+                yield u[other], v[other], np.minimum(d[other], np.finfo(np.float32).max)
 
         return _edges(found())
 
-    every = codes.mapInArrow(near, EDGES).filter(F.col("d") < F.lit(float("inf")))
+    every = nodes.select("node", "vec").mapInArrow(near, EDGES)
     return nearest_edges(every.withColumn("fresh", F.lit(True)), k).select("u", "v", "d")
 
 
@@ -314,12 +332,12 @@ def expand(codes: DataFrame, links: DataFrame, state: DataFrame, beam: int, widt
         free_shuffles(spark)
 
 
-def search(codes: DataFrame, edges: DataFrame, starts: DataFrame, n: int, width: int, k: int) -> DataFrame:
-    """q, v: the nodes found for each query node (starts: node), as many as the recall on CHECKED ones asks for."""
+def search(codes: DataFrame, nodes: DataFrame, edges: DataFrame, starts: DataFrame, n: int, width: int, k: int) -> DataFrame:
+    """q, v: the nodes found for each query node (starts: node), as many as the recall on CHECKED ones, by their vectors themselves, asks for."""
     links = checkpoint(both_ways(edges).groupBy("u").agg(F.collect_list("v").alias("near")))
     first = starts.join(codes, "node").select(F.col("node").alias("q"), "code")
-    picked = first.orderBy(F.xxhash64("q"), "q").limit(CHECKED).select(F.col("q").alias("node"), "code").toArrow()
-    exact = checkpoint(exact_nodes(codes, picked, k, width))
+    picked = starts.orderBy(F.xxhash64("node"), "node").limit(CHECKED).join(nodes.select("node", "vec"), "node").select("node", "vec").toArrow()
+    exact = checkpoint(exact_nodes(nodes, picked, k, width))
     wanted = exact.count()
     one = lambda x, kind: F.array(x).cast(f"array<{kind}>")
     state = checkpoint(first.select("q", "code", one(F.col("q"), "long").alias("node"), one(F.lit(0.0), "float").alias("d"), one(F.lit(False), "boolean").alias("done")))
@@ -335,33 +353,33 @@ def search(codes: DataFrame, edges: DataFrame, starts: DataFrame, n: int, width:
         state = state.withColumn("done", F.transform("done", lambda _: F.lit(False)))
 
 
-def completed(codes: DataFrame, nodes: DataFrame, found: DataFrame, starts: DataFrame, n: int, width: int, k: int) -> DataFrame:
+def completed(nodes: DataFrame, found: DataFrame, starts: DataFrame, n: int, width: int, k: int) -> DataFrame:
     """found (q, v), and for each query node that has met fewer than k rows its nearest nodes of all."""
     size = nodes.select(F.col("node").alias("v"), F.size("ids").alias("rows"))
     own = starts.select(F.col("node").alias("q")).join(size, F.col("q") == F.col("v")).select("q", (F.col("rows") - 1).alias("rows"))
     rows = found.join(size, "v").select("q", "rows").union(own).groupBy("q").agg(F.sum("rows").alias("rows"))
     met = found.groupBy("q").count()
     short = rows.join(met, "q", "left").filter((F.col("rows") < k) & (F.coalesce("count", F.lit(0)) < n - 1)).select(F.col("q").alias("node"))
-    short = checkpoint(short.join(codes, "node"))
+    short = checkpoint(short.join(nodes.select("node", "vec"), "node"))
     many = short.count()
     blocks = -(-many // BLOCK)
     more = [found]
     for i in range(blocks):
         # blocks by a hash, so that a block's size is near BLOCK
         picked = short.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i).toArrow()
-        more.append(checkpoint(exact_nodes(codes, picked, k, width)).select(F.col("u").alias("q"), "v"))
+        more.append(checkpoint(exact_nodes(nodes, picked, k, width)).select(F.col("u").alias("q"), "v"))
     return reduce(DataFrame.union, more).distinct() if blocks else found
 
 
 def _nearest_of_length(good: DataFrame, is_query: Column, width: int, k: int) -> DataFrame:
     nodes = checkpoint(make_nodes(good, k))
     n = nodes.count()
-    codes = checkpoint(packed(nodes, *mean_and_reach(nodes, width)))
+    codes = checkpoint(packed(nodes, centre(nodes, width)))
     queries = good.filter(is_query).select(F.col("vec_id").alias("q"), F.xxhash64("vec").alias("start"), F.col("vec").alias("qvec"))
     starts = checkpoint(queries.select(F.col("start").alias("node")).distinct())
     if n > 1:
         edges = build_graph(codes, n, width)
-        found = completed(codes, nodes, search(codes, edges, starts, n, width, k), starts, n, width, k)
+        found = completed(nodes, search(codes, nodes, edges, starts, n, width, k), starts, n, width, k)
     else:
         found = starts.select(F.col("node").alias("q"), F.col("node").alias("v")).limit(0)
     reached = checkpoint(found.union(starts.select("node", F.col("node").alias("v"))).select(F.col("q").alias("start"), F.col("v").alias("node")))
