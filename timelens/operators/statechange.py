@@ -96,11 +96,6 @@ def scan_evidence(analyzed: DataFrame, frames: DataFrame, target: str) -> DataFr
     return total.unionByName(each)
 
 
-def mapped(observations: DataFrame, mapping: DataFrame) -> DataFrame:
-    """labels replaced by a mapping (label, canonical); others stay."""
-    return observations.join(mapping.select(F.col("label").alias("text"), "canonical"), "text", "left").withColumn("text", F.coalesce("canonical", "text")).drop("canonical")
-
-
 def sample_times(segments: DataFrame, most: int) -> DataFrame:
     """Times to look at: the middle of a short shot, every stride within a long one; at most ``most`` of each video, evenly."""
     start, end = F.col("start_time"), F.col("end_time")
