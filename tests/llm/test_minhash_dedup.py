@@ -93,14 +93,15 @@ def test_recall_by_trees():
 
 def test_minwise_tokens_estimate_similarity():
     rng = np.random.default_rng(6)
-    agreed, bits = [], []
+    agreed, unlike = [], []
     for _ in range(40):
         both, a, b = (rng.integers(0, 1 << 63, n, np.uint64) for n in (340, 30, 30))
-        x, y = md.minwise(np.concatenate([both, a]), md.BITS), md.minwise(np.concatenate([both, b]), md.BITS)
+        x, y = md.minwise(np.concatenate([both, a]), md.DRAWN), md.minwise(np.concatenate([both, b]), md.DRAWN)
         agreed.append((x == y).mean())
-        bits.append(sum(int(v).bit_count() for v in md.sketch(x) ^ md.sketch(y)))
-    assert abs(np.mean(agreed) - 0.85) < 0.01
-    assert max(bits) < md.BITS - md.least_agreement((85, 100))
+        one, two = np.split(md.sketch(x) ^ md.sketch(y), 2)
+        unlike.append(sum(int(v).bit_count() for v in one | two))
+    assert abs(np.mean(agreed) - 0.85) < 0.01 and abs(np.mean(unlike) / md.DRAWN - 0.15 * 0.75) < 0.01
+    assert max(unlike) <= md.DRAWN - md.least_agreement((85, 100))
 
 
 def test_empty_table(spark):

@@ -7,10 +7,10 @@ documents is a leaf and is compared exhaustively; larger ones branch again, down
 
 Recall: two documents of similarity s meet in a leaf of level k of one tree with probability s^k, so they miss each other in all trees with
 (1 - s^k)^TREES: at s = 0.85 that is 3e-7 for the deepest leaves, and less for others. The two tests before the exact one cost 6e-7
-(COMPANY) and 1e-9 (agreement of sketches) at that similarity, and less above it. Members of the deepest leaves are near copies or many; they aren't cut.
+(COMPANY) and 3e-7 (agreement of sketches) at that similarity, and less above it. Members of the deepest leaves are near copies or many; they aren't cut.
 
-Within a leaf, documents are first confirmed against its most central member. What remains, members outside the central one's
-component, is compared with the whole leaf in blocks of BLOCK members by 256-bit sketches of minwise tokens, and only what passes is
+Documents are first confirmed against the most central members of their leaves: against FIRST of them, which the members of a large group have in
+common, and where that doesn't place them in their leaf's central component, against that of each leaf. What remains, members outside the central one's component, is compared with the whole leaf in blocks of BLOCK members by sketches of DRAWN minwise tokens, and only what passes is
 confirmed on full sets. Every link is thus either confirmed or lies within a component. Equal sets are one node from the start.
 
 Defined results: null, empty and blank texts have empty sets, are linked with nothing and are their own component; repeated rows are
@@ -43,10 +43,14 @@ COMPANY = (20, 8)
 SMALL = 64
 #: Members of a leaf that are compared at once.
 BLOCK = 512
-#: Bits of a sketch, one of each minwise token; the first TREES * LEVELS tokens also name the nodes.
-BITS = 256
+#: Most central members of its leaves that a document is first confirmed against.
+FIRST = 2
+#: Minwise tokens of a sketch, which holds two bits of each; the first TREES * LEVELS of them also name the nodes.
+DRAWN = 512
 #: Standard deviations that a linked pair's sketches may agree less than expected.
-DEVIATIONS = 6
+DEVIATIONS = 5
+#: 64-bit words of a sketch.
+SKETCH = DRAWN // 32
 #: Bytes of text, and tokens, held at once.
 SLICE = 2_000_000
 TOKENS = 2048
@@ -54,7 +58,7 @@ KEPT_WORDS = 50_000
 #: Rows of two integers that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
-_SEEDS = np.random.default_rng(20).integers(0, 1 << 63, (2, BITS), np.uint64)
+_SEEDS = np.random.default_rng(20).integers(0, 1 << 63, (2, DRAWN), np.uint64)
 _FACTORS, _OFFSETS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,8 +106,9 @@ def paths(least: np.ndarray, trees: int, levels: int) -> np.ndarray:
 
 
 def sketch(least: np.ndarray) -> np.ndarray:
-    """One bit of each minwise token, in 64-bit words."""
-    return np.packbits((_mixed(least) & np.uint64(1)).astype(np.uint8)).view(np.uint64)
+    """Two bits of each minwise token: the words of the first bits, then those of the second ones."""
+    mixed = _mixed(least)
+    return np.concatenate([np.packbits((mixed >> np.uint64(i) & np.uint64(1)).astype(np.uint8)).view(np.uint64) for i in (0, 1)])
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -153,50 +158,47 @@ def whole_sets(rows: DataFrame, words: int) -> DataFrame:
 
 
 def all_nodes(sets: DataFrame) -> DataFrame:
-    """node, n, central, sketch (four integers) and keys of the nodes on all paths, tree after tree."""
+    """node, n, central, sketch (an array of SKETCH words) and keys of the nodes on all paths, tree after tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(3)
             values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-            least = [minwise(values[a:b], BITS) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            drawn = np.array([sketch(x) for x in least], np.uint64).reshape(len(least), BITS // 64).view(np.int64)
+            least = [minwise(values[a:b], DRAWN) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             out = {f: batch.column(i) for i, f in enumerate(("node", "n", "central"))}
-            out |= {f"s{i}": pa.array(np.ascontiguousarray(drawn[:, i])) for i in range(BITS // 64)}
-            yield pa.RecordBatch.from_pydict(out | {"keys": _lists([paths(x, TREES, LEVELS) for x in least])})
+            yield pa.RecordBatch.from_pydict(out | {"sketch": _lists([sketch(x) for x in least]), "keys": _lists([paths(x, TREES, LEVELS) for x in least])})
 
-    words = ", ".join(f"s{i} long" for i in range(BITS // 64))
-    return sets.select("node", "n", "central", "tokens").mapInArrow(run, f"node long, n long, central long, {words}, keys array<long>")
-
-
-SKETCH = [f"s{i}" for i in range(BITS // 64)]
+    return sets.select("node", "n", "central", "tokens").mapInArrow(run, "node long, n long, central long, sketch array<long>, keys array<long>")
 
 
 def least_agreement(share: tuple[int, int]) -> int:
-    """Bits that sketches of linked documents have alike, but for one pair in a thousand million; unlike tokens have the same bit half the time."""
-    p = 0.5 + share[0] / share[1] / 2
-    return math.floor(BITS * p - DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+    """Tokens that sketches of linked documents have alike, but for 3 pairs in ten million at the very share; unlike tokens have the same bits every fourth time."""
+    p = 0.25 + 0.75 * share[0] / share[1]
+    return math.floor(DRAWN * p - DEVIATIONS * math.sqrt(DRAWN * p * (1 - p)))
 
 
 def may_link(a: str, b: str, share: tuple[int, int]) -> Column:
     """Sizes and sketches of the columns with these suffixes allow a link."""
-    apart = sum((F.bit_count(F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))) for s in SKETCH), F.lit(0))
+    unlike = [F.col(f"sketch{a}")[i].bitwiseXOR(F.col(f"sketch{b}")[i]) for i in range(SKETCH)]
+    apart = sum((F.bit_count(x.bitwiseOR(y)) for x, y in zip(unlike[: SKETCH // 2], unlike[SKETCH // 2 :], strict=True)), F.lit(0))
     small, large = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
-    return (F.lit(share[1]) * small >= F.lit(share[0]) * large) & (apart <= BITS - least_agreement(share))
+    return (F.lit(share[1]) * small >= F.lit(share[0]) * large) & (apart <= DRAWN - least_agreement(share))
 
 
 def leaves(walks: DataFrame) -> DataFrame:
     """key, size and node: members of the leaves of all trees, from (node, walk: keys of one tree). Nodes of one document are none."""
     found = []
     for level in range(LEVELS):
-        keyed = walks.select("node", "walk", F.col("walk")[level].alias("key"))
+        keyed = walks.select("node", "walk", F.col("walk")[0].alias("key"))
         sizes = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
         last = level == LEVELS - 1
         found.append(keyed.join(sizes if last else sizes.filter(F.col("size") <= SMALL), "key").select("key", "size", "node"))
         large = sizes.filter(F.col("size") > SMALL)
         if last or large.isEmpty():
             break
-        walks = checkpoint(keyed.join(large, "key", "left_semi").select("node", "walk"))
+        walks = checkpoint(keyed.join(large, "key", "left_semi").select("node", F.slice("walk", 2, LEVELS).alias("walk")))
+        del keyed, sizes, large
+        free_shuffles(walks.sparkSession)
     out = found[0]
     for part in found[1:]:
         out = out.union(part)
@@ -211,32 +213,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
     return pairs.join(x, "a").join(y, "b").filter(F.lit(share[1]) * common >= F.lit(share[0]) * (both - common)).select("a", "b")
 
 
-def _to_centres(members: DataFrame, drawn: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Each member (a) of a leaf with the leaf's most central one (b), where they may link."""
-    centres = members.groupBy("key").agg(F.max(F.struct("central", "node")).alias("centre")).select("key", F.col("centre.node").alias("b"))
-    pairs = members.join(centres, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    side = lambda s: drawn.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", *SKETCH)])
+def _told(pairs: DataFrame, drawn: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    side = lambda s: drawn.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "sketch")])
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link("_a", "_b", share)).select("a", "b")
 
 
-def _across(members: DataFrame, labels: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _to_centres(members: DataFrame) -> DataFrame:
+    """Each member (a) of a leaf with the leaf's most central one (b) and its central."""
+    centres = members.groupBy("key").agg(F.max(F.struct("central", "node")).alias("centre")).select("key", "centre")
+    return members.join(centres, "key").filter("node <> centre.node").select(F.col("node").alias("a"), F.col("centre.node").alias("b"), "centre.central").distinct()
+
+
+def _most_central(to_centres: DataFrame) -> DataFrame:
+    """Of each document's pairs with centres those with the FIRST most central ones. Members of a large group have these in common."""
+    first = F.slice(F.sort_array(F.collect_list(F.struct("central", "b")), asc=False), 1, FIRST)  # of one pair for each tree at most
+    return to_centres.groupBy("a").agg(first.alias("first")).select("a", F.explode("first").alias("x")).select("a", "x.b")
+
+
+def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of leaves that hold several components, with root and main: that of the leaf's most central member."""
+    rows = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("central", "node", "root")).alias("centre")).filter("lo <> hi")
+    return checkpoint(rows.join(mixed.select("key", F.col("centre.root").alias("main"), F.col("centre.node").alias("centre")), "key").select("key", "size", "node", "root", "main", "centre"))
+
+
+def _across(rows: DataFrame, drawn: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Pairs of members of a leaf that may link and lie in different components, one of them outside that of the leaf's most central member.
 
-    A leaf is cut into blocks of about BLOCK members; members outside the central component meet each block, in its own task.
+    A leaf is cut into blocks of about BLOCK members; members outside the central component meet each block, in its own task. Pairs that meet in leaves of
+    several trees are put out in the first of these alone.
     """
-    rows = checkpoint(members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("central", "node", "root")).alias("centre")).filter("lo <> hi")
-    rows = checkpoint(rows.join(checkpoint(mixed.select("key", F.col("centre.root").alias("main"))), "key"))
+    places = rows.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("places"))  # one for each tree at most
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    kept = ("node", "n", "root", *SKETCH)
+    rows = rows.join(drawn.drop("central").join(places, "node"), "node")
+    kept = ("node", "n", "root", "sketch", "places")
     named = lambda s: [F.col(c).alias(f"{c}{s}") for c in kept]
     x = rows.filter("root <> main").select("key", "main", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *named("_a"))
     y = rows.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), *named("_b"))
     once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-    met = x.join(y, ["key", "block"]).filter(once & may_link("_a", "_b", share))
+    first = F.when(may_link("_a", "_b", share), F.array_min(F.array_intersect("places_a", "places_b")) == F.col("key"))
+    met = x.join(y, ["key", "block"]).filter(once & first)
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, root) after further links (a, b): only what they join of the components is gone through again."""
+    of = lambda s: labels.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    between = checkpoint(ends.filter("a <> b").distinct())
+    if between.isEmpty():
+        return labels
+    more = components(between)
+    known = labels.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return checkpoint(known.union(more.join(labels.select("node"), "node", "left_anti").select("node", "root")))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept (that one).
 
@@ -263,14 +295,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int]
     drawn = checkpoint(all_nodes(sets))
     walks = drawn.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("keys", t * LEVELS + 1, F.lit(LEVELS)))).alias("walk"))
     slim = drawn.drop("keys")
-    members = leaves(walks).join(slim, "node")
-    near = checkpoint(confirmed(checkpoint(_to_centres(members.select("key", "node", "central"), slim, share)), sets, share))
-    labels = components(near)
+    members = checkpoint(leaves(walks).join(slim.select("node", "central"), "node"))
+    free_shuffles(spark)
+    labels = components(confirmed(checkpoint(_told(_most_central(_to_centres(members)), slim, share)), sets, share))
+    free_shuffles(spark)
+    outside = _outside(members, labels).filter("root <> main AND node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    labels = _joined(labels, confirmed(checkpoint(_told(outside, slim, share)), sets, share))
     free_shuffles(spark)
-    across = checkpoint(confirmed(checkpoint(_across(members, labels, share)), sets, share))
+    labels = _joined(labels, confirmed(checkpoint(_across(_outside(members, labels), slim, share)), sets, share))
     free_shuffles(spark)
-    if not across.isEmpty():
-        labels = components(near.union(across))
 
     rooted = checkpoint(nodes.join(labels, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("component")))
