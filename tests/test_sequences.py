@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from timelens.operators import delivery, intervals, statechange, tracks
+from timelens.operators import delivery, folds, intervals, statechange, tracks
 from timelens.streaming import watch
 
 
@@ -209,3 +209,19 @@ def test_temporal_joins_agree(spark):
     dealt = [(r["p"], r["s"]) for r in intervals.bucketed_temporal_join(points, spans, "video_id", 40.0).collect()]
     assert len(dealt) == len(set(dealt)) and set(dealt) == plain
     assert intervals.runs(points.limit(0), ["video_id"], "timestamp", F.col("p")).count() == 0
+
+
+def test_folds_keep_keys_whole_after_a_join(spark):
+    """A join on a fold's keys that turns out to be small is made without dealing its rows by them."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c, None) for c in settings}
+    for c, v in settings.items():
+        spark.conf.set(c, v)
+    try:
+        rows = spark.range(0, 4000, 1, 5).select((F.col("id") % 40).cast("string").alias("k"), F.col("id").alias("t"))
+        known = spark.range(40).select(F.col("id").cast("string").alias("k"))
+        counted = folds.streamed(rows.join(known, "k"), ["k"], ["t"], ["t"], lambda key, seen: iter([(*key, sum(1 for _ in seen))]), "k string, n long")
+        assert sorted(map(tuple, counted.collect())) == sorted((str(i), 100) for i in range(40))
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)

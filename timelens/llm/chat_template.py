@@ -474,7 +474,7 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 def _ordered(conversations: DataFrame) -> DataFrame:
     """Each conversation whole and in order within a partition; the sort spills, so its length is not bounded by memory."""
     rows = conversations.select("conv_id", "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    return rows.repartition(F.xxhash64("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
 
 def _turn(row: tuple) -> dict:

@@ -180,7 +180,7 @@ def end_digests(ends: DataFrame) -> DataFrame:
         while part := list(itertools.islice(out, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["depth", "node", "ends_sha256"])
 
-    return ends.select("depth", "node", "conv").repartition("depth", "node").sortWithinPartitions("depth", "node", "conv").mapInArrow(run, "depth long, node long, ends_sha256 string")
+    return ends.select("depth", "node", "conv").repartition(F.xxhash64("depth", "node")).sortWithinPartitions("depth", "node", "conv").mapInArrow(run, "depth long, node long, ends_sha256 string")
 
 
 def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:

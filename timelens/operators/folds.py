@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -19,7 +20,9 @@ def streamed(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: S
 
     The sort spills, and one row at a time reaches the fold, so a key's rows needn't fit into memory.
     """
-    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *values)
+    # dealt by a hash of the keys: dealing by the keys themselves would be left out after a join or a grouping on them, whose own dealing
+    # isn't kept when the join turns out to be small or skewed, as a fold over Arrow batches doesn't ask for it
+    rows = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).select(*keys, *values)
     kind, n = to_arrow_schema(StructType.fromDDL(schema)), len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
