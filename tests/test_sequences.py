@@ -225,3 +225,25 @@ def test_folds_keep_keys_whole_after_a_join(spark):
     finally:
         for c, v in before.items():
             spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+def test_temporal_join_tries_few_pairs(spark):
+    """A key with many rows: pairs tried go with pairs found, whatever the spans' lengths; edges, open and endless spans are met."""
+    inf = float("inf")
+    rng = random.Random(7)
+    spans = [("c", i, a := float(rng.randint(-500, 90_000)), a + rng.choice([0.0, 1.0, 3.5, 64.0, 700.0, 20_000.0])) for i in range(300)]
+    spans += [("c", 300, -inf, 10.0), ("c", 301, 89_000.0, inf), ("c", 302, 50.0, 40.0), ("c", 303, None, 9.0), ("d", 304, 1e16, 2e16), ("d", 305, -1e15, 1e15), ("d", 306, -4.0, -4.0)]
+    points = [("c", i, rng.choice([float(rng.randint(-500, 90_000)), rng.choice([s[3] for s in spans[:300]])])) for i in range(400)]
+    points += [("c", 400, None), ("d", 401, 1.5e16), ("d", 402, 1e15), ("d", 403, -4.0), ("e", 404, 1.0)]
+    a = spark.createDataFrame(spans, "video_id string, span int, start_time double, end_time double")
+    p = spark.createDataFrame(points, "video_id string, point int, timestamp double")
+    want = sorted((k, i, j) for k, i, t in points for o, j, x, y in spans if k == o and None not in (t, x, y) and x <= t <= y)
+    joined = intervals.temporal_join(p, a)
+    assert joined.columns == ["video_id", "point", "timestamp", "span", "start_time", "end_time"]
+    assert sorted((r["video_id"], r["point"], r["span"]) for r in joined.collect()) == want
+    # one key's rows by themselves: a join by the key alone tries all 4,000,000 pairs
+    many = spark.range(2000).select((F.col("id") % 1).alias("video_id"), (F.col("id") * 50).cast("double").alias("timestamp"))
+    short = spark.range(2000).select((F.col("id") % 1).alias("video_id"), (F.col("id") * 50).cast("double").alias("start_time"), (F.col("id") * 50 + F.col("id") % 40).cast("double").alias("end_time"))
+    found = intervals.temporal_join(many, short)
+    assert any("Join Inner" in x and "_bucket" in x and "_width" in x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert found.count() == 2000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 from operator import and_
@@ -15,6 +16,8 @@ from timelens.operators.folds import streamed
 
 #: Seconds of a group's history that are compared in one task.
 ISLAND_BUCKET = 86_400.0
+#: Time buckets of a span in a temporal join, one more at most; their widths are powers of it. Times from FAR on aren't put into buckets.
+SPREAD, FAR = 4, 1e15
 
 
 def islands(df: DataFrame, by: Sequence[str], start: str, end: str, gap: float, order: Sequence[str] = ()) -> DataFrame:
@@ -144,16 +147,33 @@ def motion_spans(episodes: DataFrame, chunks: DataFrame, margin: float, pad: flo
     return merged.union(whole)
 
 
-def temporal_join(points: DataFrame, spans: DataFrame, on: str = "video_id") -> DataFrame:
-    """Points (timestamp) within spans (start_time, end_time) of the same key, both ends included."""
+def _within(points: DataFrame, spans: DataFrame, on: str | list[str]) -> DataFrame:
     return points.join(spans, on).filter(F.col("timestamp").between(F.col("start_time"), F.col("end_time")))
 
 
+def temporal_join(points: DataFrame, spans: DataFrame, on: str = "video_id") -> DataFrame:
+    """Points (timestamp) within spans (start_time, end_time) of the same key, both ends included.
+
+    Both sides also meet on time buckets, whose width goes by the length of the span, so a hot key is dealt over many tasks and pairs tried grow with pairs found,
+    however unlike the spans' lengths are: a span lies in SPREAD + 1 buckets at most, a point in one for each width there is. Only spans that are open or beyond
+    FAR meet points by their key alone.
+    """
+    start, end, at = (F.col(c).cast("double") for c in ("start_time", "end_time", "timestamp"))
+    near = (F.abs(start) < FAR) & (F.abs(end) < FAR)
+    exponent = F.greatest(F.lit(0), F.floor(F.log(F.greatest(end - start, F.lit(1.0))) / math.log(SPREAD)).cast("int"))
+    kept = spans.filter("start_time <= end_time").withColumn("_width", F.when(near, F.pow(F.lit(float(SPREAD)), exponent)).otherwise(0.0))
+    widths = kept.select("_width").distinct()  # about 25 at most
+    cut = lambda c: F.when(F.col("_width") > 0, F.floor(c / F.when(F.col("_width") > 0, F.col("_width")))).otherwise(0)
+    wide = kept.withColumn("_bucket", F.explode(F.sequence(cut(start), cut(end))))
+    placed = points.filter("timestamp IS NOT NULL").join(F.broadcast(widths), (F.col("_width") == 0) | (F.abs(at) < FAR)).withColumn("_bucket", cut(at))
+    return _within(placed, wide, [*([on] if isinstance(on, str) else on), "_width", "_bucket"]).drop("_width", "_bucket")
+
+
 def bucketed_temporal_join(points: DataFrame, spans: DataFrame, on: str, width: float) -> DataFrame:
-    """J3 for keys with many rows: both sides also meet on time buckets, so a hot key is dealt over many tasks."""
+    """J3 with buckets of one given width, for spans that are about as long."""
     cut = lambda c: F.floor(c / width).cast("bigint")
     wide = spans.withColumn("_bucket", F.explode(F.sequence(cut(F.col("start_time")), cut(F.col("end_time")))))
-    return temporal_join(points.withColumn("_bucket", cut(F.col("timestamp"))), wide, on if isinstance(on, list) else [on, "_bucket"]).drop("_bucket")
+    return _within(points.withColumn("_bucket", cut(F.col("timestamp"))), wide, on if isinstance(on, list) else [on, "_bucket"]).drop("_bucket")
 
 
 def assign_speakers(lines: DataFrame, turns: DataFrame) -> DataFrame:
