@@ -247,3 +247,23 @@ def test_temporal_join_tries_few_pairs(spark):
     found = intervals.temporal_join(many, short)
     assert any("Join Inner" in x and "_bucket" in x and "_width" in x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert found.count() == 2000
+
+
+def test_delivered_frames_are_looked_at_once(spark):
+    """Hashes of frames are made once, however many steps of the verdict ask for them."""
+    looked = spark.sparkContext.accumulator(0)
+
+    def decoded(batches):
+        for batch in batches:
+            looked.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(3)
+    own, other = ([float(rng.randint(0, 255)) for _ in range(56)] for _ in range(2))
+    rows = [(clip, i, i / 4, other if i < heads else own) for clip, heads in ((1, 0), (2, 3), (3, 8)) for i in range(12)]
+    frames = spark.createDataFrame(rows, "clip_id int, frame_index int, t double, grid array<double>").mapInArrow(decoded, "clip_id int, frame_index int, t double, grid array<double>")
+    clips = spark.createDataFrame([(c, 0.0, 3.0, 3.0, "2688x1520", 20.0) for c in (1, 2, 3)], "clip_id int, start_epoch double, window_len double, duration double, resolution string, rate double")
+    clock = spark.createDataFrame([(c, 1.0, 1.0) for c in (1, 2, 3)], "clip_id int, t double, observed_epoch double")
+    got = {r["clip_id"]: (r["action"], r["trim_before"]) for r in delivery.verified_clips(clips, frames, clock, [(2688, 1520, 20)], size=7).collect()}
+    assert looked.value <= 2 * len(rows)
+    assert got[1] == ("accept", 0.0) and got[2] == ("trim", 0.75) and got.keys() == {1, 2, 3}

@@ -270,7 +270,8 @@ def ud15(s, d):
     frames = own.join(last, "clip_id", "left").select("clip_id", "frame_index", (F.col("frame_index") / 4.0).alias("t"), grid.alias("grid"))
     resolution = F.when(F.col("clip_id") % 13 == 5, "352x240").when(F.col("clip_id") % 13 == 6, "unknown").otherwise("2688x1520")
     clips = own.groupBy("clip_id").agg((F.count("*") / 4.0).alias("duration")).select("clip_id", (1000.0 * F.col("clip_id")).alias("start_epoch"), F.col("duration").alias("window_len"), "duration", resolution.alias("resolution"), F.lit(19.98).alias("rate"))
-    clock = frames.select("clip_id", "t", (1000.0 * F.col("clip_id") + F.col("t") + 1).alias("observed_epoch"))
+    at = F.col("frame_index") / 4.0
+    clock = own.select("clip_id", at.alias("t"), (1000.0 * F.col("clip_id") + at + 1).alias("observed_epoch"))
     return delivery.verified_clips(clips, frames, clock, [(2688, 1520, 20)], size=7)
 
 
