@@ -1,6 +1,7 @@
 """Sweeps: both caches, what they ask models for, unreadable frames, which video is swept."""
 
 import json
+import os
 
 import pytest
 
@@ -98,3 +99,35 @@ def test_scan_requests(spark):
     assert got[4] == ("v", None) and got[5] == (None, "no target video resolvable")
     only = deepscan.scan_requests(questions.filter("question_id = 5"), items, videos.limit(1)).first()
     assert only["video_id"] == "v"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_states_look_at_each_frame_once(spark, asked, monkeypatch):
+    from timelens import queries_scan
+
+    frames, plain = asked[0], queries_scan._captioner
+
+    def counting():
+        def made():
+            say = plain()
+
+            def each(rows):
+                frames.add(len(rows))
+                return say(rows)
+
+            return each
+
+        return made()
+
+    monkeypatch.setattr(queries_scan, "_captioner", counting)
+    queries_scan.f19_sweep(spark, "/root/testdata/sf0.001").collect()
+    once = frames.value
+    queries_scan.f20_states(spark, "/root/testdata/sf0.001").collect()
+    assert once > 0 and frames.value == 2 * once
+
+
+def test_shown_runs():
+    seen = [{"timestamp": float(t), "text": x, "state": None if x is None else x.lower().strip(".")} for t, x in enumerate(["Red.", "red", None, None, "red", "blue"])]
+    assert deepscan._shown_runs(seen) == [(0.0, 1.0, "Red."), (2.0, 2.0, None), (3.0, 3.0, None), (4.0, 4.0, "red"), (5.0, 5.0, "blue")]
+    many = [{"timestamp": float(t), "text": str(t % 2), "state": str(t % 2)} for t in range(200)]
+    assert len(deepscan._shown_runs(many)) == deepscan.SHOWN_TIMELINE

@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelens.constants import SCAN_FPS, SCAN_FRAMES, SHOWN_RUNS
 from timelens.functions import text as tx
 from timelens.operators import statechange
+from timelens.session import checkpoint
 from timelens.sources import versions
 
 #: Versions of the prompts; another one makes another key.
@@ -88,13 +89,26 @@ def sweep(wanted: DataFrame, cached: DataFrame, times: DataFrame, videos: DataFr
     return held, captioned(frames, captioner)
 
 
-def _shown_runs(observations: DataFrame) -> DataFrame:
-    """The first SHOWN_TIMELINE raw runs of each sweep, with its distinct labels: what a normaliser judges. A sweep has a frame budget, so both are bounded by it."""
-    order = Window.partitionBy("video_id", "prompt_key").orderBy("timestamp", "text")
-    fresh = F.when(tx.state(F.col("text")) == F.lag(tx.state(F.col("text"))).over(order), 0).otherwise(1)
-    runs = observations.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("video_id", "prompt_key", "run").agg(F.struct(F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.min_by("text", F.struct("timestamp", "text")).alias("text")).alias("span"), F.collect_set("text").alias("texts"))
-    return spans.groupBy("video_id", "prompt_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("texts")))).alias("labels"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("run", "span"))), lambda x: x["span"]), 1, SHOWN_TIMELINE).alias("timeline"))
+def _timelines(observations: DataFrame) -> DataFrame:
+    """What a normaliser judges, a row for each sweep: its distinct labels and its observations in order. A sweep has a frame budget, so both are bounded by it."""
+    seen = observations.select("video_id", "prompt_key", F.struct("timestamp", "text", tx.state(F.col("text")).alias("state")).alias("x"))
+    held = seen.groupBy("video_id", "prompt_key").agg(F.sort_array(F.collect_list("x")).alias("seen"))
+    return held.select("video_id", "prompt_key", F.sort_array(F.array_distinct(F.filter("seen.text", lambda t: t.isNotNull()))).alias("labels"), "seen")
+
+
+def _shown_runs(seen: list[dict]) -> list[tuple]:
+    """The first SHOWN_TIMELINE raw runs (start, end, first label) of equal states; what has none is a run by itself."""
+    runs: list[list] = []
+    last = None
+    for x in seen:
+        if runs and x["state"] is not None and x["state"] == last:
+            runs[-1][1] = x["timestamp"]
+        elif len(runs) == SHOWN_TIMELINE:
+            break
+        else:
+            runs.append([x["timestamp"], x["timestamp"], x["text"]])
+        last = x["state"]
+    return [tuple(r) for r in runs]
 
 
 def normalised(observations: DataFrame, wanted: DataFrame, normaliser: Normaliser) -> DataFrame:
@@ -106,13 +120,13 @@ def normalised(observations: DataFrame, wanted: DataFrame, normaliser: Normalise
             model = model or normaliser()
             rows = []
             for r in batch.to_pylist():
-                found = model(r["scan_target"], r["labels"], [(s["start"], s["end"], s["text"]) for s in r["timeline"]])
+                found = model(r["scan_target"], r["labels"], _shown_runs(r["seen"]))
                 if found:
                     rows.append((r["video_id"], r["prompt_key"], json.dumps(found, sort_keys=True, ensure_ascii=False)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], names=["video_id", "prompt_key", "mapping"])
 
-    shown = _shown_runs(observations).join(wanted, ["video_id", "prompt_key"])
-    return shown.select("video_id", "prompt_key", "scan_target", "labels", "timeline").mapInArrow(run, "video_id string, prompt_key string, mapping string")
+    shown = _timelines(observations).join(wanted, ["video_id", "prompt_key"])
+    return shown.select("video_id", "prompt_key", "scan_target", "labels", "seen").mapInArrow(run, "video_id string, prompt_key string, mapping string")
 
 
 def with_states(observations: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -128,7 +142,9 @@ def scan_items(observations: DataFrame, wanted: DataFrame, mappings: DataFrame,
     ``observations`` are the labels as they were seen, ``kept`` the keys (video_id, prompt_key) that came from the cache.
     """
     frames = observations.groupBy("video_id", "prompt_key").agg(F.count("*").alias("frames"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-    analyzed = statechange.analyze_timelines(with_states(observations, mappings))
+    # asked for in several places: models and folds run once
+    mappings = checkpoint(mappings)
+    analyzed = checkpoint(statechange.analyze_timelines(with_states(observations, mappings)))
     count = F.struct(F.col("changes_low"), F.col("changes_high"), F.col("distinct_states"), F.size("runs").alias("total_episodes"))
     per_state = statechange.episodes(analyzed).groupBy("video_id", "prompt_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("episodes")).alias("less"), "state"))).alias("states"))
     joined = wanted.join(frames, ["video_id", "prompt_key"], "left").join(analyzed.select("video_id", "prompt_key", count.alias("n")), ["video_id", "prompt_key"], "left").join(per_state, ["video_id", "prompt_key"], "left")

@@ -13,6 +13,7 @@ from timelens.functions import text as tx
 from timelens.operators import delivery, deepscan, statechange, verify
 from timelens.plans import planner
 from timelens.queries import _FUSED, _Q, _WATCH, _score, QUERY, _pool, query
+from timelens.session import checkpoint
 from timelens.sources import media, migrations, trace, uris, vendor_log, versions
 from timelens.streaming import watch
 
@@ -83,7 +84,7 @@ _STATE_OF = "CASE WHEN bool_or(text = 'blue coat') OVER (PARTITION BY video_id)
 @query("f20_states", f"WITH {_SWEPT} SELECT video_id, timestamp, {_STATE_OF} AS text FROM swept")
 def f20_states(s, d):
     wanted, held, fresh = _swept(s, d)
-    seen = held.unionByName(fresh)
+    seen = checkpoint(held.unionByName(fresh))
     return deepscan.with_states(seen, deepscan.normalised(seen, wanted, _normaliser)).select("video_id", "timestamp", "text")
 
 
@@ -113,7 +114,7 @@ SELECT clips.video_id::VARCHAR AS video_id, coalesce(time_start, 0) AS time_star
 FROM clips LEFT JOIN f ON f.video_id = clips.video_id::VARCHAR LEFT JOIN final ON final.video_id = clips.video_id::VARCHAR""")
 def f19_counted(s, d):
     wanted, held, fresh = _swept(s, d)
-    seen = held.unionByName(fresh)
+    seen = checkpoint(held.unionByName(fresh))
     items = deepscan.scan_items(seen, wanted, deepscan.normalised(seen, wanted, _normaliser), held)
     facts = F.from_json("attributes", "frames_scanned bigint, changes_low bigint, changes_high bigint, distinct_states bigint, total_episodes bigint, cached boolean, normalized boolean")
     return items.filter("modality = 'deep_scan_count'").select("video_id", "time_start", "time_end", facts.alias("x")).select("video_id", "time_start", "time_end", "x.*")
