@@ -1,5 +1,7 @@
 """Chosen-path near-duplicates against a brute-force version; groups of copies, nulls, repeats, long texts."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -73,6 +75,25 @@ def test_small_leaves_and_blocks(spark, monkeypatch):
     assert got(spark, docs) == brute(docs)
 
 
+def test_strays_of_a_large_group_are_not_walked(spark, monkeypatch):
+    """A set that has over 15 % of its tokens alone can't link; in a large group such strays made walks in all trees, and pairs with all members."""
+    rng = np.random.default_rng(9)
+    group = [f"w{k}" for k in rng.integers(0, 5000, 150)]
+    docs = []
+    for i in range(240):
+        copy = list(group)
+        for at in rng.choice(150, 1 + i % 12, replace=False):
+            copy[at] = f"own{rng.integers(0, 10**9)}"
+        docs.append((i, " ".join(copy)))
+    sets, walked = [sets_of(t) for _, t in docs], []
+    held = Counter(x for s in sets for x in s)
+    able = sum(100 * sum(held[x] > 1 for x in s) >= 85 * len(s) for s in sets)
+    drawn = md.all_nodes
+    monkeypatch.setattr(md, "all_nodes", lambda rows: walked.append(rows.count()) or drawn(rows))
+    assert got(spark, docs) == brute(docs)
+    assert walked[0] <= able < 200
+
+
 def test_repeated_ids_and_rows(spark):
     docs = corpus(3)[:60]
     docs += [docs[0], docs[0], (docs[1][0], "another text of its own that is not like it"), (None, docs[2][1]), (None, docs[2][1])]

@@ -2,13 +2,17 @@
 
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Documents link when the Jaccard similarity of their sets is at
 least 85 / 100. In each of TREES independent trees a document walks down from the root: at every level it goes to the child that is named by its
-minwise token under that level's own hash function, so two documents part with probability 1 - J at each level. A node of at most SMALL
-documents is a leaf and is compared exhaustively; larger ones branch again, down to LEVELS levels.
+minwise token under that level's own hash function, so two documents part with probability 1 - J at each level. Nodes are counted at every
+STEP-th level: one of at most SMALL documents is a leaf and is compared exhaustively; larger ones branch again, down to LEVELS levels.
 
 Recall: two documents of similarity s meet in a leaf of level k of one tree with probability s^k, so they miss each other in all trees with
 (1 - s^k)^TREES: at s = 0.85 that is 3e-7 for the deepest leaves, and less for others. The two tests before the exact one cost 6e-7
 (COMPANY) and 3e-7 (agreement of sketches) at that similarity, and less above it. Members of the deepest leaves are near copies or many; they aren't cut.
 
+Before the walks, tokens are counted over all sets. What a set has alone is in no intersection, so a set is left out if its other tokens are too few
+for a link with any set, and a pair is not made if they are too few in one of the two; no link is lost by that. Strays of a large group of near copies
+differ from the others by words of their own for the most part.
+
 Documents are first confirmed against the most central members of their leaves: against FIRST of them, which the members of a large group have in
 common, and where that doesn't place them in their leaf's central component, against that of each leaf. What remains, members outside the central one's component, is compared with the whole leaf in blocks of BLOCK members by sketches of DRAWN minwise tokens, and only what passes is
 confirmed on full sets. Every link is thus either confirmed or lies within a component. Equal sets are one node from the start.
@@ -37,6 +41,8 @@ WORDS = 5
 SHARE = (85, 100)
 TREES = 32
 LEVELS = 6
+#: Levels that a walk goes down at once; it divides LEVELS.
+STEP = 2
 #: Trees whose first level tells whether a document has company at all, and how many of those nodes must hold another set.
 COMPANY = (20, 8)
 #: Members of a node that doesn't branch further.
@@ -157,18 +163,27 @@ def whole_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("node", "central", "text").mapInArrow(run, "node long, n long, central long, tokens array<long>")
 
 
+def with_company(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The sets that may link with one of the others, with open: how many of their tokens some other set has."""
+    tokens = sets.select("node", F.explode("tokens").alias("token"))
+    alone = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("node").alias("node")).filter("sets = 1")
+    own = alone.groupBy("node").agg(F.count("*").alias("own"))
+    counted = sets.join(own, "node", "left").withColumn("open", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    return counted.filter(F.lit(share[1]) * F.col("open") >= F.lit(share[0]) * F.col("n"))
+
+
 def all_nodes(sets: DataFrame) -> DataFrame:
-    """node, n, central, sketch (an array of SKETCH words) and keys of the nodes on all paths, tree after tree."""
+    """node, n, open, central, sketch (an array of SKETCH words) and keys of every STEP-th node on all paths, tree after tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(3)
+            column = batch.column(4)
             values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
             least = [minwise(values[a:b], DRAWN) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            out = {f: batch.column(i) for i, f in enumerate(("node", "n", "central"))}
-            yield pa.RecordBatch.from_pydict(out | {"sketch": _lists([sketch(x) for x in least]), "keys": _lists([paths(x, TREES, LEVELS) for x in least])})
+            out = {f: batch.column(i) for i, f in enumerate(("node", "n", "open", "central"))}
+            yield pa.RecordBatch.from_pydict(out | {"sketch": _lists([sketch(x) for x in least]), "keys": _lists([paths(x, TREES, LEVELS)[:, STEP - 1 :: STEP] for x in least])})
 
-    return sets.select("node", "n", "central", "tokens").mapInArrow(run, "node long, n long, central long, sketch array<long>, keys array<long>")
+    return sets.select("node", "n", "open", "central", "tokens").mapInArrow(run, "node long, n long, open long, central long, sketch array<long>, keys array<long>")
 
 
 def least_agreement(share: tuple[int, int]) -> int:
@@ -178,20 +193,20 @@ def least_agreement(share: tuple[int, int]) -> int:
 
 
 def may_link(a: str, b: str, share: tuple[int, int]) -> Column:
-    """Sizes and sketches of the columns with these suffixes allow a link."""
+    """Sizes, tokens that others have, and sketches of the columns with these suffixes allow a link."""
     unlike = [F.col(f"sketch{a}")[i].bitwiseXOR(F.col(f"sketch{b}")[i]) for i in range(SKETCH)]
     apart = sum((F.bit_count(x.bitwiseOR(y)) for x, y in zip(unlike[: SKETCH // 2], unlike[SKETCH // 2 :], strict=True)), F.lit(0))
-    small, large = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
-    return (F.lit(share[1]) * small >= F.lit(share[0]) * large) & (apart <= DRAWN - least_agreement(share))
+    most, both = F.least(f"open{a}", f"open{b}"), F.col(f"n{a}") + F.col(f"n{b}")
+    return (F.lit(share[1]) * most >= F.lit(share[0]) * (both - most)) & (apart <= DRAWN - least_agreement(share))
 
 
 def leaves(walks: DataFrame) -> DataFrame:
     """key, size and node: members of the leaves of all trees, from (node, walk: keys of one tree). Nodes of one document are none."""
     found = []
-    for level in range(LEVELS):
+    for level in range(STEP, LEVELS + 1, STEP):
         keyed = walks.select("node", "walk", F.col("walk")[0].alias("key"))
         sizes = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
-        last = level == LEVELS - 1
+        last = level == LEVELS
         found.append(keyed.join(sizes if last else sizes.filter(F.col("size") <= SMALL), "key").select("key", "size", "node"))
         large = sizes.filter(F.col("size") > SMALL)
         if last or large.isEmpty():
@@ -215,7 +230,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
 
 def _told(pairs: DataFrame, drawn: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow a link."""
-    side = lambda s: drawn.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "sketch")])
+    side = lambda s: drawn.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "open", "sketch")])
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link("_a", "_b", share)).select("a", "b")
 
 
@@ -247,7 +262,7 @@ def _across(rows: DataFrame, drawn: DataFrame, share: tuple[int, int]) -> DataFr
     places = rows.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("places"))  # one for each tree at most
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     rows = rows.join(drawn.drop("central").join(places, "node"), "node")
-    kept = ("node", "n", "root", "sketch", "places")
+    kept = ("node", "n", "open", "root", "sketch", "places")
     named = lambda s: [F.col(c).alias(f"{c}{s}") for c in kept]
     x = rows.filter("root <> main").select("key", "main", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *named("_a"))
     y = rows.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), *named("_b"))
@@ -292,8 +307,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int]
     sets = checkpoint(whole_sets(texts, words))
     if sets.count() > n_active:  # rows alike under one id
         sets = checkpoint(sets.dropDuplicates(["node"]))
+    sets = checkpoint(with_company(sets, share))
+    free_shuffles(spark)
     drawn = checkpoint(all_nodes(sets))
-    walks = drawn.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("keys", t * LEVELS + 1, F.lit(LEVELS)))).alias("walk"))
+    steps = LEVELS // STEP
+    walks = drawn.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("keys", t * steps + 1, F.lit(steps)))).alias("walk"))
     slim = drawn.drop("keys")
     members = checkpoint(leaves(walks).join(slim.select("node", "central"), "node"))
     free_shuffles(spark)
