@@ -100,6 +100,22 @@ def test_one_very_long_vector(spark, tmp_path):
     assert recall >= 0.95 and all(len(got[q]) == 10 for q in want), recall
 
 
+def test_recall_over_shards_without_codes_along_edges(spark, tmp_path, monkeypatch):
+    """Shards of their own find the nearest of all, and the graph's edges ship no vectors: rows of a join or a group were 64 for each node and round."""
+    for name, value in (("LEAST", 300), ("LEAF", 60)):
+        monkeypatch.setattr(nn, name, value)
+    x = np.random.default_rng(5).normal(size=(2400, 32)).astype(np.float32)
+    vectors = {i: [float(v) for v in x[i]] for i in range(2400)}
+    made, build = [], nn.build_graph
+    monkeypatch.setattr(nn, "build_graph", lambda *a: made.append(build(*a)) or made[0])
+    got = run(spark, tmp_path, [(i, v, "x") for i, v in vectors.items()])
+    want = brute(vectors, [i for i in vectors if i % 100 == 0])
+    recall = sum(len({v for v, _, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+    index, shards = made[0]
+    assert recall >= 0.95 and shards == 8, (recall, shards)
+    assert index.count() == 2400 and index.select("shard").distinct().count() == 8
+
+
 def test_codes_keep_each_vectors_digits():
     import pyarrow as pa
 

@@ -1,16 +1,16 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
 
 Equal vectors are one node, which keeps its k + 1 smallest ids: more of them can't be among k nearest, so nothing is lost.
-Random-projection trees, fitted on a bounded sample, deal all nodes into blocks; within a block neighbours are exact. Then NN-descent
-joins each node's neighbours, both ways, with one another and keeps the nearest, for a few rounds of Spark joins. Of two
-neighbours one must be new since the last round, so settled parts of the graph ship no vectors any more.
+A hash deals all nodes into shards of at most MOST nodes, about SHARDS of them unless the table is larger or small. A shard's graph is made in its
+task: random-projection trees deal its nodes into blocks, within which neighbours are exact. Then NN-descent joins each node's neighbours, both
+ways, with one another and keeps the nearest, for a few rounds. Of two neighbours one must be new since the last round.
 
-A query is a node of the graph. Its search holds one row: the beam of its nearest nodes found so far. A step expands those not expanded
-yet, all queries together, in two joins (links, vectors), until no beam has any left. Recall is measured on CHECKED queries
-against all nodes; while it is under RECALL, the beam is doubled. A query that has met fewer than k rows (its part of the
-graph is small) is compared with all nodes, in blocks of queries.
+Each query is searched in every shard: from members of its leaves of the trees the nearest nodes met so far, the beam, are expanded along the
+links until none of them is left. The nearest of all shards are kept. So a shard is shipped once, and no code is shipped along an edge. Recall is measured on
+CHECKED queries against all nodes; while it is under RECALL, the beam is doubled. A query that has met fewer than k rows is compared with
+all nodes, in blocks of queries. Making graphs grows with the nodes; beyond SHARDS * MOST nodes searches grow with queries times shards.
 
-Vectors that are joined are shipped as 16-bit floats around a mean of all, each with a scale of its own, so that very long vectors leave the others'
+Vectors are shipped as 16-bit floats around a mean of all, each with a scale of its own, so that very long vectors leave the others'
 digits alone; recall is measured, and the scores returned are, by the original vectors.
 
 Defined results: rows whose id is null, or whose vector is null, empty, zero, or holds null or non-finite components take no part; a row
@@ -31,17 +31,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timelens.llm.common import checkpoint, free_shuffles, table
+from timelens.llm.common import checkpoint, table
 
 NEAREST = 10
 #: Neighbours kept for a node, incoming ones joined with them, trees, nodes of a block, neighbours taken from a block.
 NEIGHBOURS, REVERSE, TREES, LEAF, FROM_LEAF = 32, 32, 6, 400, 16
-#: Groups of neighbours whose pairs are put out at once.
+#: Nodes whose neighbours are joined with one another at once.
 GROUPS = 200
-SAMPLE = 10_000
+#: Shards of a table that isn't very large, and nodes of a shard, at least and about at most.
+SHARDS, LEAST, MOST = 16, 4096, 1 << 17
 ROUNDS, SETTLED = 8, 0.005
-#: Nodes kept for a query at first.
-BEAM = 192
+#: Nodes kept for a query at first, in a shard and of all shards, expanded at once, and taken from a leaf as starts.
+BEAM, WIDE, STARTS = 64, 16, 16
+#: Marks of the nodes that queries have met, held at once.
+MARKS = 1 << 25
 #: Queries whose nearest nodes are also found exactly, the recall that they must have, and queries compared with all nodes in one pass.
 CHECKED, RECALL, BLOCK = 100, 0.95, 1000
 
@@ -154,47 +157,150 @@ def _edges(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 EDGES = "u long, v long, d float"
 
 
-def forest_edges(codes: DataFrame, n: int, width: int) -> DataFrame:
-    """Exact neighbours within the blocks of every tree."""
-    share = min(1.0, SAMPLE / n)
-    rank = F.pmod(F.col("node"), F.lit(1 << 20))
-    picked = codes.filter(rank < F.lit(int(share * (1 << 20)) + 1)).select("code").limit(2 * SAMPLE).toArrow()
-    sample = unpacked(picked.column(0).combine_chunks(), width)
+def leaves_of(trees: list, vectors: np.ndarray) -> list[np.ndarray]:
+    return [route(tree, vectors) for tree in trees]
+
+
+def fit_trees(x: np.ndarray, trees: int, leaf: int) -> list:
     rng = np.random.default_rng(31)
-    least = max(4, int(LEAF * len(sample) / n) // 2)
-    held = codes.sparkSession.sparkContext.broadcast([fit_tree(sample, least, rng) for _ in range(TREES)])
-    del picked, sample
+    return [fit_tree(x, max(4, leaf // 2), rng) for _ in range(trees)]
+
+
+def kept(u: np.ndarray, v: np.ndarray, d: np.ndarray, fresh: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each node's edges, sorted by node and distance. Of equal edges the first in order stays, so one that was there already isn't fresh."""
+    once = np.unique(u * n + v, return_index=True)[1]
+    u, v, d, fresh = u[once], v[once], d[once], fresh[once]
+    order = np.lexsort((d, u))
+    u, v, d, fresh = u[order], v[order], d[order], fresh[order]
+    near = np.arange(len(u)) - np.searchsorted(u, u) < k
+    return u[near], v[near], d[near], fresh[near]
+
+
+def block_edges(x: np.ndarray, trees: list, most: int, k: int) -> tuple[np.ndarray, ...]:
+    """Exact neighbours within the blocks of every tree; a leaf of very many nodes is cut into blocks of ``most``."""
+    us, vs, ds = [], [], []
+    for leaf in leaves_of(trees, x):
+        order = np.argsort(leaf, kind="stable")
+        for members in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+            for block in np.array_split(members, -(-len(members) // most)):
+                few = min(k, len(block) - 1)
+                if few < 1:
+                    continue
+                d = distances(x[block], x[block])
+                np.fill_diagonal(d, np.inf)
+                best = np.argpartition(d, few - 1, axis=1)[:, :few]
+                us.append(np.repeat(block, few))
+                vs.append(block[best].ravel())
+                ds.append(np.take_along_axis(d, best, 1).ravel())
+    if not us:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, x.dtype)
+    return np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vectors = unpacked(b.column(1), width)
-            for i, tree in enumerate(held.value):
-                leaf = route(tree, vectors)
-                yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(len(leaf), i, np.int32)), "leaf": pa.array(leaf), "node": b.column(0), "code": b.column(1)})
 
-    dealt = checkpoint(codes.mapInArrow(leaves, "tree int, leaf long, node long, code binary"))
-    # a leaf that outgrew its sample is cut by a hash of its nodes, so blocks have a bounded size
-    parts = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2.0 * LEAF)).cast("int").alias("parts"))
-    blocks = dealt.join(parts, ["tree", "leaf"]).groupBy("tree", "leaf", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("node", "code")).alias("members"))
+def padded(u: np.ndarray, v: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The first ``width`` of each node's v in a row, -1 where there are fewer; u is sorted."""
+    out, rank = np.full((n, width), -1, np.int64), np.arange(len(u)) - np.searchsorted(u, u)
+    out[u[rank < width], rank[rank < width]] = v[rank < width]
+    return out
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    members = b.column(0)[i].values
-                    ids = members.field("node").to_numpy()
-                    x = unpacked(members.field("code"), width)
-                    k = min(FROM_LEAF, len(ids) - 1)
-                    if k < 1:
-                        continue
-                    d = distances(x, x)
-                    np.fill_diagonal(d, np.inf)
-                    best = np.argpartition(d, k - 1, axis=1)[:, :k]
-                    yield np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(d, best, 1).ravel()
 
-        return _edges(found())
+def both_ways(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int, k: int, reverse: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's neighbours and its nearest incoming ones, -1 where there are fewer, and the place of each one's edge."""
+    back = np.lexsort((d, v))
+    place = np.concatenate([padded(u, np.arange(len(u)), n, k), padded(v[back], back, n, reverse)], axis=1)
+    other = np.concatenate([v, u, [-1]])
+    return other[np.where(place < 0, 2 * len(u), place + np.r_[np.zeros(k, np.int64), np.full(reverse, len(u))])], place
+
+
+def descend(x: np.ndarray, edges: tuple, k: int, reverse: int, groups: int) -> tuple[tuple, int]:
+    """A round of NN-descent: the better graph, and how many nearer neighbours it found."""
+    u, v, d, fresh = edges
+    n = len(x)
+    near, place = both_ways(u, v, d, n, k, reverse)
+    new = (place >= 0) & np.append(fresh, False)[place]
+    # of a neighbour met both ways one stays
+    order = np.argsort(near, axis=1, kind="stable")
+    ranked = np.take_along_axis(near, order, 1)
+    again = np.zeros(near.shape, bool)
+    np.put_along_axis(again, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
+    near = np.where(again, -1, near)
+    worst = np.full(n + 1, np.inf, x.dtype)
+    counts = np.bincount(u, minlength=n)
+    full = np.flatnonzero(counts == k)
+    worst[full] = d[np.cumsum(counts)[full] - 1]
+    worst[n] = -np.inf
+    squares = (x * x).sum(1)
+    us, vs, ds = [u], [v], [d]
+    open_ = np.flatnonzero((new & (near >= 0)).any(axis=1))
+    for at in range(0, len(open_), groups):
+        rows = open_[at : at + groups]
+        c, f = near[rows], new[rows]
+        y = x[c]
+        apart = squares[c][:, :, None] + squares[c][:, None] - 2 * (y @ y.transpose(0, 2, 1))
+        hit = (apart < worst[c][:, :, None]) & (f[:, :, None] | f[:, None]) & (c >= 0)[:, None] & (c >= 0)[:, :, None]
+        hit &= c[:, :, None] != c[:, None]
+        g, a, b = np.nonzero(hit)
+        us.append(c[g, a])
+        vs.append(c[g, b])
+        ds.append(np.maximum(apart[g, a, b], 0))
+    u, v, d = map(np.concatenate, (us, vs, ds))
+    better = kept(u, v, d, np.arange(len(u)) >= len(edges[0]), n, k)
+    return better, int(better[3].sum())
+
+
+def linked(x: np.ndarray, trees: list, k: int, reverse: int, leaf: int, from_leaf: int, rounds: int, settled: float, groups: int) -> np.ndarray:
+    """The links of each node, both ways, after NN-descent from the blocks of the trees."""
+    n, k = len(x), min(k, len(x) - 1)
+    u, v, d = block_edges(x, trees, 2 * leaf, from_leaf)
+    edges = kept(u, v, d, np.ones(len(u), bool), n, k)
+    for _ in range(rounds):
+        edges, fresh = descend(x, edges, k, reverse, groups)
+        if fresh <= settled * n * k:
+            break
+    return both_ways(*edges[:3], n, k, reverse)[0]
+
 
-    return nearest_edges(blocks.select("members").mapInArrow(near, EDGES).withColumn("fresh", F.lit(True)))
+def greedy(x: np.ndarray, links: np.ndarray, asked: np.ndarray, starts: np.ndarray, beam: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes nearest to each vector asked that a search along the links from its starts meets (-1: none), and squared distances."""
+    n, m = len(x), len(asked)
+    beam = min(beam, n)
+    wide = min(wide, beam)
+    at, near, done = np.full((m, beam), -1, np.int64), np.full((m, beam), np.inf, x.dtype), np.ones((m, beam), bool)
+    seen = np.zeros((m, n), bool)
+    while True:
+        q, v = np.repeat(np.arange(m), starts.shape[1]), starts.ravel()
+        fresh = v >= 0
+        fresh[fresh] = ~seen[q[fresh], v[fresh]]
+        q, v = np.divmod(np.unique(q[fresh] * n + v[fresh]), n)
+        seen[q, v] = True
+        if len(q):
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            more, apart = np.full((m, rank.max() + 1), -1, np.int64), np.full((m, rank.max() + 1), np.inf, x.dtype)
+            more[q, rank] = v
+            for i in range(0, len(q), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                gap = x[v[part]] - asked[q[part]]
+                apart[q[part], rank[part]] = np.einsum("ij,ij->i", gap, gap)
+            at, near, done = np.concatenate([at, more], 1), np.concatenate([near, apart], 1), np.concatenate([done, more < 0], 1)
+            best = np.argpartition(near, beam - 1, axis=1)[:, :beam]
+            at, near, done = (np.take_along_axis(a, best, 1) for a in (at, near, done))
+        if done.all():
+            return at, near
+        pick = np.argpartition(np.where(done, np.inf, near), wide - 1, axis=1)[:, :wide]
+        ready = ~np.take_along_axis(done, pick, 1)
+        np.put_along_axis(done, pick, True, 1)
+        starts = np.where(ready[:, :, None], links[np.take_along_axis(at, pick, 1)], -1).reshape(m, -1)
+
+
+def entries(x: np.ndarray, trees: list, asked: np.ndarray, each: int) -> np.ndarray:
+    """Members of the leaves of each vector asked, -1 where there are fewer."""
+    out = []
+    for own, leaf in zip(leaves_of(trees, x), leaves_of(trees, asked), strict=True):
+        order = np.argsort(own, kind="stable")
+        first, last = np.searchsorted(own[order], leaf), np.searchsorted(own[order], leaf, side="right")
+        place = first[:, None] + np.arange(each)
+        out.append(np.where(place < last[:, None], order[np.minimum(place, len(order) - 1)], -1))
+    return np.concatenate(out, axis=1)
 
 
 def nearest_edges(edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -204,59 +310,22 @@ def nearest_edges(edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """Each node with its neighbours and its REVERSE nearest incoming ones: (u, v, fresh)."""
-    order = Window.partitionBy("v").orderBy("d", "u")
-    incoming = edges.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= REVERSE)
-    return edges.select("u", "v", "fresh").union(incoming.select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
-
-
-def descend(codes: DataFrame, edges: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """A round of NN-descent: the better graph, and how many nearer neighbours it found."""
-    worst = edges.groupBy(F.col("u").alias("node")).agg(F.max("d").alias("worst"))
-    known = codes.join(worst, "node", "left").select("node", "code", F.coalesce("worst", F.lit(float("inf"))).cast("float").alias("worst"))
-    of = Window.partitionBy("u")
-    open_ = both_ways(edges).withColumn("any", F.max("fresh").over(of)).filter("any").select("u", "v", "fresh")
-    groups = open_.join(known, F.col("v") == F.col("node")).groupBy("u").agg(F.collect_list(F.struct("node", "code", "worst", "fresh")).alias("members"))
+def build_graph(codes: DataFrame, n: int, width: int) -> tuple[DataFrame, int]:
+    """shard, node, code and near (places of linked nodes within the shard, which is sorted by node), and the number of shards."""
+    shards = max(1, -(-n // MOST), min(SHARDS, n // LEAST))
 
-    def nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple]:
-            for b, first in ((b, first) for b in batches for first in range(0, b.num_rows, GROUPS)):
-                us, vs, ds = [], [], []
-                for i in range(first, min(first + GROUPS, b.num_rows)):
-                    members = b.column(0)[i].values
-                    ids, worst_ = members.field("node").to_numpy(), members.field("worst").to_numpy()
-                    fresh = members.field("fresh").to_numpy(zero_copy_only=False)
-                    x = unpacked(members.field("code"), width)
-                    d = distances(x, x)
-                    np.fill_diagonal(d, np.inf)
-                    a, c = np.nonzero((d < worst_[:, None]) & (fresh[:, None] | fresh[None]))
-                    us.append(ids[a])
-                    vs.append(ids[c])
-                    ds.append(d[a, c])
-                if us:
-                    u, v, d = map(np.concatenate, (us, vs, ds))
-                    # a pair is met in several groups
-                    order = np.lexsort((d, v, u))
-                    once = order[np.r_[True, (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])]] if len(u) else order
-                    yield u[once], v[once], d[once]
-
-        return _edges(found())
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node").combine_chunks()
+        x = unpacked(group.column("code").combine_chunks(), width)
+        if len(x) > 1:
+            near = linked(x, fit_trees(x, TREES, LEAF), NEIGHBOURS, REVERSE, LEAF, FROM_LEAF, ROUNDS, SETTLED, GROUPS)
+        else:
+            near = np.full((1, 1), -1)
+        return group.append_column("near", pa.array([row.astype(np.int32).tobytes() for row in near], pa.binary()))
 
-    updates = groups.select("members").mapInArrow(nearer, EDGES)
-    better = checkpoint(nearest_edges(edges.select("u", "v", "d", F.lit(False).alias("fresh")).union(updates.withColumn("fresh", F.lit(True)))))
-    return better, better.filter("fresh").count()
-
-
-def build_graph(codes: DataFrame, n: int, width: int) -> DataFrame:
-    edges = checkpoint(forest_edges(codes, n, width))
-    for _ in range(ROUNDS):
-        free_shuffles(codes.sparkSession)
-        edges, fresh = descend(codes, edges, width)
-        if fresh <= SETTLED * n * NEIGHBOURS:
-            break
-    free_shuffles(codes.sparkSession)
-    return edges
+    # a number of partitions: by bytes, shards would be put together in few tasks
+    dealt = codes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "code").repartition(shards, "shard")
+    return checkpoint(dealt.groupBy("shard").applyInArrow(run, "shard int, node long, code binary, near binary")), shards
 
 
 def distance(x: str, y: str) -> Column:
@@ -295,62 +364,43 @@ def exact_nodes(nodes: DataFrame, picked: pa.Table, k: int, width: int) -> DataF
     return nearest_edges(every.withColumn("fresh", F.lit(True)), k).select("u", "v", "d")
 
 
-STATE = "q long, code binary, node array<long>, d array<float>, done array<boolean>"
+def search_shards(index: DataFrame, shards: int, asked: DataFrame, beam: int, width: int) -> DataFrame:
+    """q, v: the nearest nodes that greedy searches in all shards have met for each query node (asked: q, code)."""
 
+    def run(group: pa.Table, wanted: pa.Table) -> pa.Table:
+        us, vs, ds = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        if len(group) and len(wanted):
+            group = group.sort_by("node")
+            nodes, x = group.column("node").to_numpy(), unpacked(group.column("code").combine_chunks(), width)
+            links = np.frombuffer(b"".join(group.column("near").to_pylist()), np.int32).reshape(len(x), -1)
+            trees, queries, y = fit_trees(x, TREES, LEAF), wanted.column("q").to_numpy(), unpacked(wanted.column("code").combine_chunks(), width)
+            each = max(1, min(BLOCK, MARKS // len(x)))
+            for i in range(0, len(y), each):
+                part = y[i : i + each]
+                at, d = greedy(x, links, part, entries(x, trees, part, STARTS), beam, WIDE)
+                us.append(np.repeat(queries[i : i + each], at.shape[1])[(at >= 0).ravel()])
+                vs.append(nodes[at[at >= 0]])
+                ds.append(np.minimum(d[at >= 0], np.finfo(np.float32).max).astype(np.float32))
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs), "d": np.concatenate(ds)})
 
-def expand(codes: DataFrame, links: DataFrame, state: DataFrame, beam: int, width: int) -> DataFrame:
-    """state (a row for each query node), expanded until none of a query's ``beam`` nearest nodes is left to expand."""
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, ds, dones = [], [], []
-            own = unpacked(b.column(1), width)
-            for i in range(b.num_rows):
-                old, old_d = b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy()
-                met = b.column(5)[i].values
-                fresh = met.field("node").to_numpy() if met is not None else old[:0]
-                keep = ~np.isin(fresh, old)
-                fresh = fresh[keep]
-                d = distances(own[i : i + 1], unpacked(met.field("code"), width)[keep])[0] if len(fresh) else old_d[:0]
-                every, every_d = np.r_[old, fresh], np.r_[old_d, d].astype(np.float32)
-                done = np.r_[np.ones(len(old), bool), np.zeros(len(fresh), bool)]
-                best = np.lexsort((every, every_d))[:beam]
-                nodes.append(every[best])
-                ds.append(every_d[best])
-                dones.append(done[best])
-            kinds = (pa.int64(), pa.float32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x.tolist() for x in xs], pa.list_(t)) for xs, t in zip((nodes, ds, dones), kinds, strict=True))], names=["q", "code", "node", "d", "done"])
-
-    spark = codes.sparkSession
-    while True:
-        open_ = state.select("q", F.explode(F.arrays_zip("node", "done")).alias("x")).filter(~F.col("x.done")).select("q", F.col("x.node").alias("node"))
-        met = open_.join(links, F.col("node") == F.col("u")).select("q", F.explode("near").alias("node")).distinct()
-        groups = met.join(codes, "node").groupBy("q").agg(F.collect_list(F.struct("node", "code")).alias("met"))
-        state = checkpoint(state.join(groups, "q", "left").mapInArrow(merged, STATE))
-        if state.filter(F.exists("done", lambda x: ~x)).isEmpty():
-            return state
-        free_shuffles(spark)
+    everywhere = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "q", "code")
+    met = index.repartition(shards, "shard").groupBy("shard").cogroup(everywhere.repartition(shards, "shard").groupBy("shard")).applyInArrow(run, EDGES)
+    return nearest_edges(met.withColumn("fresh", F.lit(True)), beam).filter("u <> v").select(F.col("u").alias("q"), "v")
 
 
-def search(codes: DataFrame, nodes: DataFrame, edges: DataFrame, starts: DataFrame, n: int, width: int, k: int) -> DataFrame:
+def search(codes: DataFrame, nodes: DataFrame, index: DataFrame, shards: int, starts: DataFrame, n: int, width: int, k: int) -> DataFrame:
     """q, v: the nodes found for each query node (starts: node), as many as the recall on CHECKED ones, by their vectors themselves, asks for."""
-    links = checkpoint(both_ways(edges).groupBy("u").agg(F.collect_list("v").alias("near")))
-    first = starts.join(codes, "node").select(F.col("node").alias("q"), "code")
+    asked = checkpoint(starts.join(codes, "node").select(F.col("node").alias("q"), "code"))
     picked = starts.orderBy(F.xxhash64("node"), "node").limit(CHECKED).join(nodes.select("node", "vec"), "node").select("node", "vec").toArrow()
     exact = checkpoint(exact_nodes(nodes, picked, k, width))
     wanted = exact.count()
-    one = lambda x, kind: F.array(x).cast(f"array<{kind}>")
-    state = checkpoint(first.select("q", "code", one(F.col("q"), "long").alias("node"), one(F.lit(0.0), "float").alias("d"), one(F.lit(False), "boolean").alias("done")))
     beam = max(BEAM, 2 * k)
     while True:
-        state = expand(codes, links, state, beam, width)
-        found = state.select("q", F.explode("node").alias("v")).filter("q <> v")
+        found = checkpoint(search_shards(index, shards, asked, beam, width))
         met = found.join(exact.select(F.col("u").alias("q"), "v"), ["q", "v"]).count()
         if met >= RECALL * wanted or beam >= n:
             return found
-        # what the narrower beam dropped is met again, from the nodes that it kept
         beam *= 2
-        state = state.withColumn("done", F.transform("done", lambda _: F.lit(False)))
 
 
 def completed(nodes: DataFrame, found: DataFrame, starts: DataFrame, n: int, width: int, k: int) -> DataFrame:
@@ -378,8 +428,8 @@ def _nearest_of_length(good: DataFrame, is_query: Column, width: int, k: int) ->
     queries = good.filter(is_query).select(F.col("vec_id").alias("q"), F.xxhash64("vec").alias("start"), F.col("vec").alias("qvec"))
     starts = checkpoint(queries.select(F.col("start").alias("node")).distinct())
     if n > 1:
-        edges = build_graph(codes, n, width)
-        found = completed(nodes, search(codes, nodes, edges, starts, n, width, k), starts, n, width, k)
+        index, shards = build_graph(codes, n, width)
+        found = completed(nodes, search(codes, nodes, index, shards, starts, n, width, k), starts, n, width, k)
     else:
         found = starts.select(F.col("node").alias("q"), F.col("node").alias("v")).limit(0)
     reached = checkpoint(found.union(starts.select("node", F.col("node").alias("v"))).select(F.col("q").alias("start"), F.col("v").alias("node")))
