@@ -107,3 +107,18 @@ def test_components_of_long_chains(spark):
     edges = [(i * 7919 % 100_003, (i + 1) * 7919 % 100_003) for i in range(300)] + [(-5, -9), (4, 4)]
     got = {r["node"]: r["root"] for r in jj.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[a] for a, _ in edges[:300]} | {got[edges[299][1]]}) == 1 and got[-5] == got[-9] == -9
+
+
+def test_estimated_sizes_do_not_grow_with_rounds(spark, monkeypatch):
+    """Each round joins the last one's frames; the product of their estimated sizes once had five times as many digits after each, all multiplied in the driver."""
+    bits, kept = [], jj.checkpoint
+
+    def seen(df):
+        bits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return kept(df)
+
+    monkeypatch.setattr(jj, "checkpoint", seen)
+    edges = spark.createDataFrame([(i * 7919 % 100_003, (i + 1) * 7919 % 100_003) for i in range(300)], "a long, b long")
+    labels = jj.components(edges)
+    assert len(bits) > 2 + 4 * 3 and max(bits) < 1000, bits
+    assert labels.groupBy("root").count().collect()[0]["count"] == 301

@@ -42,6 +42,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def without_estimate(df: DataFrame) -> DataFrame:
+    """A checkpointed frame of few plain columns, planned as one of unknown size.
+
+    A checkpoint keeps the size that Spark estimated for its plan, and a join's is the product of both sides'. In a loop whose rounds join what the
+    rounds before have joined, the number of its digits is multiplied in each round, until the driver does nothing but multiply.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files and checkpoints of plans that nothing refers to."""
     gc.collect()

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timelens.llm.common import checkpoint, free_shuffles, table, text_parts, worker_cache
+from timelens.llm.common import checkpoint, free_shuffles, table, text_parts, without_estimate, worker_cache
 
 WORDS = 4
 SHARE = (85, 100)
@@ -186,7 +186,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes are hashes, so the least neighbour is a random one and each round shrinks a component by a constant factor.
     """
-    edges = checkpoint(edges.filter("a <> b").select("a", "b").distinct())
+    edges = without_estimate(checkpoint(edges.filter("a <> b").select("a", "b").distinct()))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels = checkpoint(nodes.select("node", F.col("node").alias("root")))
     while not edges.isEmpty():
@@ -194,9 +194,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = checkpoint(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("to")))
         hop = least.select(F.col("v").alias("w"), F.col("to").alias("further"))
         step = checkpoint(least.join(hop, F.col("to") == F.col("w")).select("v", F.col("further").alias("to")))
-        labels = checkpoint(labels.join(step, F.col("root") == F.col("v"), "left").select("node", F.coalesce("to", "root").alias("root")))
+        labels = without_estimate(checkpoint(labels.join(step, F.col("root") == F.col("v"), "left").select("node", F.coalesce("to", "root").alias("root"))))
         a, b = step.select(F.col("v").alias("a"), F.col("to").alias("na")), step.select(F.col("v").alias("b"), F.col("to").alias("nb"))
-        edges = checkpoint(edges.join(a, "a").join(b, "b").filter("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
+        edges = without_estimate(checkpoint(edges.join(a, "a").join(b, "b").filter("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()))
     return labels
 
 
